@@ -12,8 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import indexes as IX
+from quarry.functions.text import repair_url
+from quarry.operators import evalset as EV
+from quarry.operators import facets as FC
 from quarry.operators import filters as FL
+from quarry.operators import hits as H
 from quarry.operators import knn
+from quarry.operators import topics as TP
 from quarry.plans import scenario as S
 from quarry.sources import schema as SC
 from quarry.sources import testdata as td
@@ -115,4 +120,144 @@ def q09_knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+def q10_knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variant search: comments kept, k=100 (result size min(size, k)), then a
+    score threshold, full-source projection with ``similarity_score``."""
+    spec = FL.FilterSpec(start_date="2024-01-01", end_date="2024-01-31", exclude_comments=False)
+    corpus = FL.apply_filter(_posts(spark, sf_dir, *SEARCH_COLS), spec)
+    hits = knn.search(corpus, _question(spark, sf_dir), k=min(S.VARIANT_SIZE, S.VARIANT_K), key_col="doc_id")
+    hits = knn.with_threshold(hits, S.SCORE_THRESHOLD)
+    src = _posts(spark, sf_dir, "doc_id", "index_name", "language_text", "type")
+    return knn.attach(hits, src, "doc_id").select(
+        "doc_id", "index_name", "language_text", "type", F.round("score", 6).alias("similarity_score")
+    )
+
+
+# -- batch search: every stored vector is a question ----------------------------
+
+def batch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
+    return knn.search(corpus, td.vector_questions(spark, sf_dir), k=S.BATCH_K, key_col="doc_id")
+
+
+HIT_SOURCE = ("doc_id", "id", "index_name", "date_ts", "text", "translated_text", "url", "country",
+              "language_text", "category", "source", "_domain", "misc", "topics")
+
+
+def batch_attached(spark: SparkSession, sf_dir: str, cols=HIT_SOURCE) -> DataFrame:
+    return knn.attach(batch_hits(spark, sf_dir), _posts(spark, sf_dir, *cols), "doc_id")
+
+
+def q11_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_hits(spark, sf_dir).select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+# -- hit projections -------------------------------------------------------------
+
+def q12_hit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.hit_table(batch_attached(spark, sf_dir), keep=("question_id", "rank"))
+
+
+def q13_context_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = H.context_rows(batch_attached(spark, sf_dir), S.RULES.column(), keep=("question_id", "rank"))
+    return ctx.select("question_id", "rank", "url", "category", F.length("text").alias("text_chars"))
+
+
+def q14_url_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _posts(spark, sf_dir, "doc_id", "url").select("doc_id", "url", repair_url("url").alias("url_fixed"))
+
+
+# -- facets and distributions -------------------------------------------------------
+
+FACET_FIELDS = ("category", "misc.category_one", "misc.category_two", "language_text", "country")
+
+
+def q15_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _posts(spark, sf_dir, "category", "misc", "language_text", "country")
+    return FC.facets(df, FACET_FIELDS)
+
+
+def q16_facet_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # project configuration is a handful of rows: a size-bounded broadcast
+    proj = td.projects(spark).select("project", "scheme", F.explode("indexes").alias("index_name"))
+    df = _posts(spark, sf_dir, "index_name", "category", "misc", "language_text", "country")
+    df = df.join(F.broadcast(proj), "index_name", "inner")
+    return FC.facet_lists(df, F.col("scheme"), by=["project"])
+
+
+def q17_approx_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _posts(spark, sf_dir, "language_text", "country", "category")
+    return FC.approx_terms(df, ("language_text", "country", "category"))
+
+
+def _dist(spark, sf_dir):
+    table = H.hit_table(batch_attached(spark, sf_dir), keep=("question_id",))
+    dims = FC.distribution_dims(S.RULES.for_name(S.SELECTION))
+    return FC.distributions(table, dims, by=["question_id"])
+
+
+def q21_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dist(spark, sf_dir)
+
+
+def q22_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sh = FC.shares(_dist(spark, sf_dir), by=["question_id"])
+    return sh.select("question_id", "dimension", "value", "count", F.round("share", 6).alias("share"))
+
+
+# -- topics -------------------------------------------------------------------------
+
+def _topic_counts(spark, sf_dir):
+    return TP.topic_counts(batch_attached(spark, sf_dir, ("doc_id", "topics")), by=["question_id"])
+
+
+def _topic_lookup(spark, sf_dir):
+    return TP.first_topic(td.topics(spark, sf_dir), IX.py_topic_indexes(S.ALL_INDEXES))
+
+
+def q18_topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topic_counts(spark, sf_dir)
+
+
+def q19_topic_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TP.enrich(_topic_counts(spark, sf_dir), _topic_lookup(spark, sf_dir))
+
+
+def q20_topic_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TP.drop_empty(q19_topic_lookup(spark, sf_dir))
+
+
+# -- context pack and evaluation tables -------------------------------------------
+
+def packed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = H.context_rows(batch_attached(spark, sf_dir), S.RULES.column(), keep=("question_id", "rank", "doc_id"))
+    return H.pack_context(ctx, fields=("doc_id", "text", "url", "category"))
+
+
+def q23_context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packed_context(spark, sf_dir)
+    return p.select(
+        "question_id",
+        F.size("context").cast("long").alias("n_hits"),
+        F.array_join(F.transform("context", lambda x: x["doc_id"].cast("string")), ",").alias("doc_ids"),
+        F.aggregate(F.transform("context", lambda x: F.length(x["text"]).cast("long")), F.lit(0).cast("long"),
+                    lambda a, b: a + b).alias("context_chars"),
+    )
+
+
+MODELS = ("model-a", "model-b", "model-c")
+TASKS = {"summary": "Summarize for {question}:\n{texts}", "alert": None, "comparison": "Compare:\n{texts}\nQ: {question}"}
+
+
+def q25_model_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EV.model_pairs(td.text_questions(spark, sf_dir), MODELS, seed="7")
+
+
+def q26_prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packed_context(spark, sf_dir).select("question_id", H.context_text().alias("context_text"))
+    qtext = td.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), "text")
+    return EV.prompt_table(qtext, packed, EV.template_for(TASKS, "alert"))
+
+
 QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]

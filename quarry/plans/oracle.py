@@ -61,3 +61,140 @@ SELECT doc_id, type FROM posts WHERE type IS DISTINCT FROM 'comment'""",
     "q09_knn_search": _with(_POSTS, SEARCH_HITS) + """
 SELECT question_id, rank, doc_id, round(score, 6) AS score FROM search_hits""",
 }
+
+# ---------------------------------------------------------------------------
+# Variant search, batch search and everything built on its hits
+# ---------------------------------------------------------------------------
+
+VARIANT_HITS = """variant_hits AS (
+  SELECT doc_id, 1.0 / (1.0 + d * d) AS score,
+         row_number() OVER (ORDER BY d, doc_id) AS rank
+  FROM (SELECT p.doc_id, list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d
+        FROM posts p, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+        WHERE p.embedding IS NOT NULL
+          AND CAST(date_ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-31')
+  QUALIFY rank <= 100
+)"""
+
+BATCH_HITS = """batch_hits AS (
+  SELECT question_id, doc_id, rank, score FROM (
+    SELECT question_id, doc_id, 1.0 / (1.0 + d * d) AS score,
+           row_number() OVER (PARTITION BY question_id ORDER BY d, doc_id) AS rank
+    FROM (SELECT q.vec_id AS question_id, p.doc_id,
+                 list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d
+          FROM posts p, embeddings q
+          WHERE p.embedding IS NOT NULL AND p.type IS DISTINCT FROM 'comment'))
+  WHERE rank <= 10
+)"""
+
+BH = """bh AS (SELECT h.question_id, h.rank, h.score, p.* FROM batch_hits h JOIN posts p USING (doc_id))"""
+
+CTX_CATEGORY = """CASE WHEN index_name LIKE '%alpha-arm%' OR index_name LIKE '%gamma-bk%'
+     THEN coalesce(category_one, 'Unknown') ELSE category END"""
+URL_FIXED = """CASE WHEN url IS NULL THEN NULL
+     WHEN starts_with(url, 'http://') OR starts_with(url, 'https://') THEN url
+     ELSE 'https://' || url END"""
+
+HIT_TABLE = """ht AS (
+  SELECT question_id, rank, CAST(date_ts AS DATE) AS date,
+    coalesce(text, 'None') AS text, coalesce(url, 'None') AS url, coalesce(country, 'None') AS country,
+    coalesce(language_text, 'None') AS language, coalesce(category, 'None') AS category,
+    coalesce(source, 'None') AS source, coalesce(_domain, 'None') AS _domain,
+    coalesce(category_one, 'None') AS category_one, coalesce(category_two, 'None') AS category_two,
+    coalesce(id, 'None') AS id
+  FROM bh)"""
+
+DIST = """dist AS (
+  SELECT question_id, dimension, value, count(*)::BIGINT AS count FROM (
+    SELECT question_id, 'category_one' AS dimension, category_one AS value FROM ht
+    UNION ALL SELECT question_id, 'category_two', category_two FROM ht
+    UNION ALL SELECT question_id, 'language', language FROM ht
+    UNION ALL SELECT question_id, 'country', country FROM ht)
+  WHERE value IS NOT NULL GROUP BY ALL)"""
+
+TOPIC_COUNTS = """tc AS (
+  SELECT h.question_id, pt.topic_hash_id AS topic_ids, count(*)::BIGINT AS count
+  FROM batch_hits h JOIN post_topics pt ON h.doc_id = pt.doc_id GROUP BY ALL)"""
+
+TOPIC_LOOKUP = """tl AS (
+  SELECT topic_hash_id AS topic_ids, topic_summary AS summary, topic_narratives AS narratives FROM (
+    SELECT *, row_number() OVER (PARTITION BY topic_hash_id ORDER BY seq, index_name) AS rn FROM topics
+    WHERE index_name IN ('topics-alpha-arm', 'topics-beta-by', 'topics-delta-win', 'topics-gamma-bk-sample'))
+  WHERE rn = 1)"""
+
+CONTEXT = f"""ctx AS (
+  SELECT question_id, rank, doc_id, translated_text AS text, {URL_FIXED} AS url, {CTX_CATEGORY} AS category FROM bh)"""
+
+FACET_UNION = """SELECT field, value, count(*)::BIGINT AS count FROM (
+    SELECT 'category' AS field, category AS value FROM posts
+    UNION ALL SELECT 'misc.category_one', category_one FROM posts
+    UNION ALL SELECT 'misc.category_two', category_two FROM posts
+    UNION ALL SELECT 'language_text', language_text FROM posts
+    UNION ALL SELECT 'country', country FROM posts)
+  WHERE value IS NOT NULL GROUP BY ALL"""
+
+SQL.update({
+    "q10_knn_threshold": _with(_POSTS, VARIANT_HITS) + """
+SELECT h.doc_id, p.index_name, p.language_text, p.type, round(h.score, 6) AS similarity_score
+FROM variant_hits h JOIN posts p USING (doc_id) WHERE h.score >= 0.40""",
+    "q11_knn_batch": _with(_POSTS, BATCH_HITS) + """
+SELECT question_id, rank, doc_id, round(score, 6) AS score FROM batch_hits""",
+    "q12_hit_table": _with(_POSTS, BATCH_HITS, BH, HIT_TABLE) + "SELECT * FROM ht",
+    "q13_context_category": _with(_POSTS, BATCH_HITS, BH, CONTEXT) + """
+SELECT question_id, rank, url, category, length(text) AS text_chars FROM ctx""",
+    "q14_url_repair": _with(_POSTS) + f"SELECT doc_id, url, {URL_FIXED} AS url_fixed FROM posts",
+    "q15_facets": _with(_POSTS) + f"""
+SELECT field, 'unique_' || replace(field, '.', '_') AS agg_name,
+       row_number() OVER (PARTITION BY field ORDER BY count DESC, value) AS bucket, value, count
+FROM ({FACET_UNION}) QUALIFY bucket <= 10000""",
+    "q16_facet_any": _with(_POSTS, td.PROJECTS_SQL) + """,
+pp AS (SELECT p.*, pr.project, pr.scheme FROM posts p JOIN projects pr USING (index_name)),
+v AS (SELECT DISTINCT project, field, value FROM (
+    SELECT project, 'category_one' AS field, CASE WHEN scheme = 'base' THEN category ELSE category_one END AS value FROM pp
+    UNION ALL SELECT project, 'category_two', CASE WHEN scheme = 'two_level' THEN category_two END FROM pp
+    UNION ALL SELECT project, 'language', language_text FROM pp
+    UNION ALL SELECT project, 'country', country FROM pp) WHERE value IS NOT NULL),
+a AS (SELECT DISTINCT project, f.field, 'Any' AS value FROM pp, (VALUES ('category_one'), ('language'), ('country')) f(field)
+    UNION SELECT DISTINCT project, 'category_two', 'Any' FROM v WHERE field = 'category_two'),
+allv AS (SELECT * FROM v UNION ALL SELECT * FROM a)
+SELECT project, field, row_number() OVER (PARTITION BY project, field ORDER BY value) AS pos, value FROM allv""",
+    "q17_approx_terms": _with(_POSTS) + """
+SELECT field, value, count(*)::BIGINT AS count FROM (
+    SELECT 'language_text' AS field, language_text AS value FROM posts
+    UNION ALL SELECT 'country', country FROM posts
+    UNION ALL SELECT 'category', category FROM posts)
+WHERE value IS NOT NULL GROUP BY ALL""",
+    "q18_topic_counts": _with(_POSTS, td.POST_TOPICS_SQL, BATCH_HITS, TOPIC_COUNTS) + "SELECT * FROM tc",
+    "q19_topic_lookup": _with(_POSTS, td.POST_TOPICS_SQL, td.TOPICS_SQL, BATCH_HITS, TOPIC_COUNTS, TOPIC_LOOKUP)
+    + "SELECT tc.question_id, tc.topic_ids, tc.count, tl.summary, tl.narratives FROM tc LEFT JOIN tl USING (topic_ids)",
+    "q20_topic_enriched": _with(_POSTS, td.POST_TOPICS_SQL, td.TOPICS_SQL, BATCH_HITS, TOPIC_COUNTS, TOPIC_LOOKUP)
+    + """SELECT tc.question_id, tc.topic_ids, tc.count, tl.summary, tl.narratives FROM tc LEFT JOIN tl USING (topic_ids)
+WHERE NOT (coalesce(tl.summary, '') = '' AND coalesce(tl.narratives, '') = '')""",
+    "q21_distributions": _with(_POSTS, BATCH_HITS, BH, HIT_TABLE, DIST) + "SELECT * FROM dist",
+    "q22_shares": _with(_POSTS, BATCH_HITS, BH, HIT_TABLE, DIST) + """
+SELECT question_id, dimension, value, count,
+       round(count / sum(count) OVER (PARTITION BY question_id, dimension), 6) AS share FROM dist""",
+    "q23_context_pack": _with(_POSTS, BATCH_HITS, BH, CONTEXT) + """
+SELECT question_id, count(*)::BIGINT AS n_hits,
+       string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS doc_ids,
+       sum(length(text))::BIGINT AS context_chars
+FROM ctx GROUP BY question_id""",
+    "q25_model_pair": """
+SELECT question_id, slot, model FROM (
+  SELECT question_id, model,
+         row_number() OVER (PARTITION BY question_id
+                            ORDER BY md5(concat_ws(':', CAST(question_id AS VARCHAR), model, '7'))) AS slot
+  FROM (SELECT item_id AS question_id FROM benchmark), (VALUES ('model-a'), ('model-b'), ('model-c')) m(model))
+WHERE slot <= 2""",
+    "q26_prompt_table": _with(_POSTS, BATCH_HITS, BH, CONTEXT) + """,
+packed AS (
+  SELECT question_id,
+         string_agg('[' || CAST(rank AS VARCHAR) || '] ' || text || ' (' || url || ') [' || coalesce(category, 'None') || ']',
+                    chr(10) ORDER BY rank) AS context_text
+  FROM ctx GROUP BY question_id)
+SELECT d.doc_id AS question_id,
+       'You are a helpful assistant that summarizes information.' AS system,
+       'Please summarize the following information:' || chr(10) || chr(10) || pk.context_text
+         || chr(10) || chr(10) || 'Question: ' || d.text AS prompt
+FROM documents d JOIN packed pk ON pk.question_id = d.doc_id""",
+})
