@@ -102,7 +102,7 @@ def q08_exclude_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- vector search -------------------------------------------------------------
 
-SEARCH_COLS = ("doc_id", "date_ts", "type", "language_text", "country", "issues", "embedding")
+SEARCH_COLS = ("doc_id", "date_ts", "type", "language_text", "issues", "embedding")
 
 
 def _question(spark, sf_dir):
