@@ -1,6 +1,6 @@
 """Pre-filtered exact top-k vector search, for one question or a table of them.
 
-Plan (per question block):
+Plan:
 
 1. ``corpus`` is filtered first (the caller's ``where`` is pushed into the
    scan), projected to ``key, vector`` only.
@@ -13,9 +13,11 @@ Plan (per question block):
    first merge level by ``(question, key-hash bucket)`` bounds the rows that
    reach any single task.
 
-The question block is shipped to executors as a broadcast variable; its byte
-size is checked against ``block_bytes`` and larger question tables are split
-into several blocks (each its own scan), so no broadcast grows with the data.
+Questions reach executors as broadcast variables.  Their byte size is checked
+against ``block_bytes``; a larger question table is split into several blocks,
+each collected and broadcast on its own (the driver holds one block at a
+time), and every task scores all blocks against its split in a single pass
+over the corpus, loading one block at a time.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ DEFAULT_K = 30
 DEFAULT_BLOCK_BYTES = 64 << 20  # question-block broadcast budget
 QUESTION_CHUNK = 256  # questions scored together inside one kernel call
 MERGE_FANIN = 64  # partitions merged directly per question before a second level
+ATTACH_BROADCAST_ROWS = 2_000_000  # hits (questions x k) broadcast when provably below
 
 
 def _partition_topk(state: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -44,28 +47,59 @@ def _partition_topk(state: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd
     return both.groupby("question_id", sort=False).head(k)
 
 
-def _make_kernel(bq, k: int, metric: str, key_col: str, vec_col: str):
+def _score(state, x, keys, qids, qmat, k, metric):
+    for s in range(0, len(qids), QUESTION_CHUNK):
+        q = qmat[s : s + QUESTION_CHUNK]
+        rows, cols, d = V.topk_block(x, q, k, metric)
+        new = pd.DataFrame({"question_id": qids[s : s + QUESTION_CHUNK][cols], "key": keys[rows], "distance": d})
+        state = _partition_topk(state, new, k)
+    return state
+
+
+def _make_kernel(blocks, k: int, metric: str, key_col: str, vec_col: str):
+    """Per-partition top-k against every question block in ONE pass over the
+    corpus.  With a single block, Arrow batches are streamed; with several,
+    the partition's vectors (bounded by the input split size) are held once
+    and each broadcast block is loaded, scored and released in turn."""
+
     def kernel(batches):
-        qids, qmat = bq.value
         state = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = V.stack_vectors(pdf[vec_col].to_numpy())
-            keys = pdf[key_col].to_numpy()
-            for s in range(0, len(qids), QUESTION_CHUNK):
-                q = qmat[s : s + QUESTION_CHUNK]
-                rows, cols, d = V.topk_block(x, q, k, metric)
-                new = pd.DataFrame(
-                    {"question_id": qids[s : s + QUESTION_CHUNK][cols], "key": keys[rows], "distance": d}
-                )
-                state = _partition_topk(state, new, k)
+        if len(blocks) == 1:
+            qids, qmat = blocks[0].value
+            for pdf in batches:
+                if len(pdf):
+                    x = V.stack_vectors(pdf[vec_col].to_numpy())
+                    state = _score(state, x, pdf[key_col].to_numpy(), qids, qmat, k, metric)
+        else:
+            frames = [pdf[[key_col, vec_col]] for pdf in batches if len(pdf)]
+            if frames:
+                part = pd.concat(frames, ignore_index=True)
+                x = V.stack_vectors(part[vec_col].to_numpy())
+                keys = part[key_col].to_numpy()
+                del part, frames
+                for b in blocks:
+                    qids, qmat = b.value
+                    state = _score(state, x, keys, qids, qmat, k, metric)
         if state is not None and len(state):
             yield state.rename(columns={"key": key_col})
 
     return kernel
 
 
+def _question_blocks(questions: DataFrame, qid: str, vec: str, block_bytes: int):
+    """Split the question table into blocks whose float64 matrices fit the
+    broadcast budget.  Returns (blocks, number of questions)."""
+    stats = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    n, d = int(stats["n"] or 0), int(stats["d"] or 0)
+    if n == 0:
+        return [], 0
+    nblocks = max(1, math.ceil(n * max(d, 1) * 8 / block_bytes))
+    if nblocks == 1:
+        return [questions], n
+    bucket = F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks))
+    return [questions.where(bucket == b) for b in range(nblocks)], n
+
+
 def _collect_block(questions: DataFrame, qid: str, vec: str):
     pdf = questions.select(qid, vec).toPandas()
     ids = pdf[qid].to_numpy(dtype=np.int64)
@@ -73,26 +107,19 @@ def _collect_block(questions: DataFrame, qid: str, vec: str):
     return ids, mat
 
 
-def _question_blocks(questions: DataFrame, qid: str, vec: str, block_bytes: int) -> list[DataFrame]:
-    """Split the question table into blocks whose float64 matrices fit the budget."""
-    stats = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    n, d = int(stats["n"] or 0), int(stats["d"] or 0)
-    if n == 0:
-        return []
-    nblocks = max(1, math.ceil(n * max(d, 1) * 8 / block_bytes))
-    if nblocks == 1:
-        return [questions]
-    bucket = F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks))
-    return [questions.where(bucket == b) for b in range(nblocks)]
+def merge_levels(nparts: int) -> int:
+    """Buckets of the first merge level: none for few partitions, else
+    ~sqrt(partitions) so both levels see ~sqrt(partitions) * k rows per task."""
+    return 1 if nparts <= MERGE_FANIN else max(2, math.isqrt(nparts))
 
 
 def merge_topk(cands: DataFrame, k: int, key_col: str, levels: int = 1) -> DataFrame:
     """Global top-k per question from per-partition candidates."""
     order = [F.col("distance").asc(), F.col(key_col).asc()]
     if levels > 1:
-        bucket = F.pmod(F.xxhash64(F.col(key_col)), F.lit(levels))
-        w1 = Window.partitionBy("question_id", bucket.alias("_b")).orderBy(*order)
-        cands = cands.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r")
+        cands = cands.withColumn("_b", F.pmod(F.xxhash64(F.col(key_col)), F.lit(levels)))
+        w1 = Window.partitionBy("question_id", "_b").orderBy(*order)
+        cands = cands.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_b")
     w = Window.partitionBy("question_id").orderBy(*order)
     return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -107,12 +134,14 @@ def search(
     question_id_col: str = "question_id",
     question_vector_col: str = "embedding",
     block_bytes: int = DEFAULT_BLOCK_BYTES,
+    attach_to: DataFrame | None = None,
 ) -> DataFrame:
     """Top-``k`` rows of ``corpus`` per question.
 
     Returns ``question_id, <key_col>, rank, distance, score`` where ``distance``
     is the metric's ranking key (``d^2`` for l2) and ``score`` the engine score.
-    Rows without a vector cannot be hits.
+    Rows without a vector cannot be hits.  With ``attach_to`` the hits are
+    joined to that table's columns on ``key_col``.
     """
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
@@ -129,28 +158,24 @@ def search(
         ]
     )
     base = corpus.where(F.col(vector_col).isNotNull()).select(key_col, vector_col)
-    nparts = base.rdd.getNumPartitions()
-    levels = 1 if nparts <= MERGE_FANIN else max(2, nparts // MERGE_FANIN)
-
-    parts = []
-    for block in _question_blocks(questions, question_id_col, question_vector_col, block_bytes):
+    blocks, n_questions = _question_blocks(questions, question_id_col, question_vector_col, block_bytes)
+    shipped = []
+    for block in blocks:
         ids, mat = _collect_block(block, question_id_col, question_vector_col)
-        if len(ids) == 0:
-            continue
-        bq = spark.sparkContext.broadcast((ids, mat))
-        kernel = _make_kernel(bq, k, metric, key_col, vector_col)
-        parts.append(base.mapInPandas(kernel, out_schema))
-    if not parts:
-        empty = spark.createDataFrame([], out_schema)
-        parts = [empty]
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    top = merge_topk(cands, k, key_col, levels)
-    return top.select(
+        if len(ids):
+            shipped.append(spark.sparkContext.broadcast((ids, mat)))
+    if shipped:
+        cands = base.mapInPandas(_make_kernel(shipped, k, metric, key_col, vector_col), out_schema)
+        levels = merge_levels(base.rdd.getNumPartitions())
+    else:
+        cands, levels = spark.createDataFrame([], out_schema), 1
+    top = merge_topk(cands, k, key_col, levels).select(
         "question_id", key_col, "rank", "distance",
         V.score_from_key("distance", metric).alias("score"),
     )
+    if attach_to is None:
+        return top
+    return attach(top, attach_to, key_col, rows_bound=n_questions * k)
 
 
 def search_vector(corpus: DataFrame, vector: Sequence[float], k: int = DEFAULT_K, **kw) -> DataFrame:
@@ -191,7 +216,13 @@ def with_threshold(hits: DataFrame, min_score: float) -> DataFrame:
     return hits.where(F.col("score") >= F.lit(min_score))
 
 
-def attach(hits: DataFrame, corpus: DataFrame, key_col: str = "id") -> DataFrame:
-    """Join hit keys back to corpus columns.  The hit side is small
-    (questions x k); AQE turns this into a broadcast join when it measures so."""
+def attach(hits: DataFrame, corpus: DataFrame, key_col: str = "id", rows_bound: int | None = None) -> DataFrame:
+    """Join hits back to corpus columns on ``key_col``.
+
+    A search returns at most ``questions x k`` rows; when that proven bound is
+    below :data:`ATTACH_BROADCAST_ROWS` the hits are broadcast and the corpus
+    is streamed through without a shuffle.  Otherwise a shuffle join (AQE may
+    still demote it at run time)."""
+    if rows_bound is not None and rows_bound <= ATTACH_BROADCAST_ROWS:
+        return corpus.join(F.broadcast(hits), key_col, "inner")
     return hits.join(corpus, key_col, "inner")

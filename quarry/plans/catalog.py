@@ -126,19 +126,20 @@ def q10_knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     score threshold, full-source projection with ``similarity_score``."""
     spec = FL.FilterSpec(start_date="2024-01-01", end_date="2024-01-31", exclude_comments=False)
     corpus = FL.apply_filter(_posts(spark, sf_dir, *SEARCH_COLS), spec)
-    hits = knn.search(corpus, _question(spark, sf_dir), k=min(S.VARIANT_SIZE, S.VARIANT_K), key_col="doc_id")
-    hits = knn.with_threshold(hits, S.SCORE_THRESHOLD)
     src = _posts(spark, sf_dir, "doc_id", "index_name", "language_text", "type")
-    return knn.attach(hits, src, "doc_id").select(
+    hits = knn.search(corpus, _question(spark, sf_dir), k=min(S.VARIANT_SIZE, S.VARIANT_K), key_col="doc_id",
+                      attach_to=src)
+    return knn.with_threshold(hits, S.SCORE_THRESHOLD).select(
         "doc_id", "index_name", "language_text", "type", F.round("score", 6).alias("similarity_score")
     )
 
 
 # -- batch search: every stored vector is a question ----------------------------
 
-def batch_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batch_hits(spark: SparkSession, sf_dir: str, attach_to: DataFrame | None = None) -> DataFrame:
     corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
-    return knn.search(corpus, td.vector_questions(spark, sf_dir), k=S.BATCH_K, key_col="doc_id")
+    return knn.search(corpus, td.vector_questions(spark, sf_dir), k=S.BATCH_K, key_col="doc_id",
+                      attach_to=attach_to)
 
 
 HIT_SOURCE = ("doc_id", "id", "index_name", "date_ts", "text", "translated_text", "url", "country",
@@ -146,7 +147,7 @@ HIT_SOURCE = ("doc_id", "id", "index_name", "date_ts", "text", "translated_text"
 
 
 def batch_attached(spark: SparkSession, sf_dir: str, cols=HIT_SOURCE) -> DataFrame:
-    return knn.attach(batch_hits(spark, sf_dir), _posts(spark, sf_dir, *cols), "doc_id")
+    return batch_hits(spark, sf_dir, attach_to=_posts(spark, sf_dir, *cols))
 
 
 def q11_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
