@@ -262,3 +262,52 @@ def q26_prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]
+
+
+# -- approximate search -------------------------------------------------------------
+
+ANN_CELLS = 16
+ANN_NPROBE = 8
+
+
+def q24_knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate batch search: k-means cells over the corpus vectors, each
+    question scored against its 8 nearest cells of 16."""
+    from quarry.operators import ann
+
+    corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
+    cells, tagged = ann.build_cells(corpus, ANN_CELLS)
+    hits = ann.search(tagged, cells, td.vector_questions(spark, sf_dir), k=S.BATCH_K, nprobe=ANN_NPROBE,
+                      key_col="doc_id")
+    return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]
+
+
+# -- text -> vector -> search ---------------------------------------------------------
+
+def q27_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every post text and every question text with the batch encoder,
+    then search: the passages quoted in posts should find those posts."""
+    from quarry.operators import encode as EN
+
+    corpus = EN.encode(_posts(spark, sf_dir, "doc_id", "text"), "text", "vec")
+    questions = EN.encode(td.text_questions(spark, sf_dir), "text", "qvec")
+    hits = knn.search(corpus, questions, k=S.BATCH_K, key_col="doc_id", vector_col="vec",
+                      question_vector_col="qvec")
+    return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+# -- streaming refresh ------------------------------------------------------------------
+
+def q28_facet_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facet counts of language and source maintained by a file-stream refresh."""
+    from quarry.streaming import facet_refresh as FR
+
+    schema = td.table(spark, sf_dir, "documents").schema
+    glob = f"{sf_dir.rstrip('/')}/documents*.parquet"
+    return FR.refresh_once(spark, glob, schema, ["lang", "source"])
+
+
+QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]

@@ -198,3 +198,9 @@ SELECT d.doc_id AS question_id,
          || chr(10) || chr(10) || 'Question: ' || d.text AS prompt
 FROM documents d JOIN packed pk ON pk.question_id = d.doc_id""",
 })
+
+SQL["q28_facet_refresh"] = """
+SELECT field, value, count(*)::BIGINT AS count FROM (
+  SELECT 'lang' AS field, lang AS value FROM documents
+  UNION ALL SELECT 'source', source FROM documents)
+WHERE value IS NOT NULL GROUP BY ALL"""

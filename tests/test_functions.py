@@ -61,3 +61,15 @@ def test_fill_single_pass(spark):
     assert got == "A Q {texts} B T {question} C Q {texts}"
     assert EV.template_for({"x": None}, "x")[1] == EV.DEFAULT_HUMAN
     assert EV.template_for({"x": "t {texts}"}, "x")[1] == "t {texts}"
+
+
+def test_hashing_encoder_deterministic_and_normalised():
+    import numpy as np
+
+    from quarry.operators.encode import HashingEncoder
+
+    e = HashingEncoder(dim=32)
+    a = e.encode(["Hello world hello", None, ""])
+    b = HashingEncoder(dim=32).encode(["hello WORLD hello"])
+    assert np.allclose(a[0], b[0]) and abs(np.linalg.norm(a[0]) - 1) < 1e-12
+    assert not a[1].any() and not a[2].any()
