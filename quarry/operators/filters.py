@@ -161,3 +161,12 @@ def select_indexes(df: DataFrame, names: Sequence[str], index_col: str = "index_
 def compare_mode_terms(values: Sequence[str | None]) -> list[str]:
     """Compare-categories default: every real category value (drop "Any", NULL, "")."""
     return [v for v in values if v not in (ANY, None, "")]
+
+
+def compare_mode(df: DataFrame, facet_values: DataFrame, value: Column) -> DataFrame:
+    """Compare-categories mode: keep posts whose category is one of the real
+    facet values (the facet table is capped per field, so broadcasting it is
+    size-bounded).  Uncategorised posts drop out, unlike "Any"."""
+    vals = facet_values.where(F.col("value").isNotNull() & (F.col("value") != "") & (F.col("value") != ANY))
+    vals = vals.select(F.col("value").alias("_cv")).distinct()
+    return df.join(F.broadcast(vals), value == F.col("_cv"), "left_semi")

@@ -226,3 +226,11 @@ def attach(hits: DataFrame, corpus: DataFrame, key_col: str = "id", rows_bound:
     if rows_bound is not None and rows_bound <= ATTACH_BROADCAST_ROWS:
         return corpus.join(F.broadcast(hits), key_col, "inner")
     return hits.join(corpus, key_col, "inner")
+
+
+def hit_totals(hits: DataFrame, filtered: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """Per question: ``n_hits`` (rows returned) and ``n_filtered`` (rows that
+    passed the filter and carry a vector, i.e. the whole candidate set)."""
+    n = filtered.where(F.col(vector_col).isNotNull()).agg(F.count(F.lit(1)))
+    per_q = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    return per_q.withColumn("n_filtered", n.scalar())  # scalar subquery, one row

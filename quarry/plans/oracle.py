@@ -204,3 +204,14 @@ SELECT field, value, count(*)::BIGINT AS count FROM (
   SELECT 'lang' AS field, lang AS value FROM documents
   UNION ALL SELECT 'source', source FROM documents)
 WHERE value IS NOT NULL GROUP BY ALL"""
+
+SQL["q29_compare_categories"] = _with(_POSTS) + """
+SELECT doc_id, category FROM posts WHERE category IN (
+  SELECT value FROM (SELECT category AS value, count(*) AS c FROM posts WHERE category IS NOT NULL GROUP BY 1)
+  QUALIFY row_number() OVER (ORDER BY c DESC, value) <= 10000)
+  AND category <> '' AND category <> 'Any'"""
+
+SQL["q30_hit_totals"] = _with(_POSTS, SEARCH_HITS) + f"""
+SELECT question_id, count(*)::BIGINT AS n_hits,
+       (SELECT count(*) FROM posts WHERE embedding IS NOT NULL AND {SEARCH_WHERE})::BIGINT AS n_filtered
+FROM search_hits GROUP BY question_id"""

@@ -30,3 +30,14 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "ctx")).count() == 1
     CO.write_hits(spark.createDataFrame([(1, "x")], "a long, b string"), str(tmp_path / "h"), fmt="csv")
     assert spark.read.option("header", "true").csv(str(tmp_path / "h")).count() == 1
+
+
+def test_project_helpers(spark):
+    from quarry.sources import projects as PR
+
+    p = td.projects(spark)
+    assert PR.project_indexes(p).count() == 6
+    assert sorted(r.index_name for r in PR.project_indexes(p, "beta-by").collect()) == ["beta-by-web", "beta-by-whisper-tiktok"]
+    names = spark.createDataFrame([(n,) for n in ["a-b-web", "a-b-x-tiktok", "a-c-web", "d-e-web"]], "index_name string")
+    sel = spark.createDataFrame([("a-b-telegram",), ("d-e-youtube",)], "index_name string")
+    assert sorted(r[0] for r in PR.discover_indexes(names, sel).collect()) == ["a-b-web", "a-b-x-tiktok", "d-e-web"]
