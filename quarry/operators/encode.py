@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import ship_package
+from quarry.session import ship_package, spread
 
 
 class HashingEncoder:
@@ -29,17 +29,27 @@ class HashingEncoder:
         self.sublinear = sublinear
 
     def encode(self, texts: list[str | None]) -> np.ndarray:
+        """Tokens of the whole batch are factorised once; each distinct token
+        is hashed once and counts are scattered with NumPy."""
         import regex
         import xxhash
 
         word = regex.compile(r"\w+")
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
+        tokens: list[str] = []
+        owner: list[int] = []
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            for tok in word.findall(t.lower()):
-                h = xxhash.xxh64_intdigest(tok, seed=self.seed)
-                out[i, h % self.dim] += 1.0 if (h >> 63) == 0 else -1.0
+            if t:
+                toks = word.findall(t.lower())
+                tokens.extend(toks)
+                owner.extend([i] * len(toks))
+        if tokens:
+            codes, vocab = pd.factorize(pd.Series(tokens, dtype=object), sort=False)
+            h = np.fromiter((xxhash.xxh64_intdigest(v, seed=self.seed) for v in vocab), dtype=np.uint64,
+                            count=len(vocab))
+            bucket = (h % np.uint64(self.dim)).astype(np.int64)
+            sign = np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
+            np.add.at(out, (np.asarray(owner, dtype=np.int64), bucket[codes]), sign[codes])
         if self.sublinear:
             out = np.sign(out) * np.log1p(np.abs(out))
         n = np.linalg.norm(out, axis=1, keepdims=True)
@@ -63,6 +73,21 @@ def encoder_udf(factory: Callable[[], object]) -> Callable[[Column], Column]:
 
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
            factory: Callable[[], object] | None = None) -> DataFrame:
-    """Add a vector column computed from whole texts."""
+    """Add a vector column computed from whole texts.
+
+    Runs as a ``mapInPandas`` plan node rather than an expression UDF: a later
+    filter on the vector (``IS NOT NULL`` in search) cannot then be pushed
+    below a shuffle by inlining the model call, so every text is encoded once.
+    """
+    ship_package()
     fac = factory or (lambda: HashingEncoder())
-    return df.withColumn(out_col, encoder_udf(fac)(F.col(text_col)))
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = fac()
+        for pdf in batches:
+            vecs = model.encode(pdf[text_col].tolist()).astype(np.float32)
+            pdf[out_col] = list(vecs)
+            yield pdf
+
+    return spread(df).mapInPandas(run, schema)

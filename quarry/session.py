@@ -66,3 +66,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
     spark.sparkContext.setLogLevel("ERROR")
     ship_package()
     return spark
+
+
+def spread(df):
+    """Give Python-heavy steps every core when the input arrives in fewer
+    splits than the cluster has task slots (small inputs only: at scale the
+    scan already yields far more splits than slots and this is a no-op)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
