@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import vectors as V
 from quarry.operators import knn
-from quarry.session import ship_package
+from quarry.session import estimated_partitions, ship_package
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.D
     cands = parts[0]
     for p in parts[1:]:
         cands = cands.unionByName(p)
-    levels = knn.merge_levels(tagged.rdd.getNumPartitions())
+    levels = knn.merge_levels(estimated_partitions(tagged))
     return knn.merge_topk(cands, k, key_col, levels).select(
         "question_id", key_col, "rank", "distance", V.score_from_key("distance", metric).alias("score")
     )

@@ -58,25 +58,31 @@ def scheme_fields(scheme: str | Column) -> list[tuple[str, Column]]:
     return [("category_one", one), ("category_two", two), ("language", F.col(LANGUAGE)), ("country", F.col(COUNTRY))]
 
 
-def facet_lists(df: DataFrame, scheme: str | Column, by: Sequence[str] = ()) -> DataFrame:
-    """Selector lists: distinct values per field plus "Any" (always for first
-    level, language and country; for the second level only when it has values),
-    with their lexicographic position ``pos``."""
+def facet_lists(df: DataFrame, scheme: str | Column, by: Sequence[str] = (), size: int = BUCKET_CAP) -> DataFrame:
+    """Selector lists: the top ``size`` values per field (by count) plus "Any"
+    (always for first level, language and country; for the second level only
+    when it has values), with their lexicographic position ``pos``.
+
+    One scan: each row fans out to its real ``(field, value)`` pairs and the
+    "Any" markers, one aggregate dedups and counts them (markers collapse
+    map-side), and both windows share the ``(by, field)`` partitioning.
+    """
     by = list(by)
-    vals = (
-        df.select(*by, F.inline(_pairs(scheme_fields(scheme))))
+    fields = scheme_fields(scheme)
+    two = dict(fields)["category_two"]
+    markers = [(f, F.lit(ANY)) for f in ("category_one", "language", "country")]
+    markers.append(("category_two", F.when(two.isNotNull(), F.lit(ANY))))
+    counts = (
+        df.select(*by, F.inline(_pairs(fields + markers)))
         .where(F.col("value").isNotNull())
-        .distinct()
-    )
-    always = F.array(F.lit("category_one"), F.lit("language"), F.lit("country"))
-    groups = df.select(*by).distinct() if by else df.limit(1).select()
-    anys = groups.select(*by, F.explode(always).alias("field"), F.lit(ANY).alias("value"))
-    two_any = vals.where(F.col("field") == "category_two").select(*by).distinct().select(
-        *by, F.lit("category_two").alias("field"), F.lit(ANY).alias("value")
+        .groupBy(*by, "field", "value")
+        .agg(F.count(F.lit(1)).alias("count"))
     )
-    allv = vals.unionByName(anys).unionByName(two_any)
+    is_any = F.col("value") == F.lit(ANY)
+    top = Window.partitionBy(*by, "field").orderBy(is_any.desc(), F.col("count").desc(), F.col("value").asc())
+    capped = counts.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= size + 1)
     w = Window.partitionBy(*by, "field").orderBy("value")
-    return allv.select(*by, "field", F.row_number().over(w).alias("pos"), "value")
+    return capped.select(*by, "field", F.row_number().over(w).alias("pos"), "value")
 
 
 def distribution_dims(scheme: str) -> list[str]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import vectors as V
-from quarry.session import ship_package
+from quarry.session import estimated_partitions, ship_package
 
 DEFAULT_K = 30
 DEFAULT_BLOCK_BYTES = 64 << 20  # question-block broadcast budget
@@ -166,7 +166,7 @@ def search(
             shipped.append(spark.sparkContext.broadcast((ids, mat)))
     if shipped:
         cands = base.mapInPandas(_make_kernel(shipped, k, metric, key_col, vector_col), out_schema)
-        levels = merge_levels(base.rdd.getNumPartitions())
+        levels = merge_levels(estimated_partitions(base))
     else:
         cands, levels = spark.createDataFrame([], out_schema), 1
     top = merge_topk(cands, k, key_col, levels).select(

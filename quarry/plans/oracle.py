@@ -149,11 +149,13 @@ SELECT field, 'unique_' || replace(field, '.', '_') AS agg_name,
 FROM ({FACET_UNION}) QUALIFY bucket <= 10000""",
     "q16_facet_any": _with(_POSTS, td.PROJECTS_SQL) + """,
 pp AS (SELECT p.*, pr.project, pr.scheme FROM posts p JOIN projects pr USING (index_name)),
-v AS (SELECT DISTINCT project, field, value FROM (
-    SELECT project, 'category_one' AS field, CASE WHEN scheme = 'base' THEN category ELSE category_one END AS value FROM pp
-    UNION ALL SELECT project, 'category_two', CASE WHEN scheme = 'two_level' THEN category_two END FROM pp
-    UNION ALL SELECT project, 'language', language_text FROM pp
-    UNION ALL SELECT project, 'country', country FROM pp) WHERE value IS NOT NULL),
+v AS (SELECT project, field, value FROM (
+    SELECT project, field, value, count(*) AS c FROM (
+      SELECT project, 'category_one' AS field, CASE WHEN scheme = 'base' THEN category ELSE category_one END AS value FROM pp
+      UNION ALL SELECT project, 'category_two', CASE WHEN scheme = 'two_level' THEN category_two END FROM pp
+      UNION ALL SELECT project, 'language', language_text FROM pp
+      UNION ALL SELECT project, 'country', country FROM pp) WHERE value IS NOT NULL GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY project, field ORDER BY c DESC, value) <= 10000),
 a AS (SELECT DISTINCT project, f.field, 'Any' AS value FROM pp, (VALUES ('category_one'), ('language'), ('country')) f(field)
     UNION SELECT DISTINCT project, 'category_two', 'Any' FROM v WHERE field = 'category_two'),
 allv AS (SELECT * FROM v UNION ALL SELECT * FROM a)

@@ -68,11 +68,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
     return spark
 
 
+def estimated_partitions(df) -> int:
+    """Splits of the plan's largest input scan, from the leaf relations' size
+    statistics and the split size.  Planning only, nothing is executed
+    (``df.rdd`` would make adaptive execution run upstream stages just to count
+    partitions, and whole-plan estimates multiply through joins)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
+    split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(1, -(-size // max(1, split)))
+
+
 def spread(df):
-    """Give Python-heavy steps every core when the input arrives in fewer
-    splits than the cluster has task slots (small inputs only: at scale the
-    scan already yields far more splits than slots and this is a no-op)."""
+    """Give Python-heavy steps every core when the input is smaller than one
+    split per task slot (small inputs only: at scale the scan already yields
+    far more splits than slots and this is a no-op)."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+    if estimated_partitions(df) < slots:
         return df.repartition(slots)
     return df

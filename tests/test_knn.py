@@ -49,8 +49,15 @@ def test_blocks_and_merge_levels_agree(spark, monkeypatch):
     want = brute(x, keys, qs, 5)
     # tiny broadcast budget -> several question blocks
     assert as_dict(knn.search(df, qdf, k=5, key_col="doc_id", block_bytes=1024)) == want
-    monkeypatch.setattr(knn, "MERGE_FANIN", 2)  # force a two-level merge
-    assert as_dict(knn.search(df, qdf, k=5, key_col="doc_id")) == want
+    monkeypatch.setattr(knn, "merge_levels", lambda n: 3)  # force a two-level merge
+    plan = knn.search(df, qdf, k=5, key_col="doc_id")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
+    assert as_dict(plan) == want
+
+
+def test_merge_levels_scale():
+    assert knn.merge_levels(8) == 1
+    assert knn.merge_levels(1_000_000) == 1000
 
 
 def test_jvm_path_matches_kernel(spark):
