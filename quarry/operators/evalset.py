@@ -33,7 +33,7 @@ def model_pairs(questions: DataFrame, models: Sequence[str], seed: str = "0",
     )
     chosen = F.slice(F.array_sort(keyed), 1, n)
     return questions.select(qid, F.posexplode(chosen).alias("pos", "c")).select(
-        qid, (F.col("pos") + 1).alias("slot"), F.col("c.model").alias("model")
+        qid, (F.col("pos") + 1).cast("long").alias("slot"), F.col("c.model").alias("model")
     )
 
 

@@ -31,7 +31,7 @@ def facets(df: DataFrame, fields: Sequence[str], size: int = BUCKET_CAP) -> Data
     pairs = df.select(F.inline(_pairs([(f, F.col(f)) for f in fields])))
     counts = pairs.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("field").orderBy(F.col("count").desc(), F.col("value").asc())
-    ranked = counts.withColumn("bucket", F.row_number().over(w)).where(F.col("bucket") <= size)
+    ranked = counts.withColumn("bucket", F.row_number().over(w).cast("long")).where(F.col("bucket") <= size)
     name = F.concat(F.lit("unique_"), F.regexp_replace("field", r"\.", "_"))
     return ranked.select("field", name.alias("agg_name"), "bucket", "value", F.col("count").cast("long"))
 
@@ -82,7 +82,7 @@ def facet_lists(df: DataFrame, scheme: str | Column, by: Sequence[str] = (), siz
     top = Window.partitionBy(*by, "field").orderBy(is_any.desc(), F.col("count").desc(), F.col("value").asc())
     capped = counts.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= size + 1)
     w = Window.partitionBy(*by, "field").orderBy("value")
-    return capped.select(*by, "field", F.row_number().over(w).alias("pos"), "value")
+    return capped.select(*by, "field", F.row_number().over(w).cast("long").alias("pos"), "value")
 
 
 def distribution_dims(scheme: str) -> list[str]:

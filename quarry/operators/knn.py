@@ -121,7 +121,7 @@ def merge_topk(cands: DataFrame, k: int, key_col: str, levels: int = 1) -> DataF
         w1 = Window.partitionBy("question_id", "_b").orderBy(*order)
         cands = cands.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_b")
     w = Window.partitionBy("question_id").orderBy(*order)
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return cands.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def search(
@@ -206,7 +206,7 @@ def search_jvm(
     w = Window.orderBy(F.col("distance").asc(), F.col(key_col).asc())
     return top.select(
         F.lit(0).cast("long").alias("question_id"), key_col,
-        F.row_number().over(w).alias("rank"), "distance",
+        F.row_number().over(w).cast("long").alias("rank"), "distance",
         V.score_from_key("distance", metric).alias("score"),
     )
 

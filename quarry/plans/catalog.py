@@ -162,7 +162,7 @@ def q12_hit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q13_context_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = H.context_rows(batch_attached(spark, sf_dir), S.RULES.column(), keep=("question_id", "rank"))
-    return ctx.select("question_id", "rank", "url", "category", F.length("text").alias("text_chars"))
+    return ctx.select("question_id", "rank", "url", "category", F.length("text").cast("long").alias("text_chars"))
 
 
 def q14_url_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
