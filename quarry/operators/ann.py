@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import vectors as V
 from quarry.operators import knn
-from quarry.session import estimated_partitions, ship_package
+from quarry.session import checkpoint_dir, estimated_partitions, ship_package
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,9 @@ class Cells:
 
 def build_cells(corpus: DataFrame, n_cells: int, vector_col: str = "embedding", seed: int = 7,
                 max_iter: int = 20) -> tuple[Cells, DataFrame]:
-    """Fit cells on the corpus vectors; return them and the corpus with ``cell``."""
+    """Fit cells on the corpus vectors; return them and the corpus with ``cell``.
+    Lloyd iterations cut lineage in the shared checkpoint folder."""
+    checkpoint_dir(corpus.sparkSession)
     with_vec = corpus.where(F.col(vector_col).isNotNull())
     feats = with_vec.withColumn("_features", array_to_vector(F.col(vector_col).cast("array<double>")))
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_features",

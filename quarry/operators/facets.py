@@ -100,6 +100,17 @@ def distributions(table: DataFrame, dims: Sequence[str], by: Sequence[str] = ())
 
 
 def shares(dist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Share of each value within its dimension (what a donut chart shows)."""
-    w = Window.partitionBy(*by, "dimension")
-    return dist.withColumn("share", F.col("count") / F.sum("count").over(w))
+    """Share of each value within its dimension (what a donut chart shows).
+
+    Per-group shares (``by`` = question) use a window over groups of at most
+    k hits.  Corpus-wide shares compute one total per dimension with an
+    aggregate and broadcast it (one row per dimension), so no task has to
+    hold every value of a wide dimension.
+    """
+    if by:
+        w = Window.partitionBy(*by, "dimension")
+        return dist.withColumn("share", F.col("count") / F.sum("count").over(w))
+    totals = dist.groupBy("dimension").agg(F.sum("count").alias("_total"))
+    return dist.join(F.broadcast(totals), "dimension").withColumn(
+        "share", F.col("count") / F.col("_total")
+    ).drop("_total")

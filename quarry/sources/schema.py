@@ -40,3 +40,11 @@ def field_coverage(df: DataFrame, fields: list[str]) -> DataFrame:
     row = df.agg(*aggs)
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"c{i}").alias("n_present")) for i, f in enumerate(fields)])
     return row.select(F.inline(pairs)).select("field", F.col("n_present").cast("long"))
+
+
+def map_key_fields(df: DataFrame, col: str) -> DataFrame:
+    """Field discovery for a map-typed score column (``MAP<STRING, DOUBLE>``):
+    the distinct keys present in the data, as ``col.key`` paths (one scan,
+    partial aggregation)."""
+    keys = df.select(F.explode(F.map_keys(F.col(col))).alias("k")).distinct()
+    return keys.select(F.concat(F.lit(col + "."), F.col("k")).alias("field"))

@@ -83,3 +83,14 @@ def test_filter_pushdown(spark, tmp_path):
     spec = FL.FilterSpec(start_date="2024-01-01", end_date="2024-01-02", language=["en"], exclude_comments=False)
     plan = FL.apply_filter(df, spec)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "language_text" in plan and "GreaterThanOrEqual(date_ts" in plan
+
+
+def test_map_typed_issues(spark):
+    from quarry.sources.schema import map_key_fields
+
+    df = spark.createDataFrame(
+        [("1", {"spread": 0.9}), ("2", {"toxic": 1.0}), ("3", {})], "id string, issues map<string,double>"
+    )
+    spec = FL.FilterSpec(thresholds={"issues.spread": "0.8:1.0", "issues.toxic": "1.0:1.0"}, exclude_comments=False)
+    assert ids(FL.apply_filter(df, spec)) == ["1", "2"]
+    assert sorted(r.field for r in map_key_fields(df, "issues").collect()) == ["issues.spread", "issues.toxic"]

@@ -92,3 +92,9 @@ def test_first_topic_and_drop_empty(spark):
     assert enriched.count() == 7
     kept = {r.topic_ids: r.summary for r in TP.drop_empty(enriched).collect()}
     assert kept == {"d": "s", "e": None}
+
+
+def test_corpus_wide_shares(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "language string")
+    sh = {r.value: r.share for r in FC.shares(FC.distributions(df, ["language"])).collect()}
+    assert sh == {"a": 0.5, "b": 0.25, "c": 0.25}
