@@ -97,10 +97,22 @@ def block_keys(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return -g
 
 
-# Candidates within this absolute margin of the k-th approximate key are
-# re-scored exactly; the matrix-product form is accurate to ~1e-14 for unit-scale
-# vectors, so no true top-k member can fall outside the margin.
+# Candidates within a margin of the k-th approximate key are re-scored exactly.
+# The matrix-product form errs by about d * eps * |x||q|; the margin
+# (absolute floor + a relative term far above that error) guarantees no true
+# top-k member falls outside the pool.
 KEY_MARGIN = 1e-9
+KEY_MARGIN_REL = 1e-9
+
+
+def key_margin(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Per-question tolerance for the approximate keys of ``block_keys``."""
+    if metric == "cosine":
+        return np.full(q.shape[0], KEY_MARGIN + KEY_MARGIN_REL)
+    nx = float(np.sqrt(np.einsum("ij,ij->i", x, x).max())) if len(x) else 0.0
+    nq = np.sqrt(np.einsum("ij,ij->i", q, q))
+    scale = (nx + nq) ** 2 if metric == "l2" else nx * nq
+    return KEY_MARGIN + KEY_MARGIN_REL * scale
 
 
 def topk_block(x: np.ndarray, q: np.ndarray, k: int, metric: str):
@@ -116,7 +128,7 @@ def topk_block(x: np.ndarray, q: np.ndarray, k: int, metric: str):
     approx = block_keys(x, q, metric)
     kk = min(k, n)
     kth = np.partition(approx, kk - 1, axis=0)[kk - 1]
-    rows, cols = np.nonzero(approx <= (kth + KEY_MARGIN)[None, :])
+    rows, cols = np.nonzero(approx <= (kth + key_margin(x, q, metric))[None, :])
     keys = np.empty(len(rows))
     step = max(1, 4_000_000 // max(1, x.shape[1]))
     for s in range(0, len(rows), step):

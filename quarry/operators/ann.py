@@ -84,7 +84,7 @@ def _make_kernel(bq, k, metric, key_col, vec_col):
                 if qi is None or len(qi) == 0:
                     continue
                 x = V.stack_vectors(grp[vec_col].to_numpy())
-                state = knn._score(state, x, grp[key_col].to_numpy(), qids[qi], qmat[qi], k, metric)
+                state = knn.score_block(state, x, grp[key_col].to_numpy(), qids[qi], qmat[qi], k, metric)
         if state is not None and len(state):
             yield state.rename(columns={"key": key_col})
 

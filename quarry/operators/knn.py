@@ -47,7 +47,9 @@ def _partition_topk(state: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd
     return both.groupby("question_id", sort=False).head(k)
 
 
-def _score(state, x, keys, qids, qmat, k, metric):
+def score_block(state, x, keys, qids, qmat, k, metric):
+    """Fold one corpus batch ``x`` (with ``keys``) scored against questions
+    ``qmat`` (ids ``qids``) into the running per-question top-k ``state``."""
     for s in range(0, len(qids), QUESTION_CHUNK):
         q = qmat[s : s + QUESTION_CHUNK]
         rows, cols, d = V.topk_block(x, q, k, metric)
@@ -69,7 +71,7 @@ def _make_kernel(blocks, k: int, metric: str, key_col: str, vec_col: str):
             for pdf in batches:
                 if len(pdf):
                     x = V.stack_vectors(pdf[vec_col].to_numpy())
-                    state = _score(state, x, pdf[key_col].to_numpy(), qids, qmat, k, metric)
+                    state = score_block(state, x, pdf[key_col].to_numpy(), qids, qmat, k, metric)
         else:
             frames = [pdf[[key_col, vec_col]] for pdf in batches if len(pdf)]
             if frames:
@@ -79,7 +81,7 @@ def _make_kernel(blocks, k: int, metric: str, key_col: str, vec_col: str):
                 del part, frames
                 for b in blocks:
                     qids, qmat = b.value
-                    state = _score(state, x, keys, qids, qmat, k, metric)
+                    state = score_block(state, x, keys, qids, qmat, k, metric)
         if state is not None and len(state):
             yield state.rename(columns={"key": key_col})
 

@@ -90,3 +90,18 @@ def test_threshold_and_missing_column(spark):
     assert knn.with_threshold(hits, 0.999).count() == 3  # the three identical vectors
     with pytest.raises(ValueError):
         knn.search(df.drop("embedding"), df, key_col="doc_id")
+
+
+def test_kernel_exact_for_large_norms_and_near_duplicates():
+    from quarry.functions import vectors as V
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1, 256)) * 300.0
+    x = np.vstack([base + rng.normal(size=(1, 256)) * 1e-7 for _ in range(50)] + [rng.normal(size=(200, 256)) * 300.0])
+    q = base + 1e-8
+    for metric in ("l2", "dot", "cosine"):
+        rows, cols, keys = V.topk_block(x, q, 10, metric)
+        exact = V.exact_keys(x, np.repeat(q, len(x), 0), metric)
+        want = set(np.lexsort((np.arange(len(x)), exact))[:10])
+        got = set(rows[np.lexsort((rows, keys))][:10])
+        assert got == want, metric
