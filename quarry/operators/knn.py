@@ -39,6 +39,7 @@ DEFAULT_BLOCK_BYTES = 64 << 20  # question-block broadcast budget
 QUESTION_CHUNK = 256  # questions scored together inside one kernel call
 MERGE_FANIN = 64  # partitions merged directly per question before a second level
 ATTACH_BROADCAST_ROWS = 2_000_000  # hits (questions x k) broadcast when provably below
+CANDIDATE_BUDGET = 200_000_000  # per-task top-k rows (tasks x questions x k) sent to the merge
 
 
 def _partition_topk(state: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -109,6 +110,21 @@ def _collect_block(questions: DataFrame, qid: str, vec: str):
     return ids, mat
 
 
+def _bound_candidates(base: DataFrame, nparts: int, n_questions: int, k: int):
+    """Every task emits up to k rows per question, so candidates grow with
+    tasks x questions.  Above the budget, coalesce the corpus (narrow, no
+    shuffle) into fewer, larger streaming tasks - never fewer than twice the
+    cluster's task slots.  Single-block mode only: the kernel streams batches,
+    so a larger task needs no more memory."""
+    if nparts * n_questions * k <= CANDIDATE_BUDGET:
+        return base, nparts
+    slots = base.sparkSession.sparkContext.defaultParallelism
+    want = max(2 * slots, CANDIDATE_BUDGET // max(1, n_questions * k))
+    if want >= nparts:
+        return base, nparts
+    return base.coalesce(want), want
+
+
 def merge_levels(nparts: int) -> int:
     """Buckets of the first merge level: none for few partitions, else
     ~sqrt(partitions) so both levels see ~sqrt(partitions) * k rows per task."""
@@ -167,8 +183,11 @@ def search(
         if len(ids):
             shipped.append(spark.sparkContext.broadcast((ids, mat)))
     if shipped:
+        nparts = estimated_partitions(base)
+        if len(shipped) == 1:
+            base, nparts = _bound_candidates(base, nparts, n_questions, k)
         cands = base.mapInPandas(_make_kernel(shipped, k, metric, key_col, vector_col), out_schema)
-        levels = merge_levels(estimated_partitions(base))
+        levels = merge_levels(nparts)
     else:
         cands, levels = spark.createDataFrame([], out_schema), 1
     top = merge_topk(cands, k, key_col, levels).select(

@@ -105,3 +105,15 @@ def test_kernel_exact_for_large_norms_and_near_duplicates():
         want = set(np.lexsort((np.arange(len(x)), exact))[:10])
         got = set(rows[np.lexsort((rows, keys))][:10])
         assert got == want, metric
+
+
+def test_candidate_budget_coalesces_without_changing_results(spark, monkeypatch):
+    df, x, keys = corpus(spark, parts=32)
+    qs = x[:20]
+    qdf = spark.createDataFrame([(j, qs[j].tolist()) for j in range(20)], "question_id long, embedding array<double>")
+    want = brute(x, keys, qs, 5)
+    monkeypatch.setattr(knn, "estimated_partitions", lambda df: 32)
+    monkeypatch.setattr(knn, "CANDIDATE_BUDGET", 100)
+    res = knn.search(df, qdf, k=5, key_col="doc_id")
+    assert "Coalesce" in res._jdf.queryExecution().executedPlan().toString()
+    assert as_dict(res) == want
