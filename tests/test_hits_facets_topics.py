@@ -98,3 +98,10 @@ def test_corpus_wide_shares(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "language string")
     sh = {r.value: r.share for r in FC.shares(FC.distributions(df, ["language"])).collect()}
     assert sh == {"a": 0.5, "b": 0.25, "c": 0.25}
+
+
+def test_context_keeps_rows_with_missing_fields(spark):
+    df = spark.createDataFrame([("beta-by-web", None, None, None)],
+                               "index_name string, category string, translated_text string, url string")
+    r = H.context_rows(df, "base").collect()
+    assert len(r) == 1 and r[0].url is None and r[0].text is None

@@ -117,3 +117,13 @@ def test_candidate_budget_coalesces_without_changing_results(spark, monkeypatch)
     res = knn.search(df, qdf, k=5, key_col="doc_id")
     assert "Coalesce" in res._jdf.queryExecution().executedPlan().toString()
     assert as_dict(res) == want
+
+
+def test_batch_equals_union_of_single_searches(spark):
+    df, x, keys = corpus(spark, parts=4)
+    qs = x[[3, 40, 41]]
+    qdf = spark.createDataFrame([(j, qs[j].tolist()) for j in range(3)], "question_id long, embedding array<double>")
+    batch = as_dict(knn.search(df, qdf, k=7, key_col="doc_id"))
+    for j in range(3):
+        single = as_dict(knn.search_vector(df, qs[j].tolist(), k=7, key_col="doc_id"))
+        assert batch[j] == single[0]
