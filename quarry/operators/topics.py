@@ -40,6 +40,24 @@ def first_topic(topics: DataFrame, topic_indexes: Sequence[str] | None = None) -
     )
 
 
+BROADCAST_IDS = 1_000_000  # referenced topic ids broadcast when counted below
+
+
+def lookup_for(counts: DataFrame, topics: DataFrame, topic_indexes: Sequence[str] | None = None,
+               check_size: bool = False) -> DataFrame:
+    """First record per topic, restricted to topics the hits reference.
+
+    The referenced ids are semi-joined into the topic scan before the
+    aggregate, so the topic tables are reduced to matching rows first.  With
+    ``check_size`` (inputs already materialised) the distinct ids are counted
+    and broadcast when below :data:`BROADCAST_IDS`; otherwise Spark chooses.
+    """
+    ids = counts.select(F.col("topic_ids").alias("topic_hash_id")).distinct()
+    if check_size and ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return first_topic(topics.join(ids, "topic_hash_id", "left_semi"), topic_indexes)
+
+
 def enrich(counts: DataFrame, lookup: DataFrame) -> DataFrame:
     """Left join of counts to topic records; unmatched topics get NULLs.
 

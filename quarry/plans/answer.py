@@ -22,6 +22,7 @@ from quarry.operators import filters as FL
 from quarry.operators import hits as H
 from quarry.operators import knn
 from quarry.operators import topics as TP
+from quarry.session import checkpoint_dir
 
 
 @dataclass
@@ -48,12 +49,15 @@ def run_search(
     question_texts: DataFrame | None = None,
     tasks: Mapping[str, str | None] | None = None,
     task: str | None = None,
+    materialize: bool = True,
 ) -> SearchRun:
     """Run the whole flow for every question in ``questions``.
 
     Missing dates fall back to the default window (last 14 days, clamped to
     ``min_date``).  Category routing uses ``spec.scheme`` when set (one scheme
-    for the selection), otherwise each post's own index.
+    for the selection), otherwise each post's own index.  With ``materialize``
+    the hits (which feed every output) are checkpointed once to the shared
+    checkpoint folder, cutting the search lineage.
     """
     if spec.start_date is None or spec.end_date is None:
         s, e = default_window(min_date, today or dt.date.today(), spec.start_date, spec.end_date)
@@ -61,6 +65,9 @@ def run_search(
     corpus = FL.apply_filter(FL.select_indexes(posts, selection), spec)
     payload = posts.drop("embedding") if "embedding" in posts.columns else posts
     hits = knn.search(corpus, questions, k=k, key_col=key_col, attach_to=payload)
+    if materialize:
+        checkpoint_dir(posts.sparkSession)
+        hits = hits.checkpoint(eager=True)
 
     scheme = spec.scheme or spec.rules.for_name(",".join(selection))
     table = H.hit_table(hits, keep=("question_id", "rank"))
@@ -70,7 +77,8 @@ def run_search(
     counts = TP.topic_counts(hits, by=["question_id"])
     enriched = counts
     if topics is not None:
-        enriched = TP.drop_empty(TP.enrich(counts, TP.first_topic(topics, py_topic_indexes(selection))))
+        lookup = TP.lookup_for(counts, topics, py_topic_indexes(selection), check_size=materialize)
+        enriched = TP.drop_empty(TP.enrich(counts, lookup))
 
     route = spec.scheme if spec.scheme is not None else spec.rules.column()
     ctx = H.context_rows(hits, route, keep=("question_id", "rank"))

@@ -213,8 +213,8 @@ def _topic_counts(spark, sf_dir):
     return TP.topic_counts(batch_attached(spark, sf_dir, ("doc_id", "topics")), by=["question_id"])
 
 
-def _topic_lookup(spark, sf_dir):
-    return TP.first_topic(td.topics(spark, sf_dir), IX.py_topic_indexes(S.ALL_INDEXES))
+def _topic_lookup(spark, sf_dir, counts):
+    return TP.lookup_for(counts, td.topics(spark, sf_dir), IX.py_topic_indexes(S.ALL_INDEXES))
 
 
 def q18_topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +222,8 @@ def q18_topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q19_topic_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TP.enrich(_topic_counts(spark, sf_dir), _topic_lookup(spark, sf_dir))
+    counts = _topic_counts(spark, sf_dir)
+    return TP.enrich(counts, _topic_lookup(spark, sf_dir, counts))
 
 
 def q20_topic_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
