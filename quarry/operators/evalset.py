@@ -12,10 +12,6 @@ DEFAULT_SYSTEM = "You are a helpful assistant that summarizes information."
 DEFAULT_HUMAN = "Please summarize the following information:\n\n{texts}\n\nQuestion: {question}"
 
 
-def _lit_str(s: str) -> Column:
-    return F.lit(s)
-
-
 def model_pairs(questions: DataFrame, models: Sequence[str], seed: str = "0",
                 n: int = 2, qid: str = "question_id") -> DataFrame:
     """``question_id, slot, model``: ``n`` distinct models per question, chosen
@@ -24,7 +20,7 @@ def model_pairs(questions: DataFrame, models: Sequence[str], seed: str = "0",
     names = list(dict.fromkeys(models))
     if len(names) < n:
         raise ValueError(f"need at least {n} models, got {len(names)}")
-    arr = F.array(*[_lit_str(m) for m in names])
+    arr = F.array(*[F.lit(m) for m in names])
     keyed = F.transform(
         arr,
         lambda m: F.struct(

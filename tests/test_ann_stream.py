@@ -1,6 +1,3 @@
-import numpy as np
-import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators import ann, knn

@@ -1,6 +1,3 @@
-import datetime as dt
-
-import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.text import repair_url

@@ -1,7 +1,6 @@
 """Every registered query against its DuckDB twin on the smallest tables."""
 
 import hashlib
-import math
 import os
 
 import duckdb
