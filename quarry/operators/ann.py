@@ -43,7 +43,7 @@ class Cells:
 
 
 def build_cells(corpus: DataFrame, n_cells: int, vector_col: str = "embedding", seed: int = 7,
-                max_iter: int = 20) -> tuple[Cells, DataFrame]:
+                max_iter: int = 10) -> tuple[Cells, DataFrame]:
     """Fit cells on the corpus vectors; return them and the corpus with ``cell``.
     Lloyd iterations cut lineage in the shared checkpoint folder."""
     checkpoint_dir(corpus.sparkSession)
@@ -102,12 +102,8 @@ def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.D
         T.StructField(key_col, tagged.schema[key_col].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    blocks, _ = knn._question_blocks(questions, question_id_col, question_vector_col, block_bytes)
     parts = []
-    for block in blocks:
-        ids, mat = knn._collect_block(block, question_id_col, question_vector_col)
-        if not len(ids):
-            continue
+    for ids, mat in knn.question_blocks(questions, question_id_col, question_vector_col, block_bytes):
         probes = _probes(cells, mat, nprobe, metric)
         probed = sorted({int(c) for c in np.unique(probes)})
         base = tagged.where(F.col("cell").isin(probed)).select(key_col, vector_col, "cell")

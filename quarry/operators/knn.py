@@ -40,6 +40,7 @@ QUESTION_CHUNK = 256  # questions scored together inside one kernel call
 MERGE_FANIN = 64  # partitions merged directly per question before a second level
 ATTACH_BROADCAST_ROWS = 2_000_000  # hits (questions x k) broadcast when provably below
 CANDIDATE_BUDGET = 200_000_000  # per-task top-k rows (tasks x questions x k) sent to the merge
+FAST_QUESTIONS = 1024  # question tables up to this many rows are fetched in one bounded job
 
 
 def _partition_topk(state: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -103,6 +104,35 @@ def _question_blocks(questions: DataFrame, qid: str, vec: str, block_bytes: int)
     return [questions.where(bucket == b) for b in range(nblocks)], n
 
 
+def _small_block(questions: DataFrame, qid: str, vec: str, block_bytes: int):
+    """One bounded job (``limit`` stops reading early) for the common case of
+    a small question table; ``None`` when it has more than FAST_QUESTIONS rows
+    or exceeds the byte budget, so the caller counts and splits instead."""
+    rows = questions.select(qid, vec).limit(FAST_QUESTIONS + 1).collect()
+    if len(rows) > FAST_QUESTIONS:
+        return None
+    ids = np.array([r[0] for r in rows], dtype=np.int64)
+    mat = V.stack_vectors([r[1] for r in rows])
+    if mat.nbytes > block_bytes:
+        return None
+    return ids, mat
+
+
+def question_blocks(questions: DataFrame, qid: str, vec: str, block_bytes: int = DEFAULT_BLOCK_BYTES):
+    """Yield ``(ids, float64 matrix)`` blocks of the question table, each
+    within the byte budget; the driver holds one block at a time."""
+    small = _small_block(questions, qid, vec, block_bytes)
+    if small is not None:
+        if len(small[0]):
+            yield small
+        return
+    blocks, _ = _question_blocks(questions, qid, vec, block_bytes)
+    for block in blocks:
+        ids, mat = _collect_block(block, qid, vec)
+        if len(ids):
+            yield ids, mat
+
+
 def _collect_block(questions: DataFrame, qid: str, vec: str):
     pdf = questions.select(qid, vec).toPandas()
     ids = pdf[qid].to_numpy(dtype=np.int64)
@@ -176,12 +206,10 @@ def search(
         ]
     )
     base = corpus.where(F.col(vector_col).isNotNull()).select(key_col, vector_col)
-    blocks, n_questions = _question_blocks(questions, question_id_col, question_vector_col, block_bytes)
-    shipped = []
-    for block in blocks:
-        ids, mat = _collect_block(block, question_id_col, question_vector_col)
-        if len(ids):
-            shipped.append(spark.sparkContext.broadcast((ids, mat)))
+    shipped, n_questions = [], 0
+    for ids, mat in question_blocks(questions, question_id_col, question_vector_col, block_bytes):
+        n_questions += len(ids)
+        shipped.append(spark.sparkContext.broadcast((ids, mat)))
     if shipped:
         nparts = estimated_partitions(base)
         if len(shipped) == 1:
