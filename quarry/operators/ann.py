@@ -57,6 +57,18 @@ def build_cells(corpus: DataFrame, n_cells: int, vector_col: str = "embedding",
     return Cells(centroids, float(sum(sizes)) / max(1, len(sizes))), tagged
 
 
+def write_cells(tagged: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store a cell-tagged corpus partitioned by ``cell`` so a probe set
+    becomes a partition filter (whole directories skipped)."""
+    from quarry.sources.corpus import write_corpus
+
+    write_corpus(tagged, path, partition_by="cell", sort_by=None, mode=mode)
+
+
+def read_cells(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def nprobe_for_budget(cells: Cells, num_candidates: int) -> int:
     """Cells to probe so that about ``num_candidates`` rows are scored."""
     return max(1, min(cells.n_cells, math.ceil(num_candidates / max(cells.rows_per_cell, 1.0))))

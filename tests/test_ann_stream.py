@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import types as T
 
 from quarry.operators import ann, knn
@@ -34,3 +36,18 @@ def test_facet_refresh_incremental(spark, tmp_path):
     q.awaitTermination()
     got = {r.value: r["count"] for r in spark.read.parquet(table).collect()}
     assert got == {"en": 3, "fr": 1}
+
+
+def test_stored_cells_prune_partitions(spark, tmp_path):
+    df, x, keys = corpus(spark, n=300, d=8, dup=False, parts=4)
+    cells, tagged = ann.build_cells(df, 6)
+    path = str(tmp_path / "cells")
+    ann.write_cells(tagged, path)
+    stored = ann.read_cells(spark, path)
+    qdf = spark.createDataFrame([(0, x[0].tolist())], "question_id long, embedding array<double>")
+    res = ann.search(stored, cells, qdf, k=5, nprobe=2, key_col="doc_id")
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[cell#\d+ IN \(\d+,\d+\)\]", plan)
+    exact = knn.search(df, qdf, k=5, key_col="doc_id")
+    full = ann.search(stored, cells, qdf, k=5, nprobe=6, key_col="doc_id")
+    assert ann.recall(full, exact, "doc_id") == 1.0
