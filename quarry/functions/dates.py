@@ -8,8 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Day format, default window (last 14 days including today),
+# furthest allowed end date (one year ahead).
 DATE_FMT = "%Y-%m-%d"
-DEFAULT_WINDOW_DAYS = 14  # last 14 days including today
+DEFAULT_WINDOW_DAYS = 14
 MAX_FUTURE_DAYS = 365
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MISSING = "None"  # default for absent fields in the hit table
-UNKNOWN = "Unknown"  # default for an absent non-base category in context rows
+# Defaults for absent fields - "None" in the hit table,
+# "Unknown" for an absent non-base category in context rows.
+MISSING = "None"
+UNKNOWN = "Unknown"
 
 
 def _col(c: str | Column) -> Column:

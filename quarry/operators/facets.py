@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.filters import ANY, BASE, CATEGORY, CATEGORY_ONE, CATEGORY_TWO, COUNTRY, LANGUAGE, TWO_LEVEL
 
-BUCKET_CAP = 10000  # buckets per field
+BUCKET_CAP = 10000  # fixed value: buckets per facet field
 
 
 def agg_name(field: str) -> str:

@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from quarry.functions.dates import day_range
 
-ANY = "Any"  # selection sentinel meaning "no filter on this field"
+# The selection sentinel meaning "no filter on this field" and
+# the post type excluded from searches.
+ANY = "Any"
 COMMENT = "comment"
 
 TWO_LEVEL = "two_level"

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from quarry.functions import vectors as V
 from quarry.session import estimated_partitions, ship_package
 
-DEFAULT_K = 30
+DEFAULT_K = 30  # fixed value: results per search
 DEFAULT_BLOCK_BYTES = 64 << 20  # question-block broadcast budget
 QUESTION_CHUNK = 256  # questions scored together inside one kernel call
 MERGE_FANIN = 64  # partitions merged directly per question before a second level

@@ -268,17 +268,19 @@ QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]
 # -- approximate search -------------------------------------------------------------
 
 ANN_CELLS = 16
-ANN_NPROBE = 8
 
 
 def q24_knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate batch search: k-means cells over the corpus vectors, each
-    question scored against its 8 nearest cells of 16."""
+    """Approximate batch search: k-means cells over the corpus vectors; each
+    question probes as many nearest cells as the candidate budget covers
+    (all of them while the corpus is within the budget, so the result then
+    equals the exact search)."""
     from quarry.operators import ann
 
     corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
     cells, tagged = ann.build_cells(corpus, ANN_CELLS)
-    hits = ann.search(tagged, cells, td.vector_questions(spark, sf_dir), k=S.BATCH_K, nprobe=ANN_NPROBE,
+    nprobe = ann.nprobe_for_budget(cells, S.ANN_CANDIDATES)
+    hits = ann.search(tagged, cells, td.vector_questions(spark, sf_dir), k=S.BATCH_K, nprobe=nprobe,
                       key_col="doc_id")
     return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 

@@ -217,3 +217,5 @@ SQL["q30_hit_totals"] = _with(_POSTS, SEARCH_HITS) + f"""
 SELECT question_id, count(*)::BIGINT AS n_hits,
        (SELECT count(*) FROM posts WHERE embedding IS NOT NULL AND {SEARCH_WHERE})::BIGINT AS n_filtered
 FROM search_hits GROUP BY question_id"""
+
+SQL["q24_knn_ann"] = SQL["q11_knn_batch"]  # budget covers the corpus: equals the exact search

@@ -22,7 +22,7 @@ K = 30
 QUESTION_VEC_ID = 0  # the question: stored vector 0 ("posts like this one")
 
 BATCH_K = 10
-ANN_CANDIDATES = 10000
+ANN_CANDIDATES = 10000  # fixed value: candidate budget of the approximate search
 SCORE_THRESHOLD = 0.40
 VARIANT_K = 100
 VARIANT_SIZE = 10000
