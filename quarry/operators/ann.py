@@ -21,6 +21,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import vectors as V
-from quarry.operators import knn
+from quarry.operators import knn, tiles
 from quarry.session import checkpoint_dir, estimated_partitions, ship_package
 
 
@@ -102,11 +103,49 @@ def _make_kernel(bq, k, metric, key_col, vec_col):
     return kernel
 
 
+def assign_probes(questions: DataFrame, cells: Cells, nprobe: int, metric: str = "l2",
+                  question_id_col: str = "question_id", question_vector_col: str = "embedding") -> DataFrame:
+    """``question_id, <vector>, cell``: one row per probed cell of each question,
+    computed on executors against the broadcast centroids (``n_cells x d``,
+    bounded by the parameter, not by the data)."""
+    ship_package()
+    bc = questions.sparkSession.sparkContext.broadcast(cells.centroids)
+    out = T.StructType([
+        T.StructField(question_id_col, T.LongType()),
+        T.StructField(question_vector_col, T.ArrayType(T.DoubleType())),
+        T.StructField("cell", T.IntegerType()),
+    ])
+
+    def probe(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            qmat = V.stack_vectors(pdf[question_vector_col].to_numpy())
+            p = _probes(Cells(bc.value, 0.0), qmat, nprobe, metric)  # (m, p)
+            rows = np.repeat(np.arange(len(pdf)), p.shape[1])
+            yield pd.DataFrame({
+                question_id_col: pdf[question_id_col].to_numpy(dtype=np.int64)[rows],
+                question_vector_col: pdf[question_vector_col].to_numpy()[rows],
+                "cell": p.reshape(-1).astype(np.int32),
+            })
+
+    q = questions.where(F.col(question_vector_col).isNotNull())
+    q = q.select(F.col(question_id_col).cast("long").alias(question_id_col),
+                 F.col(question_vector_col).cast("array<double>").alias(question_vector_col))
+    return q.mapInPandas(probe, out)
+
+
 def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.DEFAULT_K, nprobe: int = 8,
            metric: str = "l2", key_col: str = "id", vector_col: str = "embedding",
            question_id_col: str = "question_id", question_vector_col: str = "embedding",
            block_bytes: int = knn.DEFAULT_BLOCK_BYTES) -> DataFrame:
-    """Approximate top-k per question over a cell-tagged corpus."""
+    """Approximate top-k per question over a cell-tagged corpus.
+
+    A small question table (bounded fetch) is broadcast with its probe lists
+    and the corpus is filtered to the probed cells (partition pruning when
+    stored by cell).  A larger one stays distributed: probes are assigned on
+    executors and questions meet corpus rows of the same cell in bounded tiles
+    (:mod:`quarry.operators.tiles`), hot cells split on both sides."""
     ship_package()
     spark = tagged.sparkSession
     out_schema = T.StructType([
@@ -114,19 +153,24 @@ def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.D
         T.StructField(key_col, tagged.schema[key_col].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    parts = []
-    for ids, mat in knn.question_blocks(questions, question_id_col, question_vector_col, block_bytes):
+    small = knn.small_questions(questions, question_id_col, question_vector_col, block_bytes)
+    if small is None:
+        probed = assign_probes(questions, cells, nprobe, metric, question_id_col, question_vector_col)
+        cands, _, chunks = tiles.search(
+            tagged.select(key_col, vector_col, "cell"), probed, k, metric, key_col, vector_col,
+            question_id_col, question_vector_col, cell_col="cell", tile_bytes=block_bytes,
+        )
+        levels = knn.merge_levels(chunks * min(nprobe, cells.n_cells))
+    elif len(small[0]):
+        ids, mat = small
         probes = _probes(cells, mat, nprobe, metric)
-        probed = sorted({int(c) for c in np.unique(probes)})
-        base = tagged.where(F.col("cell").isin(probed)).select(key_col, vector_col, "cell")
+        probed_cells = sorted({int(c) for c in np.unique(probes)})
+        base = tagged.where(F.col("cell").isin(probed_cells)).select(key_col, vector_col, "cell")
         bq = spark.sparkContext.broadcast((ids, mat, probes))
-        parts.append(base.mapInPandas(_make_kernel(bq, k, metric, key_col, vector_col), out_schema))
-    if not parts:
-        parts = [spark.createDataFrame([], out_schema)]
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    levels = knn.merge_levels(estimated_partitions(tagged))
+        cands = base.mapInPandas(_make_kernel(bq, k, metric, key_col, vector_col), out_schema)
+        levels = knn.merge_levels(estimated_partitions(base))
+    else:
+        cands, levels = spark.createDataFrame([], out_schema), 1
     return knn.merge_topk(cands, k, key_col, levels).select(
         "question_id", key_col, "rank", "distance", V.score_from_key("distance", metric).alias("score")
     )

@@ -4,20 +4,18 @@ Plan:
 
 1. ``corpus`` is filtered first (the caller's ``where`` is pushed into the
    scan), projected to ``key, vector`` only.
-2. ``mapInPandas`` scans each partition in Arrow batches: one matrix product
-   per batch against the question block, exact re-scoring of a small candidate
-   pool, and a running per-partition top-k by ``(distance, key)``.  Each task
-   emits at most ``k`` rows per question.
-3. Per-question merge with ``row_number() <= k`` (Spark plans a partial
-   ``WindowGroupLimit`` before the shuffle).  With many input partitions a
+2. Small question tables (at most :data:`FAST_QUESTIONS` rows within the
+   byte budget, proven by one ``limit`` fetch) are broadcast.  ``mapInPandas``
+   scans each corpus partition in Arrow batches: one matrix product per batch
+   against the questions, exact re-scoring of a small candidate pool, and a
+   running per-partition top-k by ``(distance, key)``.  The corpus is read once
+   and never shuffled; each task emits at most ``k`` rows per question.
+3. Larger question tables never pass through the driver: they are joined to
+   the corpus in bounded tiles (:mod:`quarry.operators.tiles`).
+4. Per-question merge with ``row_number() <= k`` (Spark plans a partial
+   ``WindowGroupLimit`` before the shuffle).  With many candidate sources a
    first merge level by ``(question, key-hash bucket)`` bounds the rows that
    reach any single task.
-
-Questions reach executors as broadcast variables.  Their byte size is checked
-against ``block_bytes``; a larger question table is split into several blocks,
-each collected and broadcast on its own (the driver holds one block at a
-time), and every task scores all blocks against its split in a single pass
-over the corpus, loading one block at a time.
 """
 
 from __future__ import annotations
@@ -32,15 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import vectors as V
+from quarry.operators import tiles
 from quarry.session import estimated_partitions, ship_package
 
 DEFAULT_K = 30  # fixed value: results per search
-DEFAULT_BLOCK_BYTES = 64 << 20  # question-block broadcast budget
+DEFAULT_BLOCK_BYTES = 64 << 20  # question broadcast budget and tile budget (float64 bytes)
 QUESTION_CHUNK = 256  # questions scored together inside one kernel call
-MERGE_FANIN = 64  # partitions merged directly per question before a second level
+MERGE_FANIN = 64  # candidate sources merged directly per question before a second level
 ATTACH_BROADCAST_ROWS = 2_000_000  # hits (questions x k) broadcast when provably below
 CANDIDATE_BUDGET = 200_000_000  # per-task top-k rows (tasks x questions x k) sent to the merge
-FAST_QUESTIONS = 1024  # question tables up to this many rows are fetched in one bounded job
+FAST_QUESTIONS = 8192  # question tables up to this many rows (and the byte budget) are broadcast
 
 
 def _partition_topk(state: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -60,55 +59,29 @@ def score_block(state, x, keys, qids, qmat, k, metric):
     return state
 
 
-def _make_kernel(blocks, k: int, metric: str, key_col: str, vec_col: str):
-    """Per-partition top-k against every question block in ONE pass over the
-    corpus.  With a single block, Arrow batches are streamed; with several,
-    the partition's vectors (bounded by the input split size) are held once
-    and each broadcast block is loaded, scored and released in turn."""
+def _make_kernel(block, k: int, metric: str, key_col: str, vec_col: str):
+    """Per-partition top-k against the broadcast questions, streaming the
+    partition's Arrow batches (memory: one batch plus the running top-k)."""
 
     def kernel(batches):
         state = None
-        if len(blocks) == 1:
-            qids, qmat = blocks[0].value
-            for pdf in batches:
-                if len(pdf):
-                    x = V.stack_vectors(pdf[vec_col].to_numpy())
-                    state = score_block(state, x, pdf[key_col].to_numpy(), qids, qmat, k, metric)
-        else:
-            frames = [pdf[[key_col, vec_col]] for pdf in batches if len(pdf)]
-            if frames:
-                part = pd.concat(frames, ignore_index=True)
-                x = V.stack_vectors(part[vec_col].to_numpy())
-                keys = part[key_col].to_numpy()
-                del part, frames
-                for b in blocks:
-                    qids, qmat = b.value
-                    state = score_block(state, x, keys, qids, qmat, k, metric)
+        qids, qmat = block.value
+        for pdf in batches:
+            if len(pdf):
+                x = V.stack_vectors(pdf[vec_col].to_numpy())
+                state = score_block(state, x, pdf[key_col].to_numpy(), qids, qmat, k, metric)
         if state is not None and len(state):
             yield state.rename(columns={"key": key_col})
 
     return kernel
 
 
-def _question_blocks(questions: DataFrame, qid: str, vec: str, block_bytes: int):
-    """Split the question table into blocks whose float64 matrices fit the
-    broadcast budget.  Returns (blocks, number of questions)."""
-    stats = questions.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    n, d = int(stats["n"] or 0), int(stats["d"] or 0)
-    if n == 0:
-        return [], 0
-    nblocks = max(1, math.ceil(n * max(d, 1) * 8 / block_bytes))
-    if nblocks == 1:
-        return [questions], n
-    bucket = F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks))
-    return [questions.where(bucket == b) for b in range(nblocks)], n
-
-
-def _small_block(questions: DataFrame, qid: str, vec: str, block_bytes: int):
+def small_questions(questions: DataFrame, qid: str, vec: str, block_bytes: int):
     """One bounded job (``limit`` stops reading early) for the common case of
     a small question table; ``None`` when it has more than FAST_QUESTIONS rows
-    or exceeds the byte budget, so the caller counts and splits instead."""
-    rows = questions.select(qid, vec).limit(FAST_QUESTIONS + 1).collect()
+    or exceeds the byte budget, so the caller uses the tile join instead.
+    Questions without a vector have no hits."""
+    rows = questions.where(F.col(vec).isNotNull()).select(qid, vec).limit(FAST_QUESTIONS + 1).collect()
     if len(rows) > FAST_QUESTIONS:
         return None
     ids = np.array([r[0] for r in rows], dtype=np.int64)
@@ -118,34 +91,12 @@ def _small_block(questions: DataFrame, qid: str, vec: str, block_bytes: int):
     return ids, mat
 
 
-def question_blocks(questions: DataFrame, qid: str, vec: str, block_bytes: int = DEFAULT_BLOCK_BYTES):
-    """Yield ``(ids, float64 matrix)`` blocks of the question table, each
-    within the byte budget; the driver holds one block at a time."""
-    small = _small_block(questions, qid, vec, block_bytes)
-    if small is not None:
-        if len(small[0]):
-            yield small
-        return
-    blocks, _ = _question_blocks(questions, qid, vec, block_bytes)
-    for block in blocks:
-        ids, mat = _collect_block(block, qid, vec)
-        if len(ids):
-            yield ids, mat
-
-
-def _collect_block(questions: DataFrame, qid: str, vec: str):
-    pdf = questions.select(qid, vec).toPandas()
-    ids = pdf[qid].to_numpy(dtype=np.int64)
-    mat = V.stack_vectors(pdf[vec].to_numpy())
-    return ids, mat
-
-
 def _bound_candidates(base: DataFrame, nparts: int, n_questions: int, k: int):
     """Every task emits up to k rows per question, so candidates grow with
     tasks x questions.  Above the budget, coalesce the corpus (narrow, no
     shuffle) into fewer, larger streaming tasks - never fewer than twice the
-    cluster's task slots.  Single-block mode only: the kernel streams batches,
-    so a larger task needs no more memory."""
+    cluster's task slots.  The kernel streams batches, so a larger task needs
+    no more memory."""
     if nparts * n_questions * k <= CANDIDATE_BUDGET:
         return base, nparts
     slots = base.sparkSession.sparkContext.defaultParallelism
@@ -206,18 +157,22 @@ def search(
         ]
     )
     base = corpus.where(F.col(vector_col).isNotNull()).select(key_col, vector_col)
-    shipped, n_questions = [], 0
-    for ids, mat in question_blocks(questions, question_id_col, question_vector_col, block_bytes):
-        n_questions += len(ids)
-        shipped.append(spark.sparkContext.broadcast((ids, mat)))
-    if shipped:
+    small = small_questions(questions, question_id_col, question_vector_col, block_bytes)
+    if small is None:
+        cands, n_questions, chunks = tiles.search(
+            base, questions, k, metric, key_col, vector_col, question_id_col, question_vector_col,
+            tile_bytes=block_bytes,
+        )
+        levels = merge_levels(chunks)
+    elif len(small[0]):
+        n_questions = len(small[0])
         nparts = estimated_partitions(base)
-        if len(shipped) == 1:
-            base, nparts = _bound_candidates(base, nparts, n_questions, k)
+        base, nparts = _bound_candidates(base, nparts, n_questions, k)
+        shipped = spark.sparkContext.broadcast(small)
         cands = base.mapInPandas(_make_kernel(shipped, k, metric, key_col, vector_col), out_schema)
         levels = merge_levels(nparts)
     else:
-        cands, levels = spark.createDataFrame([], out_schema), 1
+        cands, levels, n_questions = spark.createDataFrame([], out_schema), 1, 0
     top = merge_topk(cands, k, key_col, levels).select(
         "question_id", key_col, "rank", "distance",
         V.score_from_key("distance", metric).alias("score"),
