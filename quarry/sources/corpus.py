@@ -23,10 +23,13 @@ def write_corpus(df: DataFrame, path: str, partition_by: str = "index_name", sor
     Rows are range-partitioned on ``(index, date)`` so an index holding a large
     share of all posts is split across many writer tasks (balanced by Spark's
     sampled range bounds) instead of landing in one; each task writes its
-    rows date-sorted, so files carry tight date min/max statistics.
+    rows date-sorted, so files carry tight date min/max statistics.  Without a
+    sort column a row hash is the second range key, so a hot directory value
+    (an index or cell with a third of all rows) is still split.
     """
-    keys = [partition_by] + ([sort_by] if sort_by and sort_by in df.columns else [])
+    second = F.col(sort_by) if sort_by and sort_by in df.columns else F.xxhash64(*df.columns)
     n = num_tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(partition_by), second]
     out = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     out.write.mode(mode).partitionBy(partition_by).parquet(path)
 

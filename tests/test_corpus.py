@@ -39,3 +39,14 @@ def test_project_helpers(spark):
     names = spark.createDataFrame([(n,) for n in ["a-b-web", "a-b-x-tiktok", "a-c-web", "d-e-web"]], "index_name string")
     sel = spark.createDataFrame([("a-b-telegram",), ("d-e-youtube",)], "index_name string")
     assert sorted(r[0] for r in PR.discover_indexes(names, sel).collect()) == ["a-b-web", "a-b-x-tiktok", "d-e-web"]
+
+
+def test_hot_directory_value_is_split_across_writer_tasks(spark, tmp_path):
+    # one cell holds three quarters of the rows; no sort column
+    rows = [(i, 0 if i % 4 else i % 8 + 1, [float(i)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, cell int, embedding array<double>")
+    path = str(tmp_path / "cells")
+    CO.write_corpus(df, path, partition_by="cell", sort_by=None, num_tasks=8)
+    hot = [f for f in (tmp_path / "cells" / "cell=0").iterdir() if f.name.endswith(".parquet")]
+    assert len(hot) >= 4  # written by several tasks, not one
+    assert spark.read.parquet(path).where("cell = 0").count() == 3000
