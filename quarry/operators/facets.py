@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.ranking import shuffle_levels, top_per_group
 from quarry.operators.filters import ANY, BASE, CATEGORY, CATEGORY_ONE, CATEGORY_TWO, COUNTRY, LANGUAGE, TWO_LEVEL
 
 BUCKET_CAP = 10000  # fixed value: buckets per facet field
@@ -26,12 +27,13 @@ def facets(df: DataFrame, fields: Sequence[str], size: int = BUCKET_CAP) -> Data
     Each row is fanned out to ``(field, value)`` pairs and counted with one
     partial+final hash aggregate; NULLs make no bucket.  Buckets per field are
     ordered by count desc, value asc and capped at ``size`` (a partial
-    ``WindowGroupLimit`` runs before the shuffle).
+    ``WindowGroupLimit`` runs before the shuffle; with many shuffle partitions
+    a first level by value-hash bucket keeps a wide field off one task).
     """
     pairs = df.select(F.inline(_pairs([(f, F.col(f)) for f in fields])))
     counts = pairs.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("field").orderBy(F.col("count").desc(), F.col("value").asc())
-    ranked = counts.withColumn("bucket", F.row_number().over(w).cast("long")).where(F.col("bucket") <= size)
+    order = [F.col("count").desc(), F.col("value").asc()]
+    ranked = top_per_group(counts, ["field"], order, size, "value", "bucket", shuffle_levels(counts))
     name = F.concat(F.lit("unique_"), F.regexp_replace("field", r"\.", "_"))
     return ranked.select("field", name.alias("agg_name"), "bucket", "value", F.col("count").cast("long"))
 
@@ -79,8 +81,8 @@ def facet_lists(df: DataFrame, scheme: str | Column, by: Sequence[str] = (), siz
         .agg(F.count(F.lit(1)).alias("count"))
     )
     is_any = F.col("value") == F.lit(ANY)
-    top = Window.partitionBy(*by, "field").orderBy(is_any.desc(), F.col("count").desc(), F.col("value").asc())
-    capped = counts.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= size + 1)
+    order = [is_any.desc(), F.col("count").desc(), F.col("value").asc()]
+    capped = top_per_group(counts, [*by, "field"], order, size + 1, "value", "_r", shuffle_levels(counts))
     w = Window.partitionBy(*by, "field").orderBy("value")
     return capped.select(*by, "field", F.row_number().over(w).cast("long").alias("pos"), "value")
 

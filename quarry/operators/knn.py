@@ -20,7 +20,6 @@ Plan:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -31,12 +30,12 @@ from pyspark.sql import types as T
 
 from quarry.functions import vectors as V
 from quarry.operators import tiles
+from quarry.operators.ranking import merge_levels, top_per_group
 from quarry.session import estimated_partitions, ship_package
 
 DEFAULT_K = 30  # fixed value: results per search
 DEFAULT_BLOCK_BYTES = 64 << 20  # question broadcast budget and tile budget (float64 bytes)
 QUESTION_CHUNK = 256  # questions scored together inside one kernel call
-MERGE_FANIN = 64  # candidate sources merged directly per question before a second level
 ATTACH_BROADCAST_ROWS = 2_000_000  # hits (questions x k) broadcast when provably below
 CANDIDATE_BUDGET = 200_000_000  # per-task top-k rows (tasks x questions x k) sent to the merge
 FAST_QUESTIONS = 8192  # question tables up to this many rows (and the byte budget) are broadcast
@@ -106,21 +105,10 @@ def _bound_candidates(base: DataFrame, nparts: int, n_questions: int, k: int):
     return base.coalesce(want), want
 
 
-def merge_levels(nparts: int) -> int:
-    """Buckets of the first merge level: none for few partitions, else
-    ~sqrt(partitions) so both levels see ~sqrt(partitions) * k rows per task."""
-    return 1 if nparts <= MERGE_FANIN else max(2, math.isqrt(nparts))
-
-
 def merge_topk(cands: DataFrame, k: int, key_col: str, levels: int = 1) -> DataFrame:
-    """Global top-k per question from per-partition candidates."""
+    """Global top-k per question from per-partition (or per-tile) candidates."""
     order = [F.col("distance").asc(), F.col(key_col).asc()]
-    if levels > 1:
-        cands = cands.withColumn("_b", F.pmod(F.xxhash64(F.col(key_col)), F.lit(levels)))
-        w1 = Window.partitionBy("question_id", "_b").orderBy(*order)
-        cands = cands.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_b")
-    w = Window.partitionBy("question_id").orderBy(*order)
-    return cands.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return top_per_group(cands, ["question_id"], order, k, key_col, "rank", levels)
 
 
 def search(

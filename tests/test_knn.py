@@ -127,3 +127,16 @@ def test_batch_equals_union_of_single_searches(spark):
     for j in range(3):
         single = as_dict(knn.search_vector(df, qs[j].tolist(), k=7, key_col="doc_id"))
         assert batch[j] == single[0]
+
+
+def test_two_level_facet_cap_equals_one_level(spark, monkeypatch):
+    from quarry.operators import facets as FC
+    from quarry.operators import ranking
+
+    rows = [(f"v{i % 37}", f"w{i % 5}") for i in range(600)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    one = sorted(FC.facets(df, ["a", "b"], size=10).collect())
+    monkeypatch.setattr(ranking, "merge_levels", lambda n: 4)
+    plan = FC.facets(df, ["a", "b"], size=10)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
+    assert sorted(plan.collect()) == one and len(one) == 15
