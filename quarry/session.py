@@ -69,14 +69,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
 
 
 def estimated_partitions(df) -> int:
-    """Splits of the plan's largest input scan, from the leaf relations' size
-    statistics and the split size.  Planning only, nothing is executed
-    (``df.rdd`` would make adaptive execution run upstream stages just to count
-    partitions, and whole-plan estimates multiply through joins)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = max((int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())), default=0)
-    split = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    return max(1, -(-size // max(1, split)))
+    """Scan tasks of the plan, estimated from its input files (each file is at
+    least one split; ``inputFiles`` is resolved from the plan, nothing is
+    executed - ``df.rdd`` would make adaptive execution run upstream stages
+    just to count partitions)."""
+    return max(1, len(df.inputFiles()))
 
 
 def spread(df):

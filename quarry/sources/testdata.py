@@ -53,27 +53,27 @@ POST_COLUMNS = (
 )
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read once per session (file listing and footer schema
     are resolved once, like a catalog entry; the data is not cached)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
+    key = (spark.sparkContext.applicationId, path)
     if key not in _TABLES:
         _TABLES[key] = spark.read.parquet(path)
     return _TABLES[key]
 
 
-_POSTS: dict[tuple[int, str, tuple[str, ...]], DataFrame] = {}
+_POSTS: dict[tuple[str, str, tuple[str, ...]], DataFrame] = {}
 
 
 def posts(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
     """The ``posts`` corpus (nested form).  ``columns`` limits the output and the joins.
     The view is defined once per session and column set (a lazy plan, no data cached)."""
     want = tuple(columns) if columns is not None else POST_COLUMNS
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"), want)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), want)
     if key not in _POSTS:
         _POSTS[key] = _posts_view(spark, sf_dir, list(want))
     return _POSTS[key]
