@@ -57,3 +57,30 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_query_has_oracle_or_is_listed():
     rows_only = {"q27_text_search"}
     assert set(QUERIES) - set(SQL) <= rows_only
+
+
+def test_text_search_matches_brute_force(spark):
+    """q27 has no SQL twin: encode every text with the same encoder in plain
+    NumPy, rank every post for every question, compare with the Spark result."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    from quarry.operators.encode import HashingEncoder
+    from quarry.plans import scenario as S
+
+    docs = pq.read_table(f"{SF_SMALL}/documents.parquet", columns=["doc_id", "text"]).to_pandas()
+    events = set(pq.read_table(f"{SF_SMALL}/events.parquet", columns=["event_id"]).column(0).to_pylist())
+    docs = docs[[d * 5 in events for d in docs.doc_id]]  # the posts view joins each document to one event
+    bench = pq.read_table(f"{SF_SMALL}/benchmark.parquet", columns=["item_id", "text"]).to_pandas()
+    enc = HashingEncoder()
+    x = enc.encode(docs.text.tolist()).astype(np.float32).astype(np.float64)
+    q = enc.encode(bench.text.tolist()).astype(np.float32).astype(np.float64)
+    keys = docs.doc_id.to_numpy()
+    want = set()
+    for j, qid in enumerate(bench.item_id):
+        d = ((x - q[j]) ** 2).sum(1)
+        for rank, i in enumerate(np.lexsort((keys, d))[: S.BATCH_K], start=1):
+            want.add((int(qid), rank, int(keys[i]), round(1.0 / (1.0 + d[i]), 6)))
+    got = {(r.question_id, r.rank, r.doc_id, round(r.score, 6))
+           for r in QUERIES["q27_text_search"](spark, SF_SMALL).collect()}
+    assert got == want
