@@ -334,3 +334,34 @@ def q30_hit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]
+
+
+# -- the distributed paths for question tables above the broadcast bound -------------
+
+TILE_BUDGET = 64 << 10  # float64 bytes per tile: puts the whole-table batch search in the tile regime
+
+
+def q31_knn_batch_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q11 with a tile budget below the question table's size: no question
+    reaches the driver; corpus chunks x question blocks are scored in bounded
+    cogroup tiles and merged per question (same result as q11)."""
+    corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
+    hits = knn.search(corpus, td.vector_questions(spark, sf_dir), k=S.BATCH_K, key_col="doc_id",
+                      block_bytes=TILE_BUDGET)
+    return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def q32_knn_ann_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q24 in the tile regime: probes assigned on executors, questions meet
+    their probed cells' rows in ``(cell, chunk, block)`` tiles."""
+    from quarry.operators import ann
+
+    corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
+    cells, tagged = ann.build_cells(corpus, ANN_CELLS)
+    nprobe = ann.nprobe_for_budget(cells, S.ANN_CANDIDATES)
+    hits = ann.search(tagged, cells, td.vector_questions(spark, sf_dir), k=S.BATCH_K, nprobe=nprobe,
+                      key_col="doc_id", block_bytes=TILE_BUDGET)
+    return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]

@@ -219,3 +219,5 @@ SELECT question_id, count(*)::BIGINT AS n_hits,
 FROM search_hits GROUP BY question_id"""
 
 SQL["q24_knn_ann"] = SQL["q11_knn_batch"]  # budget covers the corpus: equals the exact search
+SQL["q31_knn_batch_tiles"] = SQL["q11_knn_batch"]  # same search, distributed tile path
+SQL["q32_knn_ann_tiles"] = SQL["q11_knn_batch"]  # full probe in the tile path: equals the exact search
