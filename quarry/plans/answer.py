@@ -63,7 +63,9 @@ def run_search(
         s, e = default_window(min_date, today or dt.date.today(), spec.start_date, spec.end_date)
         spec = dataclasses.replace(spec, start_date=s, end_date=e)
     corpus = FL.apply_filter(FL.select_indexes(posts, selection), spec)
-    payload = posts.drop("embedding") if "embedding" in posts.columns else posts
+    # hits come from the filtered corpus, so its payload (same pushed filters,
+    # same partition pruning) is all the join needs to read
+    payload = corpus.drop("embedding") if "embedding" in corpus.columns else corpus
     hits = knn.search(corpus, questions, k=k, key_col=key_col, attach_to=payload)
     if materialize:
         checkpoint_dir(posts.sparkSession)

@@ -147,7 +147,9 @@ HIT_SOURCE = ("doc_id", "id", "index_name", "date_ts", "text", "translated_text"
 
 
 def batch_attached(spark: SparkSession, sf_dir: str, cols=HIT_SOURCE) -> DataFrame:
-    return batch_hits(spark, sf_dir, attach_to=_posts(spark, sf_dir, *cols))
+    # payload read under the search's own filter (hits come from that corpus)
+    payload = FL.exclude_comments(_posts(spark, sf_dir, *cols, "type")).drop("type")
+    return batch_hits(spark, sf_dir, attach_to=payload)
 
 
 def q11_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
