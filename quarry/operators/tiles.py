@@ -5,26 +5,32 @@ Corpus rows and questions are cut into *tiles* keyed by
 
 * ``cell`` is the coarse cell of an approximate search (a constant for the
   exact search).  A question appears once per probed cell.
-* each cell's corpus rows are hashed into ``s`` chunks and its questions into
-  ``t`` blocks, so that a chunk and a block each stay within the tile byte
-  budget.  ``s`` and ``t`` come from one count per cell (a table with one row
-  per cell, bounded by the number of cells).
+* each cell's questions are hashed into ``t`` blocks that fit the tile byte
+  budget (a block is held in memory), and its corpus rows into ``s`` chunks.
+  Chunks are *streamed*, so their count follows parallelism (about two tiles
+  per task slot, a cell's share following its rows) and a cap on rows per
+  task, not memory.  ``s`` and ``t`` come from one count per cell (a table with
+  one row per cell, bounded by the number of cells).
 * a corpus row is sent to the ``t`` blocks of its cell, a question to the
   ``s`` chunks of its cells.  A cell holding a third of all rows (or probed by
-  a third of all questions) simply gets more chunks (blocks): no tile grows
-  with it.
-
-``cogroup(...).applyInPandas`` scores one chunk against one block with the
-same NumPy kernel as the broadcast path and emits at most ``k`` rows per
+  a third of all questions) gets proportionally more chunks (blocks): no task
+  grows with it.
+
+Both sides are unioned, repartitioned by tile and sorted within partitions by
+``(tile, role)``, so in every group the question rows come before the corpus
+rows (a secondary sort).  Grouped ``applyInPandas`` in its iterator form then
+holds the question block, streams the corpus rows batch by batch through the
+same NumPy kernel as the broadcast path, and emits at most ``k`` rows per
 question; the per-question merge is :func:`quarry.operators.knn.merge_topk`.
 Exact search over all pairs costs |questions| x |corpus| distance evaluations
-whatever the plan; the tiles keep every task's memory bounded and ship each
-side only as many times as the other side has tiles.
+whatever the plan; the tiles keep every task's memory bounded and ship the
+corpus ``t`` times and each question ``s`` times.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,9 +40,11 @@ from pyspark.sql import types as T
 
 from quarry.functions import vectors as V
 
-DEFAULT_TILE_BYTES = 64 << 20  # float64 bytes of one corpus chunk (and of one question block)
-SCAN_ROWS = 8192  # corpus rows scored per kernel call inside a tile
+DEFAULT_TILE_BYTES = 64 << 20  # float64 bytes of one question block held by a task
 MIN_CHUNK_ROWS = 256  # corpus chunks are not cut smaller than this for parallelism
+MAX_CHUNK_ROWS = 1 << 22  # rows of one corpus chunk per task (bounds task time and retry cost)
+TILE = ("_cell", "_cs", "_qt")
+QUESTION, CORPUS = 0, 1  # row roles; questions sort first within a tile
 
 
 def _cell_counts(df: DataFrame, cell: str, vec: str) -> dict[int, tuple[int, int]]:
@@ -46,44 +54,60 @@ def _cell_counts(df: DataFrame, cell: str, vec: str) -> dict[int, tuple[int, int
 
 
 def plan_tiles(corpus_counts: dict[int, tuple[int, int]], question_counts: dict[int, tuple[int, int]],
-               tile_bytes: int = DEFAULT_TILE_BYTES, min_tiles: int = 1) -> dict[int, tuple[int, int]]:
+               tile_bytes: int = DEFAULT_TILE_BYTES, min_tiles: int = 1,
+               max_chunk_rows: int | None = None) -> dict[int, tuple[int, int]]:
     """``cell -> (corpus chunks, question blocks)`` for cells present on both sides.
 
-    Chunks and blocks stay within ``tile_bytes``; besides, corpus chunks are
-    spread so that there are about ``min_tiles`` tiles in all (a cell's share
-    follows its rows), never below :data:`MIN_CHUNK_ROWS` rows per chunk."""
+    Question blocks stay within ``tile_bytes``.  Corpus chunks are spread so
+    that there are about ``min_tiles`` chunks in all (a cell's share follows
+    its rows, never below :data:`MIN_CHUNK_ROWS` rows per chunk) and no chunk
+    exceeds ``max_chunk_rows`` (default :data:`MAX_CHUNK_ROWS`)."""
+    max_chunk_rows = max_chunk_rows or MAX_CHUNK_ROWS
     dims = [d for _, d in corpus_counts.values()] + [d for _, d in question_counts.values()]
-    rows_per_tile = max(1, tile_bytes // (8 * max(1, max(dims, default=1))))
+    block_rows = max(1, tile_bytes // (8 * max(1, max(dims, default=1))))
     both = {c: (corpus_counts.get(c, (0, 0))[0], m) for c, (m, _) in question_counts.items()}
     both = {c: (n, m) for c, (n, m) in both.items() if n and m}
     total = sum(n for n, _ in both.values())
     plan = {}
     for c, (n, m) in both.items():
         spread = min(math.ceil(min_tiles * n / total), math.ceil(n / MIN_CHUNK_ROWS))
-        plan[c] = (max(math.ceil(n / rows_per_tile), spread), math.ceil(m / rows_per_tile))
+        plan[c] = (max(1, spread, math.ceil(n / max_chunk_rows)), math.ceil(m / block_rows))
     return plan
 
 
-def _kernel(k: int, metric: str, key_col: str, vec_col: str, qid_col: str, qvec_col: str):
+def _kernel(k: int, metric: str, key_col: str):
     from quarry.operators.knn import QUESTION_CHUNK, score_block
 
-    def run(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(cpdf) or not len(qpdf):
-            return pd.DataFrame({"question_id": np.zeros(0, np.int64), key_col: cpdf[key_col].iloc[:0],
-                                 "distance": np.zeros(0)})
-        qids = qpdf[qid_col].to_numpy(dtype=np.int64)
-        qmat = V.stack_vectors(qpdf[qvec_col].to_numpy())
-        keys = cpdf[key_col].to_numpy()
-        x = V.stack_vectors(cpdf[vec_col].to_numpy())  # one chunk: within the tile budget
-        del cpdf, qpdf
-        out = []
-        for j in range(0, len(qids), QUESTION_CHUNK):
-            state = None  # running top-k of this question slice only
-            for s in range(0, len(x), SCAN_ROWS):
-                state = score_block(state, x[s : s + SCAN_ROWS], keys[s : s + SCAN_ROWS],
-                                    qids[j : j + QUESTION_CHUNK], qmat[j : j + QUESTION_CHUNK], k, metric)
-            out.append(state)
-        return pd.concat(out, ignore_index=True).rename(columns={"key": key_col})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids: list[np.ndarray] = []
+        qvecs: list[np.ndarray] = []
+        slices = None
+        states: list = []
+        for pdf in batches:
+            role = pdf["_role"].to_numpy()
+            qpart, cpart = pdf[role == QUESTION], pdf[role == CORPUS]
+            if len(qpart):
+                if slices is not None:
+                    raise RuntimeError("tile rows out of order: question after corpus rows")
+                qids.append(qpart["_qid"].to_numpy(dtype=np.int64))
+                qvecs.append(qpart["_qvec"].to_numpy())
+            if not len(cpart):
+                continue
+            if slices is None:
+                if not qids:
+                    return  # no question in this tile
+                ids = np.concatenate(qids)
+                qmat = V.stack_vectors(np.concatenate(qvecs))
+                slices = [(ids[j : j + QUESTION_CHUNK], qmat[j : j + QUESTION_CHUNK])
+                          for j in range(0, len(ids), QUESTION_CHUNK)]
+                states = [None] * len(slices)
+            x = V.stack_vectors(cpart["_vec"].to_numpy())
+            keys = cpart[key_col].to_numpy()
+            for j, (sid, smat) in enumerate(slices):
+                states[j] = score_block(states[j], x, keys, sid, smat, k, metric)
+        done = [s for s in states if s is not None and len(s)]
+        if done:
+            yield pd.concat(done, ignore_index=True).rename(columns={"key": key_col})
 
     return run
 
@@ -101,20 +125,23 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     spark = corpus.sparkSession
-    cell = cell_col or "_cell"
+    key_type = corpus.schema[key_col].dataType
+    vec_type = corpus.schema[vector_col].dataType
+    qvec_type = questions.schema[question_vector_col].dataType
     c = corpus.where(F.col(vector_col).isNotNull())
     q = questions.where(F.col(question_vector_col).isNotNull())
-    if cell_col is None:
-        c, q = c.withColumn(cell, F.lit(0)), q.withColumn(cell, F.lit(0))
-    c = c.select(F.col(cell).cast("int").alias("_cell"), key_col, vector_col)
-    q = q.select(F.col(cell).cast("int").alias("_cell"), F.col(question_id_col).cast("long").alias("_qid"),
+    cell = F.col(cell_col).cast("int") if cell_col else F.lit(0)
+    c = c.select(cell.alias("_cell"), F.lit(CORPUS).alias("_role"), F.col(key_col), F.col(vector_col).alias("_vec"),
+                 F.lit(None).cast("long").alias("_qid"), F.lit(None).cast(qvec_type).alias("_qvec"))
+    q = q.select(cell.alias("_cell"), F.lit(QUESTION).alias("_role"), F.lit(None).cast(key_type).alias(key_col),
+                 F.lit(None).cast(vec_type).alias("_vec"), F.col(question_id_col).cast("long").alias("_qid"),
                  F.col(question_vector_col).alias("_qvec"))
     q_counts = _cell_counts(q, "_cell", "_qvec")
     slots = spark.sparkContext.defaultParallelism
-    plan = plan_tiles(_cell_counts(c, "_cell", vector_col), q_counts, tile_bytes, 2 * slots) if q_counts else {}
+    plan = plan_tiles(_cell_counts(c, "_cell", "_vec"), q_counts, tile_bytes, 2 * slots) if q_counts else {}
     out_schema = T.StructType([
         T.StructField("question_id", T.LongType()),
-        T.StructField(key_col, corpus.schema[key_col].dataType),
+        T.StructField(key_col, key_type),
         T.StructField("distance", T.DoubleType()),
     ])
     if not plan:
@@ -127,19 +154,21 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
         shape = F.broadcast(spark.createDataFrame([(cc, s_n, t_n) for cc, (s_n, t_n) in sorted(plan.items())],
                                                   "_cell int, _s int, _t int"))
         c, q = c.join(shape, "_cell"), q.join(shape, "_cell")
-    ct = (
+    c = (
         c.withColumn("_cs", F.pmod(F.xxhash64(F.col(key_col)), F.col("_s")).cast("int"))
         .withColumn("_qt", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
-        .drop("_s", "_t")
     )
-    qt = (
+    q = (
         q.withColumn("_qt", F.pmod(F.xxhash64(F.col("_qid")), F.col("_t")).cast("int"))
         .withColumn("_cs", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
-        .drop("_s", "_t")
     )
-    tiles = ("_cell", "_cs", "_qt")
-    cands = ct.groupBy(*tiles).cogroup(qt.groupBy(*tiles)).applyInPandas(
-        _kernel(k, metric, key_col, vector_col, "_qid", "_qvec"), out_schema
+    cols = [*TILE, "_role", key_col, "_vec", "_qid", "_qvec"]
+    n_tiles = sum(s_n * t_n for s_n, t_n in plan.values())
+    rows = (
+        q.select(*cols).unionByName(c.select(*cols))
+        .repartition(n_tiles, *TILE)
+        .sortWithinPartitions(*TILE, "_role")  # questions first inside every tile
     )
+    cands = rows.groupBy(*TILE).applyInPandas(_kernel(k, metric, key_col), out_schema)
     question_rows = sum(m for m, _ in q_counts.values())
-    return cands, question_rows, max(s for s, _ in plan.values())
+    return cands, question_rows, max(s_n for s_n, _ in plan.values())

@@ -10,9 +10,29 @@ def _questions(spark, qs):
 
 
 def test_plan_tiles_splits_hot_cells_on_both_sides():
-    # cell 0 holds most corpus rows, cell 1 most questions; budget = 10 rows of d=8
-    plan = tiles.plan_tiles({0: (95, 8), 1: (5, 8), 2: (7, 8)}, {0: (3, 8), 1: (40, 8), 3: (2, 8)}, 10 * 8 * 8)
+    # cell 0 holds most corpus rows, cell 1 most questions; question blocks of
+    # 10 rows (d=8), corpus chunks of at most 10 rows
+    counts_c, counts_q = {0: (95, 8), 1: (5, 8), 2: (7, 8)}, {0: (3, 8), 1: (40, 8), 3: (2, 8)}
+    plan = tiles.plan_tiles(counts_c, counts_q, 10 * 8 * 8, max_chunk_rows=10)
     assert plan == {0: (10, 1), 1: (1, 4)}  # cells without rows on one side are dropped
+    # streamed chunks follow parallelism: 1,000 tiles wanted, 256-row floor
+    big = tiles.plan_tiles({0: (3_000_000, 8), 1: (1_000_000, 8)}, {0: (5, 8), 1: (5, 8)}, min_tiles=1000)
+    assert big == {0: (750, 1), 1: (250, 1)}
+
+
+def test_kernel_rejects_rows_out_of_order():
+    import pandas as pd
+    import pytest
+
+    run = tiles._kernel(2, "l2", "doc_id")
+    corpus = pd.DataFrame({"_role": [tiles.CORPUS], "doc_id": [1], "_vec": [[0.0, 1.0]], "_qid": [None], "_qvec": [None]})
+    question = pd.DataFrame({"_role": [tiles.QUESTION], "doc_id": [None], "_vec": [None], "_qid": [7],
+                             "_qvec": [[0.0, 1.0]]})
+    assert list(run(iter([corpus]))) == []  # no question in the tile
+    out = list(run(iter([question, corpus])))
+    assert out[0].to_dict("list") == {"question_id": [7], "doc_id": [1], "distance": [0.0]}
+    with pytest.raises(RuntimeError):
+        list(run(iter([question, corpus, question])))
 
 
 def test_tile_path_matches_brute_force(spark, monkeypatch):
@@ -20,11 +40,13 @@ def test_tile_path_matches_brute_force(spark, monkeypatch):
     qs = x[:60]
     monkeypatch.setattr(knn, "FAST_QUESTIONS", 10)  # question table above the broadcast bound
     want = brute(x, keys, qs, 7)
-    # default budget: one tile; tiny budget: 20 rows per tile -> 15 chunks x 3 blocks
+    # default budget: one block; tiny budget: 20 questions per block -> 3 blocks,
+    # and 8-row chunk floor -> 16 corpus chunks
+    monkeypatch.setattr(tiles, "MIN_CHUNK_ROWS", 8)
     for budget in (knn.DEFAULT_BLOCK_BYTES, 20 * 8 * 8):
         res = knn.search(df, _questions(spark, qs), k=7, key_col="doc_id", block_bytes=budget)
         plan = res._jdf.queryExecution().executedPlan().toString()
-        assert "FlatMapCoGroupsInPandas" in plan
+        assert "FlatMapGroupsInPandas" in plan
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert as_dict(res) == want
 
@@ -50,7 +72,7 @@ def test_ann_tile_path_equals_broadcast_path(spark, monkeypatch):
     monkeypatch.setattr(knn, "FAST_QUESTIONS", 5)
     for p in (2, 8):
         res = ann.search(tagged, cells, qdf, k=10, nprobe=p, key_col="doc_id", block_bytes=30 * 8 * 8)
-        assert "FlatMapCoGroupsInPandas" in res._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" in res._jdf.queryExecution().executedPlan().toString()
         assert as_dict(res) == small[p]
     assert small[8] == as_dict(exact)
 
@@ -69,5 +91,6 @@ def test_hot_cell_is_split_and_exact(spark, monkeypatch):
     assert max(n for n, _ in counts.values()) >= 200
     qs = x[::15]
     monkeypatch.setattr(knn, "FAST_QUESTIONS", 3)
+    monkeypatch.setattr(tiles, "MAX_CHUNK_ROWS", 40)  # the hot cell is split into several chunks
     res = ann.search(tagged, cells, _questions(spark, qs), k=5, nprobe=4, key_col="doc_id", block_bytes=25 * 8 * 8)
     assert as_dict(res) == brute(x, keys, qs, 5)
