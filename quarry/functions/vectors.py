@@ -115,8 +115,26 @@ def key_margin(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return KEY_MARGIN + KEY_MARGIN_REL * scale
 
 
+def question_keys(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """(m, n) approximate keys, one row per question (contiguous rows, so the
+    per-question selection below runs along memory order); built in place."""
+    g = q @ x.T
+    if metric == "l2":
+        g *= -2.0
+        g += np.einsum("ij,ij->i", q, q)[:, None]
+        g += np.einsum("ij,ij->i", x, x)[None, :]
+        return g
+    if metric == "cosine":
+        g /= np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
+        g /= np.sqrt(np.einsum("ij,ij->i", x, x))[None, :]
+        np.subtract(1.0, g, out=g)
+        return g
+    np.negative(g, out=g)
+    return g
+
+
 def topk_block(x: np.ndarray, q: np.ndarray, k: int, metric: str):
-    """For each question (column of ``q``), indices into ``x`` of a candidate
+    """For each question (row of ``q``), indices into ``x`` of a candidate
     pool that surely contains its k nearest rows, with exact keys.
 
     Returns (row_idx, question_idx, exact_key) flat arrays.
@@ -125,10 +143,10 @@ def topk_block(x: np.ndarray, q: np.ndarray, k: int, metric: str):
     if n == 0 or q.shape[0] == 0:
         e = np.zeros(0, dtype=np.int64)
         return e, e, np.zeros(0)
-    approx = block_keys(x, q, metric)
+    approx = question_keys(q, x, metric)  # (m, n)
     kk = min(k, n)
-    kth = np.partition(approx, kk - 1, axis=0)[kk - 1]
-    rows, cols = np.nonzero(approx <= (kth + key_margin(x, q, metric))[None, :])
+    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+    cols, rows = np.nonzero(approx <= (kth + key_margin(x, q, metric))[:, None])
     keys = np.empty(len(rows))
     step = max(1, 4_000_000 // max(1, x.shape[1]))
     for s in range(0, len(rows), step):

@@ -84,21 +84,23 @@ def _probes(cells: Cells, qmat: np.ndarray, nprobe: int, metric: str) -> np.ndar
 def _make_kernel(bq, k, metric, key_col, vec_col):
     def kernel(batches):
         qids, qmat, probes = bq.value
-        by_cell: dict[int, np.ndarray] = {}
+        slices: dict[int, list] = {}  # cell -> slices of the questions probing it
         for c in np.unique(probes):
-            by_cell[int(c)] = np.nonzero((probes == c).any(axis=1))[0]
-        state = None
+            qi = np.nonzero((probes == c).any(axis=1))[0]
+            slices[int(c)] = knn.question_slices(qids[qi], qmat[qi])
+        states: dict[int, list] = {}  # a running top-k per (cell, question slice)
         for pdf in batches:
             if not len(pdf):
                 continue
             for c, grp in pdf.groupby("cell", sort=False):
-                qi = by_cell.get(int(c))
-                if qi is None or len(qi) == 0:
+                sl = slices.get(int(c))
+                if not sl:
                     continue
                 x = V.stack_vectors(grp[vec_col].to_numpy())
-                state = knn.score_block(state, x, grp[key_col].to_numpy(), qids[qi], qmat[qi], k, metric)
-        if state is not None and len(state):
-            yield state.rename(columns={"key": key_col})
+                states[int(c)] = knn.score_block(states.get(int(c)), x, grp[key_col].to_numpy(), sl, k, metric)
+        out = knn.finish([s for st in states.values() for s in st], key_col)
+        if out is not None:
+            yield out
 
     return kernel
 

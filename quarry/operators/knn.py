@@ -47,15 +47,29 @@ def _partition_topk(state: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd
     return both.groupby("question_id", sort=False).head(k)
 
 
-def score_block(state, x, keys, qids, qmat, k, metric):
-    """Fold one corpus batch ``x`` (with ``keys``) scored against questions
-    ``qmat`` (ids ``qids``) into the running per-question top-k ``state``."""
-    for s in range(0, len(qids), QUESTION_CHUNK):
-        q = qmat[s : s + QUESTION_CHUNK]
-        rows, cols, d = V.topk_block(x, q, k, metric)
-        new = pd.DataFrame({"question_id": qids[s : s + QUESTION_CHUNK][cols], "key": keys[rows], "distance": d})
-        state = _partition_topk(state, new, k)
-    return state
+def question_slices(qids: np.ndarray, qmat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Questions cut into :data:`QUESTION_CHUNK`-row slices scored together."""
+    return [(qids[s : s + QUESTION_CHUNK], qmat[s : s + QUESTION_CHUNK]) for s in range(0, len(qids), QUESTION_CHUNK)]
+
+
+def score_block(states: list | None, x, keys, slices, k, metric) -> list:
+    """Fold one corpus batch ``x`` (with ``keys``) into the running top-k of
+    every question slice.  Each slice keeps its own state, so a merge sorts at
+    most ``QUESTION_CHUNK x k`` old rows however many questions there are."""
+    states = states if states is not None else [None] * len(slices)
+    for j, (sid, smat) in enumerate(slices):
+        rows, cols, d = V.topk_block(x, smat, k, metric)
+        new = pd.DataFrame({"question_id": sid[cols], "key": keys[rows], "distance": d})
+        states[j] = _partition_topk(states[j], new, k)
+    return states
+
+
+def finish(states: list | None, key_col: str) -> pd.DataFrame | None:
+    """Concatenate per-slice states into ``question_id, <key_col>, distance``."""
+    done = [s for s in (states or []) if s is not None and len(s)]
+    if not done:
+        return None
+    return pd.concat(done, ignore_index=True).rename(columns={"key": key_col})
 
 
 def _make_kernel(block, k: int, metric: str, key_col: str, vec_col: str):
@@ -63,14 +77,16 @@ def _make_kernel(block, k: int, metric: str, key_col: str, vec_col: str):
     partition's Arrow batches (memory: one batch plus the running top-k)."""
 
     def kernel(batches):
-        state = None
         qids, qmat = block.value
+        slices = question_slices(qids, qmat)
+        states = None
         for pdf in batches:
             if len(pdf):
                 x = V.stack_vectors(pdf[vec_col].to_numpy())
-                state = score_block(state, x, pdf[key_col].to_numpy(), qids, qmat, k, metric)
-        if state is not None and len(state):
-            yield state.rename(columns={"key": key_col})
+                states = score_block(states, x, pdf[key_col].to_numpy(), slices, k, metric)
+        out = finish(states, key_col)
+        if out is not None:
+            yield out
 
     return kernel
 

@@ -76,13 +76,13 @@ def plan_tiles(corpus_counts: dict[int, tuple[int, int]], question_counts: dict[
 
 
 def _kernel(k: int, metric: str, key_col: str):
-    from quarry.operators.knn import QUESTION_CHUNK, score_block
+    from quarry.operators.knn import finish, question_slices, score_block
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids: list[np.ndarray] = []
         qvecs: list[np.ndarray] = []
         slices = None
-        states: list = []
+        states = None
         for pdf in batches:
             role = pdf["_role"].to_numpy()
             qpart, cpart = pdf[role == QUESTION], pdf[role == CORPUS]
@@ -96,18 +96,12 @@ def _kernel(k: int, metric: str, key_col: str):
             if slices is None:
                 if not qids:
                     return  # no question in this tile
-                ids = np.concatenate(qids)
-                qmat = V.stack_vectors(np.concatenate(qvecs))
-                slices = [(ids[j : j + QUESTION_CHUNK], qmat[j : j + QUESTION_CHUNK])
-                          for j in range(0, len(ids), QUESTION_CHUNK)]
-                states = [None] * len(slices)
+                slices = question_slices(np.concatenate(qids), V.stack_vectors(np.concatenate(qvecs)))
             x = V.stack_vectors(cpart["_vec"].to_numpy())
-            keys = cpart[key_col].to_numpy()
-            for j, (sid, smat) in enumerate(slices):
-                states[j] = score_block(states[j], x, keys, sid, smat, k, metric)
-        done = [s for s in states if s is not None and len(s)]
-        if done:
-            yield pd.concat(done, ignore_index=True).rename(columns={"key": key_col})
+            states = score_block(states, x, cpart[key_col].to_numpy(), slices, k, metric)
+        out = finish(states, key_col)
+        if out is not None:
+            yield out
 
     return run
 
