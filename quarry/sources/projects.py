@@ -20,13 +20,16 @@ def selection_string(names: list[str]) -> str:
 
 
 def discover_indexes(index_names: DataFrame, selection: DataFrame, col: str = "index_name") -> DataFrame:
-    """Indexes sharing a base (first two name parts) with any selected index.
+    """Indexes sharing a base (first two name parts) with any selected index,
+    i.e. matching the wildcard ``<base>*``.
 
     Both inputs are index-name lists (one row per index); bases are compared
-    per selected index, so a mixed selection discovers every family."""
-    bases = selection.select(base_index(col).alias("_base")).distinct()
-    return (
-        index_names.join(F.broadcast(bases), F.col(col).startswith(F.col("_base")), "left_semi")
-        .select(col)
-        .distinct()
+    per selected index, so a mixed selection discovers every family.  The
+    wildcard is an equi-join: each name's prefixes (as many as its length)
+    against the distinct bases (one per selected index, a bounded broadcast)."""
+    bases = selection.select(base_index(col).alias("_p")).distinct()
+    name = F.col(col)
+    prefixes = index_names.select(col, F.explode(F.sequence(F.lit(1), F.length(name))).alias("_n")).select(
+        col, name.substr(F.lit(1), F.col("_n")).alias("_p")
     )
+    return prefixes.join(F.broadcast(bases), "_p", "left_semi").select(col).distinct()
