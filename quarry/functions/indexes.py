@@ -27,7 +27,7 @@ PLATFORM_SUFFIXES = (
     "comments",
 )
 
-TOPIC_INDEX_PREFIX = "topics-"
+TOPIC_INDEX_PREFIX = "topics-"  # fixed value: topic-table name = prefix + index prefix
 
 
 def _col(c: str | Column) -> Column:
