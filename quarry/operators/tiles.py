@@ -53,6 +53,21 @@ def _cell_counts(df: DataFrame, cell: str, vec: str) -> dict[int, tuple[int, int
     return {int(r[0]): (int(r["n"]), int(r["d"] or 0)) for r in rows}
 
 
+def _both_counts(c: DataFrame, q: DataFrame) -> tuple[dict, dict]:
+    """Per-cell ``(rows, max dimension)`` of corpus and questions in one job
+    (one row per cell and side reaches the driver)."""
+    side = lambda df, role, vec: df.select(F.lit(role).alias("_r"), "_cell", F.size(vec).alias("_d"))
+    rows = (
+        side(c, CORPUS, "_vec").unionByName(side(q, QUESTION, "_qvec"))
+        .groupBy("_r", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("d"))
+        .collect()
+    )
+    out: tuple[dict, dict] = ({}, {})
+    for r in rows:
+        out[0 if r["_r"] == CORPUS else 1][int(r["_cell"])] = (int(r["n"]), int(r["d"] or 0))
+    return out
+
+
 def plan_tiles(corpus_counts: dict[int, tuple[int, int]], question_counts: dict[int, tuple[int, int]],
                tile_bytes: int = DEFAULT_TILE_BYTES, min_tiles: int = 1,
                max_chunk_rows: int | None = None) -> dict[int, tuple[int, int]]:
@@ -130,9 +145,9 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
     q = q.select(cell.alias("_cell"), F.lit(QUESTION).alias("_role"), F.lit(None).cast(key_type).alias(key_col),
                  F.lit(None).cast(vec_type).alias("_vec"), F.col(question_id_col).cast("long").alias("_qid"),
                  F.col(question_vector_col).alias("_qvec"))
-    q_counts = _cell_counts(q, "_cell", "_qvec")
+    c_counts, q_counts = _both_counts(c, q)
     slots = spark.sparkContext.defaultParallelism
-    plan = plan_tiles(_cell_counts(c, "_cell", "_vec"), q_counts, tile_bytes, 2 * slots) if q_counts else {}
+    plan = plan_tiles(c_counts, q_counts, tile_bytes, 2 * slots)
     out_schema = T.StructType([
         T.StructField("question_id", T.LongType()),
         T.StructField(key_col, key_type),
