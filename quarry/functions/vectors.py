@@ -66,6 +66,36 @@ def score_from_key(key: str | Column, metric: str = "l2") -> Column:
 # NumPy kernel
 # --------------------------------------------------------------------------
 
+def arrow_matrix(col) -> np.ndarray:
+    """(n, d) float64 matrix from an Arrow list column of equal-length,
+    non-null vectors, read from the flat child values (no per-row Python)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, 0), dtype=np.float64)
+    if col.null_count:
+        raise ValueError("null vector in a scored batch")
+    lengths = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+    d = int(lengths[0])
+    if (lengths != d).any():
+        raise ValueError("vectors of different lengths")
+    vals = col.flatten().to_numpy(zero_copy_only=False)
+    return vals.astype(np.float64, copy=False).reshape(n, d)
+
+
+def arrow_vectors(mat: np.ndarray, dtype=np.float32):
+    """Arrow list column from an (n, d) matrix (inverse of :func:`arrow_matrix`)."""
+    import pyarrow as pa
+
+    n, d = mat.shape
+    offsets = pa.array(np.arange(0, n * d + 1, d, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(mat, dtype=dtype).reshape(-1)))
+
+
 def stack_vectors(values) -> np.ndarray:
     """Object array of equal-length float arrays -> (n, d) float64 matrix."""
     if len(values) == 0:

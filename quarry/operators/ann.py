@@ -21,7 +21,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -89,18 +88,21 @@ def _make_kernel(bq, k, metric, key_col, vec_col):
             qi = np.nonzero((probes == c).any(axis=1))[0]
             slices[int(c)] = knn.question_slices(qids[qi], qmat[qi])
         states: dict[int, list] = {}  # a running top-k per (cell, question slice)
-        for pdf in batches:
-            if not len(pdf):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            for c, grp in pdf.groupby("cell", sort=False):
+            x = V.arrow_matrix(b.column(vec_col))
+            keys = b.column(key_col).to_numpy(zero_copy_only=False)
+            cells = b.column("cell").to_numpy(zero_copy_only=False)
+            for c in np.unique(cells):
                 sl = slices.get(int(c))
                 if not sl:
                     continue
-                x = V.stack_vectors(grp[vec_col].to_numpy())
-                states[int(c)] = knn.score_block(states.get(int(c)), x, grp[key_col].to_numpy(), sl, k, metric)
+                m = cells == c
+                states[int(c)] = knn.score_block(states.get(int(c)), x[m], keys[m], sl, k, metric)
         out = knn.finish([s for st in states.values() for s in st], key_col)
         if out is not None:
-            yield out
+            yield knn.to_batch(out, key_col)
 
     return kernel
 
@@ -119,22 +121,24 @@ def assign_probes(questions: DataFrame, cells: Cells, nprobe: int, metric: str =
     ])
 
     def probe(batches):
-        for pdf in batches:
-            if not len(pdf):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            qmat = V.stack_vectors(pdf[question_vector_col].to_numpy())
+            qmat = V.arrow_matrix(b.column(question_vector_col))
             p = _probes(Cells(bc.value, 0.0), qmat, nprobe, metric)  # (m, p)
-            rows = np.repeat(np.arange(len(pdf)), p.shape[1])
-            yield pd.DataFrame({
-                question_id_col: pdf[question_id_col].to_numpy(dtype=np.int64)[rows],
-                question_vector_col: pdf[question_vector_col].to_numpy()[rows],
-                "cell": p.reshape(-1).astype(np.int32),
-            })
+            rows = pa.array(np.repeat(np.arange(b.num_rows), p.shape[1]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(question_id_col).take(rows), b.column(question_vector_col).take(rows),
+                 pa.array(p.reshape(-1).astype(np.int32))],
+                names=[question_id_col, question_vector_col, "cell"],
+            )
 
     q = questions.where(F.col(question_vector_col).isNotNull())
     q = q.select(F.col(question_id_col).cast("long").alias(question_id_col),
                  F.col(question_vector_col).cast("array<double>").alias(question_vector_col))
-    return q.mapInPandas(probe, out)
+    return q.mapInArrow(probe, out)
 
 
 def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.DEFAULT_K, nprobe: int = 8,
@@ -169,7 +173,7 @@ def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.D
         probed_cells = sorted({int(c) for c in np.unique(probes)})
         base = tagged.where(F.col("cell").isin(probed_cells)).select(key_col, vector_col, "cell")
         bq = spark.sparkContext.broadcast((ids, mat, probes))
-        cands = base.mapInPandas(_make_kernel(bq, k, metric, key_col, vector_col), out_schema)
+        cands = base.mapInArrow(_make_kernel(bq, k, metric, key_col, vector_col), out_schema)
         levels = knn.merge_levels(estimated_partitions(base))
     else:
         cands, levels = spark.createDataFrame([], out_schema), 1

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.vectors import arrow_vectors
 from quarry.session import ship_package, spread
 
 
@@ -75,19 +76,22 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
            factory: Callable[[], object] | None = None) -> DataFrame:
     """Add a vector column computed from whole texts.
 
-    Runs as a ``mapInPandas`` plan node rather than an expression UDF: a later
+    Runs as a ``mapInArrow`` plan node rather than an expression UDF: a later
     filter on the vector (``IS NOT NULL`` in search) cannot then be pushed
     below a shuffle by inlining the model call, so every text is encoded once.
+    The batch's other columns pass through untouched and the vectors are
+    written as one flat Arrow buffer.
     """
     ship_package()
     fac = factory or (lambda: HashingEncoder())
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pyarrow as pa
+
         model = fac()
-        for pdf in batches:
-            vecs = model.encode(pdf[text_col].tolist()).astype(np.float32)
-            pdf[out_col] = list(vecs)
-            yield pdf
+        for b in batches:
+            vecs = model.encode(b.column(text_col).to_pylist())
+            yield pa.RecordBatch.from_arrays(b.columns + [arrow_vectors(vecs)], names=b.schema.names + [out_col])
 
-    return spread(df).mapInPandas(run, schema)
+    return spread(df).mapInArrow(run, schema)

@@ -5,8 +5,9 @@ Plan:
 1. ``corpus`` is filtered first (the caller's ``where`` is pushed into the
    scan), projected to ``key, vector`` only.
 2. Small question tables (at most :data:`FAST_QUESTIONS` rows within the
-   byte budget, proven by one ``limit`` fetch) are broadcast.  ``mapInPandas``
-   scans each corpus partition in Arrow batches: one matrix product per batch
+   byte budget, proven by one ``limit`` fetch) are broadcast.  ``mapInArrow``
+   scans each corpus partition in Arrow batches (vectors read from the flat
+   Arrow buffer): one matrix product per batch
    against the questions, exact re-scoring of a small candidate pool, and a
    running per-partition top-k by ``(distance, key)``.  The corpus is read once
    and never shuffled; each task emits at most ``k`` rows per question.
@@ -72,21 +73,34 @@ def finish(states: list | None, key_col: str) -> pd.DataFrame | None:
     return pd.concat(done, ignore_index=True).rename(columns={"key": key_col})
 
 
+def to_batch(out: pd.DataFrame, key_col: str):
+    """Candidates as an Arrow batch ``question_id, <key_col>, distance``."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array(out["question_id"].to_numpy(), pa.int64()), pa.array(out[key_col].to_numpy()),
+         pa.array(out["distance"].to_numpy(), pa.float64())],
+        names=["question_id", key_col, "distance"],
+    )
+
+
 def _make_kernel(block, k: int, metric: str, key_col: str, vec_col: str):
     """Per-partition top-k against the broadcast questions, streaming the
-    partition's Arrow batches (memory: one batch plus the running top-k)."""
+    partition's Arrow batches (memory: one batch plus the running top-k).
+    Vectors are read from the batch's flat Arrow buffer, not row by row."""
 
     def kernel(batches):
         qids, qmat = block.value
         slices = question_slices(qids, qmat)
         states = None
-        for pdf in batches:
-            if len(pdf):
-                x = V.stack_vectors(pdf[vec_col].to_numpy())
-                states = score_block(states, x, pdf[key_col].to_numpy(), slices, k, metric)
+        for b in batches:
+            if b.num_rows:
+                x = V.arrow_matrix(b.column(vec_col))
+                keys = b.column(key_col).to_numpy(zero_copy_only=False)
+                states = score_block(states, x, keys, slices, k, metric)
         out = finish(states, key_col)
         if out is not None:
-            yield out
+            yield to_batch(out, key_col)
 
     return kernel
 
@@ -173,7 +187,7 @@ def search(
         nparts = estimated_partitions(base)
         base, nparts = _bound_candidates(base, nparts, n_questions, k)
         shipped = spark.sparkContext.broadcast(small)
-        cands = base.mapInPandas(_make_kernel(shipped, k, metric, key_col, vector_col), out_schema)
+        cands = base.mapInArrow(_make_kernel(shipped, k, metric, key_col, vector_col), out_schema)
         levels = merge_levels(nparts)
     else:
         cands, levels, n_questions = spark.createDataFrame([], out_schema), 1, 0

@@ -18,9 +18,9 @@ Corpus rows and questions are cut into *tiles* keyed by
 
 Both sides are unioned, repartitioned by tile and sorted within partitions by
 ``(tile, role)``, so in every group the question rows come before the corpus
-rows (a secondary sort).  Grouped ``applyInPandas`` in its iterator form then
-holds the question block, streams the corpus rows batch by batch through the
-same NumPy kernel as the broadcast path, and emits at most ``k`` rows per
+rows (a secondary sort).  Grouped ``applyInArrow`` in its iterator form then
+holds the question block, streams the corpus rows Arrow batch by batch (vectors
+read from the flat buffers) through the same NumPy kernel as the broadcast path, and emits at most ``k`` rows per
 question; the per-question merge is :func:`quarry.operators.knn.merge_topk`.
 Exact search over all pairs costs |questions| x |corpus| distance evaluations
 whatever the plan; the tiles keep every task's memory bounded and ship the
@@ -33,7 +33,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,32 +91,34 @@ def plan_tiles(corpus_counts: dict[int, tuple[int, int]], question_counts: dict[
 
 
 def _kernel(k: int, metric: str, key_col: str):
-    from quarry.operators.knn import finish, question_slices, score_block
+    from quarry.operators.knn import finish, question_slices, score_block, to_batch
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids: list[np.ndarray] = []
-        qvecs: list[np.ndarray] = []
+        qmats: list[np.ndarray] = []
         slices = None
         states = None
-        for pdf in batches:
-            role = pdf["_role"].to_numpy()
-            qpart, cpart = pdf[role == QUESTION], pdf[role == CORPUS]
-            if len(qpart):
+        for b in batches:
+            role = b.column("_role").to_numpy(zero_copy_only=False)
+            is_q = role == QUESTION
+            if is_q.any():
                 if slices is not None:
                     raise RuntimeError("tile rows out of order: question after corpus rows")
-                qids.append(qpart["_qid"].to_numpy(dtype=np.int64))
-                qvecs.append(qpart["_qvec"].to_numpy())
-            if not len(cpart):
+                qb = b.filter(pa.array(is_q))
+                qids.append(qb.column("_qid").to_numpy(zero_copy_only=False).astype(np.int64))
+                qmats.append(V.arrow_matrix(qb.column("_qvec")))
+            if is_q.all():
                 continue
             if slices is None:
                 if not qids:
                     return  # no question in this tile
-                slices = question_slices(np.concatenate(qids), V.stack_vectors(np.concatenate(qvecs)))
-            x = V.stack_vectors(cpart["_vec"].to_numpy())
-            states = score_block(states, x, cpart[key_col].to_numpy(), slices, k, metric)
+                slices = question_slices(np.concatenate(qids), np.vstack(qmats))
+            cb = b.filter(pa.array(~is_q))
+            x = V.arrow_matrix(cb.column("_vec"))
+            states = score_block(states, x, cb.column(key_col).to_numpy(zero_copy_only=False), slices, k, metric)
         out = finish(states, key_col)
         if out is not None:
-            yield out
+            yield to_batch(out, key_col)
 
     return run
 
@@ -178,6 +180,6 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
         .repartition(n_tiles, *TILE)
         .sortWithinPartitions(*TILE, "_role")  # questions first inside every tile
     )
-    cands = rows.groupBy(*TILE).applyInPandas(_kernel(k, metric, key_col), out_schema)
+    cands = rows.groupBy(*TILE).applyInArrow(_kernel(k, metric, key_col), out_schema)
     question_rows = sum(m for m, _ in q_counts.values())
     return cands, question_rows, max(s_n for s_n, _ in plan.values())

@@ -21,16 +21,23 @@ def test_plan_tiles_splits_hot_cells_on_both_sides():
 
 
 def test_kernel_rejects_rows_out_of_order():
-    import pandas as pd
+    import pyarrow as pa
     import pytest
 
     run = tiles._kernel(2, "l2", "doc_id")
-    corpus = pd.DataFrame({"_role": [tiles.CORPUS], "doc_id": [1], "_vec": [[0.0, 1.0]], "_qid": [None], "_qvec": [None]})
-    question = pd.DataFrame({"_role": [tiles.QUESTION], "doc_id": [None], "_vec": [None], "_qid": [7],
-                             "_qvec": [[0.0, 1.0]]})
+    vec = pa.list_(pa.float64())
+
+    def batch(role, doc, v, qid, qv):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([role], pa.int32()), pa.array([doc], pa.int64()), pa.array([v], vec),
+             pa.array([qid], pa.int64()), pa.array([qv], vec)],
+            names=["_role", "doc_id", "_vec", "_qid", "_qvec"])
+
+    corpus = batch(tiles.CORPUS, 1, [0.0, 1.0], None, None)
+    question = batch(tiles.QUESTION, None, None, 7, [0.0, 1.0])
     assert list(run(iter([corpus]))) == []  # no question in the tile
     out = list(run(iter([question, corpus])))
-    assert out[0].to_dict("list") == {"question_id": [7], "doc_id": [1], "distance": [0.0]}
+    assert out[0].to_pydict() == {"question_id": [7], "doc_id": [1], "distance": [0.0]}
     with pytest.raises(RuntimeError):
         list(run(iter([question, corpus, question])))
 
@@ -46,7 +53,7 @@ def test_tile_path_matches_brute_force(spark, monkeypatch):
     for budget in (knn.DEFAULT_BLOCK_BYTES, 20 * 8 * 8):
         res = knn.search(df, _questions(spark, qs), k=7, key_col="doc_id", block_bytes=budget)
         plan = res._jdf.queryExecution().executedPlan().toString()
-        assert "FlatMapGroupsInPandas" in plan
+        assert "FlatMapGroupsInArrow" in plan
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert as_dict(res) == want
 
@@ -72,7 +79,7 @@ def test_ann_tile_path_equals_broadcast_path(spark, monkeypatch):
     monkeypatch.setattr(knn, "FAST_QUESTIONS", 5)
     for p in (2, 8):
         res = ann.search(tagged, cells, qdf, k=10, nprobe=p, key_col="doc_id", block_bytes=30 * 8 * 8)
-        assert "FlatMapGroupsInPandas" in res._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in res._jdf.queryExecution().executedPlan().toString()
         assert as_dict(res) == small[p]
     assert small[8] == as_dict(exact)
 
