@@ -106,16 +106,24 @@ def _make_kernel(block, k: int, metric: str, key_col: str, vec_col: str):
 
 
 def small_questions(questions: DataFrame, qid: str, vec: str, block_bytes: int):
-    """One bounded job (``limit`` stops reading early) for the common case of
-    a small question table; ``None`` when it has more than FAST_QUESTIONS rows
-    or exceeds the byte budget, so the caller uses the tile join instead.
-    Questions without a vector have no hits."""
-    rows = questions.where(F.col(vec).isNotNull()).select(qid, vec).limit(FAST_QUESTIONS + 1).collect()
-    if len(rows) > FAST_QUESTIONS:
+    """The question table as ``(ids, float64 matrix)`` when it is provably
+    small, else ``None`` (the caller then uses the tile join).
+
+    The vector width is read from one row first, so the fetch is limited to
+    ``min(FAST_QUESTIONS, block_bytes / (8 d))`` rows (plus one to detect a
+    larger table) before anything big reaches the driver; ``limit`` stops
+    reading early.  Questions without a vector have no hits."""
+    q = questions.where(F.col(vec).isNotNull())
+    first = q.select(F.size(vec)).limit(1).collect()
+    if not first:
+        return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
+    cap = min(FAST_QUESTIONS, block_bytes // (8 * max(1, int(first[0][0]))))
+    rows = q.select(qid, vec).limit(cap + 1).collect() if cap > 0 else [None]
+    if len(rows) > cap:
         return None
     ids = np.array([r[0] for r in rows], dtype=np.int64)
     mat = V.stack_vectors([r[1] for r in rows])
-    if mat.nbytes > block_bytes:
+    if mat.nbytes > block_bytes:  # rows of unequal width
         return None
     return ids, mat
 
