@@ -43,18 +43,28 @@ class Cells:
 
 
 def build_cells(corpus: DataFrame, n_cells: int, vector_col: str = "embedding", seed: int = 7,
-                max_iter: int = 10) -> tuple[Cells, DataFrame]:
+                max_iter: int = 10, train_fraction: float | None = None) -> tuple[Cells, DataFrame]:
     """Fit cells on the corpus vectors; return them and the corpus with ``cell``.
-    Lloyd iterations cut lineage in the shared checkpoint folder."""
+
+    The Lloyd iterations are distributed ``pyspark.ml`` jobs over the training
+    vectors (cached by the estimator).  ``train_fraction`` fits the centroids
+    on a seeded sample instead of every vector (the usual practice for
+    inverted-file indexes at scale, where a few hundred vectors per cell fix
+    the centroids and each full pass costs a scan of the vector column); every
+    row is still tagged with its nearest centroid, so no row is left out of
+    the search.  Default: the whole corpus."""
     checkpoint_dir(corpus.sparkSession)
     with_vec = corpus.where(F.col(vector_col).isNotNull())
     feats = with_vec.withColumn("_features", array_to_vector(F.col(vector_col).cast("array<double>")))
+    sampled = train_fraction is not None and 0 < train_fraction < 1
+    train = feats.sample(fraction=train_fraction, seed=seed) if sampled else feats
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_features",
-                   predictionCol="cell").fit(feats)
+                   predictionCol="cell").fit(train)
     centroids = np.stack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     tagged = model.transform(feats).drop("_features")
     sizes = model.summary.clusterSizes
-    return Cells(centroids, float(sum(sizes)) / max(1, len(sizes))), tagged
+    rows = float(sum(sizes)) / (train_fraction if sampled else 1.0)  # estimated corpus rows
+    return Cells(centroids, rows / max(1, len(sizes))), tagged
 
 
 def write_cells(tagged: DataFrame, path: str, mode: str = "overwrite") -> None:

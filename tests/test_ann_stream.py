@@ -20,6 +20,16 @@ def test_ann_full_probe_is_exact_and_recall_grows(spark):
     assert ann.nprobe_for_budget(cells, 10_000) == 8
 
 
+def test_sampled_training_still_tags_every_row(spark):
+    df, x, keys = corpus(spark, n=400, d=8, dup=False, parts=4)
+    qdf = spark.createDataFrame([(j, x[j].tolist()) for j in range(0, 400, 40)], "question_id long, embedding array<double>")
+    cells, tagged = ann.build_cells(df, 8, train_fraction=0.5)
+    assert tagged.count() == 400 and tagged.where("cell IS NULL").count() == 0
+    assert 25 <= cells.rows_per_cell <= 75  # ~400 / 8 estimated from the sample
+    exact = knn.search(df, qdf, k=10, key_col="doc_id")
+    assert ann.recall(ann.search(tagged, cells, qdf, k=10, nprobe=8, key_col="doc_id"), exact, "doc_id") == 1.0
+
+
 def test_facet_refresh_incremental(spark, tmp_path):
     src = tmp_path / "src"
     schema = T.StructType([T.StructField("lang", T.StringType())])
