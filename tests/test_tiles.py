@@ -101,3 +101,14 @@ def test_hot_cell_is_split_and_exact(spark, monkeypatch):
     monkeypatch.setattr(tiles, "MAX_CHUNK_ROWS", 40)  # the hot cell is split into several chunks
     res = ann.search(tagged, cells, _questions(spark, qs), k=5, nprobe=4, key_col="doc_id", block_bytes=25 * 8 * 8)
     assert as_dict(res) == brute(x, keys, qs, 5)
+
+
+def test_tile_path_two_level_merge(spark, monkeypatch):
+    df, x, keys = corpus(spark, n=200, d=8, parts=4)
+    qs = x[:30]
+    monkeypatch.setattr(knn, "FAST_QUESTIONS", 10)
+    monkeypatch.setattr(tiles, "MIN_CHUNK_ROWS", 8)
+    monkeypatch.setattr(knn, "merge_levels", lambda n: 3)  # force (question, key bucket) first level
+    res = knn.search(df, _questions(spark, qs), k=6, key_col="doc_id")
+    assert res._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
+    assert as_dict(res) == brute(x, keys, qs, 6)
