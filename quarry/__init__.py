@@ -1,9 +1,10 @@
 """quarry: filtered semantic retrieval and post analytics as Spark DataFrame operators.
 
 Every public operator is a plain ``DataFrame -> DataFrame`` function (usable with
-``df.transform``).  Nothing is collected to the driver except bounded
-configuration-sized inputs (question blocks checked against a byte budget,
-threshold/selection lists, model and task lists).
+``df.transform``).  Nothing is collected to the driver except bounded inputs:
+a question table proven small by a width-capped ``limit`` fetch (larger ones
+stay distributed in tiles), one count per cell, k-means centroids, and
+configuration (thresholds, selections, models, tasks).
 """
 
 from quarry.session import get_spark, checkpoint_dir

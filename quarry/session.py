@@ -14,8 +14,9 @@ _SHIPPED = False
 def ship_package() -> None:
     """Let Python workers unpickle functions defined in this package.
 
-    ``mapInPandas`` kernels live in ``quarry``; on a cluster the package is not
-    installed on executors, so functions from it are pickled by value.
+    The Arrow kernels (``mapInArrow`` / ``applyInArrow``) live in ``quarry``;
+    when the package is not installed on executors (nor shipped with
+    ``--py-files``), functions from it are pickled by value.
     """
     global _SHIPPED
     if _SHIPPED:
