@@ -112,3 +112,20 @@ def test_tile_path_two_level_merge(spark, monkeypatch):
     res = knn.search(df, _questions(spark, qs), k=6, key_col="doc_id")
     assert res._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
     assert as_dict(res) == brute(x, keys, qs, 6)
+
+
+def test_string_keys_on_both_paths(spark, monkeypatch):
+    df, x, keys = corpus(spark, n=120, d=8, parts=3)
+    sdf = df.selectExpr("CAST(doc_id AS STRING) AS id", "embedding")
+    qdf = _questions(spark, x[:12])
+    want = {q: [(str(d), s) for d, s in v] for q, v in brute(x, keys, x[:12], 4).items()}
+
+    def got(res):
+        out = {}
+        for r in res.orderBy("question_id", "rank").collect():
+            out.setdefault(r.question_id, []).append((r.id, round(r.score, 9)))
+        return out
+
+    assert got(knn.search(sdf, qdf, k=4)) == want  # broadcast path
+    monkeypatch.setattr(knn, "FAST_QUESTIONS", 4)
+    assert got(knn.search(sdf, qdf, k=4)) == want  # tile path
