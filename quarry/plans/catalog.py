@@ -126,7 +126,7 @@ def q10_knn_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     score threshold, full-source projection with ``similarity_score``."""
     spec = FL.FilterSpec(start_date="2024-01-01", end_date="2024-01-31", exclude_comments=False)
     corpus = FL.apply_filter(_posts(spark, sf_dir, *SEARCH_COLS), spec)
-    src = _posts(spark, sf_dir, "doc_id", "index_name", "language_text", "type")
+    src = FL.apply_filter(_posts(spark, sf_dir, "doc_id", "index_name", "language_text", "type", "date_ts"), spec)
     hits = knn.search(corpus, _question(spark, sf_dir), k=min(S.VARIANT_SIZE, S.VARIANT_K), key_col="doc_id",
                       attach_to=src)
     return knn.with_threshold(hits, S.SCORE_THRESHOLD).select(
