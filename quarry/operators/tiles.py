@@ -20,8 +20,9 @@ Both sides are unioned, repartitioned by tile and sorted within partitions by
 ``(tile, role)``, so in every group the question rows come before the corpus
 rows (a secondary sort).  Grouped ``applyInArrow`` in its iterator form then
 holds the question block, streams the corpus rows Arrow batch by batch (vectors
-read from the flat buffers) through the same NumPy kernel as the broadcast path, and emits at most ``k`` rows per
-question; the per-question merge is :func:`quarry.operators.knn.merge_topk`.
+read from the flat buffers) through the same NumPy kernel as the broadcast
+path, and emits at most ``k`` rows per question; the per-question merge is
+:func:`quarry.operators.knn.merge_topk`.
 Exact search over all pairs costs |questions| x |corpus| distance evaluations
 whatever the plan; the tiles keep every task's memory bounded and ship the
 corpus ``t`` times and each question ``s`` times.
