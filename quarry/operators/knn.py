@@ -112,19 +112,20 @@ def small_questions(questions: DataFrame, qid: str, vec: str, block_bytes: int):
     The vector width is read from one row first, so the fetch is limited to
     ``min(FAST_QUESTIONS, block_bytes / (8 d))`` rows (plus one to detect a
     larger table) before anything big reaches the driver; ``limit`` stops
-    reading early.  Questions without a vector have no hits."""
+    reading early, and the rows arrive as one Arrow table.  Questions without
+    a vector have no hits; vectors of unequal width are an error."""
     q = questions.where(F.col(vec).isNotNull())
     first = q.select(F.size(vec)).limit(1).collect()
     if not first:
         return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
     cap = min(FAST_QUESTIONS, block_bytes // (8 * max(1, int(first[0][0]))))
-    rows = q.select(qid, vec).limit(cap + 1).collect() if cap > 0 else [None]
-    if len(rows) > cap:
+    if cap <= 0:
         return None
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    mat = V.stack_vectors([r[1] for r in rows])
-    if mat.nbytes > block_bytes:  # rows of unequal width
+    table = q.select(F.col(qid).cast("long").alias("q"), F.col(vec).alias("v")).limit(cap + 1).toArrow()
+    if table.num_rows > cap:
         return None
+    ids = table.column("q").to_numpy()
+    mat = V.arrow_matrix(table.column("v"))  # one flat buffer, no per-row objects
     return ids, mat
 
 
