@@ -36,6 +36,7 @@ from quarry.session import checkpoint_dir, estimated_partitions, ship_package
 class Cells:
     centroids: np.ndarray  # (n_cells, d) float64
     rows_per_cell: float
+    sizes: tuple[float, ...] = ()  # corpus rows per cell (training counts, scaled when sampled)
 
     @property
     def n_cells(self) -> int:
@@ -62,9 +63,9 @@ def build_cells(corpus: DataFrame, n_cells: int, vector_col: str = "embedding",
                    predictionCol="cell").fit(train)
     centroids = np.stack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     tagged = model.transform(feats).drop("_features")
-    sizes = model.summary.clusterSizes
-    rows = float(sum(sizes)) / (train_fraction if sampled else 1.0)  # estimated corpus rows
-    return Cells(centroids, rows / max(1, len(sizes))), tagged
+    scale = 1.0 / train_fraction if sampled else 1.0  # sizes estimate the whole corpus
+    sizes = tuple(float(n) * scale for n in model.summary.clusterSizes)
+    return Cells(centroids, sum(sizes) / max(1, len(sizes)), sizes), tagged
 
 
 def write_cells(tagged: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -172,9 +173,13 @@ def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.D
     small = knn.small_questions(questions, question_id_col, question_vector_col, block_bytes)
     if small is None:
         probed = assign_probes(questions, cells, nprobe, metric, question_id_col, question_vector_col)
+        # chunk sizing from the cells' row counts: counting the tagged corpus
+        # would read every vector again (its cell is computed from the vector)
+        counts = dict(enumerate(cells.sizes)) if cells.sizes else None
         cands, _, chunks = tiles.search(
             tagged.select(key_col, vector_col, "cell"), probed, k, metric, key_col, vector_col,
             question_id_col, question_vector_col, cell_col="cell", tile_bytes=block_bytes,
+            corpus_counts=counts,
         )
         levels = knn.merge_levels(chunks * min(nprobe, cells.n_cells))
     elif len(small[0]):

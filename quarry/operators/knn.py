@@ -186,9 +186,9 @@ def search(
     base = corpus.where(F.col(vector_col).isNotNull()).select(key_col, vector_col)
     small = small_questions(questions, question_id_col, question_vector_col, block_bytes)
     if small is None:
-        cands, n_questions, chunks = tiles.search(
-            base, questions, k, metric, key_col, vector_col, question_id_col, question_vector_col,
-            tile_bytes=block_bytes,
+        cands, n_questions, chunks = tiles.search(  # counts the corpus without reading vectors
+            corpus.select(key_col, vector_col), questions, k, metric, key_col, vector_col,
+            question_id_col, question_vector_col, tile_bytes=block_bytes,
         )
         levels = merge_levels(chunks)
     elif len(small[0]):

@@ -54,35 +54,41 @@ def _cell_counts(df: DataFrame, cell: str, vec: str) -> dict[int, tuple[int, int
     return {int(r[0]): (int(r["n"]), int(r["d"] or 0)) for r in rows}
 
 
-def _both_counts(c: DataFrame, q: DataFrame) -> tuple[dict, dict]:
-    """Per-cell ``(rows, max dimension)`` of corpus and questions in one job
-    (one row per cell and side reaches the driver)."""
-    side = lambda df, role, vec: df.select(F.lit(role).alias("_r"), "_cell", F.size(vec).alias("_d"))
-    rows = (
-        side(c, CORPUS, "_vec").unionByName(side(q, QUESTION, "_qvec"))
-        .groupBy("_r", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("d"))
-        .collect()
-    )
-    out: tuple[dict, dict] = ({}, {})
+def _both_counts(cells: DataFrame, q: DataFrame, with_corpus: bool) -> tuple[dict, dict]:
+    """Per-cell corpus rows (``cells`` holds only ``_cell``, so the count reads
+    no vectors) and per-cell ``(rows, max dimension)`` of the questions, in one
+    job; one row per cell and side reaches the driver."""
+    qside = q.select(F.lit(QUESTION).alias("_r"), "_cell", F.size("_qvec").alias("_d"))
+    both = qside
+    if with_corpus:
+        both = cells.select(F.lit(CORPUS).alias("_r"), "_cell", F.lit(None).cast("int").alias("_d")).unionByName(qside)
+    rows = both.groupBy("_r", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("d")).collect()
+    corpus_counts: dict[int, int] = {}
+    question_counts: dict[int, tuple[int, int]] = {}
     for r in rows:
-        out[0 if r["_r"] == CORPUS else 1][int(r["_cell"])] = (int(r["n"]), int(r["d"] or 0))
-    return out
+        if r["_r"] == CORPUS:
+            corpus_counts[int(r["_cell"])] = int(r["n"])
+        else:
+            question_counts[int(r["_cell"])] = (int(r["n"]), int(r["d"] or 0))
+    return corpus_counts, question_counts
 
 
-def plan_tiles(corpus_counts: dict[int, tuple[int, int]], question_counts: dict[int, tuple[int, int]],
+def plan_tiles(corpus_counts: dict[int, float], question_counts: dict[int, tuple[int, int]],
                tile_bytes: int = DEFAULT_TILE_BYTES, min_tiles: int = 1,
                max_chunk_rows: int | None = None) -> dict[int, tuple[int, int]]:
-    """``cell -> (corpus chunks, question blocks)`` for cells present on both sides.
-
-    Question blocks stay within ``tile_bytes``.  Corpus chunks are spread so
-    that there are about ``min_tiles`` chunks in all (a cell's share follows
-    its rows, never below :data:`MIN_CHUNK_ROWS` rows per chunk) and no chunk
-    exceeds ``max_chunk_rows`` (default :data:`MAX_CHUNK_ROWS`)."""
+    """``cell -> (corpus chunks, question blocks)`` for every cell with questions.
+
+    ``corpus_counts`` may be estimates (they only size the chunks): a cell
+    counted empty still gets one chunk, so no corpus row can be left out.
+    Question blocks stay within ``tile_bytes`` (width from the questions).
+    Corpus chunks are spread so that there are about ``min_tiles`` chunks in
+    all (a cell's share follows its rows, never below :data:`MIN_CHUNK_ROWS`
+    rows per chunk) and no chunk exceeds ``max_chunk_rows`` (default
+    :data:`MAX_CHUNK_ROWS`)."""
     max_chunk_rows = max_chunk_rows or MAX_CHUNK_ROWS
-    dims = [d for _, d in corpus_counts.values()] + [d for _, d in question_counts.values()]
-    block_rows = max(1, tile_bytes // (8 * max(1, max(dims, default=1))))
-    both = {c: (corpus_counts.get(c, (0, 0))[0], m) for c, (m, _) in question_counts.items()}
-    both = {c: (n, m) for c, (n, m) in both.items() if n and m}
+    d = max((dq for _, dq in question_counts.values()), default=1)
+    block_rows = max(1, tile_bytes // (8 * max(1, d)))
+    both = {c: (max(1.0, float(corpus_counts.get(c, 0))), m) for c, (m, _) in question_counts.items() if m}
     total = sum(n for n, _ in both.values())
     plan = {}
     for c, (n, m) in both.items():
@@ -127,30 +133,36 @@ def _kernel(k: int, metric: str, key_col: str):
 def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2", key_col: str = "id",
            vector_col: str = "embedding", question_id_col: str = "question_id",
            question_vector_col: str = "embedding", cell_col: str | None = None,
-           tile_bytes: int = DEFAULT_TILE_BYTES) -> tuple[DataFrame, int, int]:
+           tile_bytes: int = DEFAULT_TILE_BYTES,
+           corpus_counts: dict[int, float] | None = None) -> tuple[DataFrame, int, int]:
     """Per-tile top-``k`` candidates ``question_id, <key_col>, distance``.
 
     With ``cell_col`` both tables carry it (questions once per probed cell) and
-    only same-cell pairs are scored.  Returns the candidates, the number of
-    question rows (questions x probed cells: an upper bound on the questions,
-    for result bounds) and the largest chunk count (for the merge fan-in)."""
+    only same-cell pairs are scored.  ``corpus_counts`` (rows per cell, may be
+    estimates) skips counting the corpus; otherwise it is counted from the
+    cell column alone (pass the corpus without a vector-null filter and the
+    count reads no vectors; rows without a vector are dropped when scored).
+    Returns the candidates, the number of question rows (questions x probed
+    cells: an upper bound on the questions, for result bounds) and the largest
+    chunk count (for the merge fan-in)."""
     if metric not in V.METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     spark = corpus.sparkSession
     key_type = corpus.schema[key_col].dataType
     vec_type = corpus.schema[vector_col].dataType
     qvec_type = questions.schema[question_vector_col].dataType
+    cell = F.col(cell_col).cast("int") if cell_col else F.lit(0)
+    cells_only = corpus.select(cell.alias("_cell"))
     c = corpus.where(F.col(vector_col).isNotNull())
     q = questions.where(F.col(question_vector_col).isNotNull())
-    cell = F.col(cell_col).cast("int") if cell_col else F.lit(0)
     c = c.select(cell.alias("_cell"), F.lit(CORPUS).alias("_role"), F.col(key_col), F.col(vector_col).alias("_vec"),
                  F.lit(None).cast("long").alias("_qid"), F.lit(None).cast(qvec_type).alias("_qvec"))
     q = q.select(cell.alias("_cell"), F.lit(QUESTION).alias("_role"), F.lit(None).cast(key_type).alias(key_col),
                  F.lit(None).cast(vec_type).alias("_vec"), F.col(question_id_col).cast("long").alias("_qid"),
                  F.col(question_vector_col).alias("_qvec"))
-    c_counts, q_counts = _both_counts(c, q)
+    counted, q_counts = _both_counts(cells_only, q, with_corpus=corpus_counts is None)
     slots = spark.sparkContext.defaultParallelism
-    plan = plan_tiles(c_counts, q_counts, tile_bytes, 2 * slots)
+    plan = plan_tiles(counted if corpus_counts is None else corpus_counts, q_counts, tile_bytes, 2 * slots)
     out_schema = T.StructType([
         T.StructField("question_id", T.LongType()),
         T.StructField(key_col, key_type),

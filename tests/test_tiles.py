@@ -12,11 +12,13 @@ def _questions(spark, qs):
 def test_plan_tiles_splits_hot_cells_on_both_sides():
     # cell 0 holds most corpus rows, cell 1 most questions; question blocks of
     # 10 rows (d=8), corpus chunks of at most 10 rows
-    counts_c, counts_q = {0: (95, 8), 1: (5, 8), 2: (7, 8)}, {0: (3, 8), 1: (40, 8), 3: (2, 8)}
+    counts_c, counts_q = {0: 95, 1: 5, 2: 7}, {0: (3, 8), 1: (40, 8), 3: (2, 8)}
     plan = tiles.plan_tiles(counts_c, counts_q, 10 * 8 * 8, max_chunk_rows=10)
-    assert plan == {0: (10, 1), 1: (1, 4)}  # cells without rows on one side are dropped
+    # cells without questions are dropped; a question cell counted empty
+    # (counts may be estimates) still gets one chunk
+    assert plan == {0: (10, 1), 1: (1, 4), 3: (1, 1)}
     # streamed chunks follow parallelism: 1,000 tiles wanted, 256-row floor
-    big = tiles.plan_tiles({0: (3_000_000, 8), 1: (1_000_000, 8)}, {0: (5, 8), 1: (5, 8)}, min_tiles=1000)
+    big = tiles.plan_tiles({0: 3_000_000, 1: 1_000_000}, {0: (5, 8), 1: (5, 8)}, min_tiles=1000)
     assert big == {0: (750, 1), 1: (250, 1)}
 
 
