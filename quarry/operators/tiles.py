@@ -188,9 +188,12 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
     )
     cols = [*TILE, "_role", key_col, "_vec", "_qid", "_qvec"]
     n_tiles = sum(s_n * t_n for s_n, t_n in plan.values())
+    # several tiles may share a task (each is still its own group): the
+    # shuffle width stays near the cluster's, however many tiles there are
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * slots)
     rows = (
         q.select(*cols).unionByName(c.select(*cols))
-        .repartition(n_tiles, *TILE)
+        .repartition(min(n_tiles, width), *TILE)
         .sortWithinPartitions(*TILE, "_role")  # questions first inside every tile
     )
     cands = rows.groupBy(*TILE).applyInArrow(_kernel(k, metric, key_col), out_schema)
