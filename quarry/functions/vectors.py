@@ -127,59 +127,77 @@ def block_keys(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return -g
 
 
-# Candidates within a margin of the k-th approximate key are re-scored exactly.
-# The matrix-product form errs by about d * eps * |x||q|; the margin
-# (absolute floor + a relative term far above that error) guarantees no true
-# top-k member falls outside the pool.
+# Candidates within a margin of the k-th approximate key are re-scored exactly
+# in float64.  The approximate keys are computed in float32 (half the memory
+# traffic of float64, faster BLAS); a dot product of length d errs by at most
+# about d * eps32 * |x||q| and the norm terms add a few eps32 * scale, so a key
+# and the k-th key together are off by less than (d + 8) * eps32 * scale; the
+# margin (absolute floor + 4x that) guarantees no true top-k member falls
+# outside the pool.
 KEY_MARGIN = 1e-9
-KEY_MARGIN_REL = 1e-9
+KEY_MARGIN_REL_D = 4.0 * 2.0**-24  # per dimension, relative to the key scale
 
 
-def key_margin(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Per-question tolerance for the approximate keys of ``block_keys``."""
+class Batch:
+    """A corpus batch prepared once for all question slices: float64 rows for
+    the exact re-score, float32 rows and squared norms for the approximate keys."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.x32 = x.astype(np.float32)
+        self.sq = np.einsum("ij,ij->i", x, x)
+        self.norm_max = float(np.sqrt(self.sq.max())) if len(x) else 0.0
+
+
+def key_margin(b: Batch, q: np.ndarray, metric: str) -> np.ndarray:
+    """Per-question tolerance for the approximate keys of :func:`question_keys`."""
+    rel = KEY_MARGIN_REL_D * (b.x.shape[1] + 8)
     if metric == "cosine":
-        return np.full(q.shape[0], KEY_MARGIN + KEY_MARGIN_REL)
-    nx = float(np.sqrt(np.einsum("ij,ij->i", x, x).max())) if len(x) else 0.0
+        return np.full(q.shape[0], KEY_MARGIN + rel * 4.0)
     nq = np.sqrt(np.einsum("ij,ij->i", q, q))
-    scale = (nx + nq) ** 2 if metric == "l2" else nx * nq
-    return KEY_MARGIN + KEY_MARGIN_REL * scale
+    scale = (b.norm_max + nq) ** 2 if metric == "l2" else b.norm_max * nq
+    return KEY_MARGIN + rel * scale
 
 
-def question_keys(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """(m, n) approximate keys, one row per question (contiguous rows, so the
-    per-question selection below runs along memory order); built in place."""
-    g = q @ x.T
+def question_keys(q: np.ndarray, b: Batch, metric: str) -> np.ndarray:
+    """(m, n) float32 approximate keys, one row per question (contiguous rows,
+    so the per-question selection runs along memory order); built in place."""
+    g = q.astype(np.float32) @ b.x32.T
     if metric == "l2":
         g *= -2.0
-        g += np.einsum("ij,ij->i", q, q)[:, None]
-        g += np.einsum("ij,ij->i", x, x)[None, :]
+        g += np.einsum("ij,ij->i", q, q).astype(np.float32)[:, None]
+        g += b.sq.astype(np.float32)[None, :]
         return g
     if metric == "cosine":
-        g /= np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
-        g /= np.sqrt(np.einsum("ij,ij->i", x, x))[None, :]
-        np.subtract(1.0, g, out=g)
+        g /= np.sqrt(np.einsum("ij,ij->i", q, q)).astype(np.float32)[:, None]
+        g /= np.sqrt(b.sq).astype(np.float32)[None, :]
+        np.subtract(np.float32(1.0), g, out=g)
         return g
     np.negative(g, out=g)
     return g
 
 
-def topk_block(x: np.ndarray, q: np.ndarray, k: int, metric: str):
-    """For each question (row of ``q``), indices into ``x`` of a candidate
-    pool that surely contains its k nearest rows, with exact keys.
+def topk_block(x, q: np.ndarray, k: int, metric: str):
+    """For each question (row of ``q``), indices into the batch ``x`` (an
+    array or a prepared :class:`Batch`) of a candidate pool that surely
+    contains its k nearest rows, with exact float64 keys.
 
     Returns (row_idx, question_idx, exact_key) flat arrays.
     """
-    n = x.shape[0]
+    b = x if isinstance(x, Batch) else Batch(x)
+    n = b.x.shape[0]
     if n == 0 or q.shape[0] == 0:
         e = np.zeros(0, dtype=np.int64)
         return e, e, np.zeros(0)
-    approx = question_keys(q, x, metric)  # (m, n)
+    approx = question_keys(q, b, metric)  # (m, n) float32
     kk = min(k, n)
-    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-    cols, rows = np.nonzero(approx <= (kth + key_margin(x, q, metric))[:, None])
+    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1].astype(np.float64)
+    bound = (kth + key_margin(b, q, metric)).astype(np.float32)
+    bound = np.nextafter(bound, np.float32(np.inf))  # round the float32 bound up
+    cols, rows = np.nonzero(approx <= bound[:, None])
     keys = np.empty(len(rows))
-    step = max(1, 4_000_000 // max(1, x.shape[1]))
+    step = max(1, 4_000_000 // max(1, b.x.shape[1]))
     for s in range(0, len(rows), step):
         r, c = rows[s : s + step], cols[s : s + step]
-        keys[s : s + step] = exact_keys(x[r], q[c], metric)
+        keys[s : s + step] = exact_keys(b.x[r], q[c], metric)
     return rows, cols, keys

@@ -42,10 +42,23 @@ CANDIDATE_BUDGET = 200_000_000  # per-task top-k rows (tasks x questions x k) se
 FAST_QUESTIONS = 8192  # question tables up to this many rows (and the byte budget) are broadcast
 
 
-def _partition_topk(state: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
-    both = new if state is None else pd.concat([state, new], ignore_index=True)
-    both = both.sort_values(["question_id", "distance", "key"], kind="mergesort")
-    return both.groupby("question_id", sort=False).head(k)
+def _partition_topk(state, qid: np.ndarray, key: np.ndarray, dist: np.ndarray, k: int):
+    """Merge new candidates into a running top-k: arrays ``(qid, key, dist)``
+    ordered by ``(qid, dist, key)``, at most ``k`` rows per question (NumPy
+    only: one lexsort and a group rank, no pandas)."""
+    if state is not None:
+        qid = np.concatenate([state[0], qid])
+        key = np.concatenate([state[1], key])
+        dist = np.concatenate([state[2], dist])
+    order = np.lexsort((key, dist, qid))
+    qid, key, dist = qid[order], key[order], dist[order]
+    n = len(qid)
+    if n:
+        starts = np.flatnonzero(np.r_[True, qid[1:] != qid[:-1]])
+        rank = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
+        keep = rank < k
+        qid, key, dist = qid[keep], key[keep], dist[keep]
+    return qid, key, dist
 
 
 def question_slices(qids: np.ndarray, qmat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -58,19 +71,23 @@ def score_block(states: list | None, x, keys, slices, k, metric) -> list:
     every question slice.  Each slice keeps its own state, so a merge sorts at
     most ``QUESTION_CHUNK x k`` old rows however many questions there are."""
     states = states if states is not None else [None] * len(slices)
+    b = V.Batch(x)  # float32 copy and norms computed once per batch
     for j, (sid, smat) in enumerate(slices):
-        rows, cols, d = V.topk_block(x, smat, k, metric)
-        new = pd.DataFrame({"question_id": sid[cols], "key": keys[rows], "distance": d})
-        states[j] = _partition_topk(states[j], new, k)
+        rows, cols, d = V.topk_block(b, smat, k, metric)
+        states[j] = _partition_topk(states[j], sid[cols], keys[rows], d, k)
     return states
 
 
 def finish(states: list | None, key_col: str) -> pd.DataFrame | None:
     """Concatenate per-slice states into ``question_id, <key_col>, distance``."""
-    done = [s for s in (states or []) if s is not None and len(s)]
+    done = [s for s in (states or []) if s is not None and len(s[0])]
     if not done:
         return None
-    return pd.concat(done, ignore_index=True).rename(columns={"key": key_col})
+    return pd.DataFrame({
+        "question_id": np.concatenate([s[0] for s in done]).astype(np.int64),
+        key_col: np.concatenate([s[1] for s in done]),
+        "distance": np.concatenate([s[2] for s in done]),
+    })
 
 
 def to_batch(out: pd.DataFrame, key_col: str):

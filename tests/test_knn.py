@@ -140,3 +140,32 @@ def test_two_level_facet_cap_equals_one_level(spark, monkeypatch):
     plan = FC.facets(df, ["a", "b"], size=10)
     assert plan._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
     assert sorted(plan.collect()) == one and len(one) == 15
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
+def test_float32_keys_exact_under_cancellation(metric):
+    """Float32 approximate keys + float64 re-score stay exact when distances
+    are tiny next to the norms (worst case for the expanded L2 form)."""
+    from quarry.operators import knn as K
+
+    rng = np.random.default_rng(11)
+    d = 48
+    x = 1e3 + rng.normal(size=(3000, d)) * 1e-3
+    x[100] = x[200]  # exact tie, broken by key
+    q = 1e3 + rng.normal(size=(40, d)) * 1e-3
+    keys = np.arange(len(x))[::-1].copy()
+    slices = K.question_slices(np.arange(40), q)
+    states = None
+    for s in range(0, len(x), 700):  # several batches
+        states = K.score_block(states, x[s : s + 700], keys[s : s + 700], slices, 7, metric)
+    got = K.finish(states, "id")
+    for j in range(40):
+        want_keys = V_exact(x, q[j], metric)
+        order = np.lexsort((keys, want_keys))[:7]
+        assert list(got[got.question_id == j].sort_values(["distance", "id"]).id) == list(keys[order])
+
+
+def V_exact(x, qv, metric):
+    from quarry.functions import vectors as V
+
+    return V.exact_keys(x, np.repeat(qv[None, :], len(x), 0), metric)
