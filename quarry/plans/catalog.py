@@ -162,8 +162,12 @@ def q12_hit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.hit_table(batch_attached(spark, sf_dir), keep=("question_id", "rank"))
 
 
+# payload of context rows: text, link and the scheme-routed category
+CONTEXT_SOURCE = ("doc_id", "index_name", "translated_text", "url", "category", "misc")
+
+
 def q13_context_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = H.context_rows(batch_attached(spark, sf_dir), S.RULES.column(), keep=("question_id", "rank"))
+    ctx = H.context_rows(batch_attached(spark, sf_dir, CONTEXT_SOURCE), S.RULES.column(), keep=("question_id", "rank"))
     return ctx.select("question_id", "rank", "url", "category", F.length("text").cast("long").alias("text_chars"))
 
 
@@ -195,7 +199,9 @@ def q17_approx_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dist(spark, sf_dir):
-    table = H.hit_table(batch_attached(spark, sf_dir), keep=("question_id",))
+    # only the distribution dimensions are read (absent hit-table fields are NULL)
+    src = ("doc_id", "category", "misc", "language_text", "country")
+    table = H.hit_table(batch_attached(spark, sf_dir, src), keep=("question_id",))
     dims = FC.distribution_dims(S.RULES.for_name(S.SELECTION))
     return FC.distributions(table, dims, by=["question_id"])
 
@@ -235,7 +241,8 @@ def q20_topic_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- context pack and evaluation tables -------------------------------------------
 
 def packed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ctx = H.context_rows(batch_attached(spark, sf_dir), S.RULES.column(), keep=("question_id", "rank", "doc_id"))
+    ctx = H.context_rows(batch_attached(spark, sf_dir, CONTEXT_SOURCE), S.RULES.column(),
+                         keep=("question_id", "rank", "doc_id"))
     return H.pack_context(ctx, fields=("doc_id", "text", "url", "category"))
 
 
