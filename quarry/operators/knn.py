@@ -5,12 +5,12 @@ Plan:
 1. ``corpus`` is filtered first (the caller's ``where`` is pushed into the
    scan), projected to ``key, vector`` only.
 2. Small question tables (at most :data:`FAST_QUESTIONS` rows within the
-   byte budget, proven by one ``limit`` fetch) are broadcast.  ``mapInArrow``
-   scans each corpus partition in Arrow batches (vectors read from the flat
-   Arrow buffer): one matrix product per batch
-   against the questions, exact re-scoring of a small candidate pool, and a
-   running per-partition top-k by ``(distance, key)``.  The corpus is read once
-   and never shuffled; each task emits at most ``k`` rows per question.
+   byte budget, proven by one width-capped ``limit`` fetch) are broadcast.
+   ``mapInArrow`` scans each corpus partition in Arrow batches (vectors read
+   from the flat Arrow buffer): one float32 matrix product per batch and
+   question slice, exact float64 re-scoring of a small candidate pool, and a
+   running per-partition top-k by ``(distance, key)``.  The corpus is read
+   once and never shuffled; each task emits at most ``k`` rows per question.
 3. Larger question tables never pass through the driver: they are joined to
    the corpus in bounded tiles (:mod:`quarry.operators.tiles`).
 4. Per-question merge with ``row_number() <= k`` (Spark plans a partial
