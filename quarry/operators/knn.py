@@ -39,7 +39,9 @@ DEFAULT_BLOCK_BYTES = 64 << 20  # question broadcast budget and tile budget (flo
 QUESTION_CHUNK = 256  # questions scored together inside one kernel call
 ATTACH_BROADCAST_ROWS = 2_000_000  # hits (questions x k) broadcast when provably below
 CANDIDATE_BUDGET = 200_000_000  # per-task top-k rows (tasks x questions x k) sent to the merge
-FAST_QUESTIONS = 8192  # question tables up to this many rows (and the byte budget) are broadcast
+# Question tables within the byte budget are broadcast (the corpus is then
+# never shuffled); the row cap only bounds the fetch for very narrow vectors.
+FAST_QUESTIONS = 1 << 18
 
 
 def _partition_topk(state, qid: np.ndarray, key: np.ndarray, dist: np.ndarray, k: int):
