@@ -54,15 +54,20 @@ def _cell_counts(df: DataFrame, cell: str, vec: str) -> dict[int, tuple[int, int
     return {int(r[0]): (int(r["n"]), int(r["d"] or 0)) for r in rows}
 
 
-def _both_counts(cells: DataFrame, q: DataFrame, with_corpus: bool) -> tuple[dict, dict]:
-    """Per-cell corpus rows (``cells`` holds only ``_cell``, so the count reads
-    no vectors) and per-cell ``(rows, max dimension)`` of the questions, in one
-    job; one row per cell and side reaches the driver."""
+def _counts_frame(cells: DataFrame, q: DataFrame, with_corpus: bool) -> DataFrame:
+    """``_r, _cell, n, d`` per side and cell (corpus side: no vector column)."""
     qside = q.select(F.lit(QUESTION).alias("_r"), "_cell", F.size("_qvec").alias("_d"))
     both = qside
     if with_corpus:
         both = cells.select(F.lit(CORPUS).alias("_r"), "_cell", F.lit(None).cast("int").alias("_d")).unionByName(qside)
-    rows = both.groupBy("_r", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("d")).collect()
+    return both.groupBy("_r", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("d"))
+
+
+def _both_counts(cells: DataFrame, q: DataFrame, with_corpus: bool) -> tuple[dict, dict]:
+    """Per-cell corpus rows (``cells`` holds only ``_cell``, so the count reads
+    no vectors) and per-cell ``(rows, max dimension)`` of the questions, in one
+    job; one row per cell and side reaches the driver."""
+    rows = _counts_frame(cells, q, with_corpus).collect()
     corpus_counts: dict[int, int] = {}
     question_counts: dict[int, tuple[int, int]] = {}
     for r in rows:

@@ -131,3 +131,20 @@ def test_string_keys_on_both_paths(spark, monkeypatch):
     assert got(knn.search(sdf, qdf, k=4)) == want  # broadcast path
     monkeypatch.setattr(knn, "FAST_QUESTIONS", 4)
     assert got(knn.search(sdf, qdf, k=4)) == want  # tile path
+
+
+def test_planning_reads_no_corpus_vectors_and_fetch_is_capped(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    df, x, keys = corpus(spark, n=200, d=8, parts=2)
+    df.write.parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    q = _questions(spark, x[:5]).select(F.lit(0).alias("_cell"), F.col("embedding").alias("_qvec"))
+    plan = tiles._counts_frame(stored.select(F.lit(0).alias("_cell")), q, True)._jdf.queryExecution() \
+        .executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]  # the corpus is the only file scan
+    assert scans and all("ReadSchema: struct<>" in line for line in scans)
+    # width-capped fetch: 8 dims x 8 bytes x 4 rows fit, 5 questions do not
+    assert knn.small_questions(_questions(spark, x[:5]), "question_id", "embedding", 4 * 8 * 8) is None
+    ids, mat = knn.small_questions(_questions(spark, x[:4]), "question_id", "embedding", 4 * 8 * 8)
+    assert list(ids) == [0, 1, 2, 3] and mat.shape == (4, 8)
