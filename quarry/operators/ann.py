@@ -6,9 +6,13 @@
   (:func:`quarry.sources.corpus.write_corpus`), a cell filter prunes whole
   directories.
 * :func:`search` picks the ``nprobe`` nearest cells per question (centroids
-  are ``n_cells x d``, bounded by the parameter), filters the corpus to the
-  union of probed cells (partition pruning), and scores each question only
-  against rows of its own probed cells, then merges like the exact search.
+  are ``n_cells x d``, bounded by the parameter) and scores each question
+  only against rows of its own probed cells, then merges like the exact
+  search.  A question table within the broadcast budget is shipped with its
+  probe lists and the corpus is filtered to the union of probed cells
+  (partition pruning when stored by cell); a larger one stays distributed:
+  :func:`assign_probes` runs on executors and questions meet their cells'
+  rows in bounded ``(cell, chunk, block)`` tiles (:mod:`quarry.operators.tiles`).
 
 ``nprobe >= n_cells`` reproduces the exact search.  The candidate budget of a
 search engine (``num_candidates``) maps to ``nprobe`` via
