@@ -37,6 +37,7 @@ from quarry.session import estimated_partitions, ship_package
 DEFAULT_K = 30  # fixed value: results per search
 DEFAULT_BLOCK_BYTES = 64 << 20  # question broadcast budget and tile budget (float64 bytes)
 QUESTION_CHUNK = 256  # questions scored together inside one kernel call
+SCAN_ROWS = 2048  # corpus rows per kernel call: a 256 x 2048 float32 key matrix stays in cache
 ATTACH_BROADCAST_ROWS = 2_000_000  # hits (questions x k) broadcast when provably below
 CANDIDATE_BUDGET = 200_000_000  # per-task top-k rows (tasks x questions x k) sent to the merge
 # Question tables within the byte budget are broadcast (the corpus is then
@@ -73,10 +74,12 @@ def score_block(states: list | None, x, keys, slices, k, metric) -> list:
     every question slice.  Each slice keeps its own state, so a merge sorts at
     most ``QUESTION_CHUNK x k`` old rows however many questions there are."""
     states = states if states is not None else [None] * len(slices)
-    b = V.Batch(x)  # float32 copy and norms computed once per batch
-    for j, (sid, smat) in enumerate(slices):
-        rows, cols, d = V.topk_block(b, smat, k, metric)
-        states[j] = _partition_topk(states[j], sid[cols], keys[rows], d, k)
+    for r0 in range(0, len(x), SCAN_ROWS):  # sub-blocks keep each key matrix cache-sized
+        b = V.Batch(x[r0 : r0 + SCAN_ROWS])  # float32 copy and norms once per sub-block
+        kb = keys[r0 : r0 + SCAN_ROWS]
+        for j, (sid, smat) in enumerate(slices):
+            rows, cols, d = V.topk_block(b, smat, k, metric)
+            states[j] = _partition_topk(states[j], sid[cols], kb[rows], d, k)
     return states
 
 
