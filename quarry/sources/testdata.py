@@ -167,7 +167,7 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefixes = F.array(*[F.lit("topics-" + p) for p in TOPIC_PREFIXES])
     first = b.select(
         F.concat(F.lit("k"), i.cast("string")).alias("topic_hash_id"),
-        F.when(i % 10 == 0, F.lit("")).otherwise(F.substring("text", 1, 80)).alias("topic_summary"),
+        F.when(i % 10 == 0, F.lit("")).otherwise(F.col("text")).alias("topic_summary"),
         F.when(i % 4 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("n"), i.cast("string")))
         .alias("topic_narratives"),
         F.element_at(prefixes, (i % 4 + 1).cast("int")).alias("index_name"),
@@ -247,7 +247,7 @@ posts AS (
 TOPICS_SQL = f"""
 topics AS (
   SELECT concat('k', CAST(item_id AS VARCHAR)) AS topic_hash_id,
-    CASE WHEN item_id % 10 = 0 THEN '' ELSE substr(text, 1, 80) END AS topic_summary,
+    CASE WHEN item_id % 10 = 0 THEN '' ELSE text END AS topic_summary,
     CASE WHEN item_id % 4 = 0 THEN NULL ELSE concat('n', CAST(item_id AS VARCHAR)) END AS topic_narratives,
     {_case('item_id % 4', ['topics-' + p for p in TOPIC_PREFIXES])} AS index_name,
     0 AS seq
