@@ -88,19 +88,39 @@ def nprobe_for_budget(cells: Cells, num_candidates: int) -> int:
     return max(1, min(cells.n_cells, math.ceil(num_candidates / max(cells.rows_per_cell, 1.0))))
 
 
+PROBE_CHUNK = 1024  # questions whose centroid keys are computed together
+
+
 def _probes(cells: Cells, qmat: np.ndarray, nprobe: int, metric: str) -> np.ndarray:
-    keys = V.block_keys(cells.centroids, qmat, metric)  # (n_cells, m)
-    p = min(nprobe, cells.n_cells)
-    return np.argsort(keys, axis=0, kind="stable")[:p].T  # (m, p)
+    """(m, p) nearest cells per question, nearest first (ties by cell id).
+    Computed in question chunks, so memory is PROBE_CHUNK x n_cells at most."""
+    n, p = cells.n_cells, min(nprobe, cells.n_cells)
+    out = np.empty((len(qmat), p), dtype=np.int64)
+    for s in range(0, len(qmat), PROBE_CHUNK):
+        keys = V.block_keys(cells.centroids, qmat[s : s + PROBE_CHUNK], metric).T  # (m, n)
+        part = np.argpartition(keys, p - 1, axis=1)[:, :p] if p < n else np.tile(np.arange(n), (len(keys), 1))
+        order = np.lexsort((part, np.take_along_axis(keys, part, axis=1)))  # by key, then cell
+        out[s : s + PROBE_CHUNK] = np.take_along_axis(part, order, axis=1)
+    return out
+
+
+def _members(probes: np.ndarray) -> dict[int, np.ndarray]:
+    """cell -> indices of the questions probing it (one sort, no cell x question scan)."""
+    m, p = probes.shape
+    flat_c = probes.reshape(-1)
+    flat_q = np.repeat(np.arange(m), p)
+    order = np.argsort(flat_c, kind="stable")
+    c_sorted, q_sorted = flat_c[order], flat_q[order]
+    starts = np.flatnonzero(np.r_[True, c_sorted[1:] != c_sorted[:-1]]) if len(c_sorted) else np.zeros(0, int)
+    ends = np.r_[starts[1:], len(c_sorted)]
+    return {int(c_sorted[a]): q_sorted[a:b] for a, b in zip(starts, ends)}
 
 
 def _make_kernel(bq, k, metric, key_col, vec_col):
     def kernel(batches):
         qids, qmat, probes = bq.value
-        slices: dict[int, list] = {}  # cell -> slices of the questions probing it
-        for c in np.unique(probes):
-            qi = np.nonzero((probes == c).any(axis=1))[0]
-            slices[int(c)] = knn.question_slices(qids[qi], qmat[qi])
+        members = _members(probes)
+        slices: dict[int, list] = {}  # cell -> its questions' slices, built when the cell first appears
         states: dict[int, list] = {}  # a running top-k per (cell, question slice)
         for b in batches:
             if not b.num_rows:
@@ -109,11 +129,14 @@ def _make_kernel(bq, k, metric, key_col, vec_col):
             keys = b.column(key_col).to_numpy(zero_copy_only=False)
             cells = b.column("cell").to_numpy(zero_copy_only=False)
             for c in np.unique(cells):
-                sl = slices.get(int(c))
-                if not sl:
+                c = int(c)
+                if c not in members:
                     continue
+                if c not in slices:
+                    qi = members[c]
+                    slices[c] = knn.question_slices(qids[qi], qmat[qi])
                 m = cells == c
-                states[int(c)] = knn.score_block(states.get(int(c)), x[m], keys[m], sl, k, metric)
+                states[c] = knn.score_block(states.get(c), x[m], keys[m], slices[c], k, metric)
         out = knn.finish([s for st in states.values() for s in st], key_col)
         if out is not None:
             yield knn.to_batch(out, key_col)
@@ -173,7 +196,10 @@ def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.D
         T.StructField(key_col, tagged.schema[key_col].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    small = knn.small_questions(questions, question_id_col, question_vector_col, block_bytes)
+    # a task may hold every probed cell's copy of its questions: nprobe copies
+    # of the question matrix must fit the budget for the broadcast path
+    p = max(1, min(nprobe, cells.n_cells))
+    small = knn.small_questions(questions, question_id_col, question_vector_col, block_bytes // p)
     if small is None:
         probed = assign_probes(questions, cells, nprobe, metric, question_id_col, question_vector_col)
         # chunk sizing from the cells' row counts: counting the tagged corpus
