@@ -128,15 +128,18 @@ def _make_kernel(bq, k, metric, key_col, vec_col):
             x = V.arrow_matrix(b.column(vec_col))
             keys = b.column(key_col).to_numpy(zero_copy_only=False)
             cells = b.column("cell").to_numpy(zero_copy_only=False)
-            for c in np.unique(cells):
-                c = int(c)
+            order = np.argsort(cells, kind="stable")  # the batch's rows grouped by cell with one sort
+            cs = cells[order]
+            starts = np.flatnonzero(np.r_[True, cs[1:] != cs[:-1]])
+            for a, e in zip(starts, np.r_[starts[1:], len(cs)]):
+                c = int(cs[a])
                 if c not in members:
                     continue
                 if c not in slices:
                     qi = members[c]
                     slices[c] = knn.question_slices(qids[qi], qmat[qi])
-                m = cells == c
-                states[c] = knn.score_block(states.get(c), x[m], keys[m], slices[c], k, metric)
+                rows = order[a:e]
+                states[c] = knn.score_block(states.get(c), x[rows], keys[rows], slices[c], k, metric)
         out = knn.finish([s for st in states.values() for s in st], key_col)
         if out is not None:
             yield knn.to_batch(out, key_col)
