@@ -61,3 +61,24 @@ def test_stored_cells_prune_partitions(spark, tmp_path):
     exact = knn.search(df, qdf, k=5, key_col="doc_id")
     full = ann.search(stored, cells, qdf, k=5, nprobe=6, key_col="doc_id")
     assert ann.recall(full, exact, "doc_id") == 1.0
+
+
+def test_probes_chunked_and_members(spark, monkeypatch):
+    import numpy as np
+
+    from quarry.functions import vectors as V
+
+    rng = np.random.default_rng(0)
+    cents, q = rng.normal(size=(50, 8)), rng.normal(size=(300, 8))
+    cells = ann.Cells(cents, 1.0)
+    monkeypatch.setattr(ann, "PROBE_CHUNK", 64)  # several chunks
+    for p in (1, 5, 50):
+        want = np.argsort(V.block_keys(cents, q, "l2"), axis=0, kind="stable")[:p].T
+        assert (ann._probes(cells, q, p, "l2") == want).all()
+    pr = ann._probes(cells, q, 5, "l2")
+    mem = ann._members(pr)
+    assert all(set(mem.get(c, [])) == set(np.nonzero((pr == c).any(axis=1))[0]) for c in range(50))
+    qdf = spark.createDataFrame([(j, q[j].tolist()) for j in range(300)], "question_id long, embedding array<double>")
+    rows = ann.assign_probes(qdf, cells, 5).collect()
+    assert len(rows) == 1500
+    assert {(r.question_id, r.cell) for r in rows} == {(j, int(c)) for j in range(300) for c in pr[j]}
