@@ -32,7 +32,7 @@ def facets(df: DataFrame, fields: Sequence[str], size: int = BUCKET_CAP) -> Data
     """
     pairs = df.select(F.inline(_pairs([(f, F.col(f)) for f in fields])))
     counts = pairs.where(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("count"))
-    order = [F.col("count").desc(), F.col("value").asc()]
+    order = [("count", False), ("value", True)]
     ranked = top_per_group(counts, ["field"], order, size, "value", "bucket", shuffle_levels(counts))
     name = F.concat(F.lit("unique_"), F.regexp_replace("field", r"\.", "_"))
     return ranked.select("field", name.alias("agg_name"), "bucket", "value", F.col("count").cast("long"))
@@ -81,7 +81,7 @@ def facet_lists(df: DataFrame, scheme: str | Column, by: Sequence[str] = (), siz
         .agg(F.count(F.lit(1)).alias("count"))
     )
     is_any = F.col("value") == F.lit(ANY)
-    order = [is_any.desc(), F.col("count").desc(), F.col("value").asc()]
+    order = [(is_any, False), ("count", False), ("value", True)]
     capped = top_per_group(counts, [*by, "field"], order, size + 1, "value", "_r", shuffle_levels(counts))
     w = Window.partitionBy(*by, "field").orderBy("value")
     return capped.select(*by, "field", F.row_number().over(w).cast("long").alias("pos"), "value")

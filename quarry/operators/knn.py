@@ -168,8 +168,7 @@ def _bound_candidates(base: DataFrame, nparts: int, n_questions: int, k: int):
 
 def merge_topk(cands: DataFrame, k: int, key_col: str, levels: int = 1) -> DataFrame:
     """Global top-k per question from per-partition (or per-tile) candidates."""
-    order = [F.col("distance").asc(), F.col(key_col).asc()]
-    return top_per_group(cands, ["question_id"], order, k, key_col, "rank", levels)
+    return top_per_group(cands, ["question_id"], [("distance", True), (key_col, True)], k, key_col, "rank", levels)
 
 
 def search(

@@ -63,6 +63,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # partial WindowGroupLimit for the 10,000-bucket facet caps as well
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "20000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")

@@ -169,3 +169,23 @@ def V_exact(x, qv, metric):
     from quarry.functions import vectors as V
 
     return V.exact_keys(x, np.repeat(qv[None, :], len(x), 0), metric)
+
+
+def test_cap_above_optimizer_threshold_gets_partial_step(spark):
+    """Above spark.sql.optimizer.windowGroupLimitThreshold Catalyst plans no
+    partial WindowGroupLimit; the per-partition top-n step replaces it."""
+    from quarry.operators import facets as FC
+
+    rows = [(f"v{i % 37}", f"w{i % 5}") for i in range(600)]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(4)
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    try:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+        want = sorted(FC.facets(df, ["a", "b"], size=10).collect())
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5")
+        res = FC.facets(df, ["a", "b"], size=10)
+        plan = res._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" in plan and "WindowGroupLimit" not in plan
+        assert sorted(res.collect()) == want and len(want) == 15
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
