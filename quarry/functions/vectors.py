@@ -3,8 +3,9 @@
 Two forms of the same math:
 * Column expressions (higher-order functions, JVM-side) for single rows and
   small candidate sets;
-* a NumPy block kernel used inside ``mapInPandas`` for scanning a corpus
-  against a block of questions (Arrow batches, float64 compute).
+* a NumPy block kernel used inside ``mapInArrow`` / ``applyInArrow`` for
+  scanning a corpus against a block of questions (Arrow batches; float32
+  approximate keys, exact float64 re-score of the candidate pool).
 
 Scores follow the usual search-engine conventions:
 ``l2``: ``1 / (1 + d^2)``; ``cosine``: ``(1 + cos) / 2``; ``dot``: ``(1 + a.b) / 2``.

@@ -353,7 +353,7 @@ TILE_BUDGET = 64 << 10  # float64 bytes per tile: puts the whole-table batch sea
 def q31_knn_batch_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """q11 with a tile budget below the question table's size: no question
     reaches the driver; corpus chunks x question blocks are scored in bounded
-    cogroup tiles and merged per question (same result as q11)."""
+    streamed tiles and merged per question (same result as q11)."""
     corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
     hits = knn.search(corpus, td.vector_questions(spark, sf_dir), k=S.BATCH_K, key_col="doc_id",
                       block_bytes=TILE_BUDGET)
