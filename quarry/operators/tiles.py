@@ -86,10 +86,10 @@ def plan_tiles(corpus_counts: dict[int, float], question_counts: dict[int, tuple
     ``corpus_counts`` may be estimates (they only size the chunks): a cell
     counted empty still gets one chunk, so no corpus row can be left out.
     Question blocks stay within ``tile_bytes`` (width from the questions).
-    Corpus chunks are spread so that there are about ``min_tiles`` chunks in
-    all (a cell's share follows its rows, never below :data:`MIN_CHUNK_ROWS`
-    rows per chunk) and no chunk exceeds ``max_chunk_rows`` (default
-    :data:`MAX_CHUNK_ROWS`)."""
+    Corpus chunks are spread so that there are about ``min_tiles`` tiles
+    (chunks x blocks) in all - a cell's share follows its rows, never below
+    :data:`MIN_CHUNK_ROWS` rows per chunk - and no chunk exceeds
+    ``max_chunk_rows`` (default :data:`MAX_CHUNK_ROWS`)."""
     max_chunk_rows = max_chunk_rows or MAX_CHUNK_ROWS
     d = max((dq for _, dq in question_counts.values()), default=1)
     block_rows = max(1, tile_bytes // (8 * max(1, d)))
@@ -97,8 +97,11 @@ def plan_tiles(corpus_counts: dict[int, float], question_counts: dict[int, tuple
     total = sum(n for n, _ in both.values())
     plan = {}
     for c, (n, m) in both.items():
-        spread = min(math.ceil(min_tiles * n / total), math.ceil(n / MIN_CHUNK_ROWS))
-        plan[c] = (max(1, spread, math.ceil(n / max_chunk_rows)), math.ceil(m / block_rows))
+        t = math.ceil(m / block_rows)
+        # the cell's share of the wanted tiles, over its question blocks: every
+        # extra chunk copies all the cell's questions once more
+        spread = min(math.ceil(min_tiles * n / total / t), math.ceil(n / MIN_CHUNK_ROWS))
+        plan[c] = (max(1, spread, math.ceil(n / max_chunk_rows)), t)
     return plan
 
 

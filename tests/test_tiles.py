@@ -20,6 +20,9 @@ def test_plan_tiles_splits_hot_cells_on_both_sides():
     # streamed chunks follow parallelism: 1,000 tiles wanted, 256-row floor
     big = tiles.plan_tiles({0: 3_000_000, 1: 1_000_000}, {0: (5, 8), 1: (5, 8)}, min_tiles=1000)
     assert big == {0: (750, 1), 1: (250, 1)}
+    # many question blocks already give the tiles: fewer chunks, fewer question copies
+    many_q = tiles.plan_tiles({0: 3_000_000}, {0: (100_000, 8)}, tile_bytes=10_000 * 8 * 8, min_tiles=1000)
+    assert many_q == {0: (100, 10)}
 
 
 def test_kernel_rejects_rows_out_of_order():
