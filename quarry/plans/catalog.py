@@ -258,7 +258,11 @@ def q23_context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MODELS = ("model-a", "model-b", "model-c")
-TASKS = {"summary": "Summarize for {question}:\n{texts}", "alert": None, "comparison": "Compare:\n{texts}\nQ: {question}"}
+TASKS = {
+    "summary": "Summarize for {question}:\n{texts}",
+    "alert": None,
+    "comparison": "Compare:\n{texts}\nQ: {question}",
+}
 
 
 def q25_model_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
