@@ -27,3 +27,22 @@ def test_run_search_end_to_end(spark):
     sh = run.shares.groupBy("question_id", "dimension").agg(F.sum("share").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 for r in sh)
     run.topics.collect()
+
+
+def test_run_search_tile_path_equals_broadcast_path(spark, monkeypatch):
+    """The whole flow gives the same hits when the question table is above
+    the broadcast bound (tile join) as when it is broadcast."""
+    from quarry.operators import knn
+
+    posts = td.posts(spark, SF_SMALL)
+    questions = td.vector_questions(spark, SF_SMALL).where(F.col("question_id") < 40)
+    spec = FL.FilterSpec(start_date="2024-01-01", end_date="2024-01-31", rules=S.RULES)
+
+    def hits():
+        run = answer.run_search(posts, questions, spec, S.ALL_INDEXES, k=5, key_col="doc_id")
+        return sorted((r.question_id, r.rank, r.doc_id) for r in run.hits.collect()), run.context.count()
+
+    broadcast = hits()
+    monkeypatch.setattr(knn, "FAST_QUESTIONS", 4)
+    tiled = hits()
+    assert tiled == broadcast and len(broadcast[0]) == 200 and broadcast[1] == 40
