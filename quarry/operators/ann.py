@@ -175,7 +175,7 @@ def assign_probes(questions: DataFrame, cells: Cells, nprobe: int, metric: str =
                 names=[question_id_col, question_vector_col, "cell"],
             )
 
-    q = questions.where(F.col(question_vector_col).isNotNull())
+    q = questions.where(F.col(question_vector_col).isNotNull() & F.col(question_id_col).isNotNull())
     q = q.select(F.col(question_id_col).cast("long").alias(question_id_col),
                  F.col(question_vector_col).cast("array<double>").alias(question_vector_col))
     return q.mapInArrow(probe, out)

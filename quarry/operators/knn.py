@@ -135,8 +135,8 @@ def small_questions(questions: DataFrame, qid: str, vec: str, block_bytes: int):
     ``min(FAST_QUESTIONS, block_bytes / (8 d))`` rows (plus one to detect a
     larger table) before anything big reaches the driver; ``limit`` stops
     reading early, and the rows arrive as one Arrow table.  Questions without
-    a vector have no hits; vectors of unequal width are an error."""
-    q = questions.where(F.col(vec).isNotNull())
+    a vector or an id have no hits; vectors of unequal width are an error."""
+    q = questions.where(F.col(vec).isNotNull() & F.col(qid).isNotNull())
     first = q.select(F.size(vec)).limit(1).collect()
     if not first:
         return np.zeros(0, dtype=np.int64), np.zeros((0, 0))

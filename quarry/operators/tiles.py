@@ -162,7 +162,7 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
     cell = F.col(cell_col).cast("int") if cell_col else F.lit(0)
     cells_only = corpus.select(cell.alias("_cell"))
     c = corpus.where(F.col(vector_col).isNotNull())
-    q = questions.where(F.col(question_vector_col).isNotNull())
+    q = questions.where(F.col(question_vector_col).isNotNull() & F.col(question_id_col).isNotNull())
     c = c.select(cell.alias("_cell"), F.lit(CORPUS).alias("_role"), F.col(key_col), F.col(vector_col).alias("_vec"),
                  F.lit(None).cast("long").alias("_qid"), F.lit(None).cast(qvec_type).alias("_qvec"))
     q = q.select(cell.alias("_cell"), F.lit(QUESTION).alias("_role"), F.lit(None).cast(key_type).alias(key_col),

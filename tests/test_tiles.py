@@ -66,7 +66,7 @@ def test_tile_path_matches_brute_force(spark, monkeypatch):
 def test_tile_path_with_attach_and_missing_question_vectors(spark, monkeypatch):
     df, x, keys = corpus(spark, n=120, d=8, parts=3)
     monkeypatch.setattr(knn, "FAST_QUESTIONS", 2)
-    rows = [(j, x[j].tolist()) for j in range(5)] + [(99, None)]
+    rows = [(j, x[j].tolist()) for j in range(5)] + [(99, None), (None, x[0].tolist())]
     qdf = spark.createDataFrame(rows, "question_id long, embedding array<double>")
     res = knn.search(df, qdf, k=3, key_col="doc_id", attach_to=df.withColumnRenamed("embedding", "v"))
     got = {}
