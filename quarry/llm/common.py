@@ -60,14 +60,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour of u goes to the least of u's closed neighbourhood
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
+        large = written(
             both.join(least, "u")
             .where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
-            .distinct()
         )
-        large = written(large)
         # small star: every smaller neighbour of u, and u, goes to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
@@ -78,8 +76,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         after = written(small)
-        # a star forest: no centre has a parent of its own, no leaf has two
-        # left_semi on the centre side, and one parent for each leaf
+        # a star forest: one parent for each leaf, and none for a centre
         again = (
             after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
             .union(after.join(after.select(F.col("u").alias("p")), F.col("v") == F.col("p"), "left_semi").select("u"))

@@ -9,10 +9,11 @@ published lengths ``p``, at most ``s + max(n - p)`` shingles: a pair below the
 overlap its two sizes call for is dropped before any set is shipped. What remains
 is verified on the whole sets.
 
-Only connections are asked for, so near-copy groups are collapsed on the way:
-two leader rounds link every document to one central partner, and the closing
-round enumerates every pair whose members still lie in different components. No
-pair of different components goes untested; no pair inside one is made.
+Only connections are asked for, so near-copy groups are collapsed on the way: a
+leader round links every document to one central partner, and the closing round
+tests every candidate whose members still lie in different components, those of
+frequent shingles tile by tile. No candidate between two components goes untested;
+pairs inside one are not made.
 
 The order only steers cost. Any order gives the same links, which is why the
 estimated counts may come from chunk-wise counting and a bounded list.
@@ -38,6 +39,9 @@ LOCAL_MIN = 4  # a chunk reports a shingle that this many of its documents share
 MAX_HEAVY = 1_000_000  # entries of the broadcast count list: 16 MB at most
 MAX_EXTRA = 12  # longest extension of a prefix
 BUCKET_TOKENS = 2_000_000  # published shingles in one pruning task
+HOT_POSTING = 32  # a shingle that more classes publish is handled by tiles, not pairs
+TILE_DOCS = 1_000
+TILE_TOKENS = 2_000_000
 BROADCAST_IDS = 1_000_000  # candidate ids broadcast at most (8 MB); more are joined by shuffle
 
 
@@ -109,7 +113,7 @@ def required(n: int, percent: int) -> int:
 
 
 def _prefix(s: np.ndarray, hashes: np.ndarray, counts: np.ndarray, percent: int):
-    """(published shingles, extension l, estimated candidate cost) of one set."""
+    """(published shingles, estimated candidate cost) of one set."""
     n = len(s)
     if len(hashes):
         at = np.searchsorted(hashes, s)
@@ -120,9 +124,12 @@ def _prefix(s: np.ndarray, hashes: np.ndarray, counts: np.ndarray, percent: int)
     else:
         df = np.zeros(n, np.int64)
     c = required(n, percent)
-    cost = int(df[: n - c + 1].sum())
+    cost = int(df[: n - c + 1].sum())  # postings read by the shortest prefix
     extra = min(1 + int(math.log2(1 + cost)), MAX_EXTRA, c)
-    return s[: n - c + extra], extra, cost
+    return s[: n - c + extra], cost
+
+
+_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("p", "<u4"), ("cost", "<u4")])
 
 
 def _publish(k: int, percent: int, buckets: int, heavy):
@@ -131,23 +138,23 @@ def _publish(k: int, percent: int, buckets: int, heavy):
 
     def run(batches):
         hashes, counts = heavy.value
-        toks, nodes, size, seen = [], [], 0, set()
+        toks, heads, size, seen = [], [], 0, set()
 
         def flush():
             t = np.concatenate(toks)
-            d = np.repeat(np.array(nodes, np.int64), [len(x) for x in toks])
+            e = np.empty(len(t), _ENTRY)
+            e["token"] = t
+            lengths = [len(x) for x in toks]
+            for name, column in zip(("node", "n", "p", "cost"), zip(*heads)):
+                e[name] = np.repeat(np.array(column, np.int64), lengths)
             b = (t % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(b, kind="stable")
-            t, d, b = t[order], d[order], b[order]
+            e, b = e[order], b[order]
             cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
             ends = np.r_[cuts[1:], len(b)]
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(b[cuts]),
-                    pa.array([t[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()),
-                    pa.array([d[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()),
-                ],
-                names=["bucket", "tokens", "nodes"],
+                [pa.array(b[cuts]), pa.array([e[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())],
+                names=["bucket", "entries"],
             )
 
         for batch in batches:
@@ -158,61 +165,61 @@ def _publish(k: int, percent: int, buckets: int, heavy):
                 if a in seen:
                     continue
                 seen.add(a)
-                prefix, _, _ = _prefix(s, hashes, counts, percent)
+                prefix, cost = _prefix(s, hashes, counts, percent)
                 toks.append(prefix)
-                nodes.append(a)
+                heads.append((a, len(s), len(prefix), min(cost, 0xFFFFFFFF)))
                 size += len(prefix)
             if size >= FLUSH // 4:
                 yield flush()
-                toks, nodes, size, seen = [], [], 0, set()
+                toks, heads, size, seen = [], [], 0, set()
         if size:
             yield flush()
 
     return run
 
 
-def _shared(batches):
-    """Published shingles that two classes or more have in common, of one partition."""
-    tokens, nodes = [], []
-    for batch in batches:
-        for t, d in zip(batch.column("tokens"), batch.column("nodes")):
-            tokens.append(np.frombuffer(t.as_buffer(), np.uint64))
-            nodes.append(np.frombuffer(d.as_buffer(), np.int64))
-    if not tokens:
+POSTING = "token long, node long, n long, p long, m long, lead long, lead_n long, lead_p long"
+
+
+def _postings(batches):
+    """Published shingles that two classes or more have in common, of one partition,
+    each with its posting's size and leader (the class of the highest cost)."""
+    packed = [np.frombuffer(x.as_buffer(), _ENTRY) for batch in batches for x in batch.column("entries")]
+    if not packed:
         return
-    t, d = np.concatenate(tokens), np.concatenate(nodes)
-    order = np.argsort(t, kind="stable")
-    t, d = t[order], d[order]
+    e = np.concatenate(packed)
+    del packed
+    # tokens seen once go first: most of them
+    order = np.argsort(e["token"], kind="stable")
+    t = e["token"][order]
     same = np.zeros(len(t), bool)
     same[1:] = t[1:] == t[:-1]
-    keep = same.copy()
-    keep[:-1] |= same[1:]
-    t, d = t[keep], d[keep]
-    for i in range(0, len(t), 100_000):
+    same[:-1] |= t[1:] == t[:-1]
+    e = e[order[same]]
+    e = e[np.lexsort((e["node"], e["cost"], e["token"]))]
+    if not len(e):
+        return
+    fresh = np.ones(len(e), bool)  # copies of one set from several chunks
+    fresh[1:] = (e["token"][1:] != e["token"][:-1]) | (e["node"][1:] != e["node"][:-1])
+    e = e[fresh]
+    cuts = np.flatnonzero(np.r_[True, e["token"][1:] != e["token"][:-1]])
+    m = np.diff(np.r_[cuts, len(e)])
+    size = np.repeat(m, m)
+    last = np.repeat(cuts + m - 1, m)
+    keep = np.flatnonzero(size > 1)
+    for i in range(0, len(keep), 100_000):
+        at = keep[i : i + 100_000]
+        x, lead = e[at], e[last[at]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(t[i : i + 100_000].view(np.int64)), pa.array(d[i : i + 100_000])], names=["token", "node"]
+            [
+                pa.array(x["token"].view(np.int64) if x["token"].flags.c_contiguous else x["token"].copy().view(np.int64)),
+                *(pa.array(c.astype(np.int64)) for c in (x["node"], x["n"], x["p"], size[at])),
+                *(pa.array(lead[c].astype(np.int64)) for c in ("node", "n", "p")),
+            ],
+            names=["token", "node", "n", "p", "m", "lead", "lead_n", "lead_p"],
         )
 
 
-def _facts(k: int, percent: int, heavy):
-    """(node, n, published length, cost) of every row with shingles."""
-
-    def run(batches):
-        hashes, counts = heavy.value
-        for batch in batches:
-            out = []
-            for _, s in _sets(batch, k):
-                if len(s):
-                    p, _, cost = _prefix(s, hashes, counts, percent)
-                    out.append((_signature(s)[0], len(s), len(p), cost))
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in cols], names=["node", "n", "p", "cost"]
-            )
-
-    return run
-
-
 def _full_sets(k: int):
     def run(batches):
         for batch in batches:
@@ -269,123 +276,212 @@ class NgramJoin:
     # -- pass 2: published shingles in common ------------------------------------
 
     def postings(self) -> DataFrame:
-        """``(token, node, n, p, cost)``: one row per class and published shingle that
-        another class publishes too."""
+        """One row per class and published shingle that another class publishes too."""
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         published = total * (100 - self.percent) // 100
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-published // BUCKET_TOKENS))
-        buckets = 8 * parts
         known = self.docs.where("doc_id is not null and text is not null")
         packed = known.mapInArrow(
-            _publish(self.k, self.percent, buckets, self.heavy), "bucket int, tokens binary, nodes binary"
+            _publish(self.k, self.percent, 8 * parts, self.heavy), "bucket int, entries binary"
         ).repartition(parts, "bucket")
-        pairs = written(packed.mapInArrow(_shared, "token long, node long").distinct())
-        # singles left by copies of one set in several chunks go
-        more = pairs.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-        pairs = pairs.join(more.select("token"), "token", "left_semi")
-        facts = self.facts(pairs.select("node").distinct())
-        self.post = written(pairs.join(facts, "node"))
+        self.post = written(packed.mapInArrow(_postings, POSTING))
         return self.post
 
-    def _texts_of(self, nodes: DataFrame) -> DataFrame:
-        """Texts of the representatives of ``nodes``."""
-        ids = written(nodes.join(self.reps, "node").select(F.col("rep").alias("doc_id")).distinct())
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        return self.docs.join(ids, "doc_id", "left_semi")
-
-    def facts(self, nodes: DataFrame) -> DataFrame:
-        raw = self._texts_of(nodes).mapInArrow(
-            _facts(self.k, self.percent, self.heavy), "node long, n long, p long, cost long"
-        )
-        return raw.groupBy("node").agg(F.max("n").alias("n"), F.max("p").alias("p"), F.max("cost").alias("cost"))
-
     # -- candidates ----------------------------------------------------------------
 
-    def _possible(self, s: str) -> str:
-        """SQL: the pair (a, b) may reach the threshold when it shares ``s``."""
+    def _similar_size(self, a: str, b: str) -> str:
+        return f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})"
+
+    def _enough(self, s: str, na: str, pa_: str, nb: str, pb: str) -> str:
+        """SQL: sets that share ``s`` published shingles may reach the threshold."""
         t = self.percent
-        return (
-            f"100 * least(a.n, b.n) >= {t} * greatest(a.n, b.n) and "
-            f"({100 + t}) * ({s} + greatest(a.n - a.p, b.n - b.p)) >= {t} * (a.n + b.n)"
-        )
+        return f"{100 + t} * ({s} + greatest({na} - {pa_}, {nb} - {pb})) >= {t} * ({na} + {nb})"
+
+    def _sets_of(self, nodes: DataFrame) -> DataFrame:
+        """``(node, tokens)``: the whole sets of ``nodes(node)``, read from their
+        representatives' texts."""
+        ids = written(nodes.join(self.reps, "node").select(F.col("rep").alias("doc_id")))
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        texts = self.docs.join(ids, "doc_id", "left_semi")
+        return written(texts.mapInArrow(_full_sets(self.k), "node long, tokens array<bigint>"))
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
+    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` whose whole sets reach the threshold."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = written(
-            self._texts_of(nodes).mapInArrow(_full_sets(self.k), "node long, tokens array<bigint>").dropDuplicates(
-                ["node"]
-            )
-        )
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
         return (
             pairs.join(left, "a")
             .join(right, "b")
-            .withColumn("both", both)
-            .where(100 * F.col("both") >= self.percent * (F.size("x") + F.size("y") - F.col("both")))
+            .withColumn("both", F.size(F.array_intersect("x", "y")))
+            .where(f"100 * both >= {self.percent} * (size(x) + size(y) - both)")
             .select("a", "b")
         )
 
-    def _active(self, comp: DataFrame | None) -> DataFrame:
-        """Postings with each class's component, of shingles that still span two."""
-        post = self.post
-        if comp is None:
-            return post.withColumn("comp", F.col("node"))
-        post = post.join(comp, post.node == comp.id, "left").select(
-            *post.columns, F.coalesce("component", "node").alias("comp")
-        )
-        spans = (
-            post.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        )
-        return post.join(spans.select("token"), "token", "left_semi")
-
-    def _leader_pairs(self, comp: DataFrame | None, rank) -> DataFrame:
-        """Each class with the leader it shares most published shingles with."""
-        post = self._active(comp)
-        lead = post.groupBy("token").agg(
-            F.max(F.struct(rank, "node", "n", "p", "comp")).alias("b")
+    def _leader_round(self) -> DataFrame:
+        """``(id, component)`` after linking each class to the leader it shares most
+        published shingles with. A leader outranks its followers, so the links form
+        trees, and doubling the pointers finds the roots."""
+        counted = (
+            self.post.where("node <> lead")
+            .where(self._similar_size("n", "lead_n"))
+            .groupBy("node", "n", "p", "lead", "lead_n", "lead_p")
+            .agg(F.count("*").alias("s"))
         )
-        a = post.join(lead, "token").select(
-            F.struct("node", "n", "p", "comp").alias("a"), F.col("b")
-        ).where("a.comp <> b.comp")
-        counted = a.groupBy("a", F.struct("b.node", "b.n", "b.p").alias("b")).agg(F.count("*").alias("s"))
         best = (
-            counted.where(self._possible("s"))
-            .groupBy(F.col("a.node").alias("a"))
-            .agg(F.max(F.struct("s", "b.node")).alias("m"))
+            counted.where(self._enough("s", "n", "p", "lead_n", "lead_p"))
+            .groupBy(F.col("node").alias("a"))
+            .agg(F.max(F.struct("s", "lead")).alias("m"))
+            .select("a", F.col("m.lead").alias("b"))
         )
-        return best.select("a", F.col("m.node").alias("b"))
-
-    def _all_pairs(self, comp: DataFrame) -> DataFrame:
-        """Every pair in different components that may reach the threshold."""
-        post = written(self._active(comp).select("token", F.struct("node", "n", "p").alias("x"), "comp"))
-        a = post.select("token", F.col("x").alias("a"), F.col("comp").alias("ca"))
-        b = post.select("token", F.col("x").alias("b"), F.col("comp").alias("cb"))
-        t = self.percent
-        pairs = a.join(b, "token").where(
-            "ca <> cb and a.node < b.node and "
-            f"100 * least(a.n, b.n) >= {t} * greatest(a.n, b.n)"
+        pairs = written(best)
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        tree = written(self._verified(pairs, self._sets_of(nodes)))
+        while True:
+            up = tree.select(F.col("a").alias("b"), F.col("b").alias("c"))
+            after = written(tree.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), "c"))
+            tree = after.select("a", "b")
+            if after.where("c is not null").isEmpty():
+                return tree.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+    def _remaining(self, comp: DataFrame) -> DataFrame:
+        """Links between different components: all of them up to connection.
+
+        Shingles that few classes publish give candidate pairs, counted and filtered.
+        The classes of a shingle that many publish meet in their leader's block, which
+        is compared tile by tile; a tile reports links that join its components, never
+        its pairs. Both ways verify whole sets.
+        """
+        post = self.post.join(comp, self.post.node == comp.id, "left").select(
+            *self.post.columns, F.coalesce("component", "node").alias("comp")
         )
-        return (
-            pairs.groupBy("a", "b")
+        spans = post.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        post = written(post.join(spans.select("token"), "token", "left_semi"))
+
+        few = post.where(f"m <= {HOT_POSTING}").select("token", F.struct("node", "n", "p").alias("a"), "comp")
+        other = few.select("token", F.col("a").alias("b"), F.col("comp").alias("other"))
+        pairs = written(
+            few.join(other, "token")
+            .where(f"comp <> other and a.node < b.node and {self._similar_size('a.n', 'b.n')}")
+            .groupBy("a", "b")
             .agg(F.count("*").alias("s"))
-            .where(self._possible("s"))
+            .where(self._enough("s", "a.n", "a.p", "b.n", "b.p"))
             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
         )
 
-    def links(self) -> DataFrame:
-        """Edges between classes whose components are those of all links."""
+        tiles = self._tiles(post.where(f"m > {HOT_POSTING}"))
+        nodes = (
+            pairs.select(F.col("a").alias("node"))
+            .union(pairs.select(F.col("b").alias("node")))
+            .union(tiles.select("node"))
+            .distinct()
+        )
+        sets = self._sets_of(nodes)
+        blocks = tiles.join(sets, "node").groupBy("block", "kind", "lo", "hi").applyInArrow(
+            _tile_links(self.percent), "a long, b long"
+        )
+        return written(self._verified(pairs, sets).union(blocks))
+
+    def _tiles(self, hot: DataFrame) -> DataFrame:
+        """``(block, kind, lo, hi, node, comp, part)``: which classes meet in which tile.
+
+        In a block, the classes outside its largest component (R) meet each other and
+        those inside it (A). Both are dealt by hash to tiles of bounded size, and every
+        pair of tiles that has work to do becomes one task.
+        """
+        members = written(hot.select(F.col("lead").alias("block"), "node", "n", "comp").distinct())
+        sizes = members.groupBy("block", "comp").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+        stats = (
+            sizes.groupBy("block")
+            .agg(
+                F.max(F.struct("docs", "comp", "tokens")).alias("top"),
+                F.sum("docs").alias("docs"),
+                F.sum("tokens").alias("tokens"),
+                F.count("*").alias("comps"),
+            )
+            .where("comps > 1")
+            .select(
+                "block",
+                F.col("top.comp").alias("main"),
+                F.expr(
+                    f"cast(greatest(ceil((docs - top.docs) / {TILE_DOCS}), ceil((tokens - top.tokens) / {TILE_TOKENS}))"
+                    " as int)"
+                ).alias("nr"),
+                F.expr(
+                    f"cast(greatest(ceil(top.docs / {TILE_DOCS}), ceil(top.tokens / {TILE_TOKENS})) as int)"
+                ).alias("na"),
+            )
+        )
+        placed = (
+            members.join(stats, "block")
+            .withColumn("rest", F.expr("comp <> main"))
+            .withColumn("tile", F.expr("cast(pmod(xxhash64(node), if(rest, nr, na)) as int)"))
+        )
+        with_rest = "transform(sequence(0, nr - 1), j -> named_struct('kind', 'R', 'lo', least(tile, j), 'hi', greatest(tile, j), 'part', if(tile <= j, 0, 1)))"
+        with_main = "transform(sequence(0, na - 1), j -> named_struct('kind', 'A', 'lo', tile, 'hi', j, 'part', 0))"
+        as_main = "transform(sequence(0, nr - 1), i -> named_struct('kind', 'A', 'lo', i, 'hi', tile, 'part', 1))"
+        keys = F.expr(f"if(rest, concat({with_rest}, {with_main}), {as_main})")
+        return written(placed.select("block", "node", "comp", F.inline(keys)))
+
+    def components(self) -> DataFrame:
+        """``(node, component)`` of every class that has a link."""
         self.postings()
-        edges = comp = None
-        for rank in (F.col("cost"), F.xxhash64("node", F.lit(1))):
-            new = written(self._verified(written(self._leader_pairs(comp, rank))))
-            edges = new if edges is None else edges.union(new)
-            comp = written(components(edges))
-        rest = written(self._verified(written(self._all_pairs(comp))))
-        return edges.union(rest)
+        trees = self._leader_round()
+        rest = self._remaining(trees)
+        up = trees.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+        to = trees.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+        edges = written(
+            rest.join(up, "a", "left")
+            .join(to, "b", "left")
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            .where("a <> b")
+        )
+        roots = trees.select("id", "component").union(
+            trees.select(F.col("component").alias("id"), "component").distinct()
+        )
+        if edges.isEmpty():
+            return roots
+        joined = components(edges).select(F.col("id").alias("component"), F.col("component").alias("top"))
+        return roots.join(joined, "component", "full").select(
+            F.coalesce("id", "component").alias("id"), F.coalesce("top", "component").alias("component")
+        )
+
+
+def _tile_links(percent: int):
+    """Links between components in one tile pair, one per pair of components at most."""
+
+    def run(key, table):
+        kind, lo, hi = key[1].as_py(), key[2].as_py(), key[3].as_py()
+        nodes = table.column("node").to_numpy()
+        label = table.column("comp").to_numpy().copy()
+        part = table.column("part").to_numpy()
+        tokens = table.column("tokens").combine_chunks()
+        tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
+        size = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+        _, ids = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+        begin = np.cumsum(size) - size
+        inside = kind == "R" and lo == hi
+        left = np.arange(len(nodes)) if inside else np.flatnonzero(part == 0)
+        right = left if inside else np.flatnonzero(part == 1)
+        found = []
+        if len(right) and len(left):
+            flat = np.concatenate([ids[begin[r] : begin[r] + size[r]] for r in right])
+            cuts = np.cumsum(size[right]) - size[right]
+            mark = np.zeros(int(ids.max()) + 1, bool)
+            for x in left:
+                own = ids[begin[x] : begin[x] + size[x]]
+                mark[own] = True
+                both = np.add.reduceat(mark[flat], cuts, dtype=np.int64)
+                mark[own] = False
+                hit = right[100 * both >= percent * (size[x] + size[right] - both)]
+                hit = hit[label[hit] != label[x]]
+                for c, first in zip(*np.unique(label[hit], return_index=True)):
+                    found.append((nodes[x], nodes[hit[first]]))
+                    label[label == c] = label[x]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -404,11 +500,12 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     """
     job = NgramJoin(docs, shingle, percent)
     rows = job.profile()
-    comp = components(job.links())
-    named = job.reps.join(comp, job.reps.node == comp.id, "left").select(
-        "node", "rep", F.coalesce("component", "node").alias("c")
+    comp = job.components()
+    named = written(
+        job.reps.join(comp, job.reps.node == comp.id, "left").select(
+            "node", "rep", F.coalesce("component", "node").alias("c")
+        )
     )
-    named = written(named)
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     by_node = named.join(least, "c").select("node", "component_id")
     known = rows.where("n > 0 and doc_id is not null").join(by_node, "node")
