@@ -37,7 +37,8 @@ PERCENT = 75
 FLUSH = 4_000_000  # shingles counted together in one task
 LOCAL_MIN = 4  # a chunk reports a shingle that this many of its documents share
 MAX_HEAVY = 1_000_000  # entries of the broadcast count list: 16 MB at most
-MAX_EXTRA = 12  # longest extension of a prefix
+MIN_EXTRA, MAX_EXTRA = 3, 16  # shortest and longest extension of a prefix
+UNKNOWN_SHARE = 8  # one in so many shingles without a count is taken to have a partner
 BUCKET_TOKENS = 2_000_000  # published shingles in one pruning task
 HOT_POSTING = 32  # a shingle that more classes publish is handled by tiles, not pairs
 TILE_DOCS = 1_000
@@ -124,8 +125,10 @@ def _prefix(s: np.ndarray, hashes: np.ndarray, counts: np.ndarray, percent: int)
     else:
         df = np.zeros(n, np.int64)
     c = required(n, percent)
-    cost = int(df[: n - c + 1].sum())  # postings read by the shortest prefix
-    extra = min(1 + int(math.log2(1 + cost)), MAX_EXTRA, c)
+    # postings that the shortest prefix reads; a shingle not known to be shared still
+    # has a small chance of a partner
+    cost = int(df[: n - c + 1].sum()) + (n - c + 1) // UNKNOWN_SHARE
+    extra = min(MIN_EXTRA + int(math.log2(1 + cost)), MAX_EXTRA, c)
     return s[: n - c + extra], cost
 
 
@@ -369,7 +372,7 @@ class NgramJoin:
             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
         )
 
-        tiles = self._tiles(post.where(f"m > {HOT_POSTING}"))
+        tiles = self._tiles(post)
         nodes = (
             pairs.select(F.col("a").alias("node"))
             .union(pairs.select(F.col("b").alias("node")))
@@ -382,14 +385,26 @@ class NgramJoin:
         )
         return written(self._verified(pairs, sets).union(blocks))
 
-    def _tiles(self, hot: DataFrame) -> DataFrame:
+    def _tiles(self, post: DataFrame) -> DataFrame:
         """``(block, kind, lo, hi, node, comp, part)``: which classes meet in which tile.
 
+        Two linked classes share at least the smaller of their extensions, so one with
+        fewer shared shingles in all than any extension in its block stays out of it.
         In a block, the classes outside its largest component (R) meet each other and
         those inside it (A). Both are dealt by hash to tiles of bounded size, and every
         pair of tiles that has work to do becomes one task.
         """
-        members = written(hot.select(F.col("lead").alias("block"), "node", "n", "comp").distinct())
+        hot = (
+            post.where(f"m > {HOT_POSTING}")
+            .select(F.col("lead").alias("block"), "node", "n", "p", "comp")
+            .distinct()
+            .withColumn("extra", F.expr(f"p - n + ceil({self.percent} * n / 100)"))
+        )
+        shared = post.groupBy("node").agg(F.count("*").alias("shared"))
+        least = hot.groupBy("block").agg(F.min("extra").alias("least"))
+        members = written(
+            hot.join(least, "block").join(shared, "node").where("shared >= least").select("block", "node", "n", "comp")
+        )
         sizes = members.groupBy("block", "comp").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
         stats = (
             sizes.groupBy("block")
