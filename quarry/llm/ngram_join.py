@@ -41,6 +41,7 @@ MIN_EXTRA, MAX_EXTRA = 3, 16  # shortest and longest extension of a prefix
 UNKNOWN_SHARE = 8  # one in so many shingles without a count is taken to have a partner
 BUCKET_TOKENS = 2_000_000  # published shingles in one pruning task
 HOT_POSTING = 32  # a shingle that more classes publish is handled by tiles, not pairs
+BITS = 2048  # parity bits of a set
 TILE_DOCS = 1_000
 TILE_TOKENS = 2_000_000
 BROADCAST_IDS = 1_000_000  # candidate ids broadcast at most (8 MB); more are joined by shuffle
@@ -226,12 +227,16 @@ def _postings(batches):
 def _full_sets(k: int):
     def run(batches):
         for batch in batches:
-            node, sets = [], []
+            node, bits, sets = [], [], []
             for _, s in _sets(batch, k):
                 node.append(_signature(s)[0])
+                odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+                bits.append(np.packbits(odd.astype(bool)).view(np.int64))
                 sets.append(s.view(np.int64))
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"]
+                [pa.array(node, pa.int64()), pa.array(bits, lists), pa.array(sets, lists)],
+                names=["node", "bits", "tokens"],
             )
 
     return run
@@ -301,16 +306,30 @@ class NgramJoin:
         return f"{100 + t} * ({s} + greatest({na} - {pa_}, {nb} - {pb})) >= {t} * ({na} + {nb})"
 
     def _sets_of(self, nodes: DataFrame) -> DataFrame:
-        """``(node, tokens)``: the whole sets of ``nodes(node)``, read from their
-        representatives' texts."""
+        """``(node, bits, tokens)``: the whole sets of ``nodes(node)``, read from their
+        representatives' texts, and the parities of their shingles by bit."""
         ids = written(nodes.join(self.reps, "node").select(F.col("rep").alias("doc_id")))
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
         texts = self.docs.join(ids, "doc_id", "left_semi")
-        return written(texts.mapInArrow(_full_sets(self.k), "node long, tokens array<bigint>"))
+        return written(texts.mapInArrow(_full_sets(self.k), "node long, bits array<bigint>, tokens array<bigint>"))
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those of ``pairs(a, b)`` whose whole sets reach the threshold."""
+        """Those of ``pairs(a, b)`` whose whole sets reach the threshold.
+
+        Two sets differ in at least as many shingles as their parity bits do, which
+        bounds the overlap: few pairs below the threshold get their sets shipped.
+        """
+        bits_a = sets.select(F.col("node").alias("a"), F.col("bits").alias("u"), F.size("tokens").alias("na"))
+        bits_b = sets.select(F.col("node").alias("b"), F.col("bits").alias("v"), F.size("tokens").alias("nb"))
+        apart = F.expr("aggregate(zip_with(u, v, (i, j) -> bit_count(i ^ j)), 0, (t, i) -> t + i)")
+        pairs = (
+            pairs.join(bits_a, "a")
+            .join(bits_b, "b")
+            .withColumn("most", (F.col("na") + F.col("nb") - apart) / 2)
+            .where(f"100 * most >= {self.percent} * (na + nb - most)")
+            .select("a", "b")
+        )
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
         return (
@@ -380,7 +399,7 @@ class NgramJoin:
             .distinct()
         )
         sets = self._sets_of(nodes)
-        blocks = tiles.join(sets, "node").groupBy("block", "kind", "lo", "hi").applyInArrow(
+        blocks = tiles.join(sets.drop("bits"), "node").groupBy("block", "kind", "lo", "hi").applyInArrow(
             _tile_links(self.percent), "a long, b long"
         )
         return written(self._verified(pairs, sets).union(blocks))
