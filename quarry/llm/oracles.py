@@ -32,3 +32,76 @@ reach AS (
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(reach.c) AS component_id
 FROM n JOIN reach ON reach.v = n.doc_id GROUP BY 1, 2
 """
+
+SQL["op5_line_runs"] = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS w FROM documents
+), l AS (
+  SELECT doc_id, r, w, list_transform(w, lambda x: translate(
+    trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS k
+  FROM d
+), u AS (SELECT r, unnest(list_distinct(k)) AS k FROM l),
+f AS (SELECT k FROM u WHERE length(k) >= 1 GROUP BY k HAVING count(*) >= 10),
+e AS (SELECT r, unnest(w) AS x, unnest(k) AS k, generate_subscripts(w, 1) AS i FROM l),
+m AS (SELECT e.r, e.x, e.i, f.k IS NOT NULL AS dropped FROM e LEFT JOIN f ON e.k = f.k),
+a AS (
+  SELECT r, count(*) AS n, count(*) FILTER (WHERE dropped) AS gone,
+    coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '') AS kept
+  FROM m GROUP BY r
+)
+SELECT l.doc_id, a.n::BIGINT AS n_lines, a.gone::BIGINT AS n_dropped, sha256(a.kept) AS kept_sha256
+FROM l JOIN a ON a.r = l.r
+"""
+
+
+def _draw(level: str, children: str) -> str:
+    """The child of the least weighted draw, of a list of (id, w)."""
+    bits = f"('0x' || md5(k || '/{level}' || c.id::VARCHAR)[1:13])::BIGINT"
+    return (
+        f"list_min(list_transform({children}, lambda c: "
+        f"{{'draw': -ln(({bits} + 1) / 4503599627370496.0::DOUBLE) / c.w, 'id': c.id}})).id"
+    )
+
+
+def _hash_tree() -> str:
+    def levels(name: str, shards: int) -> str:
+        regions = f"list_transform(range(0, {-(-shards // 10)}), lambda z: {{'id': z, 'w': least(10, {shards} - 10 * z)::DOUBLE}})"
+        racks = (
+            f"list_transform(range(2 * {name}_g, least(2 * {name}_g + 2, {-(-shards // 5)})), "
+            f"lambda z: {{'id': z, 'w': least(5, {shards} - 5 * z)::DOUBLE}})"
+        )
+        leaves = (
+            f"list_transform(range(5 * {name}_r, least(5 * {name}_r + 5, {shards})), lambda z: {{'id': z, 'w': 1.0::DOUBLE}})"
+        )
+        return regions, racks, leaves
+
+    a, b = levels("a", 40), levels("b", 41)
+    return f"""
+WITH crc AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+    lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(text, '') AS text,
+    hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT doc_id, k, (length(h) // 2 + 16)::BIGINT AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2),
+        lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+      lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM d, crc
+), g AS (SELECT *, {_draw('region', a[0])} AS a_g, {_draw('region', b[0])} AS b_g FROM c),
+r AS (SELECT *, {_draw('rack', a[1])} AS a_r, {_draw('rack', b[1])} AS b_r FROM g),
+s AS (
+  SELECT *, {_draw('shard', a[2])} AS a_s, {_draw('shard', b[2])} AS b_s,
+    ('0x' || md5(k || '/slot')[1:2])::BIGINT AS part
+  FROM r
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, a_s::INTEGER AS shard,
+  (row_number() OVER (PARTITION BY a_s ORDER BY part, doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot,
+  b_s::INTEGER AS grown_shard
+FROM s
+"""
+
+
+SQL["op3_hash_tree"] = _hash_tree()

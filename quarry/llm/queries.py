@@ -3,13 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import hash_tree, line_runs, ngram_join, rank_profiles
 from .common import table
 
 
+def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.shard(table(spark, sf_dir, "documents"))
+
+
+def op4_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = rank_profiles.learn(rank_profiles.training_rows(docs))
+    return rank_profiles.predicted(
+        docs.select("doc_id", "text", rank_profiles.is_held_out().alias("held_out")), profiles
+    ).drop("text")
+
+
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.without_frequent_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES = {
+    "op3_hash_tree": op3_hash_tree,
+    "op4_rank_profiles": op4_rank_profiles,
+    "op5_line_runs": op5_line_runs,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
+}
