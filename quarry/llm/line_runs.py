@@ -18,8 +18,9 @@ from .common import scratch, written
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-BATCHES = 4
+BATCHES = 3
 FANOUT = 3
+RUN_SHARE = 8  # a run, 24 bytes a key, takes one file for so many shuffle partitions
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # A line's key, hashed twice with independent seeds; null for a key below the length.
@@ -54,7 +55,8 @@ class LineRuns:
 
     def _write(self, counts: DataFrame) -> DataFrame:
         self.runs += 1
-        return written(counts.sortWithinPartitions("a", "b"), f"{self.path}/run-{self.runs}")
+        files = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // RUN_SHARE)
+        return written(counts.coalesce(files).sortWithinPartitions("a", "b"), f"{self.path}/run-{self.runs}")
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         all_runs = runs[0]
