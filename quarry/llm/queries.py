@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, line_runs, ngram_join, rank_profiles
+from . import chat_windows, hash_tree, line_runs, ngram_join, pii, rank_profiles, text_density
 from .common import table
 
 
+def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op3_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard(table(spark, sf_dir, "documents"))
 
@@ -27,13 +31,29 @@ def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_windows.read_back(chat_windows.windows(turns))
+
+
+def op8_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_density.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_weak_labels": op2_weak_labels,
     "op3_hash_tree": op3_hash_tree,
     "op4_rank_profiles": op4_rank_profiles,
     "op5_line_runs": op5_line_runs,
+    "op6_chat_windows": op6_chat_windows,
+    "op8_text_density": op8_text_density,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
