@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, hash_tree, line_runs, ngram_join, pii, rank_profiles, text_density
+from . import chat_windows, hash_tree, line_runs, ngram_join, pii, raking, rank_profiles, string_tiling, text_density
 from .common import table
 
 
+def op1_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.mixed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled"
+    )
+
+
 def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -40,6 +46,10 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.read_back(chat_windows.windows(turns))
 
 
+def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_density.extract(table(spark, sf_dir, "pages"))
 
@@ -49,11 +59,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_raking": op1_raking,
     "op2_weak_labels": op2_weak_labels,
     "op3_hash_tree": op3_hash_tree,
     "op4_rank_profiles": op4_rank_profiles,
     "op5_line_runs": op5_line_runs,
     "op6_chat_windows": op6_chat_windows,
+    "op7_string_tiling": op7_string_tiling,
     "op8_text_density": op8_text_density,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
