@@ -105,3 +105,23 @@ FROM s
 
 
 SQL["op3_hash_tree"] = _hash_tree()
+
+SQL["op9_pruned_graph"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS v, vec_id AS c FROM v
+  UNION
+  SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.v WHERE reach.c < links.b
+), c AS (SELECT v, min(c) AS c FROM reach GROUP BY v),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, v.vec_id = c.c AS kept
+FROM v JOIN c ON c.v = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""

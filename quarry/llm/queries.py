@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, hash_tree, line_runs, ngram_join, pii, raking, rank_profiles, string_tiling, text_density
+from . import chat_windows, hash_tree, line_runs, ngram_join, pii, pruned_graph, raking, rank_profiles, string_tiling, text_density
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op8_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_density.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pruned_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
@@ -67,5 +71,6 @@ QUERIES = {
     "op6_chat_windows": op6_chat_windows,
     "op7_string_tiling": op7_string_tiling,
     "op8_text_density": op8_text_density,
+    "op9_pruned_graph": op9_pruned_graph,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }

@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling (operator 7).
 
-Documents and items are sequences of word hashes. Windows that a document shares with
+Documents and items are sequences of word hashes, lower-cased, without punctuation. Windows that a document shares with
 an item, found by rolling hash, seed their comparison. Along each diagonal the seeds
 give the longest common runs; the longest is marked, then the longest of what is left
 unmarked, until no run reaches the least length. The share of the item that the tiles
@@ -16,6 +16,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +80,10 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = LEAST) -> tuple[int, in
     return int((~free_item).sum()), tiles
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return W.batch_words(pc.utf8_lower(texts), W.LETTERS)
+
+
 def _rolling(words: np.ndarray, k: int) -> np.ndarray:
     """Karp-Rabin hashes of all windows of ``k`` words, by doubling."""
     out, width = words, 1
@@ -93,7 +98,7 @@ class Items:
     """One block of items, ready to broadcast: word hashes and seeds by window length."""
 
     def __init__(self, ids: list[int], texts: list[str], least: int):
-        words, at = W.batch_words(pa.array(texts, pa.string()))
+        words, at = _words(pa.array(texts, pa.string()))
         self.least = least
         self.ids, self.words = [], []
         for i, item in enumerate(ids):
@@ -165,7 +170,7 @@ def contaminated(
         def run(batches, items=items):
             known = items.value
             for batch in batches:
-                words, at = W.batch_words(batch.column("text"))
+                words, at = _words(batch.column("text"))
                 ids = batch.column("doc_id").to_pylist()
                 rows = []
                 for i, k in known.candidates(words, at):

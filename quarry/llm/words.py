@@ -20,6 +20,10 @@ _CLASS[0] = 0xFF
 _CLASS[ord("A") : ord("Z") + 1] += 32
 _CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
 
+# the same, with every ASCII character but letters and digits as white space
+LETTERS = _CLASS.copy()
+LETTERS[[i for i in range(1, 128) if not chr(i).isalnum()]] = 0
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -66,9 +70,10 @@ def _chunk_words(chars: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.
     return s, mix(h + (e - s).astype(np.uint64))
 
 
-def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def batch_words(texts: pa.Array, classes: np.ndarray = _CLASS) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts of a batch, in order, and the offset of each text's
-    first word (``len(texts) + 1`` entries). A null text has no words."""
+    first word (``len(texts) + 1`` entries). A null text has no words. ``classes``
+    gives each byte's value, 0 between words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -84,7 +89,7 @@ def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if end < hi:
             # cut at white space, else at a text's start, else take a longer chunk
             while True:
-                tail = np.flatnonzero(_CLASS[data[at:end]] == 0)
+                tail = np.flatnonzero(classes[data[at:end]] == 0)
                 if len(tail):
                     end = at + int(tail[-1]) + 1
                     break
@@ -95,7 +100,7 @@ def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 if end == hi:
                     break
                 end = min(hi, at + 2 * (end - at))
-        chars = _CLASS[data[at:end]]
+        chars = classes[data[at:end]]
         a, b = np.searchsorted(offsets, [at, end])
         s, h = _chunk_words(chars, np.unique(offsets[a:b]) - at)
         starts.append(s + at)
