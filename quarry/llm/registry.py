@@ -1,14 +1,20 @@
-"""What ``__spark_entry__.py`` registers of this package."""
+"""What ``__spark_entry__.py`` registers of this package: the ten operators' queries
+and the pipeline."""
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import oracles
 from . import queries as Q
 
 
 def queries():
-    return dict(Q.QUERIES)
+    return {**Q.QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return dict(oracles.SQL)
+    found = dict(oracles.SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
