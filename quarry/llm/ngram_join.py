@@ -314,6 +314,13 @@ class NgramJoin:
         texts = self.docs.join(ids, "doc_id", "left_semi")
         return written(texts.mapInArrow(_full_sets(self.k), "node long, bits array<bigint>, tokens array<bigint>"))
 
+    def _sets_named(self, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The sets of ``nodes`` alone, so that no other is shuffled."""
+        nodes = written(nodes.distinct())
+        if nodes.count() <= BROADCAST_IDS:
+            nodes = F.broadcast(nodes)
+        return sets.join(nodes, "node", "left_semi")
+
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` whose whole sets reach the threshold.
 
@@ -323,13 +330,14 @@ class NgramJoin:
         bits_a = sets.select(F.col("node").alias("a"), F.col("bits").alias("u"), F.size("tokens").alias("na"))
         bits_b = sets.select(F.col("node").alias("b"), F.col("bits").alias("v"), F.size("tokens").alias("nb"))
         apart = F.expr("aggregate(zip_with(u, v, (i, j) -> bit_count(i ^ j)), 0, (t, i) -> t + i)")
-        pairs = (
+        pairs = written(
             pairs.join(bits_a, "a")
             .join(bits_b, "b")
             .withColumn("most", (F.col("na") + F.col("nb") - apart) / 2)
             .where(f"100 * most >= {self.percent} * (na + nb - most)")
             .select("a", "b")
         )
+        sets = self._sets_named(sets, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
         return (
@@ -399,7 +407,8 @@ class NgramJoin:
             .distinct()
         )
         sets = self._sets_of(nodes)
-        blocks = tiles.join(sets.drop("bits"), "node").groupBy("block", "kind", "lo", "hi").applyInArrow(
+        in_tiles = self._sets_named(sets, tiles.select("node")).drop("bits")
+        blocks = tiles.join(in_tiles, "node").groupBy("block", "kind", "lo", "hi").applyInArrow(
             _tile_links(self.percent), "a long, b long"
         )
         return written(self._verified(pairs, sets).union(blocks))
