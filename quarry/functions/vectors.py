@@ -149,6 +149,11 @@ class Batch:
         self.sq = np.einsum("ij,ij->i", x, x)
         self.norm_max = float(np.sqrt(self.sq.max())) if len(x) else 0.0
 
+    def comparable(self, metric: str) -> np.ndarray:
+        """Rows that have a distance: finite, and not zero under cosine."""
+        ok = np.isfinite(self.sq)
+        return ok & (self.sq > 0) if metric == "cosine" else ok
+
 
 def key_margin(b: Batch, q: np.ndarray, metric: str) -> np.ndarray:
     """Per-question tolerance for the approximate keys of :func:`question_keys`."""
@@ -183,9 +188,17 @@ def topk_block(x, q: np.ndarray, k: int, metric: str):
     array or a prepared :class:`Batch`) of a candidate pool that surely
     contains its k nearest rows, with exact float64 keys.
 
-    Returns (row_idx, question_idx, exact_key) flat arrays.
+    Returns (row_idx, question_idx, exact_key) flat arrays. A row with a NaN,
+    null or infinite component, and under cosine a zero row, is nobody's
+    neighbour; it is taken out before the bound is computed, so it hides no
+    other row of its block.
     """
     b = x if isinstance(x, Batch) else Batch(x)
+    ok = b.comparable(metric)
+    if not ok.all():
+        at = np.flatnonzero(ok)
+        rows, cols, keys = topk_block(b.x[at], q, k, metric)
+        return at[rows], cols, keys
     n = b.x.shape[0]
     if n == 0 or q.shape[0] == 0:
         e = np.zeros(0, dtype=np.int64)

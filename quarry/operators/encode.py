@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.vectors import arrow_vectors
-from quarry.session import ship_package, spread
+from quarry.session import ship_package
 
 
 class HashingEncoder:
@@ -94,4 +94,4 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
             vecs = model.encode(b.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays(b.columns + [arrow_vectors(vecs)], names=b.schema.names + [out_col])
 
-    return spread(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)

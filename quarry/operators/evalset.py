@@ -53,8 +53,9 @@ def fill(template: str, question: Column, texts: Column) -> Column:
 
 def prompt_table(questions: DataFrame, packed: DataFrame, template: tuple[str, str],
                  qid: str = "question_id", question_text: str = "text", context: str = "context_text") -> DataFrame:
-    """``question_id, system, prompt`` for each question with its packed context."""
+    """``question_id, system, prompt`` for every question; one without hits gets an
+    empty context."""
     system, human = template
-    j = questions.join(packed, qid, "inner")
+    j = questions.join(packed, qid, "left")
     return j.select(qid, F.lit(system).alias("system"),
-                    fill(human, F.col(question_text), F.col(context)).alias("prompt"))
+                    fill(human, F.coalesce(F.col(question_text), F.lit("")), F.coalesce(F.col(context), F.lit(""))).alias("prompt"))

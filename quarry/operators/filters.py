@@ -72,6 +72,12 @@ class SchemeRules:
             return ONE_LEVEL
         return BASE
 
+    def leveled(self, index_col: str = "index_name") -> Column:
+        """Whether a post's own index uses the one- or two-level scheme."""
+        c = F.coalesce(F.col(index_col), F.lit(""))
+        marks = [c.contains(m) for m in (*self.two_level, *self.one_level)]
+        return functools.reduce(operator.or_, marks) if marks else F.lit(False)
+
     def column(self, index_col: str = "index_name") -> Column:
         """Per-row scheme of each post's own index (JVM-side CASE)."""
         c = F.col(index_col)
@@ -115,7 +121,7 @@ def issue_predicate(thresholds: Mapping[str, str] | None) -> Column | None:
     if not act:
         return None
     ors = [F.col(f).between(lo, hi) for f, (lo, hi) in act.items()]
-    return F.coalesce(functools.reduce(operator.or_, ors), F.lit(False))
+    return functools.reduce(operator.or_, ors)  # NULL drops in a filter; plain ranges reach the scan
 
 
 def predicate(spec: FilterSpec, schema: T.StructType | None = None) -> Column:
@@ -125,8 +131,12 @@ def predicate(spec: FilterSpec, schema: T.StructType | None = None) -> Column:
         parts.append(day_range(DATE, spec.start_date, spec.end_date, dtype))
     one = terms(spec.category_one)
     if one:
-        scheme = spec.scheme if spec.scheme is not None else spec.rules.column()
-        parts.append(_in(category_value(scheme), one))
+        if spec.scheme is not None:
+            parts.append(_in(category_value(spec.scheme), one))
+        else:
+            # spelled out rather than CASE, so that the scan gets the conditions
+            leveled = spec.rules.leveled()
+            parts.append((leveled & _in(F.col(CATEGORY_ONE), one)) | (~leveled & _in(F.col(CATEGORY), one)))
     two = terms(spec.category_two)
     if two:
         parts.append(_in(F.col(CATEGORY_TWO), two))
@@ -160,15 +170,7 @@ def select_indexes(df: DataFrame, names: Sequence[str], index_col: str = "index_
     return df.where(F.col(index_col).isin(list(names)))
 
 
-def compare_mode_terms(values: Sequence[str | None]) -> list[str]:
-    """Compare-categories default: every real category value (drop "Any", NULL, "")."""
-    return [v for v in values if v not in (ANY, None, "")]
-
-
-def compare_mode(df: DataFrame, facet_values: DataFrame, value: Column) -> DataFrame:
-    """Compare-categories mode: keep posts whose category is one of the real
-    facet values (the facet table is capped per field, so broadcasting it is
-    size-bounded).  Uncategorised posts drop out, unlike "Any"."""
-    vals = facet_values.where(F.col("value").isNotNull() & (F.col("value") != "") & (F.col("value") != ANY))
-    vals = vals.select(F.col("value").alias("_cv")).distinct()
-    return df.join(F.broadcast(vals), value == F.col("_cv"), "left_semi")
+def compare_mode(df: DataFrame, value: Column) -> DataFrame:
+    """Compare-categories mode: keep posts with a real category, however many
+    there are.  Uncategorised posts and "Any" drop out, unlike under "Any"."""
+    return df.where(value.isNotNull() & ~value.isin("", ANY))

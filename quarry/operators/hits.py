@@ -83,13 +83,14 @@ def context_json(packed: DataFrame, col: str = "context") -> Column:
 
 
 def context_text(col: str = "context") -> Column:
-    """Numbered plain-text context: ``[pos] text (url) [category]`` lines."""
+    """Numbered plain-text context: ``[pos] text (url) [category]`` lines, one per
+    hit; a missing text or URL is empty, its line stays."""
     return F.array_join(
         F.transform(
             F.col(col),
             lambda x: F.concat(
-                F.lit("["), x["pos"].cast("string"), F.lit("] "), x["text"],
-                F.lit(" ("), x["url"], F.lit(") ["), F.coalesce(x["category"], F.lit(MISSING)), F.lit("]"),
+                F.lit("["), x["pos"].cast("string"), F.lit("] "), F.coalesce(x["text"], F.lit("")),
+                F.lit(" ("), F.coalesce(x["url"], F.lit("")), F.lit(") ["), F.coalesce(x["category"], F.lit(MISSING)), F.lit("]"),
             ),
         ),
         "\n",

@@ -280,9 +280,15 @@ def attach(hits: DataFrame, corpus: DataFrame, key_col: str = "id", rows_bound:
     return hits.join(corpus, key_col, "inner")
 
 
-def hit_totals(hits: DataFrame, filtered: DataFrame, vector_col: str = "embedding") -> DataFrame:
+def hit_totals(
+    hits: DataFrame, filtered: DataFrame, vector_col: str = "embedding", questions: DataFrame | None = None
+) -> DataFrame:
     """Per question: ``n_hits`` (rows returned) and ``n_filtered`` (rows that
-    passed the filter and carry a vector, i.e. the whole candidate set)."""
+    passed the filter and carry a vector, i.e. the whole candidate set). With
+    ``questions`` (a ``question_id`` column) those without hits get 0."""
     n = filtered.where(F.col(vector_col).isNotNull()).agg(F.count(F.lit(1)))
     per_q = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    if questions is not None:
+        asked = questions.select("question_id").distinct()
+        per_q = asked.join(per_q, "question_id", "left").na.fill(0, ["n_hits"])
     return per_q.withColumn("n_filtered", n.scalar())  # scalar subquery, one row

@@ -88,6 +88,7 @@ def run_search(
 
     prompts = None
     if question_texts is not None and task is not None:
-        prompts = EV.prompt_table(question_texts, packed.select("question_id", "context_text"),
+        asked = question_texts.join(questions.select("question_id"), "question_id", "left_semi")
+        prompts = EV.prompt_table(asked, packed.select("question_id", "context_text"),
                                   EV.template_for(tasks or {}, task))
     return SearchRun(hits, table, dist, shares, enriched, packed, prompts)

@@ -335,14 +335,14 @@ def q29_compare_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compare-categories mode on the base scheme: posts whose category is any
     real facet value (uncategorised posts drop out)."""
     df = _posts(spark, sf_dir, "doc_id", "category")
-    vals = FC.facets(df, ["category"])
-    return FL.compare_mode(df, vals, F.col("category")).select("doc_id", "category")
+    return FL.compare_mode(df, F.col("category")).select("doc_id", "category")
 
 
 def q30_hit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = FL.apply_filter(_posts(spark, sf_dir, *SEARCH_COLS), S.SEARCH)
-    hits = knn.search(corpus, _question(spark, sf_dir), k=S.K, key_col="doc_id")
-    return knn.hit_totals(hits, corpus).select("question_id", F.col("n_hits").cast("long"),
+    asked = _question(spark, sf_dir)
+    hits = knn.search(corpus, asked, k=S.K, key_col="doc_id")
+    return knn.hit_totals(hits, corpus, questions=asked).select("question_id", F.col("n_hits").cast("long"),
                                                F.col("n_filtered").cast("long"))
 
 

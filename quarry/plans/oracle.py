@@ -191,14 +191,14 @@ WHERE slot <= 2""",
     "q26_prompt_table": _with(_POSTS, BATCH_HITS, BH, CONTEXT) + """,
 packed AS (
   SELECT question_id,
-         string_agg('[' || CAST(rank AS VARCHAR) || '] ' || text || ' (' || url || ') [' || coalesce(category, 'None') || ']',
+         string_agg('[' || CAST(rank AS VARCHAR) || '] ' || coalesce(text, '') || ' (' || coalesce(url, '') || ') [' || coalesce(category, 'None') || ']',
                     chr(10) ORDER BY rank) AS context_text
   FROM ctx GROUP BY question_id)
 SELECT d.doc_id AS question_id,
        'You are a helpful assistant that summarizes information.' AS system,
-       'Please summarize the following information:' || chr(10) || chr(10) || pk.context_text
-         || chr(10) || chr(10) || 'Question: ' || d.text AS prompt
-FROM documents d JOIN packed pk ON pk.question_id = d.doc_id""",
+       'Please summarize the following information:' || chr(10) || chr(10) || coalesce(pk.context_text, '')
+         || chr(10) || chr(10) || 'Question: ' || coalesce(d.text, '') AS prompt
+FROM documents d LEFT JOIN packed pk ON pk.question_id = d.doc_id""",
 })
 
 SQL["q28_facet_refresh"] = """
@@ -208,10 +208,7 @@ SELECT field, value, count(*)::BIGINT AS count FROM (
 WHERE value IS NOT NULL GROUP BY ALL"""
 
 SQL["q29_compare_categories"] = _with(_POSTS) + """
-SELECT doc_id, category FROM posts WHERE category IN (
-  SELECT value FROM (SELECT category AS value, count(*) AS c FROM posts WHERE category IS NOT NULL GROUP BY 1)
-  QUALIFY row_number() OVER (ORDER BY c DESC, value) <= 10000)
-  AND category <> '' AND category <> 'Any'"""
+SELECT doc_id, category FROM posts WHERE category IS NOT NULL AND category NOT IN ('', 'Any')"""
 
 SQL["q30_hit_totals"] = _with(_POSTS, SEARCH_HITS) + f"""
 SELECT question_id, count(*)::BIGINT AS n_hits,

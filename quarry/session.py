@@ -81,13 +81,3 @@ def estimated_partitions(df) -> int:
     executed - ``df.rdd`` would make adaptive execution run upstream stages
     just to count partitions)."""
     return max(1, len(df.inputFiles()))
-
-
-def spread(df):
-    """Give Python-heavy steps every core when the input is smaller than one
-    split per task slot (small inputs only: at scale the scan already yields
-    far more splits than slots and this is a no-op)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_partitions(df) < slots:
-        return df.repartition(slots)
-    return df

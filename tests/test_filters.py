@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import datetime as dt
 
 
@@ -67,8 +68,10 @@ def test_scheme_routing(spark):
 
 
 def test_compare_mode(spark):
-    assert FL.compare_mode_terms(["Any", None, "", "a", "b"]) == ["a", "b"]
-
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (4, "Any"), (5, "b")], "id int, c string")
+    assert {r.id for r in FL.compare_mode(df, F.col("c")).collect()} == {1, 5}
+    many = spark.range(70).selectExpr("cast(id % 7 as string) as c")
+    assert FL.compare_mode(many, F.col("c")).count() == 70
 
 def test_empty_spec_is_true(spark):
     df = _posts(spark)
