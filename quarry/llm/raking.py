@@ -51,6 +51,8 @@ def rake(
     without cells are left out and the others scaled up."""
     fitted = cells["tokens"].to_numpy(float).copy()
     total = fitted.sum()
+    if not len(fitted):
+        return fitted
     codes, wanted = {}, {}
     for name, shares in targets.items():
         codes[name], values = pd.factorize(cells[name], sort=True)
