@@ -54,5 +54,5 @@ def test_filters_reach_the_scan(spark, tmp_path):
         [("a", "x", "y", 0.5)], "index_name string, category string, category_one string, score double"
     ).write.parquet(path)
     df = spark.read.parquet(path)
-    issue = df.where(FL.issue_predicate({"score": "0.2-0.9"}) if FL.active_thresholds({"score": "0.2-0.9"}) else F.col("score").between(0.2, 0.9))
+    issue = df.where(FL.issue_predicate({"score": "0.2:0.9"}))
     assert "GreaterThanOrEqual(score" in issue._jdf.queryExecution().toString()
