@@ -14,14 +14,14 @@
   :func:`assign_probes` runs on executors and questions meet their cells'
   rows in bounded ``(cell, chunk, block)`` tiles (:mod:`quarry.operators.tiles`).
 
-``nprobe >= n_cells`` reproduces the exact search.  The candidate budget of a
-search engine (``num_candidates``) maps to ``nprobe`` via
-:func:`nprobe_for_budget`.
+A question probes its ``nprobe`` nearest cells, and further ones in centroid order
+until the rows that pass the corpus filter reach ``max(k, min_rows)``: a selective
+filter never leaves a question short of hits while the corpus has them.
+``nprobe >= n_cells`` reproduces the exact search.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,42 +33,49 @@ from pyspark.sql import types as T
 
 from quarry.functions import vectors as V
 from quarry.operators import knn, tiles
-from quarry.session import estimated_partitions, ship_package
+from quarry.session import ship_package
 
 
 @dataclass(frozen=True)
 class Cells:
     centroids: np.ndarray  # (n_cells, d) float64
-    rows_per_cell: float
-    sizes: tuple[float, ...] = ()  # corpus rows per cell (training counts, scaled when sampled)
+    ids: tuple[int, ...] = ()  # value of ``cell`` for each centroid; empty: 0, 1, 2, ...
 
     @property
     def n_cells(self) -> int:
         return int(self.centroids.shape[0])
 
+    @property
+    def cell_ids(self) -> np.ndarray:
+        return np.asarray(self.ids or range(self.n_cells), dtype=np.int64)
+
 
 def build_cells(corpus: DataFrame, n_cells: int, vector_col: str = "embedding", seed: int = 7,
-                max_iter: int = 10, train_fraction: float | None = None) -> tuple[Cells, DataFrame]:
+                max_iter: int = 10) -> tuple[Cells, DataFrame]:
     """Fit cells on the corpus vectors; return them and the corpus with ``cell``.
 
-    The Lloyd iterations are distributed ``pyspark.ml`` jobs over the training
-    vectors (cached by the estimator).  ``train_fraction`` fits the centroids
-    on a seeded sample instead of every vector (the usual practice for
-    inverted-file indexes at scale, where a few hundred vectors per cell fix
-    the centroids and each full pass costs a scan of the vector column); every
-    row is still tagged with its nearest centroid, so no row is left out of
-    the search.  Default: the whole corpus."""
+    The Lloyd iterations are distributed ``pyspark.ml`` jobs over every vector
+    (cached by the estimator)."""
     with_vec = corpus.where(F.col(vector_col).isNotNull())
     feats = with_vec.withColumn("_features", array_to_vector(F.col(vector_col).cast("array<double>")))
-    sampled = train_fraction is not None and 0 < train_fraction < 1
-    train = feats.sample(fraction=train_fraction, seed=seed) if sampled else feats
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_features",
-                   predictionCol="cell").fit(train)
+                   predictionCol="cell").fit(feats)
     centroids = np.stack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     tagged = model.transform(feats).drop("_features")
-    scale = 1.0 / train_fraction if sampled else 1.0  # sizes estimate the whole corpus
-    sizes = tuple(float(n) * scale for n in model.summary.clusterSizes)
-    return Cells(centroids, sum(sizes) / max(1, len(sizes)), sizes), tagged
+    return Cells(centroids), tagged
+
+
+def cells_of(tagged: DataFrame, vector_col: str = "embedding") -> Cells:
+    """Cells of a corpus that carries ``cell`` already: the mean vector of each. One row
+    per cell reaches the driver. Rows without a vector or cell do not count."""
+    values = tagged.where(F.col("cell").isNotNull()).select(
+        "cell", F.posexplode(F.col(vector_col).cast("array<double>")).alias("i", "v")
+    )
+    means = values.groupBy("cell", "i").agg(F.avg("v").alias("m"))
+    rows = means.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("dims")).collect()
+    rows.sort(key=lambda r: r["cell"])
+    centroids = np.array([[x["m"] for x in r["dims"]] for r in rows], dtype=np.float64)
+    return Cells(centroids if rows else np.zeros((0, 0)), tuple(int(r["cell"]) for r in rows))
 
 
 def write_cells(tagged: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -83,11 +90,6 @@ def read_cells(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def nprobe_for_budget(cells: Cells, num_candidates: int) -> int:
-    """Cells to probe so that about ``num_candidates`` rows are scored."""
-    return max(1, min(cells.n_cells, math.ceil(num_candidates / max(cells.rows_per_cell, 1.0))))
-
-
 PROBE_CHUNK = 1024  # questions whose centroid keys are computed together
 
 
@@ -104,11 +106,25 @@ def _probes(cells: Cells, qmat: np.ndarray, nprobe: int, metric: str) -> np.ndar
     return out
 
 
-def _members(probes: np.ndarray) -> dict[int, np.ndarray]:
+def _probed(cells: Cells, qmat: np.ndarray, nprobe: int, metric: str, rows: np.ndarray,
+            need: int) -> tuple[np.ndarray, np.ndarray]:
+    """(question index, cell id) of every probe: the ``nprobe`` nearest cells, and the
+    next ones while the cells before them hold fewer than ``need`` rows. ``rows``:
+    filtered rows of each cell, in centroid order."""
+    found_q, found_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in range(0, len(qmat), PROBE_CHUNK):
+        near = _probes(cells, qmat[s : s + PROBE_CHUNK], cells.n_cells, metric)
+        held = rows[near]
+        wanted = np.cumsum(held, axis=1) - held < need
+        wanted[:, :nprobe] = True
+        q, at = np.nonzero(wanted)
+        found_q.append(q + s)
+        found_c.append(cells.cell_ids[near[q, at]])
+    return np.concatenate(found_q), np.concatenate(found_c)
+
+
+def _members(flat_q: np.ndarray, flat_c: np.ndarray) -> dict[int, np.ndarray]:
     """cell -> indices of the questions probing it (one sort, no cell x question scan)."""
-    m, p = probes.shape
-    flat_c = probes.reshape(-1)
-    flat_q = np.repeat(np.arange(m), p)
     order = np.argsort(flat_c, kind="stable")
     c_sorted, q_sorted = flat_c[order], flat_q[order]
     starts = np.flatnonzero(np.r_[True, c_sorted[1:] != c_sorted[:-1]]) if len(c_sorted) else np.zeros(0, int)
@@ -119,7 +135,7 @@ def _members(probes: np.ndarray) -> dict[int, np.ndarray]:
 def _make_kernel(bq, k, metric, key_col, vec_col):
     def kernel(batches):
         qids, qmat, probes = bq.value
-        members = _members(probes)
+        members = _members(*probes)
         slices: dict[int, list] = {}  # cell -> its questions' slices, built when the cell first appears
         states: dict[int, list] = {}  # a running top-k per (cell, question slice)
         for b in batches:
@@ -148,12 +164,14 @@ def _make_kernel(bq, k, metric, key_col, vec_col):
 
 
 def assign_probes(questions: DataFrame, cells: Cells, nprobe: int, metric: str = "l2",
-                  question_id_col: str = "question_id", question_vector_col: str = "embedding") -> DataFrame:
+                  question_id_col: str = "question_id", question_vector_col: str = "embedding",
+                  rows: np.ndarray | None = None, need: int = 0) -> DataFrame:
     """``question_id, <vector>, cell``: one row per probed cell of each question,
     computed on executors against the broadcast centroids (``n_cells x d``,
-    bounded by the parameter, not by the data)."""
+    bounded by the parameter, not by the data). ``rows`` and ``need``: see :func:`_probed`."""
     ship_package()
-    bc = questions.sparkSession.sparkContext.broadcast(cells.centroids)
+    held = np.zeros(cells.n_cells, np.int64) if rows is None else rows
+    bc = questions.sparkSession.sparkContext.broadcast((cells, held))
     out = T.StructType([
         T.StructField(question_id_col, T.LongType()),
         T.StructField(question_vector_col, T.ArrayType(T.DoubleType())),
@@ -167,11 +185,12 @@ def assign_probes(questions: DataFrame, cells: Cells, nprobe: int, metric: str =
             if not b.num_rows:
                 continue
             qmat = V.arrow_matrix(b.column(question_vector_col))
-            p = _probes(Cells(bc.value, 0.0), qmat, nprobe, metric)  # (m, p)
-            rows = pa.array(np.repeat(np.arange(b.num_rows), p.shape[1]))
+            known, held = bc.value
+            asked, found = _probed(known, qmat, nprobe, metric, held, need)
+            at = pa.array(asked)
             yield pa.RecordBatch.from_arrays(
-                [b.column(question_id_col).take(rows), b.column(question_vector_col).take(rows),
-                 pa.array(p.reshape(-1).astype(np.int32))],
+                [b.column(question_id_col).take(at), b.column(question_vector_col).take(at),
+                 pa.array(found.astype(np.int32))],
                 names=[question_id_col, question_vector_col, "cell"],
             )
 
@@ -184,8 +203,11 @@ def assign_probes(questions: DataFrame, cells: Cells, nprobe: int, metric: str =
 def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.DEFAULT_K, nprobe: int = 8,
            metric: str = "l2", key_col: str = "id", vector_col: str = "embedding",
            question_id_col: str = "question_id", question_vector_col: str = "embedding",
-           block_bytes: int = knn.DEFAULT_BLOCK_BYTES) -> DataFrame:
-    """Approximate top-k per question over a cell-tagged corpus.
+           block_bytes: int = knn.DEFAULT_BLOCK_BYTES, min_rows: int = 0,
+           merge_buckets: int = knn.MERGE_BUCKETS) -> DataFrame:
+    """Approximate top-k per question over a cell-tagged, possibly filtered corpus.
+    Every question meets at least ``max(k, min_rows)`` rows, or all there are: one count
+    per cell is taken of the filtered corpus first.
 
     A small question table (bounded fetch) is broadcast with its probe lists
     and the corpus is filtered to the probed cells (partition pruning when
@@ -199,32 +221,34 @@ def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.D
         T.StructField(key_col, tagged.schema[key_col].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    # a task may hold every probed cell's copy of its questions: nprobe copies
-    # of the question matrix must fit the budget for the broadcast path
+    held = tagged.where(F.col(vector_col).isNotNull()).groupBy("cell").count()
+    counts = {int(r["cell"]): int(r["count"]) for r in held.collect() if r["cell"] is not None}
+    rows = np.array([counts.get(int(c), 0) for c in cells.cell_ids], dtype=np.int64)
+    need = max(k, min_rows)
+    # a task may hold every probed cell's copy of its questions: all copies of the
+    # question matrix must fit the budget for the broadcast path
     p = max(1, min(nprobe, cells.n_cells))
-    small = knn.small_questions(questions, question_id_col, question_vector_col, block_bytes // p)
-    if small is None:
-        probed = assign_probes(questions, cells, nprobe, metric, question_id_col, question_vector_col)
-        # chunk sizing from the cells' row counts: counting the tagged corpus
-        # would read every vector again (its cell is computed from the vector)
-        counts = dict(enumerate(cells.sizes)) if cells.sizes else None
-        cands, _, chunks = tiles.search(
+    small = knn.small_questions(questions, question_id_col, question_vector_col, block_bytes // p, k)
+    probes = None
+    if small is not None and len(small[0]) and cells.n_cells:
+        probes = _probed(cells, small[1], nprobe, metric, rows, need)
+        if len(probes[0]) * (8 * small[1].shape[1] + knn.STATE_BYTES * k) > block_bytes:
+            small = None
+    if not counts or not cells.n_cells or (small is not None and not len(small[0])):
+        cands = spark.createDataFrame([], out_schema)
+    elif small is None:
+        probed = assign_probes(questions, cells, nprobe, metric, question_id_col, question_vector_col, rows, need)
+        cands, _, _ = tiles.search(
             tagged.select(key_col, vector_col, "cell"), probed, k, metric, key_col, vector_col,
             question_id_col, question_vector_col, cell_col="cell", tile_bytes=block_bytes,
             corpus_counts=counts,
         )
-        levels = knn.merge_levels(chunks * min(nprobe, cells.n_cells))
-    elif len(small[0]):
-        ids, mat = small
-        probes = _probes(cells, mat, nprobe, metric)
-        probed_cells = sorted({int(c) for c in np.unique(probes)})
+    else:
+        probed_cells = sorted({int(c) for c in np.unique(probes[1])})
         base = tagged.where(F.col("cell").isin(probed_cells)).select(key_col, vector_col, "cell")
-        bq = spark.sparkContext.broadcast((ids, mat, probes))
+        bq = spark.sparkContext.broadcast((*small, probes))
         cands = base.mapInArrow(_make_kernel(bq, k, metric, key_col, vector_col), out_schema)
-        levels = knn.merge_levels(estimated_partitions(base))
-    else:
-        cands, levels = spark.createDataFrame([], out_schema), 1
-    return knn.merge_topk(cands, k, key_col, levels).select(
+    return knn.merge_topk(cands, k, key_col, merge_buckets).select(
         "question_id", key_col, "rank", "distance", V.score_from_key("distance", metric).alias("score")
     )
 

@@ -32,14 +32,15 @@ from pyspark.sql import types as T
 from quarry.functions import vectors as V
 from quarry.operators import tiles
 from quarry.operators.ranking import merge_levels, top_per_group
-from quarry.session import estimated_partitions, ship_package
+from quarry.session import ship_package
 
 DEFAULT_K = 30  # fixed value: results per search
 DEFAULT_BLOCK_BYTES = 64 << 20  # question broadcast budget and tile budget (float64 bytes)
 QUESTION_CHUNK = 256  # questions scored together inside one kernel call
 SCAN_ROWS = 2048  # corpus rows per kernel call: a 256 x 2048 float32 key matrix stays in cache
 ATTACH_BROADCAST_ROWS = 2_000_000  # hits (questions x k) broadcast when provably below
-CANDIDATE_BUDGET = 200_000_000  # per-task top-k rows (tasks x questions x k) sent to the merge
+MERGE_BUCKETS = 32  # first merge level of a scan: key-hash buckets per question, whatever the number of tasks
+STATE_BYTES = 24  # one row of a running top-k: question, key, distance
 # Question tables within the byte budget are broadcast (the corpus is then
 # never shuffled); the row cap only bounds the fetch for very narrow vectors.
 FAST_QUESTIONS = 1 << 18
@@ -127,20 +128,20 @@ def _make_kernel(block, k: int, metric: str, key_col: str, vec_col: str):
     return kernel
 
 
-def small_questions(questions: DataFrame, qid: str, vec: str, block_bytes: int):
+def small_questions(questions: DataFrame, qid: str, vec: str, block_bytes: int, k: int):
     """The question table as ``(ids, float64 matrix)`` when it is provably
     small, else ``None`` (the caller then uses the tile join).
 
     The vector width is read from one row first, so the fetch is limited to
-    ``min(FAST_QUESTIONS, block_bytes / (8 d))`` rows (plus one to detect a
-    larger table) before anything big reaches the driver; ``limit`` stops
+    ``min(FAST_QUESTIONS, block_bytes / (8 d + 24 k))`` rows (what a task holds of a
+    question: its vector and its running top-k; plus one row to detect a larger table) before anything big reaches the driver; ``limit`` stops
     reading early, and the rows arrive as one Arrow table.  Questions without
     a vector or an id have no hits; vectors of unequal width are an error."""
     q = questions.where(F.col(vec).isNotNull() & F.col(qid).isNotNull())
     first = q.select(F.size(vec)).limit(1).collect()
     if not first:
         return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
-    cap = min(FAST_QUESTIONS, block_bytes // (8 * max(1, int(first[0][0]))))
+    cap = min(FAST_QUESTIONS, block_bytes // (8 * max(1, int(first[0][0])) + STATE_BYTES * k))
     if cap <= 0:
         return None
     table = q.select(F.col(qid).cast("long").alias("q"), F.col(vec).alias("v")).limit(cap + 1).toArrow()
@@ -151,21 +152,6 @@ def small_questions(questions: DataFrame, qid: str, vec: str, block_bytes: int):
     return ids, mat
 
 
-def _bound_candidates(base: DataFrame, nparts: int, n_questions: int, k: int):
-    """Every task emits up to k rows per question, so candidates grow with
-    tasks x questions.  Above the budget, coalesce the corpus (narrow, no
-    shuffle) into fewer, larger streaming tasks - never fewer than twice the
-    cluster's task slots.  The kernel streams batches, so a larger task needs
-    no more memory."""
-    if nparts * n_questions * k <= CANDIDATE_BUDGET:
-        return base, nparts
-    slots = base.sparkSession.sparkContext.defaultParallelism
-    want = max(2 * slots, CANDIDATE_BUDGET // max(1, n_questions * k))
-    if want >= nparts:
-        return base, nparts
-    return base.coalesce(want), want
-
-
 def merge_topk(cands: DataFrame, k: int, key_col: str, levels: int = 1) -> DataFrame:
     """Global top-k per question from per-partition (or per-tile) candidates."""
     return top_per_group(cands, ["question_id"], [("distance", True), (key_col, True)], k, key_col, "rank", levels)
@@ -182,6 +168,7 @@ def search(
     question_vector_col: str = "embedding",
     block_bytes: int = DEFAULT_BLOCK_BYTES,
     attach_to: DataFrame | None = None,
+    merge_buckets: int = MERGE_BUCKETS,
 ) -> DataFrame:
     """Top-``k`` rows of ``corpus`` per question.
 
@@ -205,7 +192,7 @@ def search(
         ]
     )
     base = corpus.where(F.col(vector_col).isNotNull()).select(key_col, vector_col)
-    small = small_questions(questions, question_id_col, question_vector_col, block_bytes)
+    small = small_questions(questions, question_id_col, question_vector_col, block_bytes, k)
     if small is None:
         cands, n_questions, chunks = tiles.search(  # counts the corpus without reading vectors
             corpus.select(key_col, vector_col), questions, k, metric, key_col, vector_col,
@@ -214,11 +201,9 @@ def search(
         levels = merge_levels(chunks)
     elif len(small[0]):
         n_questions = len(small[0])
-        nparts = estimated_partitions(base)
-        base, nparts = _bound_candidates(base, nparts, n_questions, k)
         shipped = spark.sparkContext.broadcast(small)
         cands = base.mapInArrow(_make_kernel(shipped, k, metric, key_col, vector_col), out_schema)
-        levels = merge_levels(nparts)
+        levels = merge_buckets
     else:
         cands, levels, n_questions = spark.createDataFrame([], out_schema), 1, 0
     top = merge_topk(cands, k, key_col, levels).select(

@@ -8,6 +8,8 @@ BIGINT.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from quarry.operators import hits as H
 from quarry.operators import knn
 from quarry.operators import topics as TP
 from quarry.plans import scenario as S
+from quarry.session import checkpoint_dir
 from quarry.sources import schema as SC
 from quarry.sources import testdata as td
 
@@ -31,7 +34,7 @@ def _posts(spark, sf_dir, *cols):
 # -- sources / index algebra -------------------------------------------------
 
 def q01_multi_index_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [n for p, ix, _ in td.PROJECTS if p in ("alpha-arm", "gamma-bk") for n in ix]
+    names = [n for p, ix, _ in td.PROJECTS if p in ("harbor", "lantern") for n in ix]
     df = _posts(spark, sf_dir, "doc_id", "id", "index_name", "language_text")
     return FL.select_indexes(df, names)
 
@@ -41,7 +44,7 @@ def q02_project_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # size-bounded broadcast side.
     chosen = (
         td.projects(spark)
-        .where(F.col("project") == "beta-by")
+        .where(F.col("project") == "orchard")
         .select("project", F.explode("indexes").alias("index_name"))
     )
     df = _posts(spark, sf_dir, "doc_id", "index_name")
@@ -172,7 +175,9 @@ def q13_context_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q14_url_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _posts(spark, sf_dir, "doc_id", "url").select("doc_id", "url", repair_url("url").alias("url_fixed"))
+    posts = _posts(spark, sf_dir, "doc_id", "url").select(F.lit("post").alias("origin"), F.col("doc_id").alias("id"), "url")
+    pages = td.table(spark, sf_dir, "pages").select(F.lit("page").alias("origin"), F.col("page_id").alias("id"), "url")
+    return posts.unionByName(pages).withColumn("url_fixed", repair_url("url"))
 
 
 # -- facets and distributions -------------------------------------------------------
@@ -275,32 +280,34 @@ def q26_prompt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.prompt_table(qtext, packed, EV.template_for(TASKS, "alert"))
 
 
-QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]
-
-
 # -- approximate search -------------------------------------------------------------
 
-ANN_CELLS = 16
+def _stored_cells(spark: SparkSession, sf_dir: str):
+    """Posts with a vector, stored by cell (the label of their vector), and the cells."""
+    from quarry.operators import ann
+
+    labels = td.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.coalesce("label", F.lit(-1)).alias("cell")
+    )
+    posts = _posts(spark, sf_dir, "doc_id", "type", "language_text", "embedding")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    ann.write_cells(posts.where(F.col("embedding").isNotNull()).join(labels, "doc_id"), path)
+    stored = ann.read_cells(spark, path)
+    return ann.cells_of(stored), stored
 
 
 def q24_knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate batch search: k-means cells over the corpus vectors; each
-    question probes as many nearest cells as the candidate budget covers
-    (all of them while the corpus is within the budget, so the result then
-    equals the exact search)."""
+    """Filtered approximate batch search over stored cells: two nearest cells per
+    question, and further ones until 30 rows that pass the filter are reached."""
     from quarry.operators import ann
 
-    corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
-    cells, tagged = ann.build_cells(corpus, ANN_CELLS)
-    nprobe = ann.nprobe_for_budget(cells, S.ANN_CANDIDATES)
-    hits = ann.search(tagged, cells, td.vector_questions(spark, sf_dir), k=S.BATCH_K, nprobe=nprobe,
+    cells, stored = _stored_cells(spark, sf_dir)
+    corpus = FL.apply_filter(stored, FL.FilterSpec(language=["en", "fr"]))
+    hits = ann.search(corpus, cells, td.vector_questions(spark, sf_dir), k=S.BATCH_K, nprobe=2, min_rows=30,
                       key_col="doc_id")
     return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]
-
-
 # -- text -> vector -> search ---------------------------------------------------------
 
 def q27_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,15 +325,17 @@ def q27_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streaming refresh ------------------------------------------------------------------
 
 def q28_facet_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facet counts of language and source maintained by a file-stream refresh."""
+    """Facet counts of language and source maintained by a file-stream refresh: the
+    documents land in two deliveries, each followed by a refresh of the same state."""
     from quarry.streaming import facet_refresh as FR
 
-    schema = td.table(spark, sf_dir, "documents").schema
-    glob = f"{sf_dir.rstrip('/')}/documents*.parquet"
-    return FR.refresh_once(spark, glob, schema, ["lang", "source"])
-
-
-QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]
+    docs = td.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    root = f"{checkpoint_dir(spark).rstrip('/')}/facets-{uuid.uuid4().hex}"
+    first = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+    for delivery in (first, ~first):
+        docs.where(delivery).write.mode("append").parquet(root + "/landing")
+        table = FR.refresh(spark, root + "/landing/*.parquet", docs.schema, ["lang", "source"], root)
+    return table
 
 
 # -- compare mode and hit totals ------------------------------------------------------
@@ -346,9 +355,6 @@ def q30_hit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                F.col("n_filtered").cast("long"))
 
 
-QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]
-
-
 # -- the distributed paths for question tables above the broadcast bound -------------
 
 TILE_BUDGET = 64 << 10  # float64 bytes per tile: puts the whole-table batch search in the tile regime
@@ -365,14 +371,12 @@ def q31_knn_batch_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q32_knn_ann_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q24 in the tile regime: probes assigned on executors, questions meet
-    their probed cells' rows in ``(cell, chunk, block)`` tiles."""
+    """Three nearest cells of every language in the tile regime: probes assigned on
+    executors, questions meet their probed cells' rows in ``(cell, chunk, block)`` tiles."""
     from quarry.operators import ann
 
-    corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
-    cells, tagged = ann.build_cells(corpus, ANN_CELLS)
-    nprobe = ann.nprobe_for_budget(cells, S.ANN_CANDIDATES)
-    hits = ann.search(tagged, cells, td.vector_questions(spark, sf_dir), k=S.BATCH_K, nprobe=nprobe,
+    cells, stored = _stored_cells(spark, sf_dir)
+    hits = ann.search(FL.exclude_comments(stored), cells, td.vector_questions(spark, sf_dir), k=S.BATCH_K, nprobe=3,
                       key_col="doc_id", block_bytes=TILE_BUDGET)
     return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 

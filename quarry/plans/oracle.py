@@ -31,10 +31,10 @@ SEARCH_HITS = f"""search_hits AS (
 SQL: dict[str, str] = {
     "q01_multi_index_union": _with(_POSTS) + """
 SELECT doc_id, id, index_name, language_text FROM posts
-WHERE index_name IN ('alpha-arm-facebook', 'alpha-arm-telegram', 'gamma-bk-sample-telegram')""",
+WHERE index_name IN ('harbor-web', 'harbor-facebook-youtube', 'lantern-notes-comments', 'lantern-tiktok')""",
     "q02_project_indexes": _with(_POSTS, td.PROJECTS_SQL) + """
 SELECT p.doc_id, p.index_name, pr.project FROM posts p JOIN projects pr ON p.index_name = pr.index_name
-WHERE pr.project = 'beta-by'""",
+WHERE pr.project = 'orchard'""",
     "q03_topic_index_names": _with(_POSTS) + f"""
 SELECT index_name,
   array_to_string(list_filter(string_split(index_name, '-'), lambda x: NOT list_contains({_SUFFIX_LIST}, x)), '-') AS prefix,
@@ -51,7 +51,7 @@ WHERE CAST(date_ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-10'""",
     "q06_terms_filter": _with(_POSTS) + """
 SELECT doc_id, index_name, category_value, language_text FROM (
   SELECT doc_id, index_name, language_text,
-    CASE WHEN index_name LIKE '%alpha-arm%' OR index_name LIKE '%gamma-bk%' THEN category_one ELSE category END AS category_value
+    CASE WHEN index_name LIKE '%harbor%' OR index_name LIKE '%lantern%' THEN category_one ELSE category END AS category_value
   FROM posts)
 WHERE category_value IN ('one1', 'one3', 'cat1', 'cat3') AND language_text IN ('en', 'fr', 'de')""",
     "q07_issue_thresholds": _with(_POSTS) + """
@@ -89,7 +89,7 @@ BATCH_HITS = """batch_hits AS (
 
 BH = """bh AS (SELECT h.question_id, h.rank, h.score, p.* FROM batch_hits h JOIN posts p USING (doc_id))"""
 
-CTX_CATEGORY = """CASE WHEN index_name LIKE '%alpha-arm%' OR index_name LIKE '%gamma-bk%'
+CTX_CATEGORY = """CASE WHEN index_name LIKE '%harbor%' OR index_name LIKE '%lantern%'
      THEN coalesce(category_one, 'Unknown') ELSE category END"""
 URL_FIXED = """CASE WHEN url IS NULL THEN NULL
      WHEN starts_with(url, 'http://') OR starts_with(url, 'https://') THEN url
@@ -119,7 +119,8 @@ TOPIC_COUNTS = """tc AS (
 TOPIC_LOOKUP = """tl AS (
   SELECT topic_hash_id AS topic_ids, topic_summary AS summary, topic_narratives AS narratives FROM (
     SELECT *, row_number() OVER (PARTITION BY topic_hash_id ORDER BY seq, index_name) AS rn FROM topics
-    WHERE index_name IN ('topics-alpha-arm', 'topics-beta-by', 'topics-delta-win', 'topics-gamma-bk-sample'))
+    WHERE index_name IN ('topics-harbor', 'topics-orchard-archive', 'topics-orchard-orchard', 'topics-lantern-notes',
+                         'topics-lantern'))
   WHERE rn = 1)"""
 
 CONTEXT = f"""ctx AS (
@@ -142,7 +143,10 @@ SELECT question_id, rank, doc_id, round(score, 6) AS score FROM batch_hits""",
     "q12_hit_table": _with(_POSTS, BATCH_HITS, BH, HIT_TABLE) + "SELECT * FROM ht",
     "q13_context_category": _with(_POSTS, BATCH_HITS, BH, CONTEXT) + """
 SELECT question_id, rank, url, category, length(text) AS text_chars FROM ctx""",
-    "q14_url_repair": _with(_POSTS) + f"SELECT doc_id, url, {URL_FIXED} AS url_fixed FROM posts",
+    "q14_url_repair": _with(_POSTS) + f"""
+SELECT origin, id, url, {URL_FIXED} AS url_fixed FROM (
+  SELECT 'post' AS origin, doc_id AS id, url FROM posts
+  UNION ALL SELECT 'page', page_id, url FROM pages)""",
     "q15_facets": _with(_POSTS) + f"""
 SELECT field, 'unique_' || replace(field, '.', '_') AS agg_name,
        row_number() OVER (PARTITION BY field ORDER BY count DESC, value) AS bucket, value, count
@@ -215,6 +219,38 @@ SELECT question_id, count(*)::BIGINT AS n_hits,
        (SELECT count(*) FROM posts WHERE embedding IS NOT NULL AND {SEARCH_WHERE})::BIGINT AS n_filtered
 FROM search_hits GROUP BY question_id"""
 
-SQL["q24_knn_ann"] = SQL["q11_knn_batch"]  # budget covers the corpus: equals the exact search
+
+
+def _ann(where: str, nprobe: int, min_rows: int) -> str:
+    """Search of label cells: mean vectors as centroids, the ``nprobe`` nearest cells and
+    further ones until ``min_rows`` filtered rows are reached, then the exact ranking."""
+    return _with(_POSTS) + f""",
+tagged AS (
+  SELECT p.doc_id, p.type, p.language_text, p.embedding::DOUBLE[] AS v, coalesce(e.label, -1) AS cell
+  FROM posts p JOIN embeddings e ON e.vec_id = p.doc_id WHERE p.embedding IS NOT NULL),
+centroids AS (
+  SELECT cell, list(m ORDER BY i) AS c FROM (
+    SELECT cell, i, avg(x) AS m
+    FROM (SELECT cell, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM tagged) GROUP BY cell, i)
+  GROUP BY cell),
+kept AS (SELECT * FROM tagged WHERE {where}),
+filled AS (SELECT cell, count(*) AS n FROM kept GROUP BY cell),
+ordered AS (
+  SELECT q.vec_id AS question_id, q.embedding::DOUBLE[] AS qv, c.cell, coalesce(f.n, 0) AS n,
+         list_distance(q.embedding::DOUBLE[], c.c) AS d
+  FROM embeddings q CROSS JOIN centroids c LEFT JOIN filled f ON f.cell = c.cell WHERE q.embedding IS NOT NULL),
+probed AS (
+  SELECT question_id, qv, cell FROM (
+    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, cell) AS r,
+           sum(n) OVER (PARTITION BY question_id ORDER BY d, cell ROWS UNBOUNDED PRECEDING) - n AS before
+    FROM ordered)
+  WHERE r <= {nprobe} OR before < {min_rows})
+SELECT question_id, rank, doc_id, round(1.0 / (1.0 + d * d), 6) AS score FROM (
+  SELECT question_id, doc_id, d, row_number() OVER (PARTITION BY question_id ORDER BY d, doc_id) AS rank
+  FROM (SELECT p.question_id, k.doc_id, list_distance(k.v, p.qv) AS d FROM probed p JOIN kept k ON k.cell = p.cell))
+WHERE rank <= 10"""
+
+
+SQL["q24_knn_ann"] = _ann("type IS DISTINCT FROM 'comment' AND language_text IN ('en', 'fr')", 2, 30)
 SQL["q31_knn_batch_tiles"] = SQL["q11_knn_batch"]  # same search, distributed tile path
-SQL["q32_knn_ann_tiles"] = SQL["q11_knn_batch"]  # full probe in the tile path: equals the exact search
+SQL["q32_knn_ann_tiles"] = _ann("type IS DISTINCT FROM 'comment'", 3, 10)

@@ -22,7 +22,6 @@ K = 30
 QUESTION_VEC_ID = 0  # the question: stored vector 0 ("posts like this one")
 
 BATCH_K = 10
-ANN_CANDIDATES = 10000  # fixed value: candidate budget of the approximate search
 SCORE_THRESHOLD = 0.40  # the variant's default is 0.7; 0.40 keeps some hits on these tables
 VARIANT_K = 100  # fixed value: k of the variant search
 VARIANT_SIZE = 10000  # fixed value: result size of the variant search

@@ -73,11 +73,3 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
     spark.sparkContext.setLogLevel("ERROR")
     ship_package()
     return spark
-
-
-def estimated_partitions(df) -> int:
-    """Scan tasks of the plan, estimated from its input files (each file is at
-    least one split; ``inputFiles`` is resolved from the plan, nothing is
-    executed - ``df.rdd`` would make adaptive execution run upstream stages
-    just to count partitions)."""
-    return max(1, len(df.inputFiles()))

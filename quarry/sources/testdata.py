@@ -18,26 +18,21 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values of the test layout: index names by doc_id % 6, topic-table
-# prefixes by item_id % 4, projects with their category scheme.
-INDEX_NAMES = (
-    "alpha-arm-facebook",
-    "alpha-arm-telegram",
-    "beta-by-web",
-    "beta-by-whisper-tiktok",
-    "gamma-bk-sample-telegram",
-    "delta-win-comments-telegram",
-)
-TOPIC_PREFIXES = ("alpha-arm", "beta-by", "gamma-bk-sample", "delta-win")
+from quarry.functions.indexes import py_index_prefix
+
+# The test layout: three projects, one per category scheme. Their names cover one and
+# several platform parts, a platform part that is not last, and a repeated part. A
+# post's index goes by doc_id % 6, a topic's table by item_id % 5.
 PROJECTS = (
-    ("alpha-arm", ("alpha-arm-facebook", "alpha-arm-telegram"), "two_level"),
-    ("beta-by", ("beta-by-web", "beta-by-whisper-tiktok"), "base"),
-    ("gamma-bk", ("gamma-bk-sample-telegram",), "one_level"),
-    ("delta-win", ("delta-win-comments-telegram",), "base"),
+    ("harbor", ("harbor-web", "harbor-facebook-youtube"), "two_level"),
+    ("orchard", ("orchard-telegram-archive", "orchard-orchard-web"), "base"),
+    ("lantern", ("lantern-notes-comments", "lantern-tiktok"), "one_level"),
 )
+INDEX_NAMES = tuple(name for _, names, _ in PROJECTS for name in names)
+TOPIC_PREFIXES = tuple(dict.fromkeys(py_index_prefix(name) for name in INDEX_NAMES))
 # Substring markers that select a category scheme from an index name.
-TWO_LEVEL_MARKERS = ("alpha-arm",)
-ONE_LEVEL_MARKERS = ("gamma-bk",)
+TWO_LEVEL_MARKERS = ("harbor",)
+ONE_LEVEL_MARKERS = ("lantern",)
 DOMAIN = "site.example.org"
 
 _SIDE_NEEDS = {
@@ -133,7 +128,7 @@ def _posts_view(spark: SparkSession, sf_dir: str, want: list[str]) -> DataFrame:
         if "category" in need
         else None,
         "misc": F.struct(
-            F.when((d % 6).isin(0, 1, 4) & label.isNotNull(), F.concat(F.lit("one"), label.cast("string")))
+            F.when((d % 6).isin(0, 1, 4, 5) & label.isNotNull(), F.concat(F.lit("one"), label.cast("string")))
             .alias("category_one"),
             F.when((d % 6).isin(0, 1) & label.isNotNull(), F.concat(F.lit("two"), (label % 3).cast("string")))
             .alias("category_two"),
@@ -170,14 +165,14 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 10 == 0, F.lit("")).otherwise(F.col("text")).alias("topic_summary"),
         F.when(i % 4 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("n"), i.cast("string")))
         .alias("topic_narratives"),
-        F.element_at(prefixes, (i % 4 + 1).cast("int")).alias("index_name"),
+        F.element_at(prefixes, (i % len(TOPIC_PREFIXES) + 1).cast("int")).alias("index_name"),
         F.lit(0).alias("seq"),
     )
     dups = b.where(i % 3 == 0).select(
         F.concat(F.lit("k"), i.cast("string")).alias("topic_hash_id"),
         F.lit("dup").alias("topic_summary"),
         F.lit("dup").alias("topic_narratives"),
-        F.element_at(prefixes, ((i + 1) % 4 + 1).cast("int")).alias("index_name"),
+        F.element_at(prefixes, ((i + 1) % len(TOPIC_PREFIXES) + 1).cast("int")).alias("index_name"),
         F.lit(1).alias("seq"),
     )
     return first.unionByName(dups)
@@ -227,7 +222,7 @@ posts AS (
          WHEN pg.url IS NOT NULL THEN pg.url
          ELSE concat('http://{DOMAIN}/', CAST(d.doc_id AS VARCHAR)) END AS url,
     CASE WHEN em.label IS NULL OR em.label = 9 THEN NULL ELSE concat('cat', CAST(em.label AS VARCHAR)) END AS category,
-    CASE WHEN d.doc_id % 6 IN (0, 1, 4) AND em.label IS NOT NULL THEN concat('one', CAST(em.label AS VARCHAR)) END AS category_one,
+    CASE WHEN d.doc_id % 6 IN (0, 1, 4, 5) AND em.label IS NOT NULL THEN concat('one', CAST(em.label AS VARCHAR)) END AS category_one,
     CASE WHEN d.doc_id % 6 IN (0, 1) AND em.label IS NOT NULL THEN concat('two', CAST(em.label % 3 AS VARCHAR)) END AS category_two,
     CAST(l.quality AS DOUBLE) AS issues_quality,
     CAST(l.toxic AS DOUBLE) AS issues_toxic,
@@ -249,12 +244,12 @@ topics AS (
   SELECT concat('k', CAST(item_id AS VARCHAR)) AS topic_hash_id,
     CASE WHEN item_id % 10 = 0 THEN '' ELSE text END AS topic_summary,
     CASE WHEN item_id % 4 = 0 THEN NULL ELSE concat('n', CAST(item_id AS VARCHAR)) END AS topic_narratives,
-    {_case('item_id % 4', ['topics-' + p for p in TOPIC_PREFIXES])} AS index_name,
+    {_case(f'item_id % {len(TOPIC_PREFIXES)}', ['topics-' + p for p in TOPIC_PREFIXES])} AS index_name,
     0 AS seq
   FROM benchmark
   UNION ALL
   SELECT concat('k', CAST(item_id AS VARCHAR)), 'dup', 'dup',
-    {_case('(item_id + 1) % 4', ['topics-' + p for p in TOPIC_PREFIXES])}, 1
+    {_case(f'(item_id + 1) % {len(TOPIC_PREFIXES)}', ['topics-' + p for p in TOPIC_PREFIXES])}, 1
   FROM benchmark WHERE item_id % 3 = 0
 )"""
 

@@ -3,15 +3,14 @@
 The selector lists are cached for an hour in an interactive tool; on Spark the
 same need is a facet table kept up to date as new post files land: a file
 stream, the one-pass ``(field, value)`` fan-out, a streaming count, and a
-``foreachBatch`` sink that replaces the published table with the full current
-counts.  ``availableNow`` processes everything that has arrived and stops, so
+``foreachBatch`` sink that publishes the full current counts as a new version of
+the table (``version=<epoch>``): readers of an older version keep their files.  ``availableNow`` processes everything that has arrived and stops, so
 it runs as a scheduled batch; state and progress live under the checkpoint
 location and survive executor or driver loss.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.session import checkpoint_dir
-
 
 def facet_stream(stream: DataFrame, fields: Sequence[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
@@ -36,8 +33,10 @@ def start_refresh(spark: SparkSession, source_glob: str, schema: T.StructType, f
                   table_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     stream = spark.readStream.schema(schema).parquet(source_glob)
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        batch.select("field", "value", F.col("count").cast("long")).write.mode("overwrite").parquet(table_path)
+    def publish(batch: DataFrame, epoch: int) -> None:
+        # a batch that is run again after a failure writes its own version again
+        out = batch.select("field", "value", F.col("count").cast("long"))
+        out.write.mode("overwrite").parquet(f"{table_path}/version={epoch}")
 
     writer = facet_stream(stream, fields).writeStream.outputMode("complete").foreachBatch(publish)
     writer = writer.option("checkpointLocation", checkpoint)
@@ -45,13 +44,19 @@ def start_refresh(spark: SparkSession, source_glob: str, schema: T.StructType, f
     return writer.start()
 
 
-def refresh_once(spark: SparkSession, source_glob: str, schema: T.StructType, fields: Sequence[str],
-                 root: str | None = None) -> DataFrame:
-    """Run one ``availableNow`` refresh into the shared checkpoint folder and
-    return the published facet table."""
-    base = (root or checkpoint_dir(spark)).rstrip("/") + f"/facets-{uuid.uuid4().hex}"
-    q = start_refresh(spark, source_glob, schema, fields, base + "/table", base + "/state")
+def published(spark: SparkSession, table_path: str) -> DataFrame:
+    """The newest version of the facet table: ``field, value, count``."""
+    table = spark.read.parquet(table_path)
+    newest = table.select(F.max("version")).first()[0]
+    return table.where(F.col("version") == newest).drop("version")
+
+
+def refresh(spark: SparkSession, source_glob: str, schema: T.StructType, fields: Sequence[str],
+            root: str) -> DataFrame:
+    """Take in the files that arrived since the last call with the same ``root`` (a shared
+    folder of the caller's choice: state and versions) and return the published table."""
+    q = start_refresh(spark, source_glob, schema, fields, root + "/table", root + "/state")
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.read.parquet(base + "/table")
+    return published(spark, root + "/table")

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import types as T
 
 from quarry.operators import ann, knn
@@ -17,17 +18,31 @@ def test_ann_full_probe_is_exact_and_recall_grows(spark):
     r1 = ann.recall(ann.search(tagged, cells, qdf, k=10, nprobe=1, key_col="doc_id"), exact, "doc_id")
     r4 = ann.recall(ann.search(tagged, cells, qdf, k=10, nprobe=4, key_col="doc_id"), exact, "doc_id")
     assert r1 <= r4 <= 1.0 and r4 > 0.5
-    assert ann.nprobe_for_budget(cells, 10_000) == 8
 
 
-def test_sampled_training_still_tags_every_row(spark):
-    df, x, keys = corpus(spark, n=400, d=8, dup=False, parts=4)
-    qdf = spark.createDataFrame([(j, x[j].tolist()) for j in range(0, 400, 40)], "question_id long, embedding array<double>")
-    cells, tagged = ann.build_cells(df, 8, train_fraction=0.5)
-    assert tagged.count() == 400 and tagged.where("cell IS NULL").count() == 0
-    assert 25 <= cells.rows_per_cell <= 75  # ~400 / 8 estimated from the sample
-    exact = knn.search(df, qdf, k=10, key_col="doc_id")
-    assert ann.recall(ann.search(tagged, cells, qdf, k=10, nprobe=8, key_col="doc_id"), exact, "doc_id") == 1.0
+@pytest.mark.parametrize("block_bytes", [64 << 20, 1])  # broadcast, tiles
+def test_filtered_search_fills_k(spark, block_bytes):
+    """A filter that leaves few rows in the nearest cells never costs a question hits."""
+    df, x, keys = corpus(spark, n=600, d=8, dup=False, parts=4)
+    qdf = spark.createDataFrame([(j, x[j].tolist()) for j in range(0, 600, 60)], "question_id long, embedding array<double>")
+    cells, tagged = ann.build_cells(df, 12)
+    few = tagged.where("doc_id % 20 = 0")
+    hits = ann.search(few, cells, qdf, k=10, nprobe=1, key_col="doc_id", block_bytes=block_bytes)
+    assert {r["count"] for r in hits.groupBy("question_id").count().collect()} == {10}
+    full = ann.search(few, cells, qdf, k=10, nprobe=12, key_col="doc_id", block_bytes=block_bytes)
+    assert ann.recall(full, knn.search(few, qdf, k=10, key_col="doc_id"), "doc_id") == 1.0
+
+
+def test_cells_of_a_tagged_corpus(spark):
+    rows = [(1, [0.0, 2.0], 5), (2, [2.0, 4.0], 5), (3, [9.0, 9.0], -1), (4, None, 7), (5, [1.0, 1.0], None)]
+    tagged = spark.createDataFrame(rows, "doc_id long, embedding array<double>, cell int")
+    cells = ann.cells_of(tagged)
+    assert cells.ids == (-1, 5) and cells.centroids.tolist() == [[9.0, 9.0], [1.0, 3.0]]
+    qdf = spark.createDataFrame([(0, [1.0, 3.0])], "question_id long, embedding array<double>")
+    hits = ann.search(tagged, cells, qdf, k=2, nprobe=1, key_col="doc_id")
+    assert sorted(r.doc_id for r in hits.collect()) == [1, 2]
+    empty = ann.search(tagged.where("false"), cells, qdf, k=2, nprobe=1, key_col="doc_id")
+    assert empty.count() == 0
 
 
 def test_facet_refresh_incremental(spark, tmp_path):
@@ -39,13 +54,14 @@ def test_facet_refresh_incremental(spark, tmp_path):
     glob = str(src) + "/*/*.parquet"
     q = FR.start_refresh(spark, glob, schema, ["lang"], table, state)
     q.awaitTermination()
-    got = {r.value: r["count"] for r in spark.read.parquet(table).collect()}
+    got = {r.value: r["count"] for r in FR.published(spark, table).collect()}
     assert got == {"en": 2, "fr": 1}
     spark.createDataFrame([("en",), (None,)], schema).write.parquet(str(src / "b"))
     q = FR.start_refresh(spark, glob, schema, ["lang"], table, state)
     q.awaitTermination()
-    got = {r.value: r["count"] for r in spark.read.parquet(table).collect()}
+    got = {r.value: r["count"] for r in FR.published(spark, table).collect()}
     assert got == {"en": 3, "fr": 1}
+    assert {r.version for r in spark.read.parquet(table).collect()} == {0, 1}  # the older one stays readable
 
 
 def test_stored_cells_prune_partitions(spark, tmp_path):
@@ -70,13 +86,13 @@ def test_probes_chunked_and_members(spark, monkeypatch):
 
     rng = np.random.default_rng(0)
     cents, q = rng.normal(size=(50, 8)), rng.normal(size=(300, 8))
-    cells = ann.Cells(cents, 1.0)
+    cells = ann.Cells(cents)
     monkeypatch.setattr(ann, "PROBE_CHUNK", 64)  # several chunks
     for p in (1, 5, 50):
         want = np.argsort(V.block_keys(cents, q, "l2"), axis=0, kind="stable")[:p].T
         assert (ann._probes(cells, q, p, "l2") == want).all()
     pr = ann._probes(cells, q, 5, "l2")
-    mem = ann._members(pr)
+    mem = ann._members(np.repeat(np.arange(300), 5), pr.reshape(-1))
     assert all(set(mem.get(c, [])) == set(np.nonzero((pr == c).any(axis=1))[0]) for c in range(50))
     qdf = spark.createDataFrame([(j, q[j].tolist()) for j in range(300)], "question_id long, embedding array<double>")
     rows = ann.assign_probes(qdf, cells, 5).collect()

@@ -9,10 +9,10 @@ def test_write_read_prunes_partitions(spark, tmp_path):
     path = str(tmp_path / "posts")
     posts = td.posts(spark, SF_SMALL, ["id", "index_name", "date_ts", "language_text"])
     CO.write_corpus(posts, path)
-    df = CO.read_corpus(spark, path, ["beta-by-web"])
+    df = CO.read_corpus(spark, path, ["orchard-orchard-web"])
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "beta-by-web" in plan
-    assert df.count() == posts.where(F.col("index_name") == "beta-by-web").count()
+    assert "PartitionFilters" in plan and "orchard-orchard-web" in plan
+    assert df.count() == posts.where(F.col("index_name") == "orchard-orchard-web").count()
 
 
 def test_union_indexes_missing_columns(spark):
@@ -35,7 +35,7 @@ def test_project_helpers(spark):
 
     p = td.projects(spark)
     assert PR.project_indexes(p).count() == 6
-    assert sorted(r.index_name for r in PR.project_indexes(p, "beta-by").collect()) == ["beta-by-web", "beta-by-whisper-tiktok"]
+    assert sorted(r.index_name for r in PR.project_indexes(p, "orchard").collect()) == ["orchard-orchard-web", "orchard-telegram-archive"]
     names = spark.createDataFrame([(n,) for n in ["a-b-web", "a-b-x-tiktok", "a-c-web", "d-e-web"]], "index_name string")
     sel = spark.createDataFrame([("a-b-telegram",), ("d-e-youtube",)], "index_name string")
     assert sorted(r[0] for r in PR.discover_indexes(names, sel).collect()) == ["a-b-web", "a-b-x-tiktok", "d-e-web"]

@@ -7,9 +7,9 @@ from quarry.operators import filters as FL
 
 def _posts(spark):
     rows = [
-        ("1", "alpha-arm-facebook", dt.datetime(2024, 1, 2, 23, 59, 59, 999999), "comment", "en", "US", "cat1", ("one1", "two1"), (0.2, 1.0)),
-        ("2", "beta-by-web", dt.datetime(2024, 1, 3, 0, 0, 0), None, "fr", None, "cat2", None, (None, 0.0)),
-        ("3", "gamma-bk-sample-telegram", dt.datetime(2024, 1, 1, 12, 0), "post", "de", "DE", None, ("one3", None), (0.9, None)),
+        ("1", "harbor-web", dt.datetime(2024, 1, 2, 23, 59, 59, 999999), "comment", "en", "US", "cat1", ("one1", "two1"), (0.2, 1.0)),
+        ("2", "orchard-orchard-web", dt.datetime(2024, 1, 3, 0, 0, 0), None, "fr", None, "cat2", None, (None, 0.0)),
+        ("3", "lantern-notes-comments", dt.datetime(2024, 1, 1, 12, 0), "post", "de", "DE", None, ("one3", None), (0.9, None)),
     ]
     return spark.createDataFrame(
         rows,
@@ -56,7 +56,7 @@ def test_day_range_inclusive(spark):
 
 def test_scheme_routing(spark):
     df = _posts(spark)
-    rules = FL.SchemeRules(two_level=("alpha-arm",), one_level=("gamma-bk",))
+    rules = FL.SchemeRules(two_level=("harbor",), one_level=("lantern",))
     per_index = FL.FilterSpec(category_one=["one1", "cat2", "one3"], exclude_comments=False, rules=rules)
     assert ids(FL.apply_filter(df, per_index)) == ["1", "2", "3"]
     # parity: one scheme for the whole selection
@@ -64,7 +64,7 @@ def test_scheme_routing(spark):
     assert ids(FL.apply_filter(df, base)) == ["2"]
     two = FL.FilterSpec(category_one=["one1"], category_two=["two1"], exclude_comments=False, scheme=FL.TWO_LEVEL)
     assert ids(FL.apply_filter(df, two)) == ["1"]
-    assert rules.for_name("x-alpha-arm,beta-by-web") == FL.TWO_LEVEL
+    assert rules.for_name("x-harbor,orchard-orchard-web") == FL.TWO_LEVEL
 
 
 def test_compare_mode(spark):

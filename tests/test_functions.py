@@ -10,14 +10,14 @@ from quarry.sources import schema as SC
 
 
 def test_index_prefix(spark):
-    names = ["beta-by-whisper-tiktok", "a-a-tiktok", "delta-win-comments-telegram", "x-web-y"]
+    names = ["orchard-telegram-archive", "a-a-tiktok", "harbor-facebook-youtube", "x-web-y"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r[0] for r in df.select(IX.index_prefix("n")).collect()]
-    assert got == ["beta-by", "a-a", "delta-win", "x-y"]
+    assert got == ["orchard-archive", "a-a", "harbor", "x-y"]
     assert got == [IX.py_index_prefix(n) for n in names]
     sel = spark.createDataFrame([("a-b-web,a-b-telegram,c-d-web",)], "s string")
     assert sorted(sel.select(IX.selection_topic_indexes("s")).collect()[0][0]) == ["topics-a-b", "topics-c-d"]
-    assert df.select(IX.base_index("n")).collect()[0][0] == "beta-by"
+    assert df.select(IX.base_index("n")).collect()[0][0] == "orchard-telegram"
 
 
 def test_schema_walk():

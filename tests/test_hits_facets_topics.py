@@ -22,11 +22,11 @@ def test_hit_table_defaults_without_misc(spark):
 
 def test_context_category_routing(spark):
     df = spark.createDataFrame(
-        [("alpha-arm-web", None, None, "t", "u"), ("beta-by-web", None, ("one1", None), "t", "u")],
+        [("harbor-web", None, None, "t", "u"), ("orchard-orchard-web", None, ("one1", None), "t", "u")],
         "index_name string, category string, misc struct<category_one:string,category_two:string>, "
         "translated_text string, url string",
     )
-    rules = SchemeRules(two_level=("alpha-arm",))
+    rules = SchemeRules(two_level=("harbor",))
     got = [r.category for r in H.context_rows(df, rules.column()).collect()]
     assert got == ["Unknown", None]
 
@@ -98,7 +98,7 @@ def test_corpus_wide_shares(spark):
 
 
 def test_context_keeps_rows_with_missing_fields(spark):
-    df = spark.createDataFrame([("beta-by-web", None, None, None)],
+    df = spark.createDataFrame([("orchard-orchard-web", None, None, None)],
                                "index_name string, category string, translated_text string, url string")
     r = H.context_rows(df, "base").collect()
     assert len(r) == 1 and r[0].url is None and r[0].text is None

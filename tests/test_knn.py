@@ -107,16 +107,14 @@ def test_kernel_exact_for_large_norms_and_near_duplicates():
         assert got == want, metric
 
 
-def test_candidate_budget_coalesces_without_changing_results(spark, monkeypatch):
-    df, x, keys = corpus(spark, parts=32)
+@pytest.mark.parametrize("buckets", [1, 32])
+def test_merge_buckets_do_not_change_results(spark, buckets):
+    df, x, keys = corpus(spark, parts=500)  # no files, many tasks
     qs = x[:20]
     qdf = spark.createDataFrame([(j, qs[j].tolist()) for j in range(20)], "question_id long, embedding array<double>")
-    want = brute(x, keys, qs, 5)
-    monkeypatch.setattr(knn, "estimated_partitions", lambda df: 32)
-    monkeypatch.setattr(knn, "CANDIDATE_BUDGET", 100)
-    res = knn.search(df, qdf, k=5, key_col="doc_id")
-    assert "Coalesce" in res._jdf.queryExecution().executedPlan().toString()
-    assert as_dict(res) == want
+    res = knn.search(df, qdf, k=5, key_col="doc_id", merge_buckets=buckets)
+    assert "Coalesce " not in res._jdf.queryExecution().executedPlan().toString()
+    assert as_dict(res) == brute(x, keys, qs, 5)
 
 
 def test_batch_equals_union_of_single_searches(spark):

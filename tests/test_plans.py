@@ -17,7 +17,7 @@ def test_search_pushes_filters_and_limits_before_shuffle(spark):
     assert "PushedFilters: [In(lang, [en,fr])" in p
     assert "GreaterThanOrEqual(ts,2024-01-03T00:00)" in p and "LessThan(ts,2024-01-11T00:00)" in p
     assert "MapInArrow" in p
-    assert p.count("WindowGroupLimit") == 2  # partial (before the exchange) + final
+    assert p.count("WindowGroupLimit") == 4  # two merge levels: each partial (before the exchange) + final
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in p
 
 

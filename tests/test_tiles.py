@@ -148,6 +148,6 @@ def test_planning_reads_no_corpus_vectors_and_fetch_is_capped(spark, tmp_path):
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]  # the corpus is the only file scan
     assert scans and all("ReadSchema: struct<>" in line for line in scans)
     # width-capped fetch: 8 dims x 8 bytes x 4 rows fit, 5 questions do not
-    assert knn.small_questions(_questions(spark, x[:5]), "question_id", "embedding", 4 * 8 * 8) is None
-    ids, mat = knn.small_questions(_questions(spark, x[:4]), "question_id", "embedding", 4 * 8 * 8)
+    assert knn.small_questions(_questions(spark, x[:5]), "question_id", "embedding", 4 * (8 * 8 + 24), 1) is None
+    ids, mat = knn.small_questions(_questions(spark, x[:4]), "question_id", "embedding", 4 * (8 * 8 + 24), 1)
     assert list(ids) == [0, 1, 2, 3] and mat.shape == (4, 8)
