@@ -133,7 +133,25 @@ def _prefix(s: np.ndarray, hashes: np.ndarray, counts: np.ndarray, percent: int)
     return s[: n - c + extra], cost
 
 
-_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("p", "<u4"), ("cost", "<u4")])
+# a published shingle, its class, the set's size, the prefix's extension and its cost
+_ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("extra", "u1"), ("cost", "<u4")])
+
+
+def _pack(e: np.ndarray) -> bytes:
+    """Entries as compressed byte planes in token order: the high bytes of tokens, sizes
+    and costs repeat, so a plane of them takes little room in the shuffle."""
+    e = e[np.argsort(e["token"], kind="stable")]
+    planes = np.frombuffer(e.tobytes(), np.uint8).reshape(len(e), _ENTRY.itemsize)
+    body = pa.compress(np.ascontiguousarray(planes.T), codec="zstd", asbytes=True)
+    return np.uint32(len(e)).tobytes() + body
+
+
+def _unpack(packed: pa.BinaryScalar) -> np.ndarray:
+    data = packed.as_buffer()
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    planes = pa.decompress(data.slice(4), decompressed_size=n * _ENTRY.itemsize, codec="zstd")
+    rows = np.frombuffer(planes, np.uint8).reshape(_ENTRY.itemsize, n).T
+    return np.ascontiguousarray(rows).reshape(-1).view(_ENTRY)
 
 
 def _publish(k: int, percent: int, buckets: int, heavy):
@@ -149,7 +167,7 @@ def _publish(k: int, percent: int, buckets: int, heavy):
             e = np.empty(len(t), _ENTRY)
             e["token"] = t
             lengths = [len(x) for x in toks]
-            for name, column in zip(("node", "n", "p", "cost"), zip(*heads)):
+            for name, column in zip(("node", "n", "extra", "cost"), zip(*heads)):
                 e[name] = np.repeat(np.array(column, np.int64), lengths)
             b = (t % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(b, kind="stable")
@@ -157,7 +175,7 @@ def _publish(k: int, percent: int, buckets: int, heavy):
             cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
             ends = np.r_[cuts[1:], len(b)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(b[cuts]), pa.array([e[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())],
+                [pa.array(b[cuts]), pa.array([_pack(e[i:j]) for i, j in zip(cuts, ends)], pa.binary())],
                 names=["bucket", "entries"],
             )
 
@@ -171,7 +189,8 @@ def _publish(k: int, percent: int, buckets: int, heavy):
                 seen.add(a)
                 prefix, cost = _prefix(s, hashes, counts, percent)
                 toks.append(prefix)
-                heads.append((a, len(s), len(prefix), min(cost, 0xFFFFFFFF)))
+                extra = len(prefix) - len(s) + required(len(s), percent)
+                heads.append((a, len(s), extra, min(cost, 0xFFFFFFFF)))
                 size += len(prefix)
             if size >= FLUSH // 4:
                 yield flush()
@@ -185,10 +204,10 @@ def _publish(k: int, percent: int, buckets: int, heavy):
 POSTING = "token long, node long, n long, p long, m long, lead long, lead_n long, lead_p long"
 
 
-def _postings(batches):
+def _common(batches, percent: int):
     """Published shingles that two classes or more have in common, of one partition,
     each with its posting's size and leader (the class of the highest cost)."""
-    packed = [np.frombuffer(x.as_buffer(), _ENTRY) for batch in batches for x in batch.column("entries")]
+    packed = [_unpack(x) for batch in batches for x in batch.column("entries")]
     if not packed:
         return
     e = np.concatenate(packed)
@@ -214,11 +233,14 @@ def _postings(batches):
     for i in range(0, len(keep), 100_000):
         at = keep[i : i + 100_000]
         x, lead = e[at], e[last[at]]
+        n, lead_n = x["n"].astype(np.int64), lead["n"].astype(np.int64)
+        p = n - required(n, percent) + x["extra"]
+        lead_p = lead_n - required(lead_n, percent) + lead["extra"]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(x["token"].view(np.int64) if x["token"].flags.c_contiguous else x["token"].copy().view(np.int64)),
-                *(pa.array(c.astype(np.int64)) for c in (x["node"], x["n"], x["p"], size[at])),
-                *(pa.array(lead[c].astype(np.int64)) for c in ("node", "n", "p")),
+                pa.array(x["token"].copy().view(np.int64)),
+                *(pa.array(c.astype(np.int64)) for c in (x["node"], n, p, size[at])),
+                *(pa.array(c.astype(np.int64)) for c in (lead["node"], lead_n, lead_p)),
             ],
             names=["token", "node", "n", "p", "m", "lead", "lead_n", "lead_p"],
         )
@@ -292,7 +314,8 @@ class NgramJoin:
         packed = known.mapInArrow(
             _publish(self.k, self.percent, 8 * parts, self.heavy), "bucket int, entries binary"
         ).repartition(parts, "bucket")
-        self.post = written(packed.mapInArrow(_postings, POSTING))
+        percent = self.percent
+        self.post = written(packed.mapInArrow(lambda batches: _common(batches, percent), POSTING))
         return self.post
 
     # -- candidates ----------------------------------------------------------------
