@@ -1,56 +1,54 @@
-"""Batch text encoder: a pluggable model applied with an Arrow-batched
-iterator pandas UDF (the model is built once per task, not per row).
+"""Batch text encoder: a pluggable model applied to Arrow batches (the model is
+built once per task, not per row).
 
 The default :class:`HashingEncoder` is a deterministic signed feature-hashing
-bag of words (xxhash64 of lower-cased word tokens, log-damped counts),
-L2-normalised, so texts that share words land close together.  Any object with ``encode(list[str]) ->
-ndarray (n, d)`` can replace it (e.g. a local ONNX sentence model).
+bag of words (md5 of lower-cased word tokens, log-damped counts),
+L2-normalised, so texts that share words land close together.  Any object with
+``encode(list[str]) -> ndarray (n, d)`` can replace it (e.g. a local ONNX
+sentence model).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+import hashlib
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quarry.functions.vectors import arrow_vectors
 from quarry.session import ship_package
 
+ROWS = 1024  # texts encoded at a time: bounds the dense vectors a worker holds
+
+
+def token_hash(token: str) -> int:
+    """The first 32 bits of the token's md5."""
+    return int(hashlib.md5(token.encode("utf-8", "replace")).hexdigest()[:8], 16)
+
 
 class HashingEncoder:
-    def __init__(self, dim: int = 1024, seed: int = 0, sublinear: bool = True):
-        import regex  # noqa: F401  (fail early if unavailable)
+    """Tokens are runs of letters, digits and ``_``; a token adds its sign (the top
+    bit of its hash) to bucket ``hash % dim``.  A text without tokens is a zero vector."""
+
+    def __init__(self, dim: int = 1024, sublinear: bool = True):
+        import regex
 
         self.dim = dim
-        self.seed = seed
         self.sublinear = sublinear
+        self.hash = functools.lru_cache(1 << 16)(token_hash)
+        self.word = regex.compile(r"[\p{L}\p{N}_]+")
 
     def encode(self, texts: list[str | None]) -> np.ndarray:
-        """Tokens of the whole batch are factorised once; each distinct token
-        is hashed once and counts are scattered with NumPy."""
-        import regex
-        import xxhash
-
-        word = regex.compile(r"\w+")
+        """Holds the distinct tokens of one text, however long, not all its tokens."""
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        tokens: list[str] = []
-        owner: list[int] = []
-        for i, t in enumerate(texts):
-            if t:
-                toks = word.findall(t.lower())
-                tokens.extend(toks)
-                owner.extend([i] * len(toks))
-        if tokens:
-            codes, vocab = pd.factorize(pd.Series(tokens, dtype=object), sort=False)
-            h = np.fromiter((xxhash.xxh64_intdigest(v, seed=self.seed) for v in vocab), dtype=np.uint64,
-                            count=len(vocab))
-            bucket = (h % np.uint64(self.dim)).astype(np.int64)
-            sign = np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
-            np.add.at(out, (np.asarray(owner, dtype=np.int64), bucket[codes]), sign[codes])
+        for row, text in zip(out, texts):
+            for token, n in Counter(m.group() for m in self.word.finditer((text or "").lower())).items():
+                h = self.hash(token)
+                row[h % self.dim] += -n if h >> 31 else n
         if self.sublinear:
             out = np.sign(out) * np.log1p(np.abs(out))
         n = np.linalg.norm(out, axis=1, keepdims=True)
@@ -58,23 +56,10 @@ class HashingEncoder:
         return out
 
 
-def encoder_udf(factory: Callable[[], object]) -> Callable[[Column], Column]:
-    """Wrap an encoder factory as an iterator pandas UDF returning array<float>."""
-    ship_package()
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = factory()
-        for s in batches:
-            vecs = model.encode(s.tolist()).astype(np.float32)
-            yield pd.Series(list(vecs))
-
-    return _encode
-
-
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
-           factory: Callable[[], object] | None = None) -> DataFrame:
-    """Add a vector column computed from whole texts.
+           factory: Callable[[], object] | None = None, prompt: str = "") -> DataFrame:
+    """Add a vector column computed from whole texts, each after ``prompt`` (what a
+    model expects in front of a question); a null text is encoded as null.
 
     Runs as a ``mapInArrow`` plan node rather than an expression UDF: a later
     filter on the vector (``IS NOT NULL`` in search) cannot then be pushed
@@ -90,8 +75,12 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
         import pyarrow as pa
 
         model = fac()
-        for b in batches:
-            vecs = model.encode(b.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays(b.columns + [arrow_vectors(vecs)], names=b.schema.names + [out_col])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                texts = [t if t is None else prompt + t for t in b.column(text_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    b.columns + [arrow_vectors(model.encode(texts))], names=b.schema.names + [out_col]
+                )
 
     return df.mapInArrow(run, schema)

@@ -39,6 +39,12 @@ def template_for(tasks: Mapping[str, str | None], task: str) -> tuple[str, str]:
     return (DEFAULT_SYSTEM, DEFAULT_HUMAN) if not t else (DEFAULT_SYSTEM, t)
 
 
+def task_of(labels: Mapping[str, str], label: str) -> str:
+    """The task shown under ``label`` (``labels``: task -> label); empty, so without a
+    template of its own, for a label that no task has."""
+    return next((task for task, shown in labels.items() if shown == label), "")
+
+
 def fill(template: str, question: Column, texts: Column) -> Column:
     """Substitute ``{question}`` and ``{texts}`` in one pass (text inserted for
     one placeholder is never re-scanned for the other)."""
@@ -59,3 +65,18 @@ def prompt_table(questions: DataFrame, packed: DataFrame, template: tuple[str, s
     j = questions.join(packed, qid, "left")
     return j.select(qid, F.lit(system).alias("system"),
                     fill(human, F.coalesce(F.col(question_text), F.lit("")), F.coalesce(F.col(context), F.lit(""))).alias("prompt"))
+
+
+def task_prompts(questions: DataFrame, packed: DataFrame, tasks: Mapping[str, str | None], labels: Mapping[str, str],
+                 chosen: Sequence[str], qid: str = "question_id", question_text: str = "text",
+                 context: str = "context_text") -> DataFrame:
+    """``question_id, label, system, prompt`` for every question and chosen label, from
+    one join of questions and contexts; a question without hits gets an empty context."""
+    asked = F.coalesce(F.col(question_text), F.lit(""))
+    texts = F.coalesce(F.col(context), F.lit(""))
+    filled = []
+    for label in chosen:
+        system, human = template_for(tasks, task_of(labels, label))
+        filled.append(F.struct(F.lit(label).alias("label"), F.lit(system).alias("system"),
+                               fill(human, asked, texts).alias("prompt")))
+    return questions.join(packed, qid, "left").select(qid, F.inline(F.array(*filled)))

@@ -90,3 +90,11 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[OrderKey]
 def shuffle_levels(df: DataFrame) -> int:
     """Merge levels for a window fed by a shuffle (aggregate output)."""
     return merge_levels(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ranked(counts: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """``counts`` with ``rank`` from 1 in each group: falling ``count``, then ``value``.
+
+    For groups of bounded size, such as the values among one question's hits."""
+    w = Window.partitionBy(*group).orderBy(F.desc("count"), F.col(value))
+    return counts.withColumn("rank", F.row_number().over(w).cast("long"))

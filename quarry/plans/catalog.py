@@ -8,11 +8,13 @@ BIGINT.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import dates as DT
 from quarry.functions import indexes as IX
 from quarry.functions.text import repair_url
 from quarry.operators import evalset as EV
@@ -20,9 +22,12 @@ from quarry.operators import facets as FC
 from quarry.operators import filters as FL
 from quarry.operators import hits as H
 from quarry.operators import knn
+from quarry.operators import ranking as RK
 from quarry.operators import topics as TP
 from quarry.plans import scenario as S
 from quarry.session import checkpoint_dir
+from quarry.sources import corpus as CO
+from quarry.sources import projects as PJ
 from quarry.sources import schema as SC
 from quarry.sources import testdata as td
 
@@ -310,13 +315,16 @@ def q24_knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- text -> vector -> search ---------------------------------------------------------
 
+QUESTION_PROMPT = "query: "
+
+
 def q27_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every post text and every question text with the batch encoder,
     then search: the passages quoted in posts should find those posts."""
     from quarry.operators import encode as EN
 
     corpus = EN.encode(_posts(spark, sf_dir, "doc_id", "text"), "text", "vec")
-    questions = EN.encode(td.text_questions(spark, sf_dir), "text", "qvec")
+    questions = EN.encode(td.text_questions(spark, sf_dir), "text", "qvec", prompt=QUESTION_PROMPT)
     hits = knn.search(corpus, questions, k=S.BATCH_K, key_col="doc_id", vector_col="vec",
                       question_vector_col="qvec")
     return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
@@ -381,4 +389,116 @@ def q32_knn_ann_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+# -- index discovery and unequal tables -----------------------------------------------
+
+def q33_index_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily indexes that share a base with a selected index."""
+    daily = _posts(spark, sf_dir, "index_name", "date_ts").select(
+        F.concat_ws("-", "index_name", F.date_format("date_ts", "yyyy.MM.dd")).alias("index_name")
+    ).distinct()
+    chosen = spark.createDataFrame([("harbor-web",), ("lantern-notes-comments",)], "index_name string")
+    return PJ.discover_indexes(daily, chosen)
+
+
+def _unequal(spark, sf_dir, columns):
+    """One table for each project, with columns of its own."""
+    names = {project: list(indexes) for project, indexes, _ in td.PROJECTS}
+    return [
+        FL.select_indexes(_posts(spark, sf_dir, "doc_id", "index_name", *needs), names[project]).select(
+            "doc_id", "index_name", *made
+        )
+        for project, (needs, made) in columns.items()
+    ]
+
+
+def q34_union_unequal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return CO.union_indexes(_unequal(spark, sf_dir, {
+        "harbor": (["language_text"], ["language_text"]),
+        "orchard": (["category"], ["category"]),
+        "lantern": (["language_text", "country"], ["language_text", "country"]),
+    }))
+
+
+def q35_field_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue fields that any table has, and how many posts of all carry them."""
+    tables = _unequal(spark, sf_dir, {
+        "harbor": (["issues"], [F.struct("issues.quality", "issues.toxic").alias("issues")]),
+        "orchard": (["issues"], [F.struct("issues.toxic", "issues.spread").alias("issues")]),
+        "lantern": (["source"], ["source"]),
+    })
+    return SC.field_coverage(CO.union_indexes(tables), SC.union_fields([t.schema for t in tables], "issues."))
+
+
+# -- raw context, orders, windows, tasks -----------------------------------------------
+
+def q36_context_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packed_context(spark, sf_dir)
+    return packed.select("question_id", H.context_json(packed).alias("context_json"))
+
+
+def q37_topic_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RK.ranked(_topic_counts(spark, sf_dir), ["question_id"], "topic_ids")
+
+
+def q38_distribution_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three distributions of a selection without levels, most frequent value first."""
+    orchard = next(list(indexes) for project, indexes, _ in td.PROJECTS if project == "orchard")
+    cols = ("doc_id", "index_name", "category", "misc", "language_text", "country")
+    hits = FL.select_indexes(batch_attached(spark, sf_dir, cols), orchard)
+    dims = FC.distribution_dims(S.RULES.for_name(",".join(orchard)))
+    dist = FC.distributions(H.hit_table(hits, keep=("question_id",)), dims, by=["question_id"])
+    return RK.ranked(dist, ["question_id", "dimension"], "value")
+
+
+def q39_default_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of the last 14 days up to a day, by the bounds check of a user's range."""
+    today = dt.date(2024, 1, 20)
+    start, end = DT.default_window("2024-01-05", today)
+    DT.check_window(start, end, "2024-01-05", today)
+    spec = FL.FilterSpec(start_date=start, end_date=end, exclude_comments=False)
+    df = FL.apply_filter(_posts(spark, sf_dir, "doc_id", "date_ts"), spec)
+    return df.select("doc_id", F.to_date("date_ts").alias("date"))
+
+
+def q40_second_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = FL.FilterSpec(category_two=["two0", "two2"], country=[f"NATION_{i}" for i in range(0, 25, 3)],
+                         rules=S.RULES)
+    df = FL.apply_filter(_posts(spark, sf_dir, "doc_id", "type", "misc", "country"), spec)
+    return df.select("doc_id", F.col("misc.category_two").alias("category_two"), "country")
+
+
+TASK_LABELS = {"summary": "Sum up", "alert": "Raise an alert", "comparison": "Compare"}
+
+
+def q41_task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of every task, looked up by label; a label without a task falls back."""
+    packed = packed_context(spark, sf_dir).select("question_id", H.context_text().alias("context_text"))
+    qtext = td.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), "text")
+    return EV.task_prompts(qtext, packed, TASKS, TASK_LABELS, [*TASK_LABELS.values(), "Other"])
+
+
+def q42_run_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow, default window included: the prompt of every question."""
+    from quarry.plans.answer import run_search
+
+    selection = [n for project, indexes, _ in td.PROJECTS if project != "lantern" for n in indexes]
+    posts = _posts(spark, sf_dir, *HIT_SOURCE, "type", "embedding")
+    qtext = td.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), "text")
+    spec = FL.FilterSpec(language=["en", "de", "fr"], rules=S.RULES)
+    run = run_search(posts, td.vector_questions(spark, sf_dir), spec, selection, k=5, today=dt.date(2024, 1, 20),
+                     question_texts=qtext, tasks=TASKS, task="comparison")
+    return run.prompts
+
+
+def q43_stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts stored by index, then two indexes and a week read back by pruning."""
+    df = _posts(spark, sf_dir, "doc_id", "index_name", "date_ts", "language_text", "type")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/posts-{uuid.uuid4().hex}"
+    CO.write_corpus(df, path)
+    stored = CO.read_corpus(spark, path, ["harbor-web", "lantern-tiktok"], schema=df.schema)
+    spec = FL.FilterSpec(start_date="2024-01-03", end_date="2024-01-10")
+    return FL.apply_filter(stored, spec).select("doc_id", "index_name", F.to_date("date_ts").alias("date"),
+                                                "language_text")
+
+
 QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]

@@ -254,3 +254,110 @@ WHERE rank <= 10"""
 SQL["q24_knn_ann"] = _ann("type IS DISTINCT FROM 'comment' AND language_text IN ('en', 'fr')", 2, 30)
 SQL["q31_knn_batch_tiles"] = SQL["q11_knn_batch"]  # same search, distributed tile path
 SQL["q32_knn_ann_tiles"] = _ann("type IS DISTINCT FROM 'comment'", 3, 10)
+
+
+# ---------------------------------------------------------------------------
+# Index discovery, unequal tables, raw context, orders, windows, tasks, whole flow
+# ---------------------------------------------------------------------------
+
+PACKED = """packed AS (
+  SELECT question_id,
+         string_agg('[' || CAST(rank AS VARCHAR) || '] ' || coalesce(text, '') || ' (' || coalesce(url, '') || ') ['
+                    || coalesce(category, 'None') || ']', chr(10) ORDER BY rank) AS context_text
+  FROM ctx GROUP BY question_id)"""
+
+FLOW_HITS = """batch_hits AS (
+  SELECT question_id, doc_id, rank FROM (
+    SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY d, id) AS rank
+    FROM (SELECT q.vec_id AS question_id, p.doc_id, p.id,
+                 list_distance(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d
+          FROM posts p, embeddings q
+          WHERE p.embedding IS NOT NULL AND p.type IS DISTINCT FROM 'comment'
+            AND p.language_text IN ('en', 'de', 'fr') AND p.index_name NOT LIKE 'lantern%'
+            AND CAST(p.date_ts AS DATE) BETWEEN DATE '2024-01-07' AND DATE '2024-01-20'))
+  WHERE rank <= 5)"""
+
+FLOW_BH = "bh AS (SELECT h.question_id, h.rank, p.* FROM batch_hits h JOIN posts p USING (doc_id))"
+
+SYSTEM = "'You are a helpful assistant that summarizes information.'"
+COMPARISON = "'Compare:' || chr(10) || coalesce(pk.context_text, '') || chr(10) || 'Q: ' || coalesce(d.text, '')"
+FALLBACK = """'Please summarize the following information:' || chr(10) || chr(10) || coalesce(pk.context_text, '')
+         || chr(10) || chr(10) || 'Question: ' || coalesce(d.text, '')"""
+
+SQL.update({
+    "q33_index_discovery": _with(_POSTS) + """
+SELECT DISTINCT name AS index_name FROM (SELECT index_name || '-' || strftime(date_ts, '%Y.%m.%d') AS name FROM posts)
+WHERE starts_with(name, 'harbor-web') OR starts_with(name, 'lantern-notes')""",
+    "q34_union_unequal": _with(_POSTS) + """
+SELECT doc_id, index_name,
+  CASE WHEN index_name NOT LIKE 'orchard%' THEN language_text END AS language_text,
+  CASE WHEN index_name LIKE 'orchard%' THEN category END AS category,
+  CASE WHEN index_name LIKE 'lantern%' THEN country END AS country
+FROM posts""",
+    "q35_field_union": _with(_POSTS) + """
+SELECT 'issues.quality' AS field, count(issues_quality)::BIGINT AS n_present FROM posts WHERE index_name LIKE 'harbor%'
+UNION ALL SELECT 'issues.toxic', count(issues_toxic)::BIGINT FROM posts WHERE index_name NOT LIKE 'lantern%'
+UNION ALL SELECT 'issues.spread', count(issues_spread)::BIGINT FROM posts WHERE index_name LIKE 'orchard%'""",
+    "q36_context_json": _with(_POSTS, BATCH_HITS, BH, CONTEXT) + """
+SELECT question_id, '[' || string_agg(CAST(json_array(text, url, category) AS VARCHAR), ',' ORDER BY rank) || ']' AS context_json
+FROM ctx GROUP BY question_id""",
+    "q37_topic_order": _with(_POSTS, td.POST_TOPICS_SQL, BATCH_HITS, TOPIC_COUNTS) + """
+SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY count DESC, topic_ids) AS rank FROM tc""",
+    "q38_distribution_order": _with(_POSTS, BATCH_HITS, BH, HIT_TABLE) + """,
+chosen AS (SELECT ht.* FROM ht JOIN posts p ON p.id = ht.id WHERE p.index_name LIKE 'orchard%'),
+counted AS (
+  SELECT question_id, dimension, value, count(*)::BIGINT AS count FROM (
+    SELECT question_id, 'category' AS dimension, category AS value FROM chosen
+    UNION ALL SELECT question_id, 'language', language FROM chosen
+    UNION ALL SELECT question_id, 'country', country FROM chosen)
+  GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY question_id, dimension ORDER BY count DESC, value) AS rank FROM counted""",
+    "q39_default_window": _with(_POSTS) + """
+SELECT doc_id, CAST(date_ts AS DATE) AS date FROM posts
+WHERE CAST(date_ts AS DATE) BETWEEN DATE '2024-01-07' AND DATE '2024-01-20'""",
+    "q40_second_level": _with(_POSTS) + """
+SELECT doc_id, category_two, country FROM posts
+WHERE category_two IN ('two0', 'two2') AND country IN ('NATION_0', 'NATION_3', 'NATION_6', 'NATION_9', 'NATION_12', 'NATION_15', 'NATION_18', 'NATION_21', 'NATION_24')
+  AND type IS DISTINCT FROM 'comment'""",
+    "q41_task_prompts": _with(_POSTS, BATCH_HITS, BH, CONTEXT, PACKED) + f"""
+SELECT d.doc_id AS question_id, l.label, {SYSTEM} AS system,
+  CASE l.label
+    WHEN 'Sum up' THEN 'Summarize for ' || coalesce(d.text, '') || ':' || chr(10) || coalesce(pk.context_text, '')
+    WHEN 'Compare' THEN {COMPARISON}
+    ELSE {FALLBACK} END AS prompt
+FROM documents d LEFT JOIN packed pk ON pk.question_id = d.doc_id,
+     (VALUES ('Sum up'), ('Raise an alert'), ('Compare'), ('Other')) l(label)""",
+    "q42_run_search": _with(_POSTS, FLOW_HITS, FLOW_BH, CONTEXT, PACKED) + f"""
+SELECT d.doc_id AS question_id, {SYSTEM} AS system, {COMPARISON} AS prompt
+FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN packed pk ON pk.question_id = d.doc_id""",
+    "q43_stored_corpus": _with(_POSTS) + """
+SELECT doc_id, index_name, CAST(date_ts AS DATE) AS date, language_text FROM posts
+WHERE index_name IN ('harbor-web', 'lantern-tiktok') AND type IS DISTINCT FROM 'comment'
+  AND CAST(date_ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-10'""",
+})
+
+# Bags of hashed words: 32 bits of md5 give a token's bucket and sign.
+SQL["q27_text_search"] = _with(_POSTS) + """,
+src AS (
+  SELECT 'post' AS side, doc_id AS id, text FROM posts
+  UNION ALL SELECT 'question', item_id, 'query: ' || text FROM benchmark),
+tokens AS (SELECT side, id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM src),
+counted AS (SELECT side, id, w, count(*) AS n FROM tokens GROUP BY ALL),
+vocab AS (SELECT w, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT w FROM counted)),
+sums AS (
+  SELECT side, id, h % 1024 AS b, CAST(sum(CASE WHEN h >= 2147483648 THEN -n ELSE n END) AS DOUBLE) AS s
+  FROM counted JOIN vocab USING (w) GROUP BY ALL),
+damped AS (SELECT side, id, b, sign(s) * ln(1 + abs(s)) AS x FROM sums),
+norms AS (SELECT side, id, sqrt(sum(x * x)) AS z FROM damped GROUP BY ALL),
+vectors AS (
+  SELECT s.side, s.id,
+         list(coalesce(CASE WHEN n.z > 0 THEN d.x / n.z END, 0)::FLOAT::DOUBLE ORDER BY g.b) AS v
+  FROM src s CROSS JOIN range(1024) g(b)
+  LEFT JOIN damped d ON d.side = s.side AND d.id = s.id AND d.b = g.b
+  LEFT JOIN norms n ON n.side = s.side AND n.id = s.id
+  GROUP BY s.side, s.id)
+SELECT question_id, rank, doc_id, round(1.0 / (1.0 + d * d), 6) AS score FROM (
+  SELECT question_id, doc_id, d, row_number() OVER (PARTITION BY question_id ORDER BY d, doc_id) AS rank
+  FROM (SELECT q.id AS question_id, p.id AS doc_id, list_distance(p.v, q.v) AS d
+        FROM vectors q, vectors p WHERE q.side = 'question' AND p.side = 'post'))
+WHERE rank <= 10"""

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_corpus(df: DataFrame, path: str, partition_by: str = "index_name", sort_by: str | None = "date_ts",
@@ -35,9 +36,12 @@ def write_corpus(df: DataFrame, path: str, partition_by: str = "index_name", sor
 
 
 def read_corpus(spark: SparkSession, path: str, indexes: Sequence[str] | None = None,
-                partition_by: str = "index_name") -> DataFrame:
-    """Read the stored corpus; an index selection becomes a partition filter."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+                partition_by: str = "index_name", schema: T.StructType | None = None) -> DataFrame:
+    """Read the stored corpus; an index selection becomes a partition filter.
+
+    With ``schema`` no file is opened to find it; without, the footers of all are read."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", "true")
+    df = reader.parquet(path)
     return df if indexes is None else df.where(F.col(partition_by).isin(list(indexes)))
 
 
