@@ -44,7 +44,7 @@ from quarry.functions import vectors as V
 DEFAULT_TILE_BYTES = 64 << 20  # float64 bytes of one question block held by a task
 MIN_CHUNK_ROWS = 256  # corpus chunks are not cut smaller than this for parallelism
 MAX_CHUNK_ROWS = 1 << 22  # rows of one corpus chunk per task (bounds task time and retry cost)
-TILE = ("_cell", "_cs", "_qt")
+TILE = "_tile"  # tiles of all cells, chunks and blocks, numbered without gaps
 QUESTION, CORPUS = 0, 1  # row roles; questions sort first within a tile
 
 
@@ -180,11 +180,14 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
         return spark.createDataFrame([], out_schema), 0, 1
     if cell_col is None:  # exact search: one cell, literal shape
         (s_n, t_n), = plan.values()
-        c = c.withColumns({"_s": F.lit(s_n), "_t": F.lit(t_n)})
-        q = q.withColumns({"_s": F.lit(s_n), "_t": F.lit(t_n)})
+        literal = {"_s": F.lit(s_n), "_t": F.lit(t_n), "_base": F.lit(0)}
+        c, q = c.withColumns(literal), q.withColumns(literal)
     else:  # one row per cell: a broadcast side bounded by the number of cells
-        shape = F.broadcast(spark.createDataFrame([(cc, s_n, t_n) for cc, (s_n, t_n) in sorted(plan.items())],
-                                                  "_cell int, _s int, _t int"))
+        shapes, base = [], 0
+        for cc, (s_n, t_n) in sorted(plan.items()):
+            shapes.append((cc, s_n, t_n, base))
+            base += s_n * t_n
+        shape = F.broadcast(spark.createDataFrame(shapes, "_cell int, _s int, _t int, _base int"))
         c, q = c.join(shape, "_cell"), q.join(shape, "_cell")
     c = (
         c.withColumn("_cs", F.pmod(F.xxhash64(F.col(key_col)), F.col("_s")).cast("int"))
@@ -194,16 +197,16 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
         q.withColumn("_qt", F.pmod(F.xxhash64(F.col("_qid")), F.col("_t")).cast("int"))
         .withColumn("_cs", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     )
-    cols = [*TILE, "_role", key_col, "_vec", "_qid", "_qvec"]
+    cols = [(F.col("_base") + F.col("_cs") * F.col("_t") + F.col("_qt")).alias(TILE), "_role", key_col, "_vec", "_qid", "_qvec"]
     n_tiles = sum(s_n * t_n for s_n, t_n in plan.values())
     # several tiles may share a task (each is still its own group): the
     # shuffle width stays near the cluster's, however many tiles there are
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * slots)
     rows = (
         q.select(*cols).unionByName(c.select(*cols))
-        .repartition(min(n_tiles, width), *TILE)
-        .sortWithinPartitions(*TILE, "_role")  # questions first inside every tile
+        .repartitionById(min(n_tiles, width), F.col(TILE))  # dense ids: an even number of tiles per task
+        .sortWithinPartitions(TILE, "_role")  # questions first inside every tile
     )
-    cands = rows.groupBy(*TILE).applyInArrow(_kernel(k, metric, key_col), out_schema)
+    cands = rows.groupBy(TILE).applyInArrow(_kernel(k, metric, key_col), out_schema)
     question_rows = sum(m for m, _ in q_counts.values())
     return cands, question_rows, max(s_n for s_n, _ in plan.values())

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.operators import ann, knn, tiles
 from tests.test_knn import as_dict, brute, corpus
@@ -151,3 +152,21 @@ def test_planning_reads_no_corpus_vectors_and_fetch_is_capped(spark, tmp_path):
     assert knn.small_questions(_questions(spark, x[:5]), "question_id", "embedding", 4 * (8 * 8 + 24), 1) is None
     ids, mat = knn.small_questions(_questions(spark, x[:4]), "question_id", "embedding", 4 * (8 * 8 + 24), 1)
     assert list(ids) == [0, 1, 2, 3] and mat.shape == (4, 8)
+
+
+def test_tiles_are_dealt_by_dense_id_in_one_exchange(spark):
+    from quarry.plans import catalog
+    from tests.conftest import SF_SMALL
+
+    plan = catalog.q31_knn_batch_tiles(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    kernel = next(i for i, line in enumerate(lines) if "FlatMapGroupsInArrow" in line)
+    below = [line for line in lines[kernel:] if "Exchange" in line and "Broadcast" not in line]
+    assert "direct_shuffle_partition_id(_tile" in below[0]
+    # grouping by tile needs no second exchange, which would lose the order in a tile
+    assert sum("_tile" in line for line in below) == 1
+
+    # dense ids in turn: the numbers of tiles in two tasks differ by one at most
+    ids = spark.range(1000).repartitionById(64, F.col("id").cast("int"))
+    sizes = [r["count"] for r in ids.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 64 and max(sizes) - min(sizes) <= 1
