@@ -25,7 +25,7 @@ RUN_SHARE = 8  # a run, 24 bytes a key, takes one file for so many shuffle parti
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # A line's key, hashed twice with independent seeds; null for a key below the length.
 _KEYS = (
-    "transform(transform(split(coalesce(text, ''), '\\n', -1), x -> trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM x)), "
+    "transform(transform(split(coalesce(text, ''), '\\n', -1), x -> trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM x)), "
     "x -> if(length(x) < {min_chars}, null, transform(array(if(octet_length(x) = length(x), lower(x), "
     f"translate(x, '{_UPPER}', '{_UPPER.lower()}'))), "
     "k -> named_struct('a', xxhash64(k), 'b', xxhash64('line', k)))[0]))"

@@ -239,6 +239,22 @@ def test_line_runs(spark):
         assert got[i] == (len(own), len(own) - len(kept), "\n".join(kept))
 
 
+def test_line_keys_keep_edge_f_and_trim_form_feed(spark):
+    """Spark SQL has no ``\\f`` escape: the letter f is part of a line, form feed is not."""
+    own = ["foo", "oo", "of", "o", "f", "ff", "\ff", "F", "\f", "\x0b\fpad\f", "pad"]
+    texts = ["foo\nof"] * 6 + ["oo\no"] * 6 + ["f"] * 5 + ["F\n\ff"] * 5 + ["pad"] * 5 + ["\x0b\fpad\f"] * 5 + ["\n".join(own)]
+    key = lambda x: x.strip(" \t\n\x0b\f\r").lower()
+    seen = {}
+    for t in texts:
+        for k in {key(x) for x in t.split("\n")}:
+            seen[k] = seen.get(k, 0) + 1
+    assert [seen[k] for k in ("foo", "oo", "of", "o", "f", "ff", "pad")] == [7, 7, 7, 7, 11, 1, 11]
+    for r in line_runs.without_frequent_lines(docs(spark, texts)).collect():
+        lines = texts[r.doc_id].split("\n")
+        kept = [x for x in lines if not key(x) or seen[key(x)] < 10]
+        assert (r.n_lines, r.n_dropped, r.kept) == (len(lines), len(lines) - len(kept), "\n".join(kept))
+
+
 def test_chat_windows_round_trip(spark):
     rng = random.Random(8)
     bits = ["### a: b", "</turn>\n", "\\", "\\<", "word " * 60, "", "é\n", "### assistant: x</turn>\n"]
