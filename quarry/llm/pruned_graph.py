@@ -3,9 +3,11 @@
 Vectors of one label are dealt to overlapping clusters, each to its two nearest
 centroids. Every cluster builds a graph over its members: candidates by closeness,
 thinned by robust pruning, which drops a neighbour that another one covers. The
-adjacency lists of all clusters are united. Each vector then searches the united
-graph around its cluster: a greedy beam from the medoid finds its surroundings, and
-the range expands from there along edges while vectors lie near the threshold.
+adjacency lists of all clusters are united. Parts of a cluster that no edge joins, as
+groups of more near copies than a node has candidates, are joined by their closest
+pairs. Each vector then searches the united graph around its cluster: a greedy beam
+from itself and the medoid finds its surroundings, and the range expands from there
+along edges while vectors lie near the threshold.
 Links are verified in double precision.
 
 Equal vectors of one label are one node with a count. A link between two nodes
@@ -66,8 +68,42 @@ def robust_prune(near: np.ndarray, sims: np.ndarray, own: np.ndarray, degree: in
     return near[kept]
 
 
+def _parts(lists: list[set]) -> np.ndarray:
+    """The connected part of each node, numbered from 0."""
+    part = np.full(len(lists), -1)
+    for i in range(len(lists)):
+        if part[i] < 0:
+            stack, part[i] = [i], part.max() + 1
+            while stack:
+                for j in lists[stack.pop()]:
+                    if part[j] < 0:
+                        part[j] = part[i]
+                        stack.append(j)
+    return part
+
+
+def _join_parts(lists: list[set], x: np.ndarray) -> None:
+    """Join the connected parts of ``lists``, each to the closest node outside it, until
+    one is left: every round halves their number at least."""
+    while (part := _parts(lists)).any():
+        best = np.full(part.max() + 1, -np.inf)
+        ends: list = [None] * len(best)
+        for at in range(0, len(x), BLOCK):
+            s = x[at : at + BLOCK] @ x.T
+            s[part[at : at + BLOCK, None] == part] = -np.inf
+            to = s.argmax(1)
+            for r, j in enumerate(to.tolist()):
+                own = part[at + r]
+                if ends[own] is None or s[r, j] > best[own]:
+                    best[own], ends[own] = s[r, j], (at + r, j)
+        for i, j in ends:
+            lists[i].add(j)
+            lists[j].add(i)
+
+
 def _build(degree: int, alpha: float):
-    """Adjacency lists of one cluster: (node, neighbours), in both directions."""
+    """Adjacency lists of one cluster: (node, neighbours), in both directions; one
+    connected graph."""
 
     def run(key, table):
         ids = table.column("node").to_numpy()
@@ -83,6 +119,7 @@ def _build(degree: int, alpha: float):
                 for j in robust_prune(c, x[c] @ x[c].T, s[r, c], degree, alpha):
                     lists[at + r].add(int(j))
                     lists[int(j)].add(at + r)
+        _join_parts(lists, x)
         return pa.table({
             "node": pa.array(ids, pa.int64()),
             "near": pa.array([ids[sorted(v)].tolist() for v in lists], pa.list_(pa.int64())),
@@ -134,6 +171,7 @@ def _search(cosine: float, beam: int, slack: float):
 
             start_r = np.arange(len(q))
             visit(start_r, np.full(len(q), medoid))
+            visit(start_r, q)  # a group of near copies may lie off every path from the medoid
             expanded = np.zeros_like(seen)
             while True:  # greedy: expand the best unexpanded nodes of every beam
                 top = np.argpartition(-sims, min(beam, len(ids)) - 1, axis=1)[:, :beam]

@@ -316,6 +316,32 @@ def test_pruned_graph_matches_brute_force(spark, monkeypatch):
     assert pruned_graph.near_duplicates(vectors.where("false")).count() == 0
 
 
+def large_groups(spark, groups=20, size=150):
+    """Groups of near copies in one label, each larger than a node's candidates."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(groups, 32)), size, axis=0)
+    x = x / np.linalg.norm(x, axis=1)[:, None] + rng.normal(size=x.shape) * 0.005
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+
+def test_pruned_graph_reaches_large_groups(spark):
+    assert 150 > 4 * pruned_graph.DEGREE + 1
+    got = pruned_graph.near_duplicates(large_groups(spark)).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {
+        (i, 149, i - i % 150, i % 150 == 0) for i in range(3000)
+    }
+
+
+def test_cluster_graph_is_connected():
+    x = np.eye(6)[[0] * 5 + [1] * 5 + [2] * 5]
+    lists = [{j for j in range(15) if j // 5 == i // 5 and j != i} for i in range(15)]
+    assert pruned_graph._parts(lists).max() == 2
+    pruned_graph._join_parts(lists, x)
+    assert not pruned_graph._parts(lists).any()
+    assert all(i in lists[j] for i in range(15) for j in lists[i])
+
+
 def test_raking_meets_margins_and_budget(spark):
     rng = random.Random(11)
     texts = [" ".join(["w"] * rng.randrange(1, 400)) for _ in range(3000)] + [None, ""]
