@@ -191,7 +191,27 @@ def contaminated(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` without contaminated ones. A row with a null doc_id stays
-    only when no row with a null doc_id is contaminated."""
-    bad = contaminated(docs, benchmark, least, coverage).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` without contaminated ones. Every row is judged by its own
+    text, whatever its doc_id."""
+    spark = docs.sparkSession
+    byte_batches(spark)
+    out = docs
+    for block in _blocks(benchmark):
+        items = spark.sparkContext.broadcast(
+            Items(block.column("item_id").to_pylist(), block.column("text").to_pylist(), least)
+        )
+
+        def run(batches, items=items):
+            known = items.value
+            for batch in batches:
+                words, at = _words(batch.column("text"))
+                keep = np.ones(batch.num_rows, bool)
+                for i, k in known.candidates(words, at):
+                    if keep[i]:
+                        item = known.words[k]
+                        covered, _ = tile(words[at[i] : at[i + 1]], item, known.least)
+                        keep[i] = not covered or covered < coverage * len(item)
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

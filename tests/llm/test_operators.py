@@ -358,3 +358,11 @@ def test_raking_meets_margins_and_budget(spark):
     drawn = sum(r.tokens for r in rows if r.sampled)
     assert abs(drawn / total - 0.2) < 0.03
     assert raking.mixed(d.where("false")).count() == 0
+
+
+def test_clean_judges_every_row_by_its_text(spark):
+    quiz = " ".join(f"quiz{i}" for i in range(20))
+    rows = [(None, f"a {quiz}"), (None, "clean one"), (None, None), (1, quiz), (1, "clean two"), (2, "clean two"), (2, quiz)]
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row long")
+    bench = spark.createDataFrame([(0, quiz)], "item_id long, text string")
+    assert {r.row for r in string_tiling.clean(d, bench).collect()} == {1, 2, 4, 5}
