@@ -27,8 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of every group of near copies."""
-    return ngram_join.one_per_group(docs.select(*DOCUMENT_COLUMNS))
+    """Keep the document with the smallest doc_id of every group of near copies; one
+    without an id only where the group has none with."""
+    return ngram_join.one_per_group(docs.select(*DOCUMENT_COLUMNS), null_ids_apart=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

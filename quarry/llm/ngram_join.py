@@ -63,8 +63,9 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
         yield i, W.shingle_set(hashes[offsets[i] : offsets[i + 1]], k)
 
 
-def _profile(k: int):
-    """Per row its set size and class; per chunk the shingles shared in it."""
+def _profile(k: int, hashed: bool = False):
+    """Per row its set size and class (``hashed``: and its text_hash); per chunk the
+    shingles shared in it."""
 
     def run(batches):
         pending, size, seen = [], 0, set()
@@ -79,6 +80,9 @@ def _profile(k: int):
                 names=["doc_id", "n", "node", "check", "shared"],
             )
 
+        def with_hash(rows, hashes):
+            return rows.append_column("text_hash", hashes) if hashed else rows
+
         for batch in batches:
             n, node, check = [], [], []
             for _, s in _sets(batch, k):
@@ -90,7 +94,7 @@ def _profile(k: int):
                     seen.add(a)
                     pending.append(s)
                     size += len(s)
-            yield pa.RecordBatch.from_arrays(
+            rows = pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(n, pa.int64()),
@@ -100,11 +104,14 @@ def _profile(k: int):
                 ],
                 names=["doc_id", "n", "node", "check", "shared"],
             )
+            yield with_hash(rows, batch.column("text_hash") if hashed else None)
             if size >= FLUSH:
-                yield flush()
+                shared = flush()
+                yield with_hash(shared, pa.nulls(shared.num_rows, pa.int64()))
                 pending, size, seen = [], 0, set()
         if pending:
-            yield flush()
+            shared = flush()
+            yield with_hash(shared, pa.nulls(shared.num_rows, pa.int64()))
 
     return run
 
@@ -275,10 +282,12 @@ class NgramJoin:
 
     # -- pass 1: sizes, classes of equal sets, shared shingles ------------------
 
-    def profile(self) -> DataFrame:
+    def profile(self, hashed: bool = False) -> DataFrame:
+        docs = self.docs.withColumn("text_hash", F.xxhash64("text")) if hashed else self.docs
         both = written(
-            self.docs.mapInArrow(
-                _profile(self.k), "doc_id long, n long, node long, check long, shared long"
+            docs.mapInArrow(
+                _profile(self.k, hashed),
+                "doc_id long, n long, node long, check long, shared long" + ", text_hash long" * hashed,
             )
         )
         self.rows = both.where("shared is null").drop("shared")
@@ -581,15 +590,52 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     )
 
 
-def one_per_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the one with the
-    smallest doc_id. Rows that repeat a doc_id are reduced to one; rows with a null
-    doc_id stay."""
-    kept = (
-        classes(docs, shingle, percent).where("doc_id = component_id").select("doc_id").distinct()
+def _stand_in(text_hash):
+    """The id of a row without one, from its text's hash."""
+    last = (1 << 63) - 1
+    return F.lit(last) - text_hash.bitwiseAND(F.lit(last >> 1))
+
+
+def one_per_group(
+    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, null_ids_apart: bool = True
+) -> DataFrame:
+    """One row of ``docs`` for every component of its texts: the one with the smallest
+    doc_id, then text hash, then row.
+
+    Rows with a null doc_id are compared by their texts and come after all others. With
+    ``null_ids_apart`` one of them stays beside the component's row with an id. Blank
+    texts link with nothing: of those with one doc_id and text, one row stays.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), _stand_in(F.xxhash64("text")))
+    keyed = docs.withColumn("_key", key).withColumn("_hash", F.xxhash64("text"))
+    job = NgramJoin(docs.select(key.alias("doc_id"), "text"), shingle, percent)
+    job.profile(hashed=True)
+    comp = job.components()
+    texts = written(
+        job.rows.groupBy("node", "n", F.col("doc_id").alias("_key"), F.col("text_hash").alias("_hash")).agg(
+            (F.count("*") > 1).alias("many")
+        )
+    )
+    texts = texts.withColumn("null_id", F.col("_key") == _stand_in(F.col("_hash")))
+    texts = texts.withColumn("apart", F.col("null_id") & F.lit(null_ids_apart))
+    first = F.min(F.struct("null_id", "_key", "_hash", "many")).alias("first")
+    by_node = texts.where("n > 0").groupBy("node", "apart").agg(first).select("node", "apart", "first.*")
+    by_class = (
+        by_node.join(comp, F.col("node") == F.col("id"), "left")
+        .groupBy(F.coalesce("component", "node").alias("c"), "apart")
+        .agg(first)
+        .select("first._key", "first._hash", "first.many")
     )
-    kept = written(kept)
-    if kept.count() <= BROADCAST_IDS:
-        kept = F.broadcast(kept)
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = written(by_class.union(texts.where("n = 0").select("_key", "_hash", "many")))
+
+    def rows_of(keys):
+        keys = keys.select("_key", "_hash")
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+        return keyed.join(keys, ["_key", "_hash"], "left_semi")
+
+    out = rows_of(kept.where("not many")).select(*docs.columns)
+    repeated = kept.where("many")
+    if repeated.isEmpty():
+        return out
+    one = rows_of(repeated).groupBy("_key", "_hash").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(one.select("row.*"))

@@ -366,3 +366,23 @@ def test_clean_judges_every_row_by_its_text(spark):
     d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row long")
     bench = spark.createDataFrame([(0, quiz)], "item_id long, text string")
     assert {r.row for r in string_tiling.clean(d, bench).collect()} == {1, 2, 4, 5}
+
+
+def test_one_per_group_with_null_and_repeated_ids(spark):
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abce")
+    near = a + " more"
+    rows = [
+        (3, a, "x"), (3, a, "w"), (3, a, "x"),  # one of three equal rows
+        (5, near, "x"), (5, b, "x"), (6, b, "x"),  # 5 is kept for b, not for a's copy
+        (None, a, "x"), (None, c, "x"), (None, c + " more", "x"), (None, c, "y"),  # one for c
+        (7, e, "x"), (None, e, "x"), (None, e + " more", "x"),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in ngram_join.one_per_group(d, null_ids_apart=False).collect()]
+    assert len(got) == 4
+    assert {(3, a, "w"), (5, b, "x"), (7, e, "x")} < set(got)
+    assert [r[1][:3] for r in got if r[0] is None] == ["c0 "]
+    apart = [tuple(r) for r in ngram_join.one_per_group(d).collect()]
+    assert set(got) < set(apart) and sorted(r[1][:2] for r in apart if r[0] is None) == ["a0", "c0", "e0"]
+    blank = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "", "x"), (None, " ", "x")], d.schema)
+    assert len(ngram_join.one_per_group(blank).collect()) == 3
