@@ -36,6 +36,8 @@ _DROP = frozenset(
     "head script style noscript template nav footer aside form button select input textarea iframe svg canvas object"
     " menu dialog audio video title".split()
 )
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+OUTWEIGHS = 4  # a named element of so many times the greatest density sum elsewhere is the content
 # words in class, id or role that name something other than the article
 _ELSEWHERE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr"
@@ -46,46 +48,49 @@ _ELSEWHERE = frozenset(
 
 
 class _Node:
-    __slots__ = ("tag", "up", "items", "c", "t", "lc", "lt", "density", "total")
+    __slots__ = ("tag", "up", "items", "c", "t", "lc", "lt", "density", "total", "gone", "aside", "inside")
 
-    def __init__(self, tag, up):
+    def __init__(self, tag, up, gone=False, aside=False):
         self.tag, self.up, self.items = tag, up, []
+        self.gone, self.aside = gone, aside  # dropped; named as something other than the article
+        self.inside = tag in ("article", "main") or (up is not None and up.inside)
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attributes: str, within: _Node) -> bool:
+def _dropped(tag: str, attributes: str, within: _Node) -> bool:
+    """Whether an element is never content."""
     if tag in _DROP:
         return True
-    inside = False
-    up = within
-    while up is not None:
-        inside = inside or up.tag in ("article", "main")
-        up = up.up
     if tag == "header":
-        return not inside
-    if not attributes or tag in ("body", "html", "article", "main"):
+        return not within.inside
+    return tag not in ("article", "main") and bool(attributes) and _HIDDEN.search(attributes) is not None
+
+
+def _named_aside(tag: str, attributes: str, within: _Node) -> bool:
+    """Whether a whole name in class, id or role is made of words for something other
+    than the article. Headings and paragraphs of an article are its own."""
+    if not attributes or tag in ("article", "main") or (within.inside and tag in _TEXT):
         return False
-    if _HIDDEN.search(attributes):
-        return True
     for m in _NAMES.finditer(attributes):
-        if any(w in _ELSEWHERE for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m.group(1)).lower())):
-            return True
+        for name in m.group(1).strip("\"'").split():
+            words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            if words and all(w in _ELSEWHERE for w in words):
+                return True
     return False
 
 
 def parse(html: str) -> _Node:
-    """The DOM without what is not content. Items of a node are nodes and strings."""
+    """The DOM without what is never content. Items of a node are nodes and strings."""
     root = node = _Node("body", None)
-    at, skip = 0, 0  # skip: open elements inside a dropped one
-    dropped: list[str] = []
+    at = 0
     while at < len(html):
         m = _TAG.search(html, at)
         if m is None:
-            if not dropped:
+            if not node.gone:
                 node.items.append(unescape(html[at:]))
             break
-        if m.start() > at and not dropped:
+        if m.start() > at and not node.gone:
             node.items.append(unescape(html[at : m.start()]))
         at = m.end()
         if not m.group(2):
@@ -96,17 +101,12 @@ def parse(html: str) -> _Node:
             gt = html.find(">", end.end() - 1) if end else -1
             at = gt + 1 if gt >= 0 else len(html)
             continue
-        if dropped:
-            if close:
-                if tag in dropped:
-                    while dropped.pop() != tag:
-                        pass
-            elif tag == "body" and dropped[0] == "head":
-                dropped = []
-            elif tag not in _VOID and not attributes.endswith("/") and tag not in ("p", "li", "option", "dt", "dd", "tr", "td", "th"):
-                dropped.append(tag)
-            continue
         if tag in ("html", "body"):
+            up = node
+            while up is not None and up.tag != "head":
+                up = up.up
+            if up is not None and tag == "body":
+                node = up.up
             continue
         if close:
             up = node
@@ -128,17 +128,50 @@ def parse(html: str) -> _Node:
             if up.tag == tag:
                 node = up.up
         if tag in _VOID or attributes.endswith("/"):
-            if tag not in _DROP:
+            if tag not in _DROP and not node.gone:
                 node.items.append(_Node(tag, node))
-        elif _unwanted(tag, attributes, node):
-            dropped.append(tag)
-        else:
-            child = _Node(tag, node)
+            continue
+        gone = node.gone or _dropped(tag, attributes, node)
+        child = _Node(tag, node, gone, not gone and _named_aside(tag, attributes, node))
+        if not gone:
             node.items.append(child)
-            node = child
+        node = child
     return root
 
 
+def content(root: _Node) -> list[_Node]:
+    """Drop the elements that are named as something else than the article, and measure
+    what is left. Those that hold a declared article, or text that outweighs the rest of
+    the page, stay whatever their names say."""
+    nodes = measure(root)
+    named = [x for x in nodes if x.aside]
+    if not named:
+        return nodes
+
+    def keep(x):
+        while x is not None:
+            x.aside = False
+            x = x.up
+
+    for x in nodes:
+        if x.tag in ("article", "main"):
+            keep(x)
+    outside, within = [], []
+    for x in nodes:  # parents first
+        x.inside = x.aside or (x.up is not None and x.up.inside)
+        (within if x.inside else outside).append(x)
+    best = max(within, key=lambda x: x.total, default=None)
+    # a density that named elements give to their parent does not speak for the parent
+    own = max(x.total - sum(i.density for i in x.items if isinstance(i, _Node) and i.aside) for x in outside)
+    if best is not None and best.total > OUTWEIGHS * own:
+        keep(best)
+    for x in nodes:
+        x.items = [i for i in x.items if isinstance(i, str) or not i.aside]
+        x.c = x.t = x.lc = x.lt = 0
+        x.density = x.total = 0.0
+    return measure(root)
+
+
 def _nodes(root: _Node) -> list[_Node]:
     """All nodes, parents first."""
     out, stack = [], [root]
@@ -200,7 +233,7 @@ def _blocks(root: _Node) -> str:
 def main_text(html: str | None) -> str:
     """The article's text, blocks joined by one space; empty for a page without."""
     root = parse(html or "")
-    nodes = measure(root)
+    nodes = content(root)
     if not root.c:
         return ""
     best = max(nodes, key=lambda x: x.total)

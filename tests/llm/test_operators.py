@@ -386,3 +386,22 @@ def test_one_per_group_with_null_and_repeated_ids(spark):
     assert set(got) < set(apart) and sorted(r[1][:2] for r in apart if r[0] is None) == ["a0", "c0", "e0"]
     blank = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "", "x"), (None, " ", "x")], d.schema)
     assert len(ngram_join.one_per_group(blank).collect()) == 3
+
+
+def test_text_density_keeps_content_whatever_its_class():
+    p = "Alpha beta gamma delta epsilon zeta eta theta iota kappa."
+    for name in ("layout has-sidebar", "post no-comments", "sidebar", "widget"):
+        assert text_density.main_text(f"<div class='{name}'><article><p>{p}</article></div>") == p
+        assert text_density.main_text(f"<div class='{name}'><p>{p}</p><p>{p}</p></div><footer>x</footer>") == f"{p} {p}"
+    inside = f"<article><h1 class='article-header'>T</h1><p class='notice'>N</p><p>{p}</article>"
+    assert text_density.main_text(inside) == f"T N {p}"
+    beside = f"<div><p>{p}<p>{p}</div><div class='sidebar widget-2'><p>{p}</div>"
+    assert text_density.main_text(beside) == f"{p} {p}"
+
+
+def test_text_density_dropped_elements_end_with_their_parents():
+    assert text_density.main_text("<p class='ad'>x<p>real</p>") == "real"
+    assert text_density.main_text("<div><p class='ad'>x</div><article><p>first</p>") == "first"
+    assert text_density.main_text("<div><nav><ul><li>a<li>b</div><p>real") == "real"
+    assert text_density.main_text("<head><link><body><p>real") == "real"
+    assert text_density.main_text("<ul><li class='share'>s<li>real</ul>") == "real"
