@@ -32,6 +32,7 @@ ALPHA = 1.2
 BEAM = 24
 SLACK = 0.05  # the range expands through vectors this much below the threshold
 BLOCK = 256  # queries searched together in a task
+AUDIT_BLOCK = 2_000  # queries that an audit compares at a time
 
 
 def _matrix(column) -> np.ndarray:
@@ -348,3 +349,47 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
     return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def audit(vectors: DataFrame, cosine: float = COSINE, every: int = 50, links: DataFrame | None = None) -> dict:
+    """Recall of the graph's links: the vectors whose vec_id ``every`` divides, against
+    all others of their label by brute force, a block of queries at a time. ``links(a,
+    b)`` are the graph's own unless given. No links to find count as recall 1."""
+    graph = FlatGraph(vectors, cosine)
+    links = written(graph.links()) if links is None else links
+    asked = graph.unit.where(F.pmod("vec_id", F.lit(every)) == 0).select("label", "unit").distinct()
+    asked = written(graph.nodes.join(asked, ["label", "unit"], "left_semi").select("node", "label", "unit"))
+    queries = asked.count()
+    blocks = -(-queries // AUDIT_BLOCK)
+    true = found = 0
+    for b in range(blocks):
+        by: dict = {}
+        for r in asked.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b).toLocalIterator():
+            ids, rows = by.setdefault((r["label"], len(r["unit"])), ([], []))
+            ids.append(r["node"])
+            rows.append(r["unit"])
+        block = {k: (np.array(ids), np.array(rows)) for k, (ids, rows) in by.items()}
+        shared = graph.spark.sparkContext.broadcast(block)
+
+        def pairs(batches, shared=shared):
+            for batch in batches:
+                nodes, units = batch.column("node").to_pylist(), batch.column("unit").to_pylist()
+                of: dict = {}
+                for i, label in enumerate(batch.column("label").to_pylist()):
+                    of.setdefault((label, len(units[i])), []).append(i)
+                for k, rows in of.items():
+                    if k in shared.value:
+                        ids, q = shared.value[k]
+                        here = np.array([nodes[i] for i in rows])
+                        x, y = np.nonzero(q @ np.array([units[i] for i in rows]).T >= cosine)
+                        x, y = ids[x], here[y]
+                        x, y = x[x != y], y[x != y]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(x, pa.int64()), pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())],
+                            names=["q", "a", "b"],
+                        )
+
+        want = written(graph.nodes.select("node", "label", "unit").mapInArrow(pairs, "q long, a long, b long"))
+        true += want.count()
+        found += want.join(links, ["a", "b"], "left_semi").count()
+    return {"queries": queries, "true": true, "found": found, "recall": found / true if true else 1.0}

@@ -333,6 +333,13 @@ def test_pruned_graph_reaches_large_groups(spark):
     }
 
 
+def test_pruned_graph_audit_on_large_groups(spark):
+    vectors = large_groups(spark)
+    assert pruned_graph.audit(vectors) == {"queries": 60, "true": 60 * 149, "found": 60 * 149, "recall": 1.0}
+    one = spark.createDataFrame([(0, 1)], "a long, b long")
+    assert pruned_graph.audit(vectors, links=one)["found"] == 1
+
+
 def test_cluster_graph_is_connected():
     x = np.eye(6)[[0] * 5 + [1] * 5 + [2] * 5]
     lists = [{j for j in range(15) if j // 5 == i // 5 and j != i} for i in range(15)]
