@@ -125,3 +125,41 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, v.vec_id = c.c AS kept
 FROM v JOIN c ON c.v = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
+
+SQL["op11_collocations"] = """
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]') AS p
+  FROM documents
+), s AS (SELECT lang, unnest(p) AS p FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM s),
+g AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w
+), f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3
+  ) GROUP BY 1, 2
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN longer m ON m.lang = c.lang AND m.phrase = c.phrase
+  WHERE m.a IS NULL OR 100 * m.a < 50 * c.a
+), cuts AS (
+  SELECT lang, phrase, a, 1 AS cut, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM kept
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM kept WHERE k = 3
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, cut, fx.n AS l, fy.n AS r,
+    (1000000::HUGEINT * cuts.a * cuts.a // (fx.n::HUGEINT * fy.n))::BIGINT AS score
+  FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = cuts.x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = cuts.y
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE i = 1
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, n.n, r.score FROM ranked r JOIN n ON n.lang = r.lang WHERE r.rank <= 2000
+"""

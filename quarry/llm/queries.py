@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, hash_tree, line_runs, ngram_join, pii, pruned_graph, raking, rank_profiles, string_tiling, text_density
+from . import (
+    chat_windows,
+    collocations,
+    hash_tree,
+    line_runs,
+    ngram_join,
+    pii,
+    pruned_graph,
+    raking,
+    rank_profiles,
+    resampling,
+    string_tiling,
+    text_density,
+    token_frames,
+)
 from .common import table
 
 
@@ -62,6 +76,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_frames.write(table(spark, sf_dir, "documents"), public_tokenizers.path(token_frames.VOCABULARY))
+    return token_frames.read(spark, path, with_ids=False)
+
+
 QUERIES = {
     "op1_raking": op1_raking,
     "op2_weak_labels": op2_weak_labels,
@@ -73,4 +103,7 @@ QUERIES = {
     "op8_text_density": op8_text_density,
     "op9_pruned_graph": op9_pruned_graph,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_collocations": op11_collocations,
+    "op12_resampling": op12_resampling,
+    "op13_token_frames": op13_token_frames,
 }

@@ -1,4 +1,4 @@
-"""What ``__spark_entry__.py`` registers of this package: the ten operators' queries
+"""What ``__spark_entry__.py`` registers of this package: the operators' queries
 and the pipeline."""
 
 from __future__ import annotations
