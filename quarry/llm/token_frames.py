@@ -34,7 +34,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import islice
+from itertools import chain, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,8 @@ FRAME_IDS = 1 << 20  # ids of a frame at most
 FILE_IDS = 1 << 28  # a file ends with the document that reaches so many ids
 FILE_FRAMES = 1 << 20  # or so many frames
 TASK_BYTES = 256 << 20  # estimated bytes of input for one task
-KNOWN_PIECES = 400_000  # pieces whose ids a task keeps at most
-PIECE_BATCH = 1 << 16
+KNOWN_PIECES = 300_000  # pieces whose ids a worker keeps, twice
+PIECE_BATCH = 1 << 17  # characters or pieces encoded together
 
 # fixed values: magic numbers of the public format
 SKIPPABLE_INDEX = 0x184D2A50
@@ -64,7 +64,8 @@ MANIFEST = "part int, file string, seq int, n_docs long, n_tokens long, first_id
 
 
 def _pieces_pattern() -> re.Pattern:
-    """Cuts a text after each run of letters or digits that an ASCII sign or space follows.
+    """Cuts a text after each run of letters or digits that an ASCII sign or space follows,
+    and after each ASCII sign that a space follows.
 
     The vocabulary's own splitting pattern always ends a match there and never looks
     back, so the pieces' ids, one after the other, are the text's ids. Letters and digits
@@ -81,15 +82,20 @@ def _pieces_pattern() -> re.Pattern:
             else:
                 runs.append([c, c])
     word = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
-    sign = r"\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f"
-    return re.compile(f"[^{word}]*[{word}]+(?:[^{word}{sign}][^{word}]*[{word}]*)*|[^{word}]+")
+    other_ascii = r"\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f"
+    sign, space = r"!-/:-@\[-`{-~", r" \t\n\r"
+    return re.compile(
+        f"[{space}]*+(?:[{word}]++(?![^{word}{other_ascii}])|[{sign}]++(?=[{space}]|\\Z))"
+        f"|[^{word}]*[{word}]+(?:[^{word}{other_ascii}][^{word}]*[{word}]*)*|[^{word}]+"
+    )
 
 
 class Encoder:
     """Whole texts to little-endian ids, with a tokenizer file of the tokenizers library.
 
-    Every distinct piece of a text is encoded once while it is remembered. Strings of
-    special tokens in a text are ordinary text.
+    Pieces are encoded once while they are remembered: those of the last
+    :data:`KNOWN_PIECES` to :data:`KNOWN_PIECES` times two that were new or asked for again.
+    Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, vocabulary: str):
@@ -100,17 +106,48 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.pattern = _pieces_pattern()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, texts: Sequence[str]) -> Iterator[tuple[int, bytes]]:
+        """``(place of the text, ids)`` in order, a long text in several blocks. Short texts
+        are taken together, up to about :data:`PIECE_BATCH` characters."""
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if size + len(text) > PIECE_BATCH and held:
+                yield from self._encoded(held)
+                held, size = [], 0
+            if len(text) <= PIECE_BATCH:
+                held.append((i, self.pattern.findall(text)))
+                size += len(text)
+            else:
+                found = (m.group() for m in self.pattern.finditer(text))
+                while pieces := list(islice(found, PIECE_BATCH)):
+                    yield from self._encoded([(i, pieces)])
+        yield from self._encoded(held)
+
+    def _encoded(self, texts: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes]]:
+        known, older = self.known, self.older
+        missing = set(chain.from_iterable(p for _, p in texts)).difference(known)
+        new = missing.difference(older)
+        known.update((p, older[p]) for p in missing - new)
+        new = list(new)
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[p] = array("I", e.ids).tobytes()
+        for i, pieces in texts:
+            yield i, b"".join(map(known.__getitem__, pieces))
+        if len(known) > KNOWN_PIECES:
+            self.known, self.older = {}, known
+
 
-    def ids(self, text: str) -> Iterator[bytes]:
-        """The ids, in order, in blocks of bounded size."""
-        found = (m.group() for m in self.pattern.finditer(text))
-        while pieces := list(islice(found, PIECE_BATCH)):
-            if len(self.known) > KNOWN_PIECES:
-                self.known.clear()
-            new = [p for p in set(pieces) if p not in self.known]
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, pieces))
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """The worker's encoder, which later tasks of the same worker use as well."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 def _skippable(magic: int, content: bytes) -> bytes:
@@ -180,21 +217,18 @@ def _writer(folder: str, vocabulary: str, level: int):
     end = struct.pack("<I", END_ID)
 
     def write(batches):
-        encoder, part, seq, file = Encoder(vocabulary), TaskContext.get().partitionId(), 0, None
+        known, part, seq, file = encoder(vocabulary), TaskContext.get().partitionId(), 0, None
         schema = pa.schema([
             ("part", pa.int32()), ("file", pa.string()), ("seq", pa.int32()), ("n_docs", pa.int64()),
             ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("has_null", pa.bool_()),
         ])
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            ids = batch.column("doc_id").to_pylist()
+            found = known.ids([x.as_py() or "" for x in batch.column("text")])
+            for i, blocks in groupby(found, key=lambda x: x[0]):
                 if file is None:
                     file, seq = _File(folder, part, seq, level), seq + 1
-
-                def blocks(text=text):
-                    yield from encoder.ids(text.as_py() or "")
-                    yield end
-
-                file.document(doc_id, blocks())
+                file.document(ids[i], chain((b for _, b in blocks), [end]))
                 if file.full():
                     yield pa.RecordBatch.from_pylist([file.close()], schema)
                     file = None

@@ -35,7 +35,7 @@ def test_pieces_give_the_ids_of_the_whole_text(library):
     @given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(SAMPLES + [" ", "\n", "é", "1", "-", "'"]), max_size=12).map("".join)))
     @settings(max_examples=400, deadline=None)
     def same(text):
-        ids = np.frombuffer(b"".join(encoder.ids(text)), "<u4").tolist()
+        ids = np.frombuffer(b"".join(b for _, b in encoder.ids([text])), "<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
 
     same()
@@ -120,4 +120,14 @@ def test_plain_zstandard_reads_the_file(spark, library, tmp_path):
 
 def test_a_long_text_without_spaces_is_cut_at_signs():
     encoder = token_frames.Encoder(VOCABULARY)
-    assert sum(len(b) for b in encoder.ids("ab12," * 200_000)) // 4 > 400_000
+    blocks = list(encoder.ids(["x", "ab12," * 200_000, "", "y"]))
+    assert {i for i, _ in blocks} == {0, 1, 2, 3} and sum(i == 1 for i, _ in blocks) > 1
+    assert sum(len(b) for _, b in blocks) // 4 > 400_000
+
+
+def test_forgotten_pieces_are_encoded_again(library, monkeypatch):
+    monkeypatch.setattr(token_frames, "KNOWN_PIECES", 3)
+    encoder = token_frames.Encoder(VOCABULARY)
+    for text in SAMPLES * 3:
+        ids = np.frombuffer(b"".join(b for _, b in encoder.ids([text])), "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
