@@ -27,14 +27,12 @@ their names, are not read.
 from __future__ import annotations
 
 import os
-import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain, groupby, islice
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +50,7 @@ FILE_IDS = 1 << 28  # a file ends with the document that reaches so many ids
 FILE_FRAMES = 1 << 20  # or so many frames
 TASK_BYTES = 256 << 20  # estimated bytes of input for one task
 KNOWN_PIECES = 300_000  # pieces whose ids a worker keeps, twice
-PIECE_BATCH = 1 << 17  # characters or pieces encoded together
+CHUNK_BYTES = 4 << 20  # of texts encoded together
 
 # fixed values: magic numbers of the public format
 SKIPPABLE_INDEX = 0x184D2A50
@@ -63,39 +61,50 @@ HAS_CHECKSUMS = 0x80
 MANIFEST = "part int, file string, seq int, n_docs long, n_tokens long, first_id long, last_id long, has_null boolean"
 
 
-def _pieces_pattern() -> re.Pattern:
-    """Cuts a text after each run of letters or digits that an ASCII sign or space follows,
-    and after each ASCII sign that a space follows.
+# kinds of bytes: ASCII letters and digits, printable signs, spaces, other ASCII; 0 from 128 on
+_WORD, _SIGN, _SPACE, _OTHER = 1, 2, 4, 8
+_KIND = np.zeros(256, np.uint8)
+_KIND[:128] = _OTHER
+_KIND[[b for b in range(33, 127)]] = _SIGN
+_KIND[[b for b in range(128) if chr(b).isalnum()]] = _WORD
+_KIND[list(b" \t\r\n")] = _SPACE
+# first bytes of two that are letters but for two signs: U+00C0 to U+027F and Cyrillic
+_LETTER_LEAD = np.zeros(256, bool)
+_LETTER_LEAD[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = True
 
-    The vocabulary's own splitting pattern always ends a match there and never looks
-    back, so the pieces' ids, one after the other, are the text's ids. Letters and digits
-    are those of the Unicode version that all libraries have had since long ago; others
-    only make pieces longer.
+
+def piece_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places, 0 and the texts' ``begins`` among them, where UTF-8 bytes can be cut: after a letter or a digit that an
+    ASCII sign or space follows, and before an ASCII space that follows no space.
+
+    The vocabulary's own splitting pattern always ends a match there and never looks back,
+    so the pieces' ids, one after the other, are the text's ids. Where a character's
+    class could depend on the Unicode version there is no cut; that only makes pieces longer.
     """
-    old = unicodedata.ucd_3_2_0
-    runs: list[list[int]] = []
-    for c in range(0x10000):
-        kind = unicodedata.category(chr(c))
-        if kind[0] in "LN" and kind == old.category(chr(c)):
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    word = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
-    other_ascii = r"\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f"
-    sign, space = r"!-/:-@\[-`{-~", r" \t\n\r"
-    return re.compile(
-        f"[{space}]*+(?:[{word}]++(?![^{word}{other_ascii}])|[{sign}]++(?=[{space}]|\\Z))"
-        f"|[^{word}]*[{word}]+(?:[^{word}{other_ascii}][^{word}]*[{word}]*)*|[^{word}]+"
-    )
+    kind = _KIND[data]
+    wordy = kind == _WORD
+    solid = (kind & (_WORD | _SIGN)) > 0
+    if (data >= 0x80).any():
+        tail = (data & 0xC0) == 0x80  # the last byte of a character, where ASCII follows
+        letter = tail[1:] & _LETTER_LEAD[data[:-1]]
+        letter &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        wordy[1:] |= letter
+        solid[1:] |= tail[1:] & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)  # no space has such a first byte
+        solid[2:] |= tail[2:] & (data[:-2] >= 0xE4) & (data[:-2] < 0xF0)
+        solid[3:] |= tail[3:] & (data[:-3] >= 0xF0)
+    cut = np.ones(len(data), bool)
+    cut[1:] = wordy[:-1] & (kind[1:] > _WORD) | solid[:-1] & (kind[1:] == _SPACE)
+    cut[begins] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
     """Whole texts to little-endian ids, with a tokenizer file of the tokenizers library.
 
-    Pieces are encoded once while they are remembered: those of the last
-    :data:`KNOWN_PIECES` to :data:`KNOWN_PIECES` times two that were new or asked for again.
-    Strings of special tokens in a text are ordinary text.
+    Arrow finds the distinct pieces of a chunk of texts, and only those are looked up and,
+    where new, encoded. Remembered are the last :data:`KNOWN_PIECES` to :data:`KNOWN_PIECES`
+    times two that were new or asked for again. Strings of special tokens in a text are
+    ordinary text.
     """
 
     def __init__(self, vocabulary: str):
@@ -104,40 +113,65 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.pattern = _pieces_pattern()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def ids(self, texts: Sequence[str]) -> Iterator[tuple[int, bytes]]:
-        """``(place of the text, ids)`` in order, a long text in several blocks. Short texts
-        are taken together, up to about :data:`PIECE_BATCH` characters."""
-        held: list[tuple[int, list[str]]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            if size + len(text) > PIECE_BATCH and held:
-                yield from self._encoded(held)
-                held, size = [], 0
-            if len(text) <= PIECE_BATCH:
-                held.append((i, self.pattern.findall(text)))
-                size += len(text)
-            else:
-                found = (m.group() for m in self.pattern.finditer(text))
-                while pieces := list(islice(found, PIECE_BATCH)):
-                    yield from self._encoded([(i, pieces)])
-        yield from self._encoded(held)
-
-    def _encoded(self, texts: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes]]:
+    def ids(self, texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, bytes]]:
+        """``(place of the text, ids)`` in order: nothing for a null or empty text, several
+        blocks for a long one. Chunks end between pieces, so what is held at once
+        grows with the longest piece and not with the texts."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = texts.cast(pa.large_string()).fill_null("")
+        buffers = texts.buffers()
+        offsets = np.frombuffer(buffers[1], np.int64, len(texts) + 1, texts.offset * 8)
+        at, size, step = int(offsets[0]), int(offsets[-1]), CHUNK_BYTES
+        data = np.frombuffer(buffers[2], np.uint8) if size else np.zeros(0, np.uint8)
+        while at < size:
+            end = min(size, at + step)
+            a, b = np.searchsorted(offsets, [at, end])
+            starts = piece_starts(data[at:end], offsets[a:b] - at)
+            if end < size:  # the last piece may go on
+                if len(starts) == 1:
+                    step *= 2
+                    continue
+                end, starts = at + int(starts[-1]), starts[:-1]
+            step = CHUNK_BYTES
+            ids, counts = self._encoded(data[at:end], np.append(starts, end - at))
+            first = np.searchsorted(offsets, at, "right") - 1
+            last = np.searchsorted(offsets, end, "left")
+            ends = np.minimum(offsets[first + 1 : last + 1], end) - at
+            cuts = counts[np.searchsorted(starts, ends)]
+            lo = 0
+            for i, hi in zip(range(int(first), int(last)), cuts.tolist()):
+                if hi > lo:
+                    yield i, ids[lo:hi].tobytes()
+                lo = hi
+            at = end
+
+    def _encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, and how many there are before each piece and in all."""
+        pieces = pa.LargeStringArray.from_buffers(
+            len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)
+        ).dictionary_encode()
+        distinct, places = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
         known, older = self.known, self.older
-        missing = set(chain.from_iterable(p for _, p in texts)).difference(known)
+        missing = set(distinct).difference(known)
         new = missing.difference(older)
         known.update((p, older[p]) for p in missing - new)
         new = list(new)
         for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             known[p] = array("I", e.ids).tobytes()
-        for i, pieces in texts:
-            yield i, b"".join(map(known.__getitem__, pieces))
+        found = [known[p] for p in distinct]
         if len(known) > KNOWN_PIECES:
             self.known, self.older = {}, known
+        table = np.frombuffer(b"".join(found), "<u4")
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size, begin = n[places], (np.cumsum(n) - n)[places]
+        before = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(begin - before[:-1], size)
+        at += np.arange(len(at))
+        return table[at], before
 
 
 _encoders: dict[str, Encoder] = {}
@@ -224,11 +258,15 @@ def _writer(folder: str, vocabulary: str, level: int):
         ])
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            found = known.ids([x.as_py() or "" for x in batch.column("text")])
-            for i, blocks in groupby(found, key=lambda x: x[0]):
+            found = groupby(known.ids(batch.column("text")), key=lambda x: x[0])
+            i, blocks = next(found, (-1, ()))
+            for place, doc_id in enumerate(ids):
                 if file is None:
                     file, seq = _File(folder, part, seq, level), seq + 1
-                file.document(ids[i], chain((b for _, b in blocks), [end]))
+                mine = (b for _, b in blocks) if place == i else ()
+                file.document(doc_id, chain(mine, [end]))
+                if place == i:
+                    i, blocks = next(found, (-1, ()))
                 if file.full():
                     yield pa.RecordBatch.from_pylist([file.close()], schema)
                     file = None

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import zstandard
@@ -17,7 +18,7 @@ from quarry.llm import token_frames
 from tests.llm.test_operators import docs
 
 VOCABULARY = public_tokenizers.path(token_frames.VOCABULARY)
-SAMPLES = ["", "a", "Hello, world! it's 42nd", "tabs\t\tand\n\nlines  ", "<|endoftext|> x", "naïve café ²³ ½x", "我们，去。北京 3次", "ก็ได้ครับ 12", "áb c", "x" * 700, "\x00\x01", "'s 'll I'd"]
+SAMPLES = ["", "a", " \u2003 x\u00a0 y", "Hello, world! it's 42nd", "tabs\t\tand\n\nlines  ", "<|endoftext|> x", "naïve café ²³ ½x", "我们，去。北京 3次", "ก็ได้ครับ 12", "áb c", "x" * 700, "\x00\x01", "'s 'll I'd"]
 
 
 @pytest.fixture(scope="module")
@@ -35,12 +36,24 @@ def test_pieces_give_the_ids_of_the_whole_text(library):
     @given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(SAMPLES + [" ", "\n", "é", "1", "-", "'"]), max_size=12).map("".join)))
     @settings(max_examples=400, deadline=None)
     def same(text):
-        ids = np.frombuffer(b"".join(b for _, b in encoder.ids([text])), "<u4").tolist()
+        ids = np.frombuffer(b"".join(b for _, b in encoder.ids(pa.array([text]))), "<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
 
     same()
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 64])
+def test_chunks_cut_no_piece(library, monkeypatch, chunk):
+    monkeypatch.setattr(token_frames, "CHUNK_BYTES", chunk)
+    encoder, rng = token_frames.Encoder(VOCABULARY), random.Random(chunk)
+    texts = ["".join(rng.choice(SAMPLES + [" ", "\u00a0", "\u3000", "\x1c", "\u0301", "×", "ß"]) for _ in range(rng.randrange(9))) for _ in range(200)]
+    found = {i: b"" for i in range(len(texts) + 1)}
+    for i, block in encoder.ids(pa.array(["skipped"] + texts + [None])[1:]):
+        found[i] += block
+    for i, text in enumerate(texts):
+        assert np.frombuffer(found[i], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def expected(library, texts):
     out, start = [], 0
     for i, t in texts:
@@ -120,14 +133,14 @@ def test_plain_zstandard_reads_the_file(spark, library, tmp_path):
 
 def test_a_long_text_without_spaces_is_cut_at_signs():
     encoder = token_frames.Encoder(VOCABULARY)
-    blocks = list(encoder.ids(["x", "ab12," * 200_000, "", "y"]))
-    assert {i for i, _ in blocks} == {0, 1, 2, 3} and sum(i == 1 for i, _ in blocks) > 1
-    assert sum(len(b) for _, b in blocks) // 4 > 400_000
+    blocks = list(encoder.ids(pa.array(["x", "ab12," * 1_000_000, "", None, "y"])))
+    assert {i for i, _ in blocks} == {0, 1, 4} and sum(i == 1 for i, _ in blocks) > 1
+    assert sum(len(b) for _, b in blocks) // 4 > 2_000_000
 
 
 def test_forgotten_pieces_are_encoded_again(library, monkeypatch):
     monkeypatch.setattr(token_frames, "KNOWN_PIECES", 3)
     encoder = token_frames.Encoder(VOCABULARY)
     for text in SAMPLES * 3:
-        ids = np.frombuffer(b"".join(b for _, b in encoder.ids([text])), "<u4").tolist()
+        ids = np.frombuffer(b"".join(b for _, b in encoder.ids(pa.array([text]))), "<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
