@@ -50,7 +50,7 @@ FILE_IDS = 1 << 28  # a file ends with the document that reaches so many ids
 FILE_FRAMES = 1 << 20  # or so many frames
 TASK_BYTES = 256 << 20  # estimated bytes of input for one task
 KNOWN_PIECES = 300_000  # pieces whose ids a worker keeps, twice
-CHUNK_BYTES = 4 << 20  # of texts encoded together
+CHUNK_BYTES = 8 << 20  # of texts encoded together
 
 # fixed values: magic numbers of the public format
 SKIPPABLE_INDEX = 0x184D2A50
@@ -154,7 +154,7 @@ class Encoder:
         pieces = pa.LargeStringArray.from_buffers(
             len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)
         ).dictionary_encode()
-        distinct, places = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        distinct, places = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
         known, older = self.known, self.older
         missing = set(distinct).difference(known)
         new = missing.difference(older)
