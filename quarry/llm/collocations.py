@@ -5,7 +5,7 @@ that it is mined in memory. With ``m`` occurrences needed in a language of ``n``
 phrase that is frequent has ``m * n_i / n`` occurrences or more in some shard that holds
 ``n_i`` of them. So each shard is mined completely, level by level (words, pairs, triples),
 at the local support ``ceil(m * n_i / n)``, at least 1, and emits its locally frequent phrases
-as 64-bit hashes with their local counts. A phrase stays in the union unless what it was
+as hashes of 40 bits with their local counts. A phrase stays in the union unless what it was
 counted plus all that shards may have held back (one less than their supports) is below
 ``m``. Then all shards count the candidates by their words, and Spark sums these counts; so
 equal hashes cost a needless count and never a wrong one.
@@ -27,7 +27,6 @@ names, are not read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -48,13 +47,14 @@ BEST = 2000
 SHARD_WORDS = 4_000_000
 MAP_BITS = 1 << 27
 KNOWN_LANGS = 1000  # languages whose size the tasks are told; others are mined at support 1
+WORD_WINDOW = 4 << 20  # bytes whose words are counted together
 HELD_KEYS = 400_000  # distinct phrases a task counts before it hands them on
 
 BREAKS = spans.separators(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 SPACE = BREAKS | spans.separators(lambda b: b in b"\x20\x09")
-_WORD = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+")
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_EMITTED = np.uint64((1 << 40) - 1)  # bits of a hash that shards emit; more would only cost shuffle
 
 
 class Map:
@@ -122,43 +122,55 @@ def _phrases(h: np.ndarray, piece: np.ndarray, old: int, size: int, below: Map |
     return at, mix(raw[at] + np.uint64(size))
 
 
-def _strings(keys: list[bytes]) -> pa.Array:
-    return pa.array(keys, pa.binary()).cast(pa.string())
-
-
 class _Counts:
     """Counts by language and string, handed on as batches before they fill the memory."""
 
-    def __init__(self, names: tuple[str, str, str]):
-        self.names, self.held = names, defaultdict(Counter)
+    def __init__(self):
+        self.held = defaultdict(Counter)
 
     def full(self) -> bool:
         return sum(map(len, self.held.values())) > HELD_KEYS
 
+    def add(self, lang: str, strings: pa.Array) -> None:
+        found = strings.value_counts()
+        keys = found.field("values").to_numpy(zero_copy_only=False).tolist()
+        counts = self.held[lang]
+        for k, n in zip(keys, found.field("counts").to_pylist()):
+            counts[k] += n
+
     def batches(self):
         for lang, counts in self.held.items():
-            keys = list(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(keys), pa.string()), _strings(keys), pa.array(counts.values(), pa.int64())],
-                names=list(self.names),
+                [pa.array([lang] * len(counts), pa.string()), pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())],
+                names=["lang", "phrase", "n"],
             )
         self.held.clear()
 
 
+def _by_lang(batch: pa.RecordBatch):
+    """``(lang, texts)`` of the batch's runs of texts, 8 MB or one text each."""
+    for part in spans.slices(batch):
+        codes = part.column("lang").dictionary_encode()
+        places = codes.indices.to_numpy()
+        for i, lang in enumerate(codes.dictionary.to_pylist()):
+            yield lang, part.column("text").take(pa.array(np.flatnonzero(places == i)))
+
+
 def _count_words(batches):
-    counts = _Counts(("lang", "phrase", "n"))
+    counts = _Counts()
     for b in batches:
-        langs = b.column("lang").to_pylist()
-        data, offsets = spans.lowered(b.column("text"))
-        for s, e, text, _ in spans.words(data, offsets, SPACE):
-            if not len(s):
-                continue
-            first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-            last = np.r_[first[1:], len(text)] - 1
-            for t, lo, hi in zip(text[first].tolist(), s[first].tolist(), e[last].tolist()):
-                counts.held[langs[t]].update(_WORD.findall(data[lo:hi].tobytes()))
-            if counts.full():
-                yield from counts.batches()
+        for lang, texts in _by_lang(b):
+            data, offsets = spans.lowered(texts)
+            for s, e, _, _ in spans.words(data, offsets, SPACE, window=WORD_WINDOW):
+                if not len(s):
+                    continue
+                region = data[s[0] : e[-1]]  # whole words and separators
+                ends = np.concatenate([[0], np.cumsum(e - s)])
+                counts.add(lang, pa.LargeStringArray.from_buffers(
+                    len(s), pa.py_buffer(ends), pa.py_buffer(region[~SPACE[region]])
+                ))
+                if counts.full():
+                    yield from counts.batches()
     yield from counts.batches()
 
 
@@ -192,14 +204,17 @@ def _miner(size: int, support: int, totals, below):
         )
         slack = np.maximum(slack, 0)
         yield rows(names, [None] * len(names), [0] * len(names), slack)
-        h, code = np.concatenate(found), np.concatenate(codes)
+        h = np.concatenate(found)
         if not len(h):
             return
-        order = np.argsort(h)
-        h = h[order]
+        if slack.any():
+            order = np.argsort(h)
+            h, code = h[order], np.concatenate(codes)[order]
+        else:
+            h.sort()
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         n = np.diff(np.r_[first, len(h)])
-        held = slack[code[order[first]]]
+        held = slack[code[first]] if slack.any() else np.zeros(len(first), np.int64)
         keep = n > held
         for at in range(0, len(first), 1 << 18):
             k = keep[at : at + (1 << 18)]
@@ -208,7 +223,7 @@ def _miner(size: int, support: int, totals, below):
 
     def run(batches):
         found, codes, names, words, seen = [], [], {}, np.zeros(0, np.int64), 0
-        for b in batches:
+        for b in (part for whole in batches for part in spans.slices(whole)):
             langs = b.column("lang").to_pylist()
             for _, h, _, _, text, piece, old in _windows(b, size):
                 code = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
@@ -216,7 +231,7 @@ def _miner(size: int, support: int, totals, below):
                 here[: len(words)] += words
                 words = here
                 at, grams = _phrases(h, piece, old, size, below.value)
-                found.append(grams)
+                found.append(grams & _EMITTED)
                 codes.append(code[text[at]].astype(np.int32))
                 seen += len(h) - old
                 if seen >= SHARD_WORDS:
@@ -232,15 +247,14 @@ def _counter(maps):
     """Counts the candidates by their words."""
 
     def run(batches):
-        counts = _Counts(("lang", "phrase", "n"))
-        known = maps.value
-        for b in batches:
+        counts, known = _Counts(), maps.value
+        for b in (part for whole in batches for part in spans.slices(whole)):
             langs = np.array(b.column("lang").to_pylist(), object)
-            text_bytes = None
             for data, h, s, e, text, piece, old in _windows(b, len(known)):
-                if text_bytes is None:
-                    text_bytes = data.tobytes()
-                plain = np.r_[(s[1:] - e[:-1] == 1) & (data[e[:-1]] == 32), False] if len(s) else np.zeros(0, bool)
+                if not len(s):
+                    continue
+                region, base = data[s[0] : e[-1]].tobytes(), int(s[0])
+                plain = np.append((s[1:] - e[:-1] == 1) & (data[e[:-1]] == 32), False)
                 for size in range(2, len(known) + 1):
                     at, grams = _phrases(h, piece, old, size, known[size - 2])
                     at = at[known[size - 1].has(grams)]
@@ -251,12 +265,10 @@ def _counter(maps):
                     for lang in set(of.tolist()):
                         mine = of == lang
                         a = at[mine & one_space]
-                        counts.held[lang].update(
-                            [text_bytes[x:y] for x, y in zip(s[a].tolist(), e[a + size - 1].tolist())]
-                        )
+                        found = [region[x:y] for x, y in zip((s[a] - base).tolist(), (e[a + size - 1] - base).tolist())]
                         for i in at[mine & ~one_space].tolist():
-                            words = [text_bytes[s[i + k] : e[i + k]] for k in range(size)]
-                            counts.held[lang][b" ".join(words)] += 1
+                            found.append(b" ".join(region[s[i + k] - base : e[i + k] - base] for k in range(size)))
+                        counts.add(lang, pa.array(found, pa.large_binary()).cast(pa.large_string()))
                 if counts.full():
                     yield from counts.batches()
         yield from counts.batches()

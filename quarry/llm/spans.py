@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WINDOW = 1 << 19
 SHORT = 64  # words of more bytes are hashed one by one
@@ -43,8 +44,17 @@ def lowered(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - lo
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about ``size`` bytes, one text at least."""
+    n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(n, dtype=np.int64) // size
+    ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(n)] if len(n) else []
+    for lo, hi in zip([0, *ends], ends):
+        yield batch.slice(lo, hi - lo)
+
+
 def words(
-    data: np.ndarray, offsets: np.ndarray, space: np.ndarray, breaks: np.ndarray | None = None
+    data: np.ndarray, offsets: np.ndarray, space: np.ndarray, breaks: np.ndarray | None = None, window: int | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """``(start, end, text, piece)`` of the words that end in each window, in order.
 
@@ -54,8 +64,9 @@ def words(
     """
     size = int(offsets[-1])
     opened, piece = -1, 0
-    for lo in range(0, size, WINDOW):
-        hi = min(size, lo + WINDOW)
+    window = window or WINDOW
+    for lo in range(0, size, window):
+        hi = min(size, lo + window)
         solid = ~space[data[lo:hi]]
         a, b = np.searchsorted(offsets, [lo, hi])
         first = np.unique(offsets[a:b]) - lo  # places in the window where a text begins
