@@ -44,7 +44,7 @@ SUPPORT = 10
 LONGEST = 3
 CONTAINED = 50  # percent of a phrase's count at which a longer one stands for it
 BEST = 2000
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 MAP_BITS = 1 << 27
 KNOWN_LANGS = 1000  # languages whose size the tasks are told; others are mined at support 1
 WORD_WINDOW = 4 << 20  # bytes whose words are counted together
@@ -88,15 +88,16 @@ def _lang_hashes(langs: list[str]) -> np.ndarray:
     return np.array([known[x] for x in langs], np.uint64)
 
 
-def _windows(batch: pa.RecordBatch, longest: int):
-    """``(data, hash of each word, start, end, text, piece, words carried over)`` for each
-    window; the last words of the one before come first, so that no phrase is missed."""
-    data, offsets = spans.lowered(batch.column("text"))
-    lang = _lang_hashes(batch.column("lang").to_pylist())
-    held = [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 4
-    for s, e, text, piece in spans.words(data, offsets, SPACE, BREAKS):
-        h = mix(spans.hashes(data, s, e) ^ lang[text])
-        now = [np.concatenate(pair) for pair in zip(held, (h, s, e, text, piece))]
+def _windows(lang: str, texts: pa.Array, longest: int):
+    """``(data, hash of each word, start, end, piece, words carried over)`` for each window
+    of texts of one language; the last words of the one before come first, so that no
+    phrase is missed."""
+    data, offsets = spans.lowered(texts)
+    of = _lang_hashes([lang])
+    held = [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 3
+    for s, e, _, piece in spans.words(data, offsets, SPACE, BREAKS):
+        h = mix(spans.hashes(data, s, e) ^ of)
+        now = [np.concatenate(pair) for pair in zip(held, (h, s, e, piece))]
         yield data, *now, len(held[0])
         held = [x[-(longest - 1) :] for x in now]
 
@@ -131,17 +132,11 @@ class _Counts:
     def full(self) -> bool:
         return sum(map(len, self.held.values())) > HELD_KEYS
 
-    def add(self, lang: str, strings: pa.Array) -> None:
-        found = strings.value_counts()
-        keys = found.field("values").to_numpy(zero_copy_only=False).tolist()
-        counts = self.held[lang]
-        for k, n in zip(keys, found.field("counts").to_pylist()):
-            counts[k] += n
-
     def batches(self):
         for lang, counts in self.held.items():
+            phrases = pa.array(counts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(counts), pa.string()), pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())],
+                [pa.array([lang] * len(counts), pa.string()), phrases, pa.array(counts.values(), pa.int64())],
                 names=["lang", "phrase", "n"],
             )
         self.held.clear()
@@ -166,9 +161,12 @@ def _count_words(batches):
                     continue
                 region = data[s[0] : e[-1]]  # whole words and separators
                 ends = np.concatenate([[0], np.cumsum(e - s)])
-                counts.add(lang, pa.LargeStringArray.from_buffers(
-                    len(s), pa.py_buffer(ends), pa.py_buffer(region[~SPACE[region]])
-                ))
+                found = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(region[~SPACE[region]])]
+                ).value_counts()
+                of = counts.held[lang]
+                for word, n in zip(found.field("values").to_numpy(zero_copy_only=False).tolist(), found.field("counts").to_numpy().tolist()):
+                    of[word] += n
                 if counts.full():
                     yield from counts.batches()
     yield from counts.batches()
@@ -183,62 +181,46 @@ def _hash_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
 
-_MINED = "lang string, h long, n long, slack long"
+_MINED = "h long, n long"
 
 
 def _miner(size: int, support: int, totals, below):
-    """Mines shards for phrases of ``size`` words: rows ``(null, h, n, slack)`` of locally
-    frequent ones, and one ``(lang, null, 0, slack)`` for each language of the shard.
-    ``slack`` is what a phrase may have without being emitted: local support less 1."""
-
-    def rows(lang, h, n, slack):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(slack, pa.int64())],
-            names=["lang", "h", "n", "slack"],
-        )
+    """Mines shards for phrases of ``size`` words: ``(h, n)`` of locally frequent ones, and one
+    row of a negative ``h`` for each language of the shard, whose ``n`` is what a phrase may
+    have there without being emitted: the local support less 1."""
 
-    def shard(found, codes, names, words):
-        sizes = totals.value
-        slack = np.array(
-            [-(-support * int(w) // sizes[x]) - 1 if x in sizes else 0 for x, w in zip(names, words)], np.int64
-        )
+    def rows(h, n):
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
+
+    def shard(found, words):
+        sizes, langs = totals.value, list(words)
+        slack = np.array([-(-support * words[x] // sizes[x]) - 1 if x in sizes else 0 for x in langs], np.int64)
         slack = np.maximum(slack, 0)
-        yield rows(names, [None] * len(names), [0] * len(names), slack)
-        h = np.concatenate(found)
-        if not len(h):
-            return
-        if slack.any():
-            order = np.argsort(h)
-            h, code = h[order], np.concatenate(codes)[order]
-        else:
+        yield rows(-1 - (_lang_hashes(langs) & _EMITTED).astype(np.int64), slack)
+        for lang, held in zip(langs, slack.tolist()):
+            h = np.concatenate(found[lang])
+            if not len(h):
+                continue
             h.sort()
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        n = np.diff(np.r_[first, len(h)])
-        held = slack[code[first]] if slack.any() else np.zeros(len(first), np.int64)
-        keep = n > held
-        for at in range(0, len(first), 1 << 18):
-            k = keep[at : at + (1 << 18)]
-            f = first[at : at + (1 << 18)][k]
-            yield rows([None] * len(f), h[f].view(np.int64), n[at : at + (1 << 18)][k], held[at : at + (1 << 18)][k])
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            n = np.diff(np.r_[first, len(h)])
+            keep = n > held
+            yield rows(h[first[keep]].view(np.int64), n[keep])
 
     def run(batches):
-        found, codes, names, words, seen = [], [], {}, np.zeros(0, np.int64), 0
-        for b in (part for whole in batches for part in spans.slices(whole)):
-            langs = b.column("lang").to_pylist()
-            for _, h, _, _, text, piece, old in _windows(b, size):
-                code = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
-                here = np.bincount(code[text[old:]], minlength=len(names))
-                here[: len(words)] += words
-                words = here
-                at, grams = _phrases(h, piece, old, size, below.value)
-                found.append(grams & _EMITTED)
-                codes.append(code[text[at]].astype(np.int32))
-                seen += len(h) - old
-                if seen >= SHARD_WORDS:
-                    yield from shard(found, codes, list(names), words)
-                    found, codes, names, words, seen = [], [], {}, np.zeros(0, np.int64), 0
+        found, words, seen = defaultdict(list), Counter(), 0
+        for b in batches:
+            for lang, texts in _by_lang(b):
+                for _, h, _, _, piece, old in _windows(lang, texts, size):
+                    _, grams = _phrases(h, piece, old, size, below.value)
+                    found[lang].append(grams & _EMITTED)
+                    words[lang] += len(h) - old
+                    seen += len(h) - old
+                    if seen >= SHARD_WORDS:
+                        yield from shard(found, words)
+                        found, words, seen = defaultdict(list), Counter(), 0
         if seen:
-            yield from shard(found, codes, list(names), words)
+            yield from shard(found, words)
 
     return run
 
@@ -248,29 +230,24 @@ def _counter(maps):
 
     def run(batches):
         counts, known = _Counts(), maps.value
-        for b in (part for whole in batches for part in spans.slices(whole)):
-            langs = np.array(b.column("lang").to_pylist(), object)
-            for data, h, s, e, text, piece, old in _windows(b, len(known)):
-                if not len(s):
-                    continue
-                region, base = data[s[0] : e[-1]].tobytes(), int(s[0])
-                plain = np.append((s[1:] - e[:-1] == 1) & (data[e[:-1]] == 32), False)
-                for size in range(2, len(known) + 1):
-                    at, grams = _phrases(h, piece, old, size, known[size - 2])
-                    at = at[known[size - 1].has(grams)]
-                    if not len(at):
+        for b in batches:
+            for lang, texts in _by_lang(b):
+                for data, h, s, e, piece, old in _windows(lang, texts, len(known)):
+                    if not len(s):
                         continue
-                    one_space = np.logical_and.reduce([plain[at + k] for k in range(size - 1)])
-                    of = langs[text[at]]
-                    for lang in set(of.tolist()):
-                        mine = of == lang
-                        a = at[mine & one_space]
-                        found = [region[x:y] for x, y in zip((s[a] - base).tolist(), (e[a + size - 1] - base).tolist())]
-                        for i in at[mine & ~one_space].tolist():
-                            found.append(b" ".join(region[s[i + k] - base : e[i + k] - base] for k in range(size)))
-                        counts.add(lang, pa.array(found, pa.large_binary()).cast(pa.large_string()))
-                if counts.full():
-                    yield from counts.batches()
+                    region, base = data[s[0] : e[-1]].tobytes(), int(s[0])
+                    s, e, of = s - base, e - base, counts.held[lang]
+                    plain = np.append((s[1:] - e[:-1] == 1) & (data[e[:-1] + base] == 32), False)
+                    for size in range(2, len(known) + 1):
+                        at, grams = _phrases(h, piece, old, size, known[size - 2])
+                        at = at[known[size - 1].has(grams)]
+                        one_space = np.logical_and.reduce([plain[at + k] for k in range(size - 1)])
+                        a = at[one_space]
+                        of.update([region[x:y] for x, y in zip(s[a].tolist(), e[a + size - 1].tolist())])
+                        for i in at[~one_space].tolist():
+                            of[b" ".join(region[s[i + k] : e[i + k]] for k in range(size))] += 1
+                    if counts.full():
+                        yield from counts.batches()
         yield from counts.batches()
 
     return run
@@ -303,17 +280,16 @@ class Miner:
         for size in range(2, self.longest + 1):
             below = self.spark.sparkContext.broadcast(maps[-1])
             mined = self.docs.mapInArrow(_miner(size, self.support, sizes, below), _MINED)
-            maps.append(Map.of(self.union(written(mined.groupBy("lang", "h").agg(
-                F.sum("n").alias("n"), F.sum("slack").alias("slack")))), self.map_bits))
+            found = written(mined.groupBy("h").agg(F.sum("n").alias("n")))
+            maps.append(Map.of(self.union(found), self.map_bits))
         candidates = self.spark.sparkContext.broadcast(maps)
         counted = self._summed(self.docs.mapInArrow(_counter(candidates), _COUNTED))
         self.phrases = written(counted.where(F.col("n") >= self.support))
 
     def union(self, mined: DataFrame) -> DataFrame:
         """Hashes of the phrases that may be frequent, from the shards' local counts."""
-        held = mined.where(F.col("h").isNull()).agg(F.coalesce(F.max("slack"), F.lit(0))).first()[0]
-        most = F.col("n") + F.lit(held) - F.col("slack")
-        return mined.where(F.col("h").isNotNull() & (most >= self.support)).select("h")
+        held = mined.where("h < 0").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        return mined.where((F.col("h") >= 0) & (F.col("n") + F.lit(held) >= self.support)).select("h")
 
 
 def contained(phrases: DataFrame, percent: int = CONTAINED) -> DataFrame:
