@@ -22,12 +22,13 @@ filter never leaves a question short of hits while the corpus has them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +91,21 @@ def read_cells(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_summary(tagged: DataFrame, columns: Sequence[str | Column], path: str, vector_col: str = "embedding",
+                  mode: str = "overwrite") -> None:
+    """Store, beside a cell-tagged corpus, how many rows with a vector each cell has by the
+    values of ``columns`` (filter columns, or expressions of them such as a timestamp's
+    day). One row for every combination that occurs."""
+    rows = tagged.where(F.col(vector_col).isNotNull()).groupBy("cell", *columns).agg(F.count("*").alias("n_rows"))
+    rows.write.mode(mode).parquet(path)
+
+
+def held_rows(summary: DataFrame) -> DataFrame:
+    """``cell, n_rows`` of a summary to which the search's filter was applied: what
+    :func:`search` takes as ``held`` instead of counting the filtered corpus."""
+    return summary.groupBy("cell").agg(F.sum("n_rows").alias("n_rows"))
+
+
 PROBE_CHUNK = 1024  # questions whose centroid keys are computed together
 
 
@@ -204,10 +220,11 @@ def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.D
            metric: str = "l2", key_col: str = "id", vector_col: str = "embedding",
            question_id_col: str = "question_id", question_vector_col: str = "embedding",
            block_bytes: int = knn.DEFAULT_BLOCK_BYTES, min_rows: int = 0,
-           merge_buckets: int = knn.MERGE_BUCKETS) -> DataFrame:
+           merge_buckets: int = knn.MERGE_BUCKETS, held: DataFrame | None = None) -> DataFrame:
     """Approximate top-k per question over a cell-tagged, possibly filtered corpus.
-    Every question meets at least ``max(k, min_rows)`` rows, or all there are: one count
-    per cell is taken of the filtered corpus first.
+    Every question meets at least ``max(k, min_rows)`` rows, or all there are. The filtered
+    rows of each cell come from ``held`` (:func:`held_rows`), so that planning reads a
+    summary alone; without it one count per cell is taken of the filtered corpus first.
 
     A small question table (bounded fetch) is broadcast with its probe lists
     and the corpus is filtered to the probed cells (partition pruning when
@@ -221,8 +238,9 @@ def search(tagged: DataFrame, cells: Cells, questions: DataFrame, k: int = knn.D
         T.StructField(key_col, tagged.schema[key_col].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    held = tagged.where(F.col(vector_col).isNotNull()).groupBy("cell").count()
-    counts = {int(r["cell"]): int(r["count"]) for r in held.collect() if r["cell"] is not None}
+    if held is None:
+        held = tagged.where(F.col(vector_col).isNotNull()).groupBy("cell").agg(F.count("*").alias("n_rows"))
+    counts = {int(r["cell"]): int(r["n_rows"]) for r in held.collect() if r["cell"] is not None}
     rows = np.array([counts.get(int(c), 0) for c in cells.cell_ids], dtype=np.int64)
     need = max(k, min_rows)
     # a task may hold every probed cell's copy of its questions: all copies of the

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions import dates as DT
 from quarry.functions import indexes as IX
 from quarry.functions.text import repair_url
+from quarry.operators import bounded, budget, lsh
 from quarry.operators import evalset as EV
 from quarry.operators import facets as FC
 from quarry.operators import filters as FL
@@ -25,7 +26,7 @@ from quarry.operators import knn
 from quarry.operators import ranking as RK
 from quarry.operators import topics as TP
 from quarry.plans import scenario as S
-from quarry.session import checkpoint_dir
+from quarry.session import checkpoint_dir, scratch
 from quarry.sources import corpus as CO
 from quarry.sources import projects as PJ
 from quarry.sources import schema as SC
@@ -154,10 +155,34 @@ HIT_SOURCE = ("doc_id", "id", "index_name", "date_ts", "text", "translated_text"
               "language_text", "category", "source", "_domain", "misc", "topics")
 
 
+_HITS: dict[tuple[str, str], str] = {}
+
+
+def bounded_hits(spark: SparkSession, sf_dir: str):
+    """The batch search over units stored for it, rows scored by question included."""
+    corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
+    path = scratch(spark, "units")
+    bounded.store(corpus, path, n_cells=16, rings=2, key_col="doc_id")
+    stored, units = bounded.read(spark, path)
+    return bounded.search(stored, units, td.vector_questions(spark, sf_dir), k=S.BATCH_K, key_col="doc_id")
+
+
+def shared_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table of the batch search's hits, written in the shared folder by the session's
+    first query that needs it and read by all that build on them."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _HITS:
+        path = scratch(spark, "hits")
+        bounded_hits(spark, sf_dir).hits.write.parquet(path)
+        _HITS[key] = path
+    return spark.read.parquet(_HITS[key])
+
+
 def batch_attached(spark: SparkSession, sf_dir: str, cols=HIT_SOURCE) -> DataFrame:
     # payload read under the search's own filter (hits come from that corpus)
     payload = FL.exclude_comments(_posts(spark, sf_dir, *cols, "type")).drop("type")
-    return batch_hits(spark, sf_dir, attach_to=payload)
+    hits = shared_hits(spark, sf_dir)
+    return knn.attach(hits, payload, "doc_id", rows_bound=hits.count())
 
 
 def q11_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,7 +323,8 @@ def _stored_cells(spark: SparkSession, sf_dir: str):
     path = f"{checkpoint_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
     ann.write_cells(posts.where(F.col("embedding").isNotNull()).join(labels, "doc_id"), path)
     stored = ann.read_cells(spark, path)
-    return ann.cells_of(stored), stored
+    ann.write_summary(stored, ["type", "language_text"], f"{path}-summary")
+    return ann.cells_of(stored), stored, spark.read.parquet(f"{path}-summary")
 
 
 def q24_knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,10 +332,10 @@ def q24_knn_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     question, and further ones until 30 rows that pass the filter are reached."""
     from quarry.operators import ann
 
-    cells, stored = _stored_cells(spark, sf_dir)
-    corpus = FL.apply_filter(stored, FL.FilterSpec(language=["en", "fr"]))
-    hits = ann.search(corpus, cells, td.vector_questions(spark, sf_dir), k=S.BATCH_K, nprobe=2, min_rows=30,
-                      key_col="doc_id")
+    cells, stored, summary = _stored_cells(spark, sf_dir)
+    spec = FL.FilterSpec(language=["en", "fr"])
+    hits = ann.search(FL.apply_filter(stored, spec), cells, td.vector_questions(spark, sf_dir), k=S.BATCH_K, nprobe=2,
+                      min_rows=30, key_col="doc_id", held=ann.held_rows(FL.apply_filter(summary, spec)))
     return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -383,9 +409,9 @@ def q32_knn_ann_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     executors, questions meet their probed cells' rows in ``(cell, chunk, block)`` tiles."""
     from quarry.operators import ann
 
-    cells, stored = _stored_cells(spark, sf_dir)
+    cells, stored, summary = _stored_cells(spark, sf_dir)
     hits = ann.search(FL.exclude_comments(stored), cells, td.vector_questions(spark, sf_dir), k=S.BATCH_K, nprobe=3,
-                      key_col="doc_id", block_bytes=TILE_BUDGET)
+                      key_col="doc_id", block_bytes=TILE_BUDGET, held=ann.held_rows(FL.exclude_comments(summary)))
     return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -501,4 +527,55 @@ def q43_stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 "language_text")
 
 
+# -- exact search by bounds, candidate budget, hash tables -------------------------------
+
+def _ranked_hits(hits: DataFrame) -> DataFrame:
+    return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def q44_knn_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q11 over a stored corpus whose cells are visited in order of their bounds."""
+    return _ranked_hits(bounded_hits(spark, sf_dir).hits)
+
+
+def _coded(spark: SparkSession, sf_dir: str):
+    """Posts with a vector, codes stored beside the vectors."""
+    posts = _posts(spark, sf_dir, "doc_id", "type", "embedding")
+    books = budget.fit(posts, key_col="doc_id")
+    path = scratch(spark, "codes")
+    budget.encode(posts, books).write.parquet(path)
+    return FL.exclude_comments(spark.read.parquet(path)), books
+
+
+def q45_knn_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q11 with the reference's budget of 10,000 candidates per question, which these
+    tables do not reach: the codes choose every row."""
+    coded, books = _coded(spark, sf_dir)
+    return _ranked_hits(budget.search(coded, books, td.vector_questions(spark, sf_dir), k=S.BATCH_K, key_col="doc_id"))
+
+
+def q46_budget_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A budget of a third of the corpus, against the exact hits of the questions whose
+    id 50 divides: their number, and whether nine tenths of the hits are found."""
+    coded, books = _coded(spark, sf_dir)
+    asked = td.vector_questions(spark, sf_dir).where(F.col("question_id") % 50 == 0)
+    found = budget.search(coded, books, asked, k=S.BATCH_K, num_candidates=coded.count() // 3, key_col="doc_id")
+    exact = shared_hits(spark, sf_dir).where(F.col("question_id") % 50 == 0)
+    both = exact.join(found.select("question_id", "doc_id", F.lit(1).alias("found")), ["question_id", "doc_id"], "left")
+    return both.agg(
+        F.countDistinct("question_id").alias("n_questions"),
+        (F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"),
+    )
+
+
+HASH_TABLES, HASH_BITS = 8, 4
+
+
+def q47_knn_hash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch search among the rows that share a bucket of a projection table."""
+    corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
+    return _ranked_hits(lsh.search(corpus, td.vector_questions(spark, sf_dir), k=S.BATCH_K, tables=HASH_TABLES,
+                                   bits=HASH_BITS, key_col="doc_id", block_bytes=TILE_BUDGET))
+
+
 QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]

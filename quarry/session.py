@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -73,3 +74,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
     spark.sparkContext.setLogLevel("ERROR")
     ship_package()
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str = "stage", path: str | None = None):
+    """``df`` as a Parquet table in the shared folder, read back: cuts the lineage, and
+    survives the loss of any executor."""
+    path = path or scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
