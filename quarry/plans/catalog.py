@@ -162,7 +162,7 @@ def bounded_hits(spark: SparkSession, sf_dir: str):
     """The batch search over units stored for it, rows scored by question included."""
     corpus = FL.exclude_comments(_posts(spark, sf_dir, "doc_id", "type", "embedding"))
     path = scratch(spark, "units")
-    bounded.store(corpus, path, n_cells=16, rings=2, key_col="doc_id")
+    bounded.store(corpus, path, n_cells=8, rings=1, key_col="doc_id")
     stored, units = bounded.read(spark, path)
     return bounded.search(stored, units, td.vector_questions(spark, sf_dir), k=S.BATCH_K, key_col="doc_id")
 
