@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,3 +117,28 @@ def shares(dist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return dist.join(F.broadcast(totals), "dimension").withColumn(
         "share", F.col("count") / F.col("_total")
     ).drop("_total")
+
+
+def sketch_terms(df: DataFrame, fields: Sequence[str], by: Sequence[str] = ("index_name",), max_items: int = 1000) -> DataFrame:
+    """``<by>, field, sketch, n``: a frequent-items sketch of every field's values per group,
+    small and mergeable, to be stored beside the corpus. ``n`` counts the values."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    rows = df.select(*by, F.inline(pairs)).where(F.col("value").isNotNull())
+    return rows.groupBy(*by, "field").agg(
+        F.expr(f"approx_top_k_accumulate(value, {max_items})").alias("sketch"), F.count("*").alias("n")
+    )
+
+
+def sketched_terms(sketches: DataFrame, k: int, max_items: int = 1000) -> DataFrame:
+    """``field, value, count, error`` of the ``k`` most frequent values over a selection of
+    sketches: the posts are not read. An estimate is off by ``error`` at most, 3.5 / size
+    of the sketch's table of all values counted; 0 where no value had to give way."""
+    size = 1 << max(0, math.ceil(math.log2(max_items / 0.75)))
+    merged = sketches.groupBy("field").agg(
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {max_items}), {k})").alias("top"), F.sum("n").alias("n")
+    )
+    error = F.when(F.col("exact"), F.lit(0).cast("long")).otherwise(F.ceil(F.col("n") * F.lit(3.5 / size)).cast("long"))
+    counted = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["count"])
+    # fewer values than asked for, and their counts are all there are: nothing gave way
+    merged = merged.withColumn("exact", (F.size("top") < k) & (counted == F.col("n")))
+    return merged.select("field", error.alias("error"), F.inline("top")).select("field", F.col("item").alias("value"), "count", "error")

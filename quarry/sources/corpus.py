@@ -10,9 +10,11 @@ by ``cell`` instead.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,3 +64,40 @@ def write_hits(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
 def write_context(packed: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Sink for packed contexts: one JSON line per question."""
     packed.write.mode(mode).json(path)
+
+
+def stored_indexes(spark: SparkSession, path: str, partition_by: str = "index_name") -> DataFrame:
+    """The index names of a stored corpus, from its directory listing: no file is opened."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    names = [s.getPath().getName() for s in listed if s.isDirectory()]
+    mark = f"{partition_by}="
+    found = sorted(unquote(n[len(mark) :]) for n in names if n.startswith(mark))
+    missing = "__HIVE_DEFAULT_PARTITION__"  # how Spark names the directory of null
+    return spark.createDataFrame([(None if n == missing else n,) for n in found], f"{partition_by} string")
+
+
+def write_sorted(df: DataFrame, path: str, order: Sequence[str | Column], fmt: str = "parquet", mode: str = "overwrite",
+                 num_tasks: int | None = None) -> None:
+    """Write ``df`` so that its files, one after the other, are in ``order``: range partitions,
+    sorted within. Rows that tie are spread by a hash, so that one hot value fills no task."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    n = num_tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys.append(F.xxhash64(*[c for c in df.columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]))
+    write_hits(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys), path, fmt, mode)
+
+
+def read_sorted(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """A table of :func:`write_sorted` (Parquet) with each row's place in the order, from 1. The
+    rows before a file come from one count per file; no row is sorted again."""
+    rows = spark.read.parquet(path)
+    file = F.col("_metadata.file_name")
+    sizes = rows.select(file.alias("f")).groupBy("f").count().collect()
+    base, total = [], 0
+    by_task = sorted(((r["f"], r["count"]) for r in sizes), key=lambda x: (int(re.match(r"part-(\d+)", x[0])[1]), x[0]))
+    for name, n in by_task:
+        base.append((name, total))
+        total += n
+    places = F.broadcast(spark.createDataFrame(base, "_file string, _base long"))  # one row per file
+    placed = rows.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row")).join(places, "_file")
+    return placed.withColumn(position, F.col("_base") + F.col("_row") + 1).drop("_file", "_base", "_row")

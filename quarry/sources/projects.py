@@ -15,8 +15,12 @@ def project_indexes(projects: DataFrame, project: str | None = None) -> DataFram
     return p.select("project", F.explode("indexes").alias("index_name"), "scheme")
 
 
-def selection_string(names: list[str]) -> str:
-    return ",".join(names)
+def project_posts(stored: DataFrame, projects: DataFrame, project: str) -> DataFrame:
+    """Posts of a project from a corpus stored by index. The project's rows are
+    configuration, so they are broadcast; Spark hands their index names to the scan as
+    a run-time partition filter, and directories of other indexes are not read."""
+    chosen = project_indexes(projects, project).select("project", "index_name")
+    return stored.join(F.broadcast(chosen), "index_name")
 
 
 def discover_indexes(index_names: DataFrame, selection: DataFrame, col: str = "index_name") -> DataFrame:

@@ -155,6 +155,23 @@ def _posts_view(spark: SparkSession, sf_dir: str, want: list[str]) -> DataFrame:
     return df.select(*[exprs[c].alias(c) for c in want])
 
 
+def dynamic_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts as raw documents, ``doc_id, index_name, source_doc variant``: each project's have
+    issue scores of their own, and a score that is missing has no field."""
+    df = posts(spark, sf_dir, ("doc_id", "index_name", "language_text", "issues"))
+    place = F.col("doc_id") % 6
+
+    def only(*places: int):
+        return lambda name, column: F.when(place.isin(*places), column).alias(name)
+
+    issues = F.struct(
+        only(0, 1, 4, 5)("quality", F.col("issues.quality")), only(0, 1, 4, 5)("toxic", F.col("issues.toxic")),
+        only(2, 3, 4, 5)("spread", F.col("issues.spread")), only(4, 5)("reach", F.col("issues.spread") * 2.0),
+    )
+    raw = F.to_json(F.struct(F.col("language_text").alias("lang"), issues.alias("issues")))
+    return df.select("doc_id", "index_name", F.parse_json(raw).alias("source_doc"))
+
+
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic tables (all topic indexes in one table with ``index_name``)."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
