@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections import Counter
+import itertools
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -23,6 +24,7 @@ from quarry.functions.vectors import arrow_vectors
 from quarry.session import ship_package
 
 ROWS = 1024  # texts encoded at a time: bounds the dense vectors a worker holds
+TOKENS = 1 << 18  # tokens counted together
 
 
 def token_hash(token: str) -> int:
@@ -39,22 +41,47 @@ class HashingEncoder:
 
         self.dim = dim
         self.sublinear = sublinear
-        self.hash = functools.lru_cache(1 << 16)(token_hash)
+        self.hash = functools.lru_cache(1 << 18)(token_hash)
         self.word = regex.compile(r"[\p{L}\p{N}_]+")
 
     def encode(self, texts: list[str | None]) -> np.ndarray:
-        """Holds the distinct tokens of one text, however long, not all its tokens."""
+        """Hashes the distinct tokens of about :data:`TOKENS` at a time, however long a text is."""
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        for row, text in zip(out, texts):
-            for token, n in Counter(m.group() for m in self.word.finditer((text or "").lower())).items():
-                h = self.hash(token)
-                row[h % self.dim] += -n if h >> 31 else n
+        tokens: list[str] = []
+        rows: list[int] = []
+        counts: list[int] = []
+        for row, text in enumerate(texts):
+            low = (text or "").lower()
+            if len(low) <= TOKENS:
+                found = [self.word.findall(low)]
+            else:
+                every = (m.group() for m in self.word.finditer(low))
+                found = iter(lambda: list(itertools.islice(every, TOKENS)), [])
+            for part in found:
+                tokens += part
+                rows.append(row)
+                counts.append(len(part))
+                if len(tokens) >= TOKENS:
+                    self._add(out, tokens, rows, counts)
+                    tokens, rows, counts = [], [], []
+        self._add(out, tokens, rows, counts)
         if self.sublinear:
             out = np.sign(out) * np.log1p(np.abs(out))
         n = np.linalg.norm(out, axis=1, keepdims=True)
         np.divide(out, n, out=out, where=n > 0)
         return out
 
+    def _add(self, out: np.ndarray, tokens: list[str], rows: list[int], counts: list[int]) -> None:
+        if not tokens:
+            return
+        coded = pa.array(tokens, pa.large_string()).dictionary_encode()
+        h = np.array([self.hash(t) for t in coded.dictionary.to_numpy(zero_copy_only=False)], np.int64)
+        at = coded.indices.to_numpy()
+        first, last = rows[0], rows[-1]
+        place = (np.repeat(rows, counts) - first) * self.dim + (h % self.dim)[at]
+        sums = np.bincount(place, np.where(h >> 31, -1.0, 1.0)[at], (last - first + 1) * self.dim)
+        out[first : last + 1] += sums.reshape(-1, self.dim)
+
 
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
            factory: Callable[[], object] | None = None, prompt: str = "") -> DataFrame:
@@ -72,8 +99,6 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
 
     def run(batches):
-        import pyarrow as pa
-
         model = fac()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):

@@ -9,20 +9,22 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quarry.functions.dates import default_window
+from quarry.functions.dates import check_window, default_window, parse_day
 from quarry.functions.indexes import py_topic_indexes
+from quarry.operators import encode as EN
 from quarry.operators import evalset as EV
 from quarry.operators import facets as FC
 from quarry.operators import filters as FL
 from quarry.operators import hits as H
 from quarry.operators import knn
 from quarry.operators import topics as TP
-from quarry.session import checkpoint_dir
+from quarry.session import checkpoint_dir, written
 
 
 @dataclass
@@ -34,6 +36,7 @@ class SearchRun:
     topics: DataFrame
     context: DataFrame  # question_id, context array<struct>, context_text
     prompts: DataFrame | None
+    totals: DataFrame  # question_id, n_hits, n_filtered: every question, hits or not
 
 
 def run_search(
@@ -50,19 +53,27 @@ def run_search(
     tasks: Mapping[str, str | None] | None = None,
     task: str | None = None,
     materialize: bool = True,
+    compare: bool = False,
 ) -> SearchRun:
     """Run the whole flow for every question in ``questions``.
 
     Missing dates fall back to the default window (last 14 days, clamped to
-    ``min_date``).  Category routing uses ``spec.scheme`` when set (one scheme
+    ``min_date``); dates that are given must lie between ``min_date`` and a year from
+    ``today``.  With ``compare`` posts without a category drop out, as when categories are
+    compared (the first level of the scheme).  Category routing uses ``spec.scheme`` when set (one scheme
     for the selection), otherwise each post's own index.  With ``materialize``
     the hits (which feed every output) are checkpointed once to the shared
     checkpoint folder, cutting the search lineage.
     """
+    today = today or dt.date.today()
     if spec.start_date is None or spec.end_date is None:
-        s, e = default_window(min_date, today or dt.date.today(), spec.start_date, spec.end_date)
+        s, e = default_window(min_date, today, spec.start_date, spec.end_date)
         spec = dataclasses.replace(spec, start_date=s, end_date=e)
+    else:
+        check_window(parse_day(spec.start_date), parse_day(spec.end_date), min_date, today)
     corpus = FL.apply_filter(FL.select_indexes(posts, selection), spec)
+    if compare:
+        corpus = _compared(corpus, spec)
     # hits come from the filtered corpus, so its payload (same pushed filters,
     # same partition pruning) is all the join needs to read
     payload = corpus.drop("embedding") if "embedding" in corpus.columns else corpus
@@ -91,4 +102,22 @@ def run_search(
         asked = question_texts.join(questions.select("question_id"), "question_id", "left_semi")
         prompts = EV.prompt_table(asked, packed.select("question_id", "context_text"),
                                   EV.template_for(tasks or {}, task))
-    return SearchRun(hits, table, dist, shares, enriched, packed, prompts)
+    totals = knn.hit_totals(hits, corpus, questions=questions)
+    return SearchRun(hits, table, dist, shares, enriched, packed, prompts, totals)
+
+
+def _compared(corpus: DataFrame, spec: FL.FilterSpec) -> DataFrame:
+    if spec.scheme is not None:
+        return FL.compare_mode(corpus, FL.category_value(spec.scheme))
+    leveled = spec.rules.leveled()
+    return FL.compare_mode(corpus, F.when(leveled, F.col(FL.CATEGORY_ONE)).otherwise(F.col(FL.CATEGORY)))
+
+
+def ask(posts: DataFrame, question_texts: DataFrame, spec: FL.FilterSpec, selection: Sequence[str],
+        prompt: str = "", factory: Callable[[], object] | None = None, task: str | None = None, **options) -> SearchRun:
+    """:func:`run_search` from question texts (``question_id, text``): they are encoded once,
+    after the ``prompt`` that the model expects, by the encoder that made the posts'
+    vectors, and fill the prompts of ``task``."""
+    encoded = EN.encode(question_texts.select("question_id", "text"), "text", "embedding", factory, prompt)
+    questions = written(encoded.select("question_id", "embedding"), "questions")
+    return run_search(posts, questions, spec, selection, question_texts=question_texts, task=task, **options)

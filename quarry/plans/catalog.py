@@ -26,7 +26,7 @@ from quarry.operators import knn
 from quarry.operators import ranking as RK
 from quarry.operators import topics as TP
 from quarry.plans import scenario as S
-from quarry.session import checkpoint_dir, scratch
+from quarry.session import checkpoint_dir, scratch, written
 from quarry.sources import corpus as CO
 from quarry.sources import dynamic as DY
 from quarry.sources import projects as PJ
@@ -351,7 +351,8 @@ def q27_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.operators import encode as EN
 
     corpus = EN.encode(_posts(spark, sf_dir, "doc_id", "text"), "text", "vec")
-    questions = EN.encode(td.text_questions(spark, sf_dir), "text", "qvec", prompt=QUESTION_PROMPT)
+    # written: the search looks at the questions twice, and they are encoded once
+    questions = written(EN.encode(td.text_questions(spark, sf_dir), "text", "qvec", prompt=QUESTION_PROMPT), "questions")
     hits = knn.search(corpus, questions, k=S.BATCH_K, key_col="doc_id", vector_col="vec",
                       question_vector_col="qvec")
     return hits.select("question_id", "rank", "doc_id", F.round("score", 6).alias("score"))
@@ -642,4 +643,44 @@ def q53_sketched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n_values"), F.count_if(near).alias("n_within"), F.max(F.col("error") > 0).alias("estimated"))
 
 
+# -- the whole flow from question texts, in compare mode; full source ---------------------
+
+def q54_compared_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow in compare mode: hits and candidates of every question."""
+    from quarry.plans.answer import run_search
+
+    posts = _posts(spark, sf_dir, *HIT_SOURCE, "type", "embedding")
+    spec = FL.FilterSpec(start_date="2024-01-03", end_date="2024-01-24", rules=S.RULES)
+    run = run_search(posts, td.vector_questions(spark, sf_dir), spec, td.INDEX_NAMES, k=5, key_col="doc_id",
+                     min_date="2024-01-01", today=dt.date(2024, 1, 20), compare=True)
+    return run.totals.select("question_id", F.col("n_hits").cast("long"), F.col("n_filtered").cast("long"))
+
+
+def q55_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From question texts to hits in one call, over posts whose vectors the same encoder made."""
+    from quarry.operators import encode as EN
+    from quarry.plans.answer import ask
+
+    plain = _posts(spark, sf_dir, *HIT_SOURCE, "type")
+    posts = written(EN.encode(plain, "text", "embedding"), "encoded")
+    spec = FL.FilterSpec(start_date="2024-01-01", end_date="2024-01-31", language=["en", "es"], rules=S.RULES)
+    run = ask(posts, td.text_questions(spark, sf_dir), spec, td.INDEX_NAMES, prompt=QUESTION_PROMPT, k=5, key_col="doc_id",
+              min_date="2024-01-01", today=dt.date(2024, 1, 20))
+    return _ranked_hits(run.hits)
+
+
+def q56_full_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variant search of q10 with every field of the posts."""
+    spec = FL.FilterSpec(start_date="2024-01-01", end_date="2024-01-31", exclude_comments=False)
+    posts = FL.apply_filter(td.posts(spark, sf_dir), spec)
+    hits = knn.search(posts, _question(spark, sf_dir), k=min(S.VARIANT_SIZE, S.VARIANT_K), key_col="doc_id", attach_to=posts)
+    found = knn.with_threshold(hits, S.SCORE_THRESHOLD).withColumn("similarity_score", F.round("score", 6))
+    plain = [c for c in td.POST_COLUMNS if c not in ("misc", "issues", "topics", "embedding")]
+    return found.select(
+        *plain, "misc.category_one", "misc.category_two", *[F.col(f"issues.{i}").alias(f"issues_{i}") for i in ("quality", "toxic", "spread")],
+        F.when(F.col("topics").isNotNull(), F.size("topics")).alias("n_topics"), F.size("embedding").alias("n_dims"),
+        "similarity_score",
+    )
+
+
 QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]

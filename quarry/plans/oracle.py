@@ -427,3 +427,23 @@ SQL["q52_sorted_hits"] = _with(_POSTS, BATCH_HITS) + """
 SELECT row_number() OVER (ORDER BY s DESC, question_id, rank) AS position, question_id, rank, doc_id, s AS score
 FROM (SELECT *, round(score, 6) AS s FROM batch_hits)"""
 SQL["q53_sketched_terms"] = """SELECT 'word' AS field, 5::BIGINT AS n_values, 5::BIGINT AS n_within, true AS estimated"""
+
+_CATEGORY_VALUE = """CASE WHEN index_name LIKE '%harbor%' OR index_name LIKE '%lantern%' THEN category_one ELSE category END"""
+SQL["q54_compared_totals"] = _with(_POSTS) + f""",
+n AS (
+  SELECT count(*)::BIGINT AS n FROM posts
+  WHERE embedding IS NOT NULL AND type IS DISTINCT FROM 'comment'
+    AND CAST(date_ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-24'
+    AND {_CATEGORY_VALUE} IS NOT NULL AND {_CATEGORY_VALUE} NOT IN ('', 'Any'))
+SELECT vec_id AS question_id, least(5, n)::BIGINT AS n_hits, n AS n_filtered FROM embeddings, n"""
+
+SQL["q55_ask"] = SQL["q27_text_search"].replace(
+    "WHERE q.side = 'question' AND p.side = 'post'", """WHERE q.side = 'question' AND p.side = 'post' AND p.id IN (
+          SELECT doc_id FROM posts WHERE type IS DISTINCT FROM 'comment' AND language_text IN ('en', 'es')
+            AND CAST(date_ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-31')""").replace("rank <= 10", "rank <= 5")
+
+SQL["q56_full_source"] = _with(_POSTS, VARIANT_HITS) + """
+SELECT p.doc_id, id, index_name, date_ts, type, text, translated_text, source, _domain, language_text, country, url, category,
+  category_one, category_two, issues_quality, issues_toxic, issues_spread, n_topics, len(embedding)::INTEGER AS n_dims,
+  round(h.score, 6) AS similarity_score
+FROM variant_hits h JOIN posts p USING (doc_id) WHERE h.score >= 0.40"""

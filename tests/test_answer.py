@@ -46,3 +46,37 @@ def test_run_search_tile_path_equals_broadcast_path(spark, monkeypatch):
     monkeypatch.setattr(knn, "FAST_QUESTIONS", 4)
     tiled = hits()
     assert tiled == broadcast and len(broadcast[0]) == 200 and broadcast[1] == 40
+
+
+def test_dates_given_are_checked(spark):
+    import pytest
+
+    posts = td.posts(spark, SF_SMALL)
+    for start, end in (("2019-12-31", "2020-01-05"), ("2024-01-01", "2025-01-21")):
+        with pytest.raises(ValueError, match="outside"):
+            answer.run_search(posts, td.vector_questions(spark, SF_SMALL), FL.FilterSpec(start_date=start, end_date=end),
+                              S.ALL_INDEXES, today=dt.date(2024, 1, 20))
+
+
+def test_compare_mode_under_one_scheme_and_totals_without_hits(spark):
+    posts = td.posts(spark, SF_SMALL)
+    questions = td.vector_questions(spark, SF_SMALL).where(F.col("question_id") < 4)
+    spec = FL.FilterSpec(start_date="2024-01-01", end_date="2024-01-31", scheme="two_level", rules=S.RULES)
+    run = answer.run_search(posts, questions, spec, S.ALL_INDEXES, k=50, key_col="doc_id", compare=True)
+    rows = run.hits.select("misc.category_one").collect()
+    assert rows and all(r[0] for r in rows)
+    none = answer.run_search(posts, questions, FL.FilterSpec(start_date="2020-01-01", end_date="2020-01-02"), S.ALL_INDEXES, key_col="doc_id")
+    assert [(r["n_hits"], r["n_filtered"]) for r in none.totals.collect()] == [(0, 0)] * 4 and none.hit_table.count() == 0
+    assert none.context.count() == none.distributions.count() == 0
+
+
+def test_ask_fills_prompts_from_texts(spark):
+    from quarry.operators import encode as EN
+
+    posts = EN.encode(td.posts(spark, SF_SMALL, [c for c in td.POST_COLUMNS if c != "embedding"]), "text", "embedding").checkpoint()
+    texts = spark.createDataFrame([(1, "the of and"), (2, None)], "question_id long, text string")
+    run = answer.ask(posts, texts, FL.FilterSpec(start_date="2024-01-01", end_date="2024-01-31"), S.ALL_INDEXES,
+                     task="other", k=3, key_col="doc_id", prompt="query: ")
+    prompts = {r["question_id"]: r["prompt"] for r in run.prompts.collect()}
+    assert set(prompts) == {1, 2} and "the of and" in prompts[1]
+    assert run.hits.where("question_id = 1").count() == 3
