@@ -683,4 +683,26 @@ def q56_full_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -- facets that expire ---------------------------------------------------------------------
+
+def q57_facet_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and source values of three deliveries, an hour apart and each with sources of its
+    own: those of the last hour are live. Superseded changes are retired before the last."""
+    from quarry.streaming import facet_refresh as FR
+
+    part = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(3))
+    minutes = part * 60 + F.coalesce(F.pmod("doc_id", F.lit(60)), F.lit(0))
+    docs = td.table(spark, sf_dir, "documents").select(
+        "lang", "source", part.alias("delivery"),
+        F.timestamp_seconds(F.lit(1704067200) + minutes * 60).alias("at"),
+    )
+    root = scratch(spark, "expiring")
+    for i in range(3):
+        docs.where(F.col("delivery") == i).write.mode("append").parquet(f"{root}/landing")
+        FR.refresh_expiring(spark, f"{root}/landing/*.parquet", docs.schema, ["lang", "source"], "at", root)
+        if i == 1:
+            FR.retire(spark, root)
+    return FR.live(spark, root).select("field", "value", "count")
+
+
 QUERIES = [n for n in sorted(globals()) if n[:1] == "q" and n[1:3].isdigit()]

@@ -447,3 +447,18 @@ SELECT p.doc_id, id, index_name, date_ts, type, text, translated_text, source, _
   category_one, category_two, issues_quality, issues_toxic, issues_spread, n_topics, len(embedding)::INTEGER AS n_dims,
   round(h.score, 6) AS similarity_score
 FROM variant_hits h JOIN posts p USING (doc_id) WHERE h.score >= 0.40"""
+
+# CRC-32 of a source's name, byte by byte
+_CRC = """(SELECT source, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2),
+      lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295)::BIGINT AS c
+  FROM (SELECT DISTINCT source, hex(encode(coalesce(source, ''))) AS h FROM documents), (
+    SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+      lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t))"""
+SQL["q57_facet_expiry"] = f"""
+WITH crc AS {_CRC},
+d AS (SELECT d.lang, d.source, (c % 3) * 60 + coalesce(doc_id % 60, 0) AS m
+  FROM documents d JOIN crc ON crc.source IS NOT DISTINCT FROM d.source),
+v AS (SELECT m, 'lang' AS field, lang AS value FROM d UNION ALL SELECT m, 'source', source FROM d),
+b AS (SELECT m // 60 AS bucket, field, value, count(*) AS n, max(m) AS seen FROM v WHERE value IS NOT NULL GROUP BY ALL)
+SELECT field, value, sum(n)::BIGINT AS count FROM b WHERE seen > (SELECT max(seen) FROM b) - 60 GROUP BY 1, 2"""

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators import ann, knn
@@ -98,3 +99,28 @@ def test_probes_chunked_and_members(spark, monkeypatch):
     rows = ann.assign_probes(qdf, cells, 5).collect()
     assert len(rows) == 1500
     assert {(r.question_id, r.cell) for r in rows} == {(j, int(c)) for j in range(300) for c in pr[j]}
+
+
+def test_facet_values_expire_and_changes_are_retired(spark, tmp_path):
+    import datetime as dt
+
+    from quarry.streaming import facet_refresh as FR
+
+    schema = "v string, at timestamp"
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    root = str(tmp_path)
+
+    def deliver(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{root}/landing")
+        out = FR.refresh_expiring(spark, f"{root}/landing/*.parquet", spark.createDataFrame([], schema).schema, ["v"], "at", root)
+        return {r["value"]: r["count"] for r in out.collect()}
+
+    assert deliver([("old", at(8, 5)), ("both", at(8, 50)), (None, at(8, 51))]) == {"old": 1, "both": 1}
+    assert deliver([("both", at(9, 20)), ("new", at(9, 21))]) == {"both": 2, "new": 1}  # 8:05 is past, 8:50 is not
+    newest = spark.read.parquet(f"{root}/changes").agg(F.max("epoch")).first()[0]
+    changed = spark.read.parquet(f"{root}/changes").where(f"epoch >= {newest - 1}").where("value = 'old'").count()
+    assert changed == 0  # a refresh writes what it changed
+    assert FR.retire(spark, root) == 3 and spark.read.parquet(f"{root}/changes").select("epoch").distinct().count() == 1
+    assert {r["value"]: r["count"] for r in FR.live(spark, root).collect()} == {"both": 2, "new": 1}
+    assert deliver([("new", at(10, 30)), ("late", at(8, 10))]) == {"new": 1}  # its bucket has ended: not counted
+    assert deliver([("new", at(10, 40))]) == {"new": 2}
