@@ -13,7 +13,9 @@ of their combinations: a table bounded by the number of codes, whatever the inpu
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -151,15 +153,22 @@ def _scan(batches):
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             text = text.as_py() or ""
             good, bad = strict_spans(text)
-            taken = [(s, e) for _, s, e in good]
+            taken = sorted((s, e) for _, s, e in good)
+            starts = [s for s, _ in taken]
+            reach = list(accumulate((e for _, e in taken), max))  # greatest end of the first spans
+
+            def meets(s, e, starts=starts, reach=reach):
+                before = bisect_left(starts, e)
+                return before > 0 and reach[before - 1] > s
+
             more = [(*x, 0) for x in bad] + [(*x, 2) for x in loose_spans(text)]
             spans = [(kinds[k], s, e, *_codes(text, k, s, e, 1), True) for k, s, e in good]
             spans += [
                 (kinds[k], s, e, *_codes(text, k, s, e, strict), False)
                 for k, s, e, strict in more
-                if not any(s < b and a < e for a, b in taken)
+                if not meets(s, e)
             ]
-            count = [sum(x[0] == i for x in spans if x[5]) for i in range(4)]
+            count = [sum(k == kind for k, _, _ in good) for kind in KINDS]
             base = ",".join(f"{k}:{s}:{e}" for k, s, e in good)
             rows.append((doc_id, *count, sha256(base.encode()).hexdigest(), [
                 {"kind": a, "start": b, "end": c, "votes": v, "features": f, "strict": t} for a, b, c, v, f, t in spans

@@ -27,6 +27,7 @@ LEAST = 5  # words of a tile
 COVERAGE = 0.5
 ITEM_BLOCK = 16 << 20  # bytes of item texts broadcast at a time
 SEED_SPAN = 1 << 16  # document windows compared at a time
+MATCHES = 1 << 20  # and matches of theirs, or one window's
 _MARKS = 1 << 20
 
 
@@ -39,25 +40,7 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = LEAST) -> tuple[int, in
     if not least or len(doc) < least:
         return 0, 0
     ours, theirs = _rolling(doc, least), _rolling(item, least)
-    order = np.argsort(theirs, kind="stable")
-    keys = theirs[order]
-    runs: list[tuple[int, int, int]] = []
-    # a block's windows overlap the next one's by an item, so no run is cut short
-    for at in range(0, len(ours), SEED_SPAN):
-        part = ours[at : at + SEED_SPAN + len(item)]
-        lo, hi = np.searchsorted(keys, part, "left"), np.searchsorted(keys, part, "right")
-        n = hi - lo
-        i = np.repeat(np.arange(len(part)), n) + at
-        j = order[np.repeat(lo, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
-        if not len(i):
-            continue
-        by = np.lexsort((j, i - j))
-        i, j = i[by], j[by]
-        first = np.ones(len(i), bool)
-        first[1:] = (np.diff(i) != 1) | (np.diff(j) != 1)
-        cuts = np.flatnonzero(first)
-        size = np.diff(np.r_[cuts, len(i)]) + least - 1
-        runs.extend(zip((-size).tolist(), j[cuts].tolist(), i[cuts].tolist()))
+    runs = _runs(ours, theirs, least)
     heapq.heapify(runs)
     free_doc, free_item = {}, np.ones(len(item), bool)
     tiles = 0
@@ -80,6 +63,38 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int = LEAST) -> tuple[int, in
     return int((~free_item).sum()), tiles
 
 
+def _runs(ours: np.ndarray, theirs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """``(-words, item place, document place)`` of the longest common runs.
+
+    Matching windows are looked at in chunks of about :data:`MATCHES`; only the first and the
+    last match of a run are kept, and those pair up along each diagonal. So memory grows
+    with the runs, not with the matches of repeated words."""
+    order = np.argsort(theirs, kind="stable")
+    keys = theirs[order]
+    first, last = [], []
+    for at in range(0, len(ours), SEED_SPAN):
+        part = ours[at : at + SEED_SPAN]
+        lo = np.searchsorted(keys, part, "left")
+        n = np.searchsorted(keys, part, "right") - lo
+        chunk = np.cumsum(n) // MATCHES
+        for c in np.flatnonzero(np.bincount(chunk)).tolist():
+            a, b = np.searchsorted(chunk, [c, c + 1])
+            size = n[a:b]
+            i = np.repeat(np.arange(a, b), size) + at
+            j = order[np.repeat(lo[a:b], size) + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)]
+            begins = (i == 0) | (j == 0) | (ours[i - 1] != theirs[j - 1])
+            ends = (i == len(ours) - 1) | (j == len(theirs) - 1)
+            ends[~ends] = ours[i[~ends] + 1] != theirs[j[~ends] + 1]
+            first.append((i[begins], j[begins]))
+            last.append((i[ends], j[ends]))
+    if not first:
+        return []
+    (i, j), (k, m) = (tuple(np.concatenate(x) for x in zip(*part)) for part in (first, last))
+    by, to = np.lexsort((j, i - j)), np.lexsort((m, k - m))
+    size = k[to] - i[by] + least
+    return list(zip((-size).tolist(), j[by].tolist(), i[by].tolist()))
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return W.batch_words(pc.utf8_lower(texts), W.LETTERS)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -83,6 +84,16 @@ def _named_aside(tag: str, attributes: str, within: _Node) -> bool:
 def parse(html: str) -> _Node:
     """The DOM without what is never content. Items of a node are nodes and strings."""
     root = node = _Node("body", None)
+    open_tags: Counter[str] = Counter()  # of the elements from the body down to ``node``, without it
+
+    def leave(last: _Node) -> _Node:
+        """Close all elements up to ``last``; the element it is in."""
+        here = node
+        while here is not last.up:
+            open_tags[here.tag] -= 1
+            here = here.up
+        return here
+
     at = 0
     while at < len(html):
         m = _TAG.search(html, at)
@@ -102,31 +113,31 @@ def parse(html: str) -> _Node:
             at = gt + 1 if gt >= 0 else len(html)
             continue
         if tag in ("html", "body"):
-            up = node
-            while up is not None and up.tag != "head":
-                up = up.up
-            if up is not None and tag == "body":
-                node = up.up
+            if tag == "body" and open_tags["head"]:
+                up = node
+                while up.tag != "head":
+                    up = up.up
+                node = leave(up)
             continue
         if close:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.up
-            if up is not None and up.up is not None:
-                node = up.up
+            if open_tags[tag]:  # else it closes nothing
+                up = node
+                while up.tag != tag:
+                    up = up.up
+                node = leave(up)
             continue
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and open_tags["p"]:
             up = node
             while up is not None and up.tag not in ("p", "td", "th", "button"):
                 up = up.up
             if up is not None and up.tag == "p":
-                node = up.up
-        if tag in _SELF_CLOSING:
+                node = leave(up)
+        if tag in _SELF_CLOSING and open_tags[tag]:
             up = node
             while up.up is not None and up.tag != tag and up.tag not in _SELF_CLOSING[tag]:
                 up = up.up
             if up.tag == tag:
-                node = up.up
+                node = leave(up)
         if tag in _VOID or attributes.endswith("/"):
             if tag not in _DROP and not node.gone:
                 node.items.append(_Node(tag, node))
@@ -136,6 +147,7 @@ def parse(html: str) -> _Node:
         if not gone:
             node.items.append(child)
         node = child
+        open_tags[tag] += 1
     return root
 
 
