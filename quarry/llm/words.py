@@ -50,8 +50,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _chunk_words(chars: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each word, its hash) in one chunk; ``breaks``: text starts in it."""
+def _chunk_words(chars: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each word, its sum before mixing, its length) in one chunk; ``breaks``: text
+    starts in it."""
     solid = chars != 0
     starts = solid.copy()
     starts[1:] &= ~solid[:-1]
@@ -61,19 +62,21 @@ def _chunk_words(chars: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.
     inner = breaks[breaks > 0]
     ends[inner - 1] = solid[inner - 1]
     s = np.flatnonzero(starts)
-    e = np.flatnonzero(ends)
+    e = np.flatnonzero(ends) + 1
     up, down = _power_tables(len(chars) + 1)
     sums = np.empty(len(chars) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(chars * up[: len(chars)], out=sums[1:], dtype=np.uint64)
-    h = (sums[e + 1] - sums[s]) * down[s]
-    return s, mix(h + (e - s).astype(np.uint64))
+    return s, (sums[e] - sums[s]) * down[s], e - s
 
 
 def batch_words(texts: pa.Array, classes: np.ndarray = _CLASS) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts of a batch, in order, and the offset of each text's
     first word (``len(texts) + 1`` entries). A null text has no words. ``classes``
-    gives each byte's value, 0 between words."""
+    gives each byte's value, 0 between words.
+
+    Chunks have a fixed size. A word that a chunk's end cuts goes on in the next one: its
+    sum so far and its length are carried over, so no word, however long, is held."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -83,34 +86,34 @@ def batch_words(texts: pa.Array, classes: np.ndarray = _CLASS) -> tuple[np.ndarr
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     lo, hi = int(offsets[0]), int(offsets[-1])
     starts, hashes = [], []
-    at = lo
-    while at < hi:
+    opened: tuple[int, int, int] | None = None  # start, sum, length of a word that may go on
+    for at in range(lo, hi, _CHUNK):
         end = min(hi, at + _CHUNK)
-        if end < hi:
-            # cut at white space, else at a text's start, else take a longer chunk
-            while True:
-                tail = np.flatnonzero(classes[data[at:end]] == 0)
-                if len(tail):
-                    end = at + int(tail[-1]) + 1
-                    break
-                k = int(np.searchsorted(offsets, end, "right")) - 1
-                if offsets[k] > at:
-                    end = int(offsets[k])
-                    break
-                if end == hi:
-                    break
-                end = min(hi, at + 2 * (end - at))
-        chars = classes[data[at:end]]
         a, b = np.searchsorted(offsets, [at, end])
-        s, h = _chunk_words(chars, np.unique(offsets[a:b]) - at)
-        starts.append(s + at)
-        hashes.append(h)
-        at = end
+        first = np.unique(offsets[a:b]) - at
+        s, h, size = _chunk_words(classes[data[at:end]], first)
+        s = s + at
+        if opened is not None:
+            if len(s) and s[0] == at and not (len(first) and first[0] == 0):
+                h[0] = np.uint64((opened[1] + int(h[0]) * pow(int(_BASE), opened[2], 1 << 64)) % (1 << 64))
+                s[0], size[0] = opened[0], size[0] + opened[2]
+            else:
+                s, h, size = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(_closed(opened), (s, h, size)))
+            opened = None
+        if end < hi and len(s) and s[-1] + size[-1] == end:
+            opened = int(s[-1]), int(h[-1]), int(size[-1])
+            s, h, size = s[:-1], h[:-1], size[:-1]
+        starts.append(s)
+        hashes.append(mix(h + (size - 1).astype(np.uint64)))
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     return h, np.searchsorted(s, offsets)
 
 
+def _closed(word: tuple[int, int, int]) -> tuple[np.int64, np.uint64, np.int64]:
+    return np.int64(word[0]), np.uint64(word[1]), np.int64(word[2])
+
+
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the ``k``-word shingles in order; fewer words: the whole sequence."""
     n = len(words)
