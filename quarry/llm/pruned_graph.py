@@ -151,6 +151,9 @@ def _search(cosine: float, beam: int, slack: float):
         size = np.bincount(owner, minlength=len(ids))
         start = np.cumsum(size) - size
         members = np.flatnonzero(part)
+        if not len(members):  # a cluster that is nobody's closest: its nodes are searched from their own
+            none = pa.array([], pa.int64())
+            return pa.table({"a": none, "b": none})
         centre = x[members].mean(0)
         medoid = members[np.argmax(x[members] @ centre)]
         width = int(size.max(initial=0))

@@ -73,3 +73,13 @@ def test_a_long_word_is_not_held():
     h, at = words.batch_words(pa.array(["a" * (16 << 20), "a tail"]))
     assert len(h) == 3 and at.tolist() == [0, 1, 3] and tracemalloc.get_traced_memory()[1] < 150 << 20
     tracemalloc.stop()
+
+
+def test_a_cluster_without_members_of_its_own_has_nothing_to_search():
+    from quarry.llm import pruned_graph
+
+    table = pa.table({
+        "home": pa.array([False, False]), "node": pa.array([4, 9], pa.int64()),
+        "unit": pa.array([[1.0, 0.0], [1.0, 0.0]], pa.list_(pa.float64())), "near": pa.array([[9], [4]], pa.list_(pa.int64())),
+    })
+    assert pruned_graph._search(0.98, 8, 0.02)((0, 2, 1), table).num_rows == 0
