@@ -38,22 +38,35 @@ _DROP = frozenset(
     " menu dialog audio video title".split()
 )
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_PIECE = _TEXT | {"li", "dt", "dd", "caption", "figcaption", "summary"}
 OUTWEIGHS = 4  # a named element of so many times the greatest density sum elsewhere is the content
-# words in class, id or role that name something other than the article
+# words in class, id or role that name something other than the article, as the first or last word of a name
 _ELSEWHERE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr"
-    " notice alert popup modal overlay newsletter subscribe signup sidebar aside widget related recommended nav navbar"
-    " navigation menu breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments reply replies disqus"
-    " discussion share sharing social login search complementary contentinfo".split()
+    "ad ads adslot advert adverts advertisement advertising sponsor sponsored promo cookie cookies gdpr newsletter sidebar"
+    " aside related recommended trending nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar toolbar"
+    " comment comments reply replies disqus share sharing complementary contentinfo pagination copyright".split()
 )
+# words that do so only where no other word of the name speaks for the article
+_PERHAPS = frozenset(
+    "promotion banner consent notice alert popup modal overlay signup subscribe widget header discussion social login"
+    " search popular respond".split()
+)
+_LAYOUT = frozenset(
+    "list thread container wrapper wrap box section area left right top bottom inner outer block panel unit slot region"
+    " column col posts articles stories links items site main global primary secondary sticky fixed bar group row".split()
+)
+_MODIFIERS = frozenset("no not has have with without is hide show enable disable".split())  # of a layout: "has-sidebar"
+_READERS = frozenset("comment comments reply replies disqus related recommended".split())
+_RUN_ON = re.compile(r"sidebar|advert|adsby|sponsor|newsletter|breadcrumb|disqus|cookie|comments|commentlist|relatedp")
 
 
 class _Node:
-    __slots__ = ("tag", "up", "items", "c", "t", "lc", "lt", "density", "total", "gone", "aside", "inside")
+    __slots__ = ("tag", "up", "items", "c", "t", "lc", "lt", "density", "total", "gone", "aside", "readers", "inside")
 
-    def __init__(self, tag, up, gone=False, aside=False):
+    def __init__(self, tag, up, gone=False, named=frozenset()):
         self.tag, self.up, self.items = tag, up, []
-        self.gone, self.aside = gone, aside  # dropped; named as something other than the article
+        self.gone, self.aside = gone, bool(named)  # dropped; named as something other than the article
+        self.readers = not named.isdisjoint(_READERS)  # as comments, or as other articles
         self.inside = tag in ("article", "main") or (up is not None and up.inside)
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.total = 0.0
@@ -68,17 +81,36 @@ def _dropped(tag: str, attributes: str, within: _Node) -> bool:
     return tag not in ("article", "main") and bool(attributes) and _HIDDEN.search(attributes) is not None
 
 
-def _named_aside(tag: str, attributes: str, within: _Node) -> bool:
-    """Whether a whole name in class, id or role is made of words for something other
-    than the article. Headings and paragraphs of an article are its own."""
-    if not attributes or tag in ("article", "main") or (within.inside and tag in _TEXT):
-        return False
+def _words(name: str) -> list[str]:
+    """The words of a class, id or role that say what an element is."""
+    words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+    if not _MODIFIERS.isdisjoint(words):
+        return []
+    run_on = [_RUN_ON.match(w) for w in words]
+    words = [w if w in _ELSEWHERE or m is None else m.group() for w, m in zip(words, run_on)]
+    return [{"advert": "ads", "adsby": "ads", "commentlist": "comments", "relatedp": "related"}.get(w, w)
+            for w in words if w not in _LAYOUT]
+
+
+def _named(tag: str, attributes: str, within: _Node) -> frozenset:
+    """The words of a whole name in class, id or role that names something other than
+    the article; none for an element that may be content. Headings and paragraphs of an
+    article are its own unless nothing but such words names them; a declared article can
+    only be a comment, or another article that is recommended."""
+    if not attributes or tag == "main":
+        return frozenset()
     for m in _NAMES.finditer(attributes):
         for name in m.group(1).strip("\"'").split():
-            words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-            if words and all(w in _ELSEWHERE for w in words):
-                return True
-    return False
+            words = _words(name)
+            if not words:
+                continue
+            if within.inside and tag in _TEXT:
+                elsewhere = _ELSEWHERE.issuperset(words)
+            else:
+                elsewhere = words[0] in _ELSEWHERE or words[-1] in _ELSEWHERE or (_ELSEWHERE | _PERHAPS).issuperset(words)
+            if elsewhere and (tag != "article" or not _READERS.isdisjoint((words[0], words[-1]))):
+                return frozenset(words)
+    return frozenset()
 
 
 def parse(html: str) -> _Node:
@@ -143,7 +175,7 @@ def parse(html: str) -> _Node:
                 node.items.append(_Node(tag, node))
             continue
         gone = node.gone or _dropped(tag, attributes, node)
-        child = _Node(tag, node, gone, not gone and _named_aside(tag, attributes, node))
+        child = _Node(tag, node, gone, frozenset() if gone else _named(tag, attributes, node))
         if not gone:
             node.items.append(child)
         node = child
@@ -153,30 +185,38 @@ def parse(html: str) -> _Node:
 
 def content(root: _Node) -> list[_Node]:
     """Drop the elements that are named as something else than the article, and measure
-    what is left. Those that hold a declared article, or text that outweighs the rest of
-    the page, stay whatever their names say."""
+    what is left. Names lose against the page: text that outweighs the rest stays
+    whatever its names say, and so does the one declared article, unless an article or
+    main that no name speaks against has text. Comments and recommended articles stay
+    only where there is no other text."""
     nodes = measure(root)
-    named = [x for x in nodes if x.aside]
-    if not named:
+    if not any(x.aside for x in nodes):
         return nodes
-
-    def keep(x):
-        while x is not None:
-            x.aside = False
-            x = x.up
-
-    for x in nodes:
-        if x.tag in ("article", "main"):
-            keep(x)
     outside, within = [], []
+    readers: set[int] = set()  # elements in one that is named as comments or other articles
     for x in nodes:  # parents first
-        x.inside = x.aside or (x.up is not None and x.up.inside)
+        up = x.up
+        x.inside = x.aside or (up is not None and up.inside)
+        if (x.aside and x.readers) or (up is not None and id(up) in readers):
+            readers.add(id(x))
         (within if x.inside else outside).append(x)
-    best = max(within, key=lambda x: x.total, default=None)
     # a density that named elements give to their parent does not speak for the parent
-    own = max(x.total - sum(i.density for i in x.items if isinstance(i, _Node) and i.aside) for x in outside)
-    if best is not None and best.total > OUTWEIGHS * own:
-        keep(best)
+    own = max((x.total - sum(i.density for i in x.items if isinstance(i, _Node) and i.aside) for x in outside), default=0.0)
+    own = max(own, max((x.density for x in outside if x.tag in _TEXT), default=0.0))
+    text = any(i.strip() for x in outside for i in x.items if isinstance(i, str))
+    held = {id(x) for x in within if x.tag == "main"}
+    articles = [x for x in within if x.tag == "article" and id(x) not in readers]
+    if not any(x.tag in ("article", "main") and x.c for x in outside):
+        if len(articles) == 1:
+            held.add(id(articles[0]))
+        best = max((x for x in within if not text or id(x) not in readers), key=lambda x: x.total, default=None)
+        if best is not None and best.total > OUTWEIGHS * own:
+            held.add(id(best))
+    for x in reversed(nodes):  # children first
+        if id(x) in held:
+            x.aside = False
+            if x.up is not None:
+                held.add(id(x.up))
     for x in nodes:
         x.items = [i for i in x.items if isinstance(i, str) or not i.aside]
         x.c = x.t = x.lc = x.lt = 0
@@ -242,28 +282,54 @@ def _blocks(root: _Node) -> str:
     return " ".join(blocks)
 
 
+def _stays(x: _Node, threshold: float, mixed: bool, article: bool, before: bool) -> bool:
+    """Whether an element beside the path is content. Its density decides; below the
+    threshold stay parts of running text (``mixed``), a heading before the content, and
+    in a declared article all that is not mostly links."""
+    if not x.c or (mixed and x.tag not in _BLOCK) or x.density >= threshold:
+        return True
+    if article:
+        return 2 * x.lc <= x.c
+    return before and x.tag in _TEXT and x.tag[0] == "h" and not x.lc
+
+
 def main_text(html: str | None) -> str:
-    """The article's text, blocks joined by one space; empty for a page without."""
+    """The article's text, blocks joined by one space; empty for a page without.
+
+    The path leads from the body to the node of the greatest density sum. At every
+    level of it the elements beside the path stay if their density reaches the least
+    one on the path. A declared article or main on the path breaks ties: what lies
+    outside it stays only if it is an article too."""
     root = parse(html or "")
     nodes = content(root)
     if not root.c:
         return ""
-    best = max(nodes, key=lambda x: x.total)
+    # a paragraph or list item is a piece of content, not what holds it
+    best = max((x for x in nodes if x.tag in _BLOCK and x.tag not in _PIECE), key=lambda x: x.total)
     path = [best]
     while path[-1].up is not None:
         path.append(path[-1].up)
-    for x in path:  # a declared article on the way holds the content
-        if x.tag == "article":
-            return _blocks(x)
-    for x in path:
-        if x.tag == "main":
-            return _blocks(x)
-    threshold = min((x.density for x in path[:-1]), default=0.0)
-    kept = _Node("body", None)
-    for x in root.items:
-        if isinstance(x, str) or x.tag not in _BLOCK or x.density >= threshold or x in path:
-            kept.items.append(x)
-    return _blocks(kept)
+    path.reverse()
+    threshold = min(x.density for x in path)
+    declared = next((i for i in range(len(path) - 1, -1, -1) if path[i].tag == "article"), None)
+    if declared is None:
+        declared = next((i for i in range(len(path) - 1, -1, -1) if path[i].tag == "main"), 0)
+    article = False
+    for level, (x, child) in enumerate(zip(path, path[1:])):
+        article = article or x.tag == "article"
+        mixed = any(isinstance(i, str) and i.strip() for i in x.items)
+        kept, before = [], True
+        for i in x.items:
+            if i is child:
+                kept.append(i)
+                before = False
+            elif level < declared:
+                if not isinstance(i, str) and i.tag == "article" and i.density >= threshold:
+                    kept.append(i)
+            elif isinstance(i, str) or _stays(i, threshold, mixed, article, before):
+                kept.append(i)
+        x.items = kept
+    return _blocks(root)
 
 
 def extract(pages: DataFrame) -> DataFrame:
