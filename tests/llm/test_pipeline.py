@@ -77,7 +77,7 @@ def brute_clean(docs, items):
 
 
 def brute_mixed(docs):
-    """Margins raked with plain sums, and the multiplier found by bisection."""
+    """Probabilities at most 1 whose expected tokens meet every margin, one bisection a value."""
     for d in docs:
         n = len(d["text"])
         d["topic"] = "note" if n < 200 else "short" if n < 1500 else "article" if n < 6000 else "long"
@@ -85,29 +85,34 @@ def brute_mixed(docs):
     cells = Counter()
     for d in docs:
         cells[d["source"] or "(none)", d["lang"], d["topic"]] += d["tokens"]
-    total, fitted = sum(cells.values()), {c: float(n) for c, n in cells.items()}
+    budget = raking.KEEP * sum(cells.values())
     wanted = []
     for k in range(3):
         own = Counter()
         for c, n in cells.items():
             own[c[k]] += n
-        raised = {v: (n / total) ** raking.TEMPER for v, n in own.items()}
-        wanted.append({v: r / sum(raised.values()) * total for v, r in raised.items()})
-    for _ in range(raking.ROUNDS):
+        lo, hi = 0.0, 1e9  # the multiplier of the tempered shares, each at most what the value holds
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(n, mid * n**raking.TEMPER) for n in own.values()) < budget else (lo, mid)
+        wanted.append({v: min(n, hi * n**raking.TEMPER) for v, n in own.items()})
+    q = {c: raking.KEEP for c in cells}
+    for _ in range(60):
         for k in range(3):
-            have = Counter()
-            for c, x in fitted.items():
-                have[c[k]] += x
-            fitted = {c: x * wanted[k][c[k]] / have[c[k]] for c, x in fitted.items()}
-    weight = {c: fitted[c] / cells[c] for c in cells}
-    lo, hi = 0.0, 1 / min(weight.values())
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if sum(cells[c] * min(1, mid * weight[c]) for c in cells) < raking.KEEP * total else (lo, mid)
+            for v, want in wanted[k].items():
+                of = [c for c in cells if c[k] == v and cells[c]]
+                if not of:
+                    continue
+                lo, hi = 0.0, 1e9
+                for _ in range(100):
+                    mid = (lo + hi) / 2
+                    lo, hi = (mid, hi) if sum(cells[c] * min(1, mid * q[c]) for c in of) < want else (lo, mid)
+                for c in of:
+                    q[c] *= hi if hi < 1e8 else 1.0
     out = []
     for d in docs:
         draw = (int(hashlib.md5(f"mix/{d['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
-        if draw < min(1, hi * weight[d["source"] or "(none)", d["lang"], d["topic"]]):
+        if draw < min(1, q[d["source"] or "(none)", d["lang"], d["topic"]]):
             out.append(d)
     return out
 
