@@ -183,10 +183,16 @@ def question_keys(q: np.ndarray, b: Batch, metric: str) -> np.ndarray:
     return g
 
 
-def topk_block(x, q: np.ndarray, k: int, metric: str):
+POOL = 4  # times k: rows per question that pass known limits before the block's own k-th key is sought
+
+
+def topk_block(x, q: np.ndarray, k: int, metric: str, limit: np.ndarray | None = None,
+               allowed: np.ndarray | None = None):
     """For each question (row of ``q``), indices into the batch ``x`` (an
     array or a prepared :class:`Batch`) of a candidate pool that surely
-    contains its k nearest rows, with exact float64 keys.
+    contains its k nearest rows, with exact float64 keys. With ``limit`` (a distance
+    for each question, such as its k-th so far) rows beyond it may be left out; with
+    ``allowed`` (questions x rows) only those rows count.
 
     Returns (row_idx, question_idx, exact_key) flat arrays. A row with a NaN,
     null or infinite component, and under cosine a zero row, is nobody's
@@ -197,18 +203,28 @@ def topk_block(x, q: np.ndarray, k: int, metric: str):
     ok = b.comparable(metric)
     if not ok.all():
         at = np.flatnonzero(ok)
-        rows, cols, keys = topk_block(b.x[at], q, k, metric)
+        rows, cols, keys = topk_block(b.x[at], q, k, metric, limit, None if allowed is None else allowed[:, at])
         return at[rows], cols, keys
     n = b.x.shape[0]
     if n == 0 or q.shape[0] == 0:
         e = np.zeros(0, dtype=np.int64)
         return e, e, np.zeros(0)
     approx = question_keys(q, b, metric)  # (m, n) float32
-    kk = min(k, n)
-    kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1].astype(np.float64)
-    bound = (kth + key_margin(b, q, metric)).astype(np.float32)
-    bound = np.nextafter(bound, np.float32(np.inf))  # round the float32 bound up
-    cols, rows = np.nonzero(approx <= bound[:, None])
+    if allowed is not None:
+        approx[~allowed] = np.inf
+    margin = key_margin(b, q, metric)
+
+    def within(most: np.ndarray) -> np.ndarray:
+        # the bound is rounded up to float32
+        passing = approx <= np.nextafter((most + margin).astype(np.float32), np.float32(np.inf))[:, None]
+        return passing if allowed is None else passing & allowed
+
+    near = within(limit) if limit is not None and np.isfinite(limit).all() else None
+    if near is None or np.count_nonzero(near) > POOL * k * len(q):
+        kk = min(k, n)
+        kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1].astype(np.float64)
+        near = within(kth if limit is None else np.minimum(kth, limit))
+    cols, rows = np.nonzero(near)
     keys = np.empty(len(rows))
     step = max(1, 4_000_000 // max(1, b.x.shape[1]))
     for s in range(0, len(rows), step):

@@ -65,6 +65,17 @@ def _partition_topk(state, qid: np.ndarray, key: np.ndarray, dist: np.ndarray, k
     return qid, key, dist
 
 
+def _limits(state, sid: np.ndarray, k: int) -> np.ndarray | None:
+    """Each question's k-th distance in a running top-k, infinite while it has fewer rows."""
+    if state is None or not len(state[0]):
+        return None
+    last = np.flatnonzero(np.r_[state[0][1:] != state[0][:-1], True])
+    full = np.diff(np.r_[-1, last]) >= k
+    held = state[0][last]
+    at = np.minimum(np.searchsorted(held, sid), len(held) - 1)
+    return np.where((held[at] == sid) & full[at], state[2][last][at], np.inf)
+
+
 def question_slices(qids: np.ndarray, qmat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Questions cut into :data:`QUESTION_CHUNK`-row slices scored together."""
     return [(qids[s : s + QUESTION_CHUNK], qmat[s : s + QUESTION_CHUNK]) for s in range(0, len(qids), QUESTION_CHUNK)]
@@ -79,7 +90,9 @@ def score_block(states: list | None, x, keys, slices, k, metric) -> list:
         b = V.Batch(x[r0 : r0 + SCAN_ROWS])  # float32 copy and norms once per sub-block
         kb = keys[r0 : r0 + SCAN_ROWS]
         for j, (sid, smat) in enumerate(slices):
-            rows, cols, d = V.topk_block(b, smat, k, metric)
+            rows, cols, d = V.topk_block(b, smat, k, metric, _limits(states[j], sid, k))
+            if not len(rows) and states[j] is not None:
+                continue
             states[j] = _partition_topk(states[j], sid[cols], kb[rows], d, k)
     return states
 

@@ -187,3 +187,26 @@ def test_cap_above_optimizer_threshold_gets_partial_step(spark):
         assert sorted(res.collect()) == want and len(want) == 15
     finally:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+
+
+def test_rows_beyond_the_kth_distance_so_far_are_not_scored_again():
+    from quarry.functions import vectors as V
+    from quarry.operators import knn as K
+
+    rng = np.random.default_rng(11)
+    x, q, k = rng.normal(size=(6000, 8)), rng.normal(size=(30, 8)), 5
+    x[4000:4100] = x[:100]  # ties with rows seen before, and smaller keys after them
+    keys = np.r_[np.arange(10_000, 14_000), np.arange(2_000)]
+    slices = K.question_slices(np.arange(30), q)
+    states = K.score_block(None, x[:4000], keys[:4000], slices, k, "l2")
+    limit = K._limits(states[0], np.arange(30), k)
+    assert np.allclose(limit, np.sort(((x[:4000, None] - q[None]) ** 2).sum(axis=2), axis=0)[k - 1])
+    rows, _, _ = V.topk_block(x[4000:], q, k, "l2", limit)
+    assert len(rows) < len(V.topk_block(x[4000:], q, k, "l2")[0])
+    states = K.score_block(states, x[4000:], keys[4000:], slices, k, "l2")
+    d = ((x[None] - q[:, None]) ** 2).sum(axis=2)
+    want = [(i, keys[r]) for i in range(30) for r in np.lexsort((keys, d[i].round(12)))[:k]]
+    assert list(zip(states[0][0], states[0][1])) == want
+    allowed = rng.random((30, 6000)) < 0.01
+    rows, cols, _ = V.topk_block(x, q, k, "l2", None, allowed)
+    assert allowed[cols, rows].all() and np.bincount(cols, minlength=30).min() >= k
