@@ -7,6 +7,9 @@ Corpus rows and questions are cut into *tiles* keyed by
   exact search).  A question appears once per probed cell.
 * each cell's questions are hashed into ``t`` blocks that fit the tile byte
   budget (a block is held in memory), and its corpus rows into ``s`` chunks.
+  Every block is another copy of the cell's rows: a budget that asks for more
+  than :data:`COPIES` of them is raised, up to :data:`BLOCK_BYTES`, so that the
+  copies do not grow with the questions.
   Chunks are *streamed*, so their count follows parallelism (about two tiles
   per task slot, a cell's share following its rows) and a cap on rows per
   task, not memory.  ``s`` and ``t`` come from one count per cell (a table with
@@ -42,6 +45,8 @@ from pyspark.sql import types as T
 from quarry.functions import vectors as V
 
 DEFAULT_TILE_BYTES = 64 << 20  # float64 bytes of one question block held by a task
+BLOCK_BYTES = 16 << 20  # no block is larger, whatever the budget
+COPIES = 16  # blocks of a cell up to which the budget holds; beyond, blocks grow up to BLOCK_BYTES
 MIN_CHUNK_ROWS = 256  # corpus chunks are not cut smaller than this for parallelism
 MAX_CHUNK_ROWS = 1 << 22  # rows of one corpus chunk per task (bounds task time and retry cost)
 TILE = "_tile"  # tiles of all cells, chunks and blocks, numbered without gaps
@@ -85,19 +90,21 @@ def plan_tiles(corpus_counts: dict[int, float], question_counts: dict[int, tuple
 
     ``corpus_counts`` may be estimates (they only size the chunks): a cell
     counted empty still gets one chunk, so no corpus row can be left out.
-    Question blocks stay within ``tile_bytes`` (width from the questions).
+    Question blocks stay within ``tile_bytes`` (width from the questions), unless
+    more than :data:`COPIES` were needed, and always within :data:`BLOCK_BYTES`.
     Corpus chunks are spread so that there are about ``min_tiles`` tiles
     (chunks x blocks) in all - a cell's share follows its rows, never below
     :data:`MIN_CHUNK_ROWS` rows per chunk - and no chunk exceeds
     ``max_chunk_rows`` (default :data:`MAX_CHUNK_ROWS`)."""
     max_chunk_rows = max_chunk_rows or MAX_CHUNK_ROWS
     d = max((dq for _, dq in question_counts.values()), default=1)
-    block_rows = max(1, tile_bytes // (8 * max(1, d)))
+    width = 8 * max(1, d)
+    asked, most = max(1, tile_bytes // width), max(1, BLOCK_BYTES // width)
     both = {c: (max(1.0, float(corpus_counts.get(c, 0))), m) for c, (m, _) in question_counts.items() if m}
     total = sum(n for n, _ in both.values())
     plan = {}
     for c, (n, m) in both.items():
-        t = math.ceil(m / block_rows)
+        t = math.ceil(m / min(most, max(asked, math.ceil(m / COPIES))))
         # the cell's share of the wanted tiles, over its question blocks: every
         # extra chunk copies all the cell's questions once more
         spread = min(math.ceil(min_tiles * n / total / t), math.ceil(n / MIN_CHUNK_ROWS))
@@ -128,6 +135,7 @@ def _kernel(k: int, metric: str, key_col: str):
                 if not qids:
                     return  # no question in this tile
                 slices = question_slices(np.concatenate(qids), np.vstack(qmats))
+                qids, qmats = [True], []  # held once, in the slices
             cb = b.filter(pa.array(~is_q))
             x = V.arrow_matrix(cb.column("_vec"))
             states = score_block(states, x, cb.column(key_col).to_numpy(zero_copy_only=False), slices, k, metric)

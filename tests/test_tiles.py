@@ -170,3 +170,12 @@ def test_tiles_are_dealt_by_dense_id_in_one_exchange(spark):
     ids = spark.range(1000).repartitionById(64, F.col("id").cast("int"))
     sizes = [r["count"] for r in ids.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 64 and max(sizes) - min(sizes) <= 1
+
+
+def test_the_copies_of_a_cell_do_not_grow_with_its_questions():
+    for m in (1_000, 100_000):  # a block of 10 questions asked for: 100 copies, and 10,000
+        (_, blocks), = tiles.plan_tiles({0: 1_000}, {0: (m, 8)}, 10 * 8 * 8).values()
+        assert blocks <= tiles.COPIES
+    # a large budget and many questions: no block above BLOCK_BYTES
+    (_, blocks), = tiles.plan_tiles({0: 1_000}, {0: (10_000_000, 64)}, 1 << 30).values()
+    assert 10_000_000 / blocks * 8 * 64 <= tiles.BLOCK_BYTES
