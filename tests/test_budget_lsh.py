@@ -103,3 +103,26 @@ def test_a_summary_plans_the_same_probes_without_the_rows(spark, tmp_path):
             for held in (None, ann.held_rows(summary.where("lang = 'fr'")))
         ]
         assert got[0] == got[1] and len(got[0]) == 40 * 20
+
+
+def test_the_search_ranks_its_candidates_without_listing_them(spark, tables, monkeypatch):
+    x, corpus, asked = tables
+    # large groups of equal codes: copies of every 50th vector, and keys in no order
+    y = np.vstack([x, np.repeat(x[::50], 20, axis=0)])
+    corpus = frame(spark, y).withColumn("id", F.pmod(F.col("id") * 7919, F.lit(4001))).cache()
+    books = budget.fit(corpus, parts=4)
+    coded = budget.encode(corpus, books)
+    q = np.array([r["embedding"] for r in asked.orderBy("question_id").collect()])
+    keys, d = np.arange(len(y)) * 7919 % 4001, code_distances(books, y, q)
+    assert d.shape[0] > 10
+    for num_candidates, border in ((35, 512), (35, 1), (700, 5)):
+        monkeypatch.setattr(budget, "BORDER", border)
+        want = []
+        for i in range(len(q)):
+            chosen = np.lexsort((keys, d[i]))[:num_candidates]
+            exact = ((y[chosen] - q[i]) ** 2).sum(axis=1)
+            want += [(i, r, int(keys[chosen[o]])) for r, o in enumerate(np.lexsort((keys[chosen], exact.round(12)))[:8], 1)]
+        hits = budget.search(coded, books, asked, k=8, num_candidates=num_candidates, block_bytes=30_000)
+        assert [t[:3] for t in triples(hits)] == sorted(want)
+        plan = hits._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan  # candidates are not written and joined back to their vectors
