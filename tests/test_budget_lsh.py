@@ -125,4 +125,9 @@ def test_the_search_ranks_its_candidates_without_listing_them(spark, tables, mon
         hits = budget.search(coded, books, asked, k=8, num_candidates=num_candidates, block_bytes=30_000)
         assert [t[:3] for t in triples(hits)] == sorted(want)
         plan = hits._jdf.queryExecution().optimizedPlan().toString()
-        assert "Join" not in plan  # candidates are not written and joined back to their vectors
+        assert "_qvec" not in plan.split("Aggregate")[0]  # candidates are not joined back to their vectors
+    # rows without a key take places of the budget and are no hits
+    holes = coded.withColumn("id", F.when(F.col("id") % 3 > 0, F.col("id")))
+    for num_candidates in (50, 5000):
+        hits = triples(budget.search(holes, books, asked.limit(3), k=8, num_candidates=num_candidates))
+        assert hits and all(t[2] % 3 > 0 for t in hits)
