@@ -148,6 +148,14 @@ class Batch:
         self.x32 = x.astype(np.float32)
         self.sq = np.einsum("ij,ij->i", x, x)
         self.norm_max = float(np.sqrt(self.sq.max())) if len(x) else 0.0
+        self._wide = None
+
+    def wide(self) -> np.ndarray:
+        """float32 rows with 1 and the squared norm behind: one matrix product gives the l2 keys."""
+        if self._wide is None:
+            one = np.ones(len(self.x), np.float32)
+            self._wide = np.column_stack([self.x32, one, self.sq.astype(np.float32)])
+        return self._wide
 
     def comparable(self, metric: str) -> np.ndarray:
         """Rows that have a distance: finite, and not zero under cosine."""
@@ -167,13 +175,13 @@ def key_margin(b: Batch, q: np.ndarray, metric: str) -> np.ndarray:
 
 def question_keys(q: np.ndarray, b: Batch, metric: str) -> np.ndarray:
     """(m, n) float32 approximate keys, one row per question (contiguous rows,
-    so the per-question selection runs along memory order); built in place."""
-    g = q.astype(np.float32) @ b.x32.T
+    so the per-question selection runs along memory order); built in place.
+    Under l2 the norms are two more dimensions of the product (its terms add up to
+    the key scale at most, so the margin holds)."""
     if metric == "l2":
-        g *= -2.0
-        g += np.einsum("ij,ij->i", q, q).astype(np.float32)[:, None]
-        g += b.sq.astype(np.float32)[None, :]
-        return g
+        sq = np.einsum("ij,ij->i", q, q)
+        return np.column_stack([-2.0 * q, sq, np.ones(len(q))]).astype(np.float32) @ b.wide().T
+    g = q.astype(np.float32) @ b.x32.T
     if metric == "cosine":
         g /= np.sqrt(np.einsum("ij,ij->i", q, q)).astype(np.float32)[:, None]
         g /= np.sqrt(b.sq).astype(np.float32)[None, :]
@@ -224,7 +232,7 @@ def topk_block(x, q: np.ndarray, k: int, metric: str, limit: np.ndarray | None =
         kk = min(k, n)
         kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1].astype(np.float64)
         near = within(kth if limit is None else np.minimum(kth, limit))
-    cols, rows = np.nonzero(near)
+    cols, rows = np.divmod(np.flatnonzero(near), n)  # several times faster than nonzero of two dimensions
     keys = np.empty(len(rows))
     step = max(1, 4_000_000 // max(1, b.x.shape[1]))
     for s in range(0, len(rows), step):
