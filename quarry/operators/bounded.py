@@ -4,7 +4,8 @@ The corpus is stored in *units*: every row belongs to its nearest centroid and,
 that cell, to a ring of distances from it. For a question at distance ``t`` of a centroid, no row of
 a ring from ``low`` to ``high`` is nearer than ``max(0, t - high, low - t)`` (the triangle
 inequality). A question visits its units in order of that bound, and is closed when its
-k-th distance is below the bound of the next unit: then no unvisited row can be a hit.
+k-th distance is below the bound of the next unit: then no unvisited row can be a hit. Rows
+beyond the k-th distance of the rounds before are neither kept nor sent on.
 
 Rounds. In the first a question visits units until they hold ``k`` rows, in each further
 one ``growth`` times as many as so far, but none beyond its k-th distance. A round is one
@@ -185,7 +186,15 @@ def next_units(units: Units, q: np.ndarray, visited: np.ndarray, limit: np.ndarr
     return np.concatenate(asked), np.concatenate(found)
 
 
+def _scale(metric: str) -> float:
+    """The distance key is d^2, and 1 - cos = d^2 / 2 of unit vectors."""
+    return 1.0 if metric == "l2" else 2.0
+
+
 def _probes(open_questions: DataFrame, units: Units, k: int, growth: int) -> DataFrame:
+    """``question_id, cell, n`` (rows of the unit) and ``limit``: the question's k-th distance key
+    so far, or infinite."""
+    scale = _scale(units.metric)
     shared = open_questions.sparkSession.sparkContext.broadcast(units)
 
     def run(batches):
@@ -198,11 +207,12 @@ def _probes(open_questions: DataFrame, units: Units, k: int, growth: int) -> Dat
             visited = b.column("_visited").to_numpy(zero_copy_only=False).astype(np.int64)
             at, unit = next_units(known, q, visited, limit, k, growth)
             yield pa.RecordBatch.from_arrays(
-                [b.column("question_id").take(pa.array(at)), pa.array(known.ids[unit].astype(np.int32)), pa.array(known.rows[unit])],
-                names=["question_id", "cell", "n"],
+                [b.column("question_id").take(pa.array(at)), pa.array(known.ids[unit].astype(np.int32)), pa.array(known.rows[unit]),
+                 pa.array(limit[at] ** 2 / scale)],
+                names=["question_id", "cell", "n", "limit"],
             )
 
-    return open_questions.mapInArrow(run, "question_id long, cell int, n long")
+    return open_questions.mapInArrow(run, "question_id long, cell int, n long, limit double")
 
 
 def search(stored: DataFrame, units: Units, questions: DataFrame, k: int = knn.DEFAULT_K, key_col: str = "id",
@@ -221,13 +231,12 @@ def search(stored: DataFrame, units: Units, questions: DataFrame, k: int = knn.D
         T.StructField("distance", T.DoubleType()),
     ])
     hits = spark.createDataFrame([], schema)
-    visits = spark.createDataFrame([], "question_id long, cell int, n long")
+    visits = spark.createDataFrame([], "question_id long, cell int, n long, limit double")
     counts = dict(zip(units.ids.tolist(), units.rows.tolist()))
     rounds = 0
     while len(units.ids):
         been = visits.groupBy("question_id").agg(F.count("*").alias("_visited"))
-        # the distance key is d^2, and 1 - cos = d^2 / 2 of unit vectors
-        scale = 1.0 if units.metric == "l2" else 2.0
+        scale = _scale(units.metric)
         limit = hits.groupBy("question_id").agg(
             F.when(F.count("*") >= k, F.sqrt(F.max("distance") * F.lit(scale)) * F.lit(1 + MARGIN) + F.lit(MARGIN))
             .alias("_limit")
@@ -244,7 +253,7 @@ def search(stored: DataFrame, units: Units, questions: DataFrame, k: int = knn.D
             corpus = corpus.where(F.col("cell").isin(wanted))
         found, _, chunks = tiles.search(
             corpus, now.drop("n").join(asked, "question_id"), k, units.metric, key_col, vector_col, "question_id", "_qvec",
-            cell_col="cell", tile_bytes=block_bytes, corpus_counts=counts,
+            cell_col="cell", tile_bytes=block_bytes, corpus_counts=counts, question_limit_col="limit",
         )
         best = knn.merge_topk(hits.unionByName(found), k, key_col, knn.merge_levels(chunks * len(wanted)))
         hits = written(best.drop("rank"), "hits")

@@ -81,16 +81,22 @@ def question_slices(qids: np.ndarray, qmat: np.ndarray) -> list[tuple[np.ndarray
     return [(qids[s : s + QUESTION_CHUNK], qmat[s : s + QUESTION_CHUNK]) for s in range(0, len(qids), QUESTION_CHUNK)]
 
 
-def score_block(states: list | None, x, keys, slices, k, metric) -> list:
+def _nearer(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+    return b if a is None else a if b is None else np.minimum(a, b)
+
+
+def score_block(states: list | None, x, keys, slices, k, metric, known: list | None = None) -> list:
     """Fold one corpus batch ``x`` (with ``keys``) into the running top-k of
     every question slice.  Each slice keeps its own state, so a merge sorts at
-    most ``QUESTION_CHUNK x k`` old rows however many questions there are."""
+    most ``QUESTION_CHUNK x k`` old rows however many questions there are.
+    ``known`` (for each slice, a distance for each question): rows beyond it may be left out."""
     states = states if states is not None else [None] * len(slices)
     for r0 in range(0, len(x), SCAN_ROWS):  # sub-blocks keep each key matrix cache-sized
         b = V.Batch(x[r0 : r0 + SCAN_ROWS])  # float32 copy and norms once per sub-block
         kb = keys[r0 : r0 + SCAN_ROWS]
         for j, (sid, smat) in enumerate(slices):
-            rows, cols, d = V.topk_block(b, smat, k, metric, _limits(states[j], sid, k))
+            limit = _nearer(_limits(states[j], sid, k), known[j] if known else None)
+            rows, cols, d = V.topk_block(b, smat, k, metric, limit)
             if not len(rows) and states[j] is not None:
                 continue
             states[j] = _partition_topk(states[j], sid[cols], kb[rows], d, k)

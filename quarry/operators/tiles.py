@@ -118,7 +118,8 @@ def _kernel(k: int, metric: str, key_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids: list[np.ndarray] = []
         qmats: list[np.ndarray] = []
-        slices = None
+        qlimits: list[np.ndarray] = []
+        slices = known = None
         states = None
         for b in batches:
             role = b.column("_role").to_numpy(zero_copy_only=False)
@@ -129,16 +130,21 @@ def _kernel(k: int, metric: str, key_col: str):
                 qb = b.filter(pa.array(is_q))
                 qids.append(qb.column("_qid").to_numpy(zero_copy_only=False).astype(np.int64))
                 qmats.append(V.arrow_matrix(qb.column("_qvec")))
+                if "_qlimit" in qb.schema.names:
+                    qlimits.append(qb.column("_qlimit").to_numpy(zero_copy_only=False))
             if is_q.all():
                 continue
             if slices is None:
                 if not qids:
                     return  # no question in this tile
                 slices = question_slices(np.concatenate(qids), np.vstack(qmats))
-                qids, qmats = [True], []  # held once, in the slices
+                if qlimits:
+                    limits = np.concatenate(qlimits)
+                    known = [x for x, _ in question_slices(limits, limits)]
+                qids, qmats, qlimits = [True], [], []  # held once, in the slices
             cb = b.filter(pa.array(~is_q))
             x = V.arrow_matrix(cb.column("_vec"))
-            states = score_block(states, x, cb.column(key_col).to_numpy(zero_copy_only=False), slices, k, metric)
+            states = score_block(states, x, cb.column(key_col).to_numpy(zero_copy_only=False), slices, k, metric, known)
         out = finish(states, key_col)
         if out is not None:
             yield to_batch(out, key_col)
@@ -150,7 +156,8 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
            vector_col: str = "embedding", question_id_col: str = "question_id",
            question_vector_col: str = "embedding", cell_col: str | None = None,
            tile_bytes: int = DEFAULT_TILE_BYTES,
-           corpus_counts: dict[int, float] | None = None) -> tuple[DataFrame, int, int]:
+           corpus_counts: dict[int, float] | None = None,
+           question_limit_col: str | None = None) -> tuple[DataFrame, int, int]:
     """Per-tile top-``k`` candidates ``question_id, <key_col>, distance``.
 
     With ``cell_col`` both tables carry it (questions once per probed cell) and
@@ -158,6 +165,7 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
     estimates) skips counting the corpus; otherwise it is counted from the
     cell column alone (pass the corpus without a vector-null filter and the
     count reads no vectors; rows without a vector are dropped when scored).
+    ``question_limit_col``: a distance beyond which the question needs no row.
     Returns the candidates, the number of question rows (questions x probed
     cells: an upper bound on the questions, for result bounds) and the largest
     chunk count (for the merge fan-in)."""
@@ -172,10 +180,13 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
     c = corpus.where(F.col(vector_col).isNotNull())
     q = questions.where(F.col(question_vector_col).isNotNull() & F.col(question_id_col).isNotNull())
     c = c.select(cell.alias("_cell"), F.lit(CORPUS).alias("_role"), F.col(key_col), F.col(vector_col).alias("_vec"),
-                 F.lit(None).cast("long").alias("_qid"), F.lit(None).cast(qvec_type).alias("_qvec"))
+                 F.lit(None).cast("long").alias("_qid"), F.lit(None).cast(qvec_type).alias("_qvec"),
+                 F.lit(None).cast("double").alias("_qlimit"))
+    asked_limit = F.lit(None) if question_limit_col is None else F.col(question_limit_col)
     q = q.select(cell.alias("_cell"), F.lit(QUESTION).alias("_role"), F.lit(None).cast(key_type).alias(key_col),
                  F.lit(None).cast(vec_type).alias("_vec"), F.col(question_id_col).cast("long").alias("_qid"),
-                 F.col(question_vector_col).alias("_qvec"))
+                 F.col(question_vector_col).alias("_qvec"), asked_limit.cast("double").alias("_qlimit"))
+    limits = [] if question_limit_col is None else ["_qlimit"]
     counted, q_counts = _both_counts(cells_only, q, with_corpus=corpus_counts is None)
     slots = spark.sparkContext.defaultParallelism
     plan = plan_tiles(counted if corpus_counts is None else corpus_counts, q_counts, tile_bytes, 2 * slots)
@@ -205,7 +216,7 @@ def search(corpus: DataFrame, questions: DataFrame, k: int, metric: str = "l2",
         q.withColumn("_qt", F.pmod(F.xxhash64(F.col("_qid")), F.col("_t")).cast("int"))
         .withColumn("_cs", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     )
-    cols = [(F.col("_base") + F.col("_cs") * F.col("_t") + F.col("_qt")).alias(TILE), "_role", key_col, "_vec", "_qid", "_qvec"]
+    cols = [(F.col("_base") + F.col("_cs") * F.col("_t") + F.col("_qt")).alias(TILE), "_role", key_col, "_vec", "_qid", "_qvec", *limits]
     n_tiles = sum(s_n * t_n for s_n, t_n in plan.values())
     # several tiles may share a task (each is still its own group): the
     # shuffle width stays near the cluster's, however many tiles there are

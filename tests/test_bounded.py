@@ -92,3 +92,34 @@ def test_bounds_hold_for_every_row():
     true = np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
     bound = units.bounds(q)
     assert all((bound[:, i] <= true[:, cell == i].min(axis=1)).all() for i in range(7))
+
+
+def test_a_round_keeps_no_row_beyond_the_distances_known_before():
+    """Tiles of a later round: rows beyond a question's k-th distance so far are not sent on."""
+    import pyarrow as pa
+
+    from quarry.functions.vectors import arrow_vectors
+    from quarry.operators import tiles
+
+    x = np.random.default_rng(4).normal(size=(400, 6))
+    q = x[:3]
+    d = np.sort(((x[3:, None] - q[None]) ** 2).sum(axis=2), axis=0)
+
+    def batch(role, mat, ids, limits):
+        n, none = len(mat), [None] * len(mat)
+        vec, null = arrow_vectors(mat, np.float64), pa.array(none, pa.list_(pa.float64()))
+        corpus = role == tiles.CORPUS
+        return pa.RecordBatch.from_arrays(
+            [pa.array([role] * n, pa.int32()), pa.array(ids if corpus else none, pa.int64()), vec if corpus else null,
+             pa.array(none if corpus else ids, pa.int64()), null if corpus else vec, pa.array(limits, pa.float64())],
+            names=["_role", "doc_id", "_vec", "_qid", "_qvec", "_qlimit"])
+
+    def kept(limits):
+        rows = [batch(tiles.QUESTION, q, [0, 1, 2], limits), batch(tiles.CORPUS, x[3:], list(range(3, 400)), [None] * 397)]
+        return [b.to_pandas() for b in tiles._kernel(5, "l2", "doc_id")(iter(rows))]
+
+    (every,) = kept([np.inf] * 3)
+    assert every.groupby("question_id").size().tolist() == [5, 5, 5]
+    (near,) = kept([np.inf, d[1, 1], d[0, 2] / 2])
+    counts = near[near.distance <= np.r_[np.inf, d[1, 1], d[0, 2] / 2][near.question_id]].groupby("question_id").size()
+    assert counts.to_dict() == {0: 5, 1: 2} and len(near) == 7
