@@ -180,10 +180,14 @@ def shared_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_attached(spark: SparkSession, sf_dir: str, cols=HIT_SOURCE) -> DataFrame:
-    # payload read under the search's own filter (hits come from that corpus)
-    payload = FL.exclude_comments(_posts(spark, sf_dir, *cols, "type")).drop("type")
     hits = shared_hits(spark, sf_dir)
-    return knn.attach(hits, payload, "doc_id", rows_bound=hits.count())
+    n, only = hits.count(), None
+    if n > knn.ATTACH_BROADCAST_ROWS:  # the join is a shuffle: of posts that are hits, where their ids can be broadcast
+        ids = hits.select("doc_id").distinct()
+        only = ids if ids.count() <= knn.ATTACH_BROADCAST_ROWS else None
+    # payload read under the search's own filter (hits come from that corpus)
+    payload = FL.exclude_comments(td.posts(spark, sf_dir, (*cols, "type"), only)).drop("type")
+    return knn.attach(hits, payload, "doc_id", rows_bound=n)
 
 
 def q11_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,21 +64,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _POSTS: dict[tuple[str, str, tuple[str, ...]], DataFrame] = {}
 
 
-def posts(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """The ``posts`` corpus (nested form).  ``columns`` limits the output and the joins.
+def posts(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The ``posts`` corpus (nested form).  ``columns`` limits the output and the joins, ``only`` (a small
+    table of ``doc_id``) the posts: others drop out of the scan, before any shuffle.
     The view is defined once per session and column set (a lazy plan, no data cached)."""
     want = tuple(columns) if columns is not None else POST_COLUMNS
+    if only is not None:
+        return _posts_view(spark, sf_dir, list(want), only)
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), want)
     if key not in _POSTS:
         _POSTS[key] = _posts_view(spark, sf_dir, list(want))
     return _POSTS[key]
 
 
-def _posts_view(spark: SparkSession, sf_dir: str, want: list[str]) -> DataFrame:
+def _posts_view(spark: SparkSession, sf_dir: str, want: list[str], only: DataFrame | None = None) -> DataFrame:
     need = set(want)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    if only is not None:
+        docs = docs.join(F.broadcast(only), "doc_id", "left_semi")
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", "props")
-    df = docs.join(ev, ev.event_id == docs.doc_id * 5, "inner")
+    # the event's post is the key: all joins deal the texts by doc_id, so they are shuffled once
+    ev = ev.where(F.col("event_id") % 5 == 0).withColumn("e_doc_id", F.expr("event_id div 5")).drop("event_id")
+    df = docs.join(ev, ev.e_doc_id == docs.doc_id, "inner")
 
     def needs(side: str) -> bool:
         return bool(need & _SIDE_NEEDS[side])
