@@ -32,12 +32,16 @@ def test_many_hits_shuffle_only_posts_that_are_hits(spark, monkeypatch):
     hits = spark.range(200).selectExpr("id as question_id", "id % 50 as doc_id", "1L as rank")
     monkeypatch.setattr(catalog, "shared_hits", lambda *_: hits)
     cols = ("doc_id", "translated_text", "url")
+
+    def rows(df):
+        return sorted(map(tuple, df.select("question_id", "rank", *cols).collect()))
+
     plain = catalog.batch_attached(spark, SF_SMALL, cols)
-    want = sorted(map(tuple, plain.collect()))
+    want = rows(plain)
     assert want and "LeftSemi" not in plain._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(knn, "ATTACH_BROADCAST_ROWS", 60)
     found = catalog.batch_attached(spark, SF_SMALL, cols)
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
-    assert sorted(map(tuple, found.collect())) == want
+    assert rows(found) == want
     monkeypatch.setattr(knn, "ATTACH_BROADCAST_ROWS", 40)  # too many ids: all posts are joined
-    assert sorted(map(tuple, catalog.batch_attached(spark, SF_SMALL, cols).collect())) == want
+    assert rows(catalog.batch_attached(spark, SF_SMALL, cols)) == want
