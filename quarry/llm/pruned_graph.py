@@ -1,7 +1,8 @@
 """Embedding near-duplicates on a robust-pruned flat graph (operator 9).
 
 Vectors of one label are dealt to overlapping clusters, each to its two nearest
-centroids. Every cluster builds a graph over its members: candidates by closeness,
+centroids; clusters that the centroids' bounded sample leaves too large are dealt again, to
+parts of their own. Every cluster builds a graph over its members: candidates by closeness,
 thinned by robust pruning, which drops a neighbour that another one covers. The
 adjacency lists of all clusters are united. Parts of a cluster that no edge joins, as
 groups of more near copies than a node has candidates, are joined by their closest
@@ -27,6 +28,10 @@ COSINE = 0.98
 CLUSTER = 400  # members a cluster aims at
 OVERLAP = 2
 SAMPLE = 20_000  # vectors the centroids are fitted on, at most, over all labels
+SPLIT = 4 * CLUSTER  # a cluster of more members is dealt again
+PARTS = 16  # parts such a cluster is dealt to, at most
+FIT = 2_000  # members that the centroids of its parts are fitted on, about
+ROUNDS = 8  # times a cluster is dealt again, at most
 DEGREE = 24
 ALPHA = 1.2
 BEAM = 24
@@ -129,6 +134,39 @@ def _build(degree: int, alpha: float):
     return run
 
 
+def _fit_parts(key, table):
+    """The centroids of one large cluster's parts, from a sample of its members."""
+    x = _matrix(table.column("unit").take(pa.array(np.argsort(table.column("node").to_numpy()))))
+    wanted = -(-table.column("n")[0].as_py() * OVERLAP // CLUSTER)
+    centres = _kmeans(x, min(len(x), PARTS, max(2, wanted)))
+    return pa.table({"label": pa.array([key[0].as_py()], key[0].type), "dim": pa.array([key[1].as_py()], pa.int32()),
+                     "cluster": pa.array([key[2].as_py()], pa.int64()), "centres": pa.array([centres.ravel()])})
+
+
+def _deal_parts(batches):
+    """Members of large clusters (with ``centres``) dealt to parts: those at home to their
+    two nearest, others to one. The rest keep their clusters; all are numbered anew."""
+    for batch in batches:
+        centres, units = batch.column("centres"), batch.column("unit")
+        at_home, old = batch.column("home").to_pylist(), batch.column("cluster").to_pylist()
+        cluster, members, home = [], [], []
+        for i, was in enumerate(old):
+            near = [-1]
+            if centres[i].is_valid:
+                v = units[i].values.to_numpy()
+                c = centres[i].values.to_numpy().reshape(-1, len(v))
+                near = np.argsort(-(c @ v), kind="stable")[: OVERLAP if at_home[i] else 1].tolist()
+            for rank, j in enumerate(near):
+                cluster.append(was * (PARTS + 1) + j + 1)
+                members.append(i)
+                home.append(at_home[i] and rank == 0)
+        rows = batch.select(["node", "label", "unit", "dim"]).take(pa.array(members, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [*rows.columns, pa.array(cluster, pa.int64()), pa.array(home, pa.bool_())],
+            names=[*rows.schema.names, "cluster", "home"],
+        )
+
+
 def _search(cosine: float, beam: int, slack: float):
     """Links found by the members of one cluster on the graph around it."""
 
@@ -276,22 +314,41 @@ class FlatGraph:
                 rows = batch.take(pa.array(members, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns, pa.array([len(v) for v in rows.column("unit").to_pylist()], pa.int32()),
-                     pa.array([c for c, _ in cluster], pa.int32()), pa.array([h for _, h in cluster], pa.bool_())],
+                     pa.array([c for c, _ in cluster], pa.int64()), pa.array([h for _, h in cluster], pa.bool_())],
                     names=[*rows.schema.names, "dim", "cluster", "home"],
                 )
 
         kind = dict(self.nodes.dtypes)["label"]
-        self.placed = written(
+        self.placed = self._divided(written(
             self.nodes.select("node", "label", "unit").mapInArrow(
-                place, f"node long, label {kind}, unit array<double>, dim int, cluster int, home boolean"
+                place, f"node long, label {kind}, unit array<double>, dim int, cluster long, home boolean"
             )
-        )
+        ))
         parts = self.placed.groupBy("label", "dim", "cluster").applyInArrow(
             _build(self.degree, self.alpha), "node long, near array<bigint>"
         )
         # OVERLAP lists a node, of bounded length but for hubs of the reverse edges
         self.lists = written(parts.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
 
+    def _divided(self, placed: DataFrame) -> DataFrame:
+        """``placed`` with every cluster above :data:`SPLIT` members dealt to parts, and these
+        again. Nothing is left out: a cluster that cannot be parted stays whole."""
+        key = ["label", "dim", "cluster"]
+        kind = dict(placed.dtypes)["label"]
+        for _ in range(ROUNDS):
+            sizes = placed.groupBy(*key).agg(F.count("*").alias("n"))
+            large = written(sizes.where(F.col("n") > SPLIT))
+            if large.isEmpty():
+                break
+            sample = placed.join(large, key).where(F.expr(f"pmod(xxhash64(node, 'part'), n) < {FIT}"))
+            centres = written(
+                sample.select(*key, "node", "unit", "n").groupBy(*key).applyInArrow(
+                    _fit_parts, f"label {kind}, dim int, cluster long, centres array<double>"
+                )
+            )
+            placed = written(placed.join(centres, key, "left").mapInArrow(_deal_parts, placed.schema))
+        return placed
+
     def links(self) -> DataFrame:
         """``(a, b)`` with a < b: linked nodes, each pair once."""
         self.build()

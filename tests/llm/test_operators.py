@@ -340,6 +340,21 @@ def test_pruned_graph_audit_on_large_groups(spark):
     assert pruned_graph.audit(vectors, links=one)["found"] == 1
 
 
+def test_pruned_graph_parts_clusters_that_the_sample_leaves_large(spark, monkeypatch):
+    monkeypatch.setattr(pruned_graph, "SAMPLE", 5)
+    monkeypatch.setattr(pruned_graph, "SPLIT", 500)
+    monkeypatch.setattr(pruned_graph, "PARTS", 4)
+    vectors = large_groups(spark)
+    graph = pruned_graph.FlatGraph(vectors)
+    graph.build()
+    assert graph.placed.groupBy("cluster").count().agg(F.max("count")).first()[0] <= 500
+    home = graph.placed.groupBy("node").agg(F.sum(F.col("home").cast("int")).alias("homes"))
+    assert home.count() == 3000 and home.where("homes <> 1").isEmpty()
+    assert graph.placed.select("node", "cluster").distinct().count() == graph.placed.count()
+    got = pruned_graph.near_duplicates(vectors).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 149, i - i % 150) for i in range(3000)}
+
+
 def test_cluster_graph_is_connected():
     x = np.eye(6)[[0] * 5 + [1] * 5 + [2] * 5]
     lists = [{j for j in range(15) if j // 5 == i // 5 and j != i} for i in range(15)]
