@@ -3,18 +3,21 @@
 A shard is a run of the words that one task reads, of at most :data:`SHARD_WORDS` words, so
 that it is mined in memory. With ``m`` occurrences needed in a language of ``n`` words, a
 phrase that is frequent has ``m * n_i / n`` occurrences or more in some shard that holds
-``n_i`` of them. So each shard is mined completely, level by level (words, pairs, triples),
-at the local support ``ceil(m * n_i / n)``, at least 1, and emits its locally frequent phrases
-as hashes of 40 bits with their local counts. A phrase stays in the union unless what it was
-counted plus all that shards may have held back (one less than their supports) is below
-``m``. Then all shards count the candidates by their words, and Spark sums these counts; so
-equal hashes cost a needless count and never a wrong one.
-
-Supports fall to 1 where shards are many; then the first counts miss nothing, and the union
-holds little but frequent phrases. A phrase can be frequent only if what remains
-without its first and without its last word is; both are looked up in a bitmap of
-the level below, of fixed size (:data:`MAP_BITS`), built by Spark from the hashes. A fuller
-bitmap lets more through and never holds one back.
+``n_i`` of them. So each shard is mined completely, level by level (pairs, triples; words are
+counted before), at the local support ``ceil(m * n_i / n)``, at least 1, and emits its locally
+frequent phrases with their local counts. Where all shards had a support of 1, nothing is held
+back and the sums of these counts are exact. In a language in which shards held phrases back, a
+phrase stays in the union unless what it was counted plus all that shards may have held back
+(one less than their supports) is below ``m``, and the shards of that language count the union.
+
+A phrase is sent as the hashes of its words, 64 bits each, never by its text, and is named
+once, when it is known to be frequent, by joins with the frequent words. No two words of the
+table share a hash: that is tested, and hashes of another seed are taken otherwise. So the hashes
+are exact keys, and counts are those of the words.
+
+A phrase can be frequent only if what remains without its first and without its last word is;
+both are looked up in a bitmap of the level below, of fixed size (:data:`MAP_BITS`), built by
+Spark. A fuller bitmap lets more through and never holds one back.
 
 Scores: every candidate is cut after each of its words, and both parts, frequent as
 well, are joined to their counts; decimals of 38 digits hold the products. A candidate is
@@ -28,6 +31,7 @@ names, are not read.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +58,6 @@ BREAKS = spans.separators(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 SPACE = BREAKS | spans.separators(lambda b: b in b"\x20\x09")
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_EMITTED = np.uint64((1 << 40) - 1)  # bits of a hash that shards emit; more would only cost shuffle
 
 
 class Map:
@@ -81,46 +84,54 @@ class Map:
         return cls(out)
 
 
-def _lang_hashes(langs: list[str]) -> np.ndarray:
+def _lang_hashes(langs: list[str], seed: int) -> np.ndarray:
     import xxhash
 
-    known = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(langs)}
+    known = {x: xxhash.xxh64_intdigest(x.encode(), seed) for x in set(langs)}
     return np.array([known[x] for x in langs], np.uint64)
 
 
-def _windows(lang: str, texts: pa.Array, longest: int):
-    """``(data, hash of each word, start, end, piece, words carried over)`` for each window
-    of texts of one language; the last words of the one before come first, so that no
-    phrase is missed."""
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lang: np.ndarray, seed: int) -> np.ndarray:
+    return mix(spans.hashes(data, start, end, seed) ^ lang)
+
+
+def _windows(lang: str, texts: pa.Array, longest: int, seed: int):
+    """``(hash of each word, piece, words carried over)`` for each window of texts of one
+    language; the last words of the one before come first, so that no phrase is missed."""
     data, offsets = spans.lowered(texts)
-    of = _lang_hashes([lang])
-    held = [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 3
+    of = _lang_hashes([lang], seed)
+    held = [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
     for s, e, _, piece in spans.words(data, offsets, SPACE, BREAKS):
-        h = mix(spans.hashes(data, s, e) ^ of)
-        now = [np.concatenate(pair) for pair in zip(held, (h, s, e, piece))]
-        yield data, *now, len(held[0])
+        now = [np.concatenate(pair) for pair in zip(held, (_word_hashes(data, s, e, of, seed), piece))]
+        yield *now, len(held[0])
         held = [x[-(longest - 1) :] for x in now]
 
 
-def _phrases(h: np.ndarray, piece: np.ndarray, old: int, size: int, below: Map | None):
-    """First words and hashes of the phrases of ``size`` words that end in a new word and
-    whose parts, the first and the last word left out, ``below`` has."""
+def _sums(words: list[np.ndarray]) -> np.ndarray:
+    """A sum for each phrase from its words' hashes, one array for each place in the phrase."""
+    out = words[0]
+    for h in words[1:]:
+        out = out * _STEP + h
+    return out
+
+
+def _hash(words: list[np.ndarray]) -> np.ndarray:
+    """The hash of each phrase that bitmaps hold."""
+    return mix(_sums(words) + np.uint64(len(words)))
+
+
+def _phrases(h: np.ndarray, piece: np.ndarray, old: int, size: int, below: Map) -> list[np.ndarray]:
+    """The phrases of ``size`` words that end in a new word and whose parts, the first and the
+    last word left out, ``below`` has: the hashes of their words, one array for each place."""
     n = len(h) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    raw = h
-    for k in range(1, size - 1):
-        raw = raw[:-1] * _STEP + h[k:]
+        return [np.zeros(0, np.uint64)] * size
     ok = piece[size - 1 :] == piece[:n]
     if old:
         ok &= np.arange(size - 1, len(h)) >= old
-    if size > 1:
-        if below is not None:
-            had = below.has(mix(raw + np.uint64(size - 1)))
-            ok &= had[:-1] & had[1:]
-        raw = raw[:-1] * _STEP + h[size - 1 :]
-    at = np.flatnonzero(ok)
-    return at, mix(raw[at] + np.uint64(size))
+    had = below.has(_hash([h[k : n + 1 + k] for k in range(size - 1)]))
+    at = np.flatnonzero(ok & had[:-1] & had[1:])
+    return [h[at + k] for k in range(size)]
 
 
 class _Counts:
@@ -172,48 +183,72 @@ def _count_words(batches):
     yield from counts.batches()
 
 
-def _hash_words(batches):
-    """The hash of each (lang, word), as :func:`_phrases` gives it for one word."""
+def _hash_words(seed: int):
+    """``(h, lang, word)`` of each (lang, word)."""
+
+    def run(batches):
+        for b in batches:
+            data, offsets = spans.lowered(b.column("phrase"))
+            lang = _lang_hashes(b.column("lang").to_pylist(), seed)
+            h = _word_hashes(data, offsets[:-1], offsets[1:], lang, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("lang"), b.column("phrase")], names=["h", "lang", "word"])
+
+    return run
+
+
+def _hash_phrases(batches):
+    """The hash of each phrase, given as its words' hashes."""
     for b in batches:
-        data, offsets = spans.lowered(b.column("phrase"))
-        lang = _lang_hashes(b.column("lang").to_pylist())
-        h = mix(mix(spans.hashes(data, offsets[:-1], offsets[1:]) ^ lang) + np.uint64(1))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+        words = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns]
+        yield pa.RecordBatch.from_arrays([pa.array(_hash(words).view(np.int64))], names=["h"])
+
 
+def _keys(size: int) -> list[str]:
+    return [f"w{k}" for k in range(1, size + 1)]
 
-_MINED = "h long, n long"
 
+def _mined(size: int) -> str:
+    return ", ".join(f"{k} long" for k in [*_keys(size), "n"])
 
-def _miner(size: int, support: int, totals, below):
-    """Mines shards for phrases of ``size`` words: ``(h, n)`` of locally frequent ones, and one
-    row of a negative ``h`` for each language of the shard, whose ``n`` is what a phrase may
-    have there without being emitted: the local support less 1."""
 
-    def rows(h, n):
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
+def _miner(size: int, support: int, totals, below, seed: int, union=None):
+    """Mines shards for phrases of ``size`` words: their words' hashes and counts, of locally
+    frequent ones, and one row without a second word for each language of which the shard
+    holds phrases back: the hash of the language, and the count that a phrase may have there
+    without being emitted. Languages that ``totals`` does not have are mined at support 1.
+    ``union``: only phrases in that bitmap are counted."""
+    names = [*_keys(size), "n"]
+
+    def rows(words, n):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in [*words, n]], names=names)
 
     def shard(found, words):
-        sizes, langs = totals.value, list(words)
-        slack = np.array([-(-support * words[x] // sizes[x]) - 1 if x in sizes else 0 for x in langs], np.int64)
-        slack = np.maximum(slack, 0)
-        yield rows(-1 - (_lang_hashes(langs) & _EMITTED).astype(np.int64), slack)
-        for lang, held in zip(langs, slack.tolist()):
-            h = np.concatenate(found[lang])
-            if not len(h):
+        for lang, parts in found.items():
+            held = max(-(-support * words[lang] // totals.value[lang]) - 1, 0) if lang in totals.value else 0
+            if held:
+                yield rows([_lang_hashes([lang], seed).view(np.int64), *[pa.nulls(1, pa.int64())] * (size - 1)], [held])
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            if not len(columns[0]):
                 continue
-            h.sort()
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            n = np.diff(np.r_[first, len(h)])
-            keep = n > held
-            yield rows(h[first[keep]].view(np.int64), n[keep])
+            # a phrase that equal sums part into two runs is summed by Spark, but must not be held back
+            order = np.lexsort(columns) if held else np.argsort(_sums(columns))
+            columns = [c[order] for c in columns]
+            new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+            first = np.flatnonzero(np.r_[True, new])
+            n = np.diff(np.r_[first, len(order)])
+            first, n = first[n > held], n[n > held]
+            yield rows([c[first].view(np.int64) for c in columns], n)
 
     def run(batches):
         found, words, seen = defaultdict(list), Counter(), 0
         for b in batches:
             for lang, texts in _by_lang(b):
-                for _, h, _, _, piece, old in _windows(lang, texts, size):
-                    _, grams = _phrases(h, piece, old, size, below.value)
-                    found[lang].append(grams & _EMITTED)
+                for h, piece, old in _windows(lang, texts, size, seed):
+                    phrases = _phrases(h, piece, old, size, below.value)
+                    if union is not None:
+                        had = union.value.has(_hash(phrases))
+                        phrases = [x[had] for x in phrases]
+                    found[lang].append(phrases)
                     words[lang] += len(h) - old
                     seen += len(h) - old
                     if seen >= SHARD_WORDS:
@@ -225,35 +260,8 @@ def _miner(size: int, support: int, totals, below):
     return run
 
 
-def _counter(maps):
-    """Counts the candidates by their words."""
-
-    def run(batches):
-        counts, known = _Counts(), maps.value
-        for b in batches:
-            for lang, texts in _by_lang(b):
-                for data, h, s, e, piece, old in _windows(lang, texts, len(known)):
-                    if not len(s):
-                        continue
-                    region, base = data[s[0] : e[-1]].tobytes(), int(s[0])
-                    s, e, of = s - base, e - base, counts.held[lang]
-                    plain = np.append((s[1:] - e[:-1] == 1) & (data[e[:-1] + base] == 32), False)
-                    for size in range(2, len(known) + 1):
-                        at, grams = _phrases(h, piece, old, size, known[size - 2])
-                        at = at[known[size - 1].has(grams)]
-                        one_space = np.logical_and.reduce([plain[at + k] for k in range(size - 1)])
-                        a = at[one_space]
-                        of.update([region[x:y] for x, y in zip(s[a].tolist(), e[a + size - 1].tolist())])
-                        for i in at[~one_space].tolist():
-                            of[b" ".join(region[s[i + k] : e[i + k]] for k in range(size))] += 1
-                    if counts.full():
-                        yield from counts.batches()
-        yield from counts.batches()
-
-    return run
-
-
 _COUNTED = "lang string, phrase string, n long"
+_WORDS = "h long, lang string, word string"
 
 
 class Miner:
@@ -265,31 +273,63 @@ class Miner:
         )
         self.spark, self.support, self.longest, self.map_bits = docs.sparkSession, support, longest, map_bits
 
-    def _summed(self, counts: DataFrame) -> DataFrame:
-        return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    def _counted(self, docs: DataFrame, size: int, *how) -> DataFrame:
+        mined = docs.mapInArrow(_miner(size, self.support, *how), _mined(size))
+        return written(mined.groupBy(*_keys(size)).agg(F.sum("n").alias("n")))
+
+    def _bitmap(self, phrases: DataFrame, size: int):
+        hashes = phrases.select(*_keys(size)).mapInArrow(_hash_phrases, "h long")
+        return self.spark.sparkContext.broadcast(Map.of(hashes, self.map_bits))
+
+    def _seed(self) -> int:
+        """The first seed for which no two words have the same hash."""
+        for seed in count():
+            hashes = self.words.select("lang", "phrase").mapInArrow(_hash_words(seed), _WORDS)
+            if hashes.groupBy("h").count().where("count > 1").isEmpty():
+                return seed
 
     def mine(self) -> None:
         """``words`` and ``phrases``: ``(lang, phrase, n)``, the first all words, the second
         the frequent phrases of 2 to ``longest`` words; ``totals``: ``(lang, n)``."""
-        self.words = written(self._summed(self.docs.mapInArrow(_count_words, _COUNTED)))
+        counts = self.docs.mapInArrow(_count_words, _COUNTED)
+        self.words = written(counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
         self.totals = self.words.groupBy("lang").agg(F.sum("n").alias("n"))
         known = {r["lang"]: r["n"] for r in self.totals.orderBy(F.desc("n"), "lang").limit(KNOWN_LANGS).collect()}
-        sizes = self.spark.sparkContext.broadcast(known)
-        frequent = self.words.where(F.col("n") >= self.support)
-        maps = [Map.of(frequent.select("lang", "phrase").mapInArrow(_hash_words, "h long"), self.map_bits)]
+        seed = self._seed()
+        frequent = self.words.where(F.col("n") >= self.support).select("lang", "phrase")
+        self.names = written(frequent.mapInArrow(_hash_words(seed), _WORDS))
+        below = self._bitmap(self.names.select(F.col("h").alias("w1")), 1)
+        self.phrases = self.words.where("false")
         for size in range(2, self.longest + 1):
-            below = self.spark.sparkContext.broadcast(maps[-1])
-            mined = self.docs.mapInArrow(_miner(size, self.support, sizes, below), _MINED)
-            found = written(mined.groupBy("h").agg(F.sum("n").alias("n")))
-            maps.append(Map.of(self.union(found), self.map_bits))
-        candidates = self.spark.sparkContext.broadcast(maps)
-        counted = self._summed(self.docs.mapInArrow(_counter(candidates), _COUNTED))
-        self.phrases = written(counted.where(F.col("n") >= self.support))
-
-    def union(self, mined: DataFrame) -> DataFrame:
-        """Hashes of the phrases that may be frequent, from the shards' local counts."""
-        held = mined.where("h < 0").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-        return mined.where((F.col("h") >= 0) & (F.col("n") + F.lit(held) >= self.support)).select("h")
+            level = written(self._level(size, known, below, seed))
+            self.phrases = self.phrases.unionByName(level.select("lang", "phrase", "n"))
+            if size < self.longest:
+                below = self._bitmap(level, size)
+
+    def _level(self, size: int, known: dict[str, int], below, seed: int) -> DataFrame:
+        """The frequent phrases of ``size`` words: their words' hashes, ``lang, phrase, n``."""
+        tell = self.spark.sparkContext.broadcast
+        mined = self._counted(self.docs, size, tell(known), below, seed)
+        of = dict(zip(_lang_hashes(list(known), seed).view(np.int64).tolist(), known))
+        held = {of[r["w1"]]: r["n"] for r in mined.where("w2 is null").collect()}
+        mined = mined.where("w2 is not null")
+        exact = self.named(mined.where(F.col("n") >= self.support), size)
+        if not held:
+            return exact
+        slack = self.spark.createDataFrame(list(held.items()), "lang string, held long")
+        langs = self.names.join(F.broadcast(slack), "lang").select(F.col("h").alias("w1"), "held")
+        union = self._bitmap(mined.join(langs, "w1").where(F.col("n") + F.col("held") >= self.support), size)
+        counted = self._counted(self.docs.where(F.col("lang").isin(list(held))), size, tell({}), below, seed, union)
+        return exact.where(~F.col("lang").isin(list(held))).unionByName(
+            self.named(counted.where(F.col("n") >= self.support), size)
+        )
+
+    def named(self, phrases: DataFrame, size: int) -> DataFrame:
+        """``phrases`` with ``lang`` and ``phrase``, from the frequent words."""
+        for k in _keys(size):
+            word = self.names.select(F.col("h").alias(k), F.col("word").alias(f"_{k}"), *(["lang"] if k == "w1" else []))
+            phrases = phrases.join(word, k)
+        return phrases.select(*_keys(size), "lang", F.concat_ws(" ", *(f"_{k}" for k in _keys(size))).alias("phrase"), "n")
 
 
 def contained(phrases: DataFrame, percent: int = CONTAINED) -> DataFrame:

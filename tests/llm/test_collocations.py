@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,53 @@ def test_local_supports_hold_phrases_back_and_lose_none(spark):
     assert {r["phrase"]: r["n"] for r in miner.phrases.collect()} == {"alpha beta": 12, "gamma delta": 12}
 
 
+def test_languages_that_shards_hold_back_beside_others(spark):
+    """Twelve shards: "en" is in all of them and mined at support 1, each text of "fr" and
+    "de" in one, so that their shards hold phrases back; all counts are exact."""
+    rng = random.Random(21)
+    t = texts(rng, 600, 9) + ["le la. " * 14, "le la. " * 2, "der die das der die das ; " * 6, "der die " * 5, "die das"]
+    langs = ["en"] * 600 + ["fr"] * 2 + ["de"] * 3
+    found = collocations.collocations(docs(spark, t, langs).repartition(12), map_bits=1 << 20)
+    want = brute(list(zip(t, langs)))
+    assert {x[0] for x in want} == {"en", "fr", "de"} and result(found) == want
+
+
+def test_tasks_send_no_phrase_by_its_text(spark, monkeypatch):
+    """Tasks send words by their text and phrases as hashes of their words, so that a phrase
+    is named once and not by every task that has read it."""
+    made, frame = [], type(spark.range(1))
+    plain = frame.mapInArrow
+
+    def spied(self, *args, **kwargs):
+        made.append(plain(self, *args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    lines = ["alpha beta gamma"] * 48 + [f"w{i} x{i}" for i in range(48)]
+    miner = collocations.Miner(docs(spark, lines).repartition(8), map_bits=1 << 20)
+    miner.mine()
+    assert {r["phrase"]: r["n"] for r in miner.phrases.collect()} == {"alpha beta": 48, "beta gamma": 48, "alpha beta gamma": 48}
+    named = [df for df in made if "phrase" in df.columns]
+    assert named and not any(df.where("phrase like '% %'").count() for df in named)
+
+
+def test_words_of_one_hash_are_hashed_anew(spark, monkeypatch):
+    """With seed 0 all words have one hash, so another seed is taken."""
+    plain = collocations._hash_words
+
+    def one_hash(seed):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([7] * len(b), pa.int64()), *b.columns], names=["h", "lang", "word"])
+
+        return plain(seed) if seed else run
+
+    monkeypatch.setattr(collocations, "_hash_words", one_hash)
+    t = texts(random.Random(4), 200, 12) + ["w" * 200 + " tail"] * 12
+    found = collocations.collocations(docs(spark, t), map_bits=1 << 20)
+    assert result(found) == brute([(x, "en") for x in t])
+
+
 def test_exact_scores_beyond_64_bits(spark):
     big = 4_000_000_000_000
     counts = spark.createDataFrame([("en", "a b", big), ("en", "a", 7 * big), ("en", "b", 9 * big - 1)], "lang string, phrase string, n long")
