@@ -52,6 +52,7 @@ SHARD_WORDS = 1_000_000
 MAP_BITS = 1 << 27
 KNOWN_LANGS = 1000  # languages whose size the tasks are told; others are mined at support 1
 WORD_WINDOW = 4 << 20  # bytes whose words are counted together
+SENT_ROWS = 1 << 16  # of a shard's phrases, in one batch
 HELD_KEYS = 400_000  # distinct phrases a task counts before it hands them on
 
 BREAKS = spans.separators(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
@@ -223,21 +224,26 @@ def _miner(size: int, support: int, totals, below, seed: int, union=None):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in [*words, n]], names=names)
 
     def shard(found, words):
-        for lang, parts in found.items():
+        for lang in list(found):
             held = max(-(-support * words[lang] // totals.value[lang]) - 1, 0) if lang in totals.value else 0
             if held:
                 yield rows([_lang_hashes([lang], seed).view(np.int64), *[pa.nulls(1, pa.int64())] * (size - 1)], [held])
-            columns = [np.concatenate(c) for c in zip(*parts)]
+            columns = [np.concatenate(c) for c in zip(*found.pop(lang))]
             if not len(columns[0]):
                 continue
             # a phrase that equal sums part into two runs is summed by Spark, but must not be held back
             order = np.lexsort(columns) if held else np.argsort(_sums(columns))
-            columns = [c[order] for c in columns]
-            new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-            first = np.flatnonzero(np.r_[True, new])
+            new = np.zeros(len(order), bool)
+            new[0] = True
+            for k, c in enumerate(columns):
+                columns[k] = c = c[order]
+                new[1:] |= c[1:] != c[:-1]
+            first = np.flatnonzero(new)
             n = np.diff(np.r_[first, len(order)])
             first, n = first[n > held], n[n > held]
-            yield rows([c[first].view(np.int64) for c in columns], n)
+            for i in range(0, len(first), SENT_ROWS):
+                at = first[i : i + SENT_ROWS]
+                yield rows([c[at].view(np.int64) for c in columns], n[i : i + SENT_ROWS])
 
     def run(batches):
         found, words, seen = defaultdict(list), Counter(), 0
