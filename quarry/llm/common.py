@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,21 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the table that ``written`` made, after its last use."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished queries, which it does once their
+    plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def byte_batches(spark: SparkSession, rows: int = 256) -> None:
     """Small Arrow batches, so that a batch of long texts stays small in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import byte_batches, components, written
+from .common import byte_batches, components, discard, released, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -40,11 +40,14 @@ MAX_HEAVY = 1_000_000  # entries of the broadcast count list: 16 MB at most
 MIN_EXTRA, MAX_EXTRA = 3, 16  # shortest and longest extension of a prefix
 UNKNOWN_SHARE = 8  # one in so many shingles without a count is taken to have a partner
 BUCKET_TOKENS = 2_000_000  # published shingles in one pruning task
+DIGEST = 40  # bits of a published shingle that are compared before any is sent whole
+MAX_FILTER = 29  # the broadcast filter of shared digests has 2 to this power bits (64 MB) at most
 HOT_POSTING = 32  # a shingle that more classes publish is handled by tiles, not pairs
-BITS = 2048  # parity bits of a set
+BITS = 2048  # parity bits of a set; in tiles, of a larger set two for a shingle at least
 TILE_DOCS = 1_000
 TILE_TOKENS = 2_000_000
 BROADCAST_IDS = 1_000_000  # candidate ids broadcast at most (8 MB); more are joined by shuffle
+MAX_LABELS = 4_000_000  # classes with their component, of those that the leader round linked, broadcast at most (64 MB)
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -161,12 +164,106 @@ def _unpack(packed: pa.BinaryScalar) -> np.ndarray:
     return np.ascontiguousarray(rows).reshape(-1).view(_ENTRY)
 
 
-def _publish(k: int, percent: int, buckets: int, heavy):
-    """Published shingles by bucket, packed: one row per bucket and chunk. Copies of
-    one set inside a chunk are published once."""
+def _prefixes(batches, k: int, percent: int, heavy, seen: set):
+    """``(class, set size, prefix, cost)`` of every set with shingles; copies of a set in
+    ``seen`` are passed over."""
+    hashes, counts = heavy.value
+    for batch in batches:
+        for _, s in _sets(batch, k):
+            if not len(s):
+                continue
+            a, _ = _signature(s)
+            if a not in seen:
+                seen.add(a)
+                yield a, len(s), *_prefix(s, hashes, counts, percent)
+
+
+def _pack_digests(d: np.ndarray) -> bytes:
+    """Sorted digests as compressed byte planes of their differences."""
+    steps = np.diff(d, prepend=np.uint64(0)).astype("<u8")
+    planes = steps.view(np.uint8).reshape(len(d), 8)[:, : DIGEST // 8]
+    body = pa.compress(np.ascontiguousarray(planes.T), codec="zstd", asbytes=True)
+    return np.uint32(len(d)).tobytes() + body
+
+
+def _unpack_digests(packed: pa.BinaryScalar) -> np.ndarray:
+    data = packed.as_buffer()
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    planes = pa.decompress(data.slice(4), decompressed_size=n * (DIGEST // 8), codec="zstd")
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, : DIGEST // 8] = np.frombuffer(planes, np.uint8).reshape(DIGEST // 8, n).T
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def _announce(k: int, percent: int, buckets: int, heavy):
+    """Digests of published shingles by bucket (their highest bits), packed: one row per
+    bucket and chunk. A digest that a chunk holds more than once comes twice."""
 
     def run(batches):
-        hashes, counts = heavy.value
+        toks, size, seen = [], 0, set()
+
+        def flush():
+            d = np.sort(np.concatenate(toks) >> np.uint64(64 - DIGEST))
+            third = np.zeros(len(d), bool)
+            third[2:] = (d[2:] == d[1:-1]) & (d[1:-1] == d[:-2])
+            d = d[~third]
+            b = (d >> np.uint64(DIGEST - buckets)).astype(np.int32)
+            cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+            ends = np.r_[cuts[1:], len(b)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(b[cuts]), pa.array([_pack_digests(d[i:j]) for i, j in zip(cuts, ends)], pa.binary())],
+                names=["bucket", "digests"],
+            )
+
+        for _, _, prefix, _ in _prefixes(batches, k, percent, heavy, seen):
+            toks.append(prefix)
+            size += len(prefix)
+            if size >= FLUSH:
+                yield flush()
+                toks, size = [], 0
+                seen.clear()
+        if size:
+            yield flush()
+
+    return run
+
+
+def _announced_twice(buckets: int, bits: int):
+    """Per bucket its part of the filter: a bit for every digest that came more than once."""
+
+    def run(batches):
+        packed = [_unpack_digests(x) for batch in batches for x in batch.column("digests")]
+        if not packed:
+            return
+        d = np.concatenate(packed)
+        del packed
+        d.sort()
+        d = d[1:][d[1:] == d[:-1]] >> np.uint64(DIGEST - bits)
+        b = (d >> np.uint64(bits - buckets)).astype(np.int32)
+        for bucket in np.unique(b):
+            mark = np.zeros(1 << (bits - buckets), bool)
+            mark[(d[b == bucket] & np.uint64(len(mark) - 1)).astype(np.int64)] = True
+            part = pa.compress(np.packbits(mark, bitorder="little"), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket], pa.int32()), pa.array([part], pa.binary())], names=["bucket", "part"]
+            )
+
+    return run
+
+
+def _least_shared(n: int, percent: int) -> int:
+    """Published shingles that a set of ``n`` has in common with any set it links to, at
+    least: the smaller of two extensions."""
+    return min(MIN_EXTRA, required(required(n, percent), percent))
+
+
+def _publish(k: int, percent: int, buckets: int, heavy, shared):
+    """Published shingles that others may publish too by bucket, packed: one row per
+    bucket and chunk. Copies of one set inside a chunk are published once, and sets with
+    too few such shingles for any link not at all."""
+
+    def run(batches):
+        bits, marks = shared.value
         toks, heads, size, seen = [], [], 0, set()
 
         def flush():
@@ -186,34 +283,34 @@ def _publish(k: int, percent: int, buckets: int, heavy):
                 names=["bucket", "entries"],
             )
 
-        for batch in batches:
-            for _, s in _sets(batch, k):
-                if not len(s):
-                    continue
-                a, _ = _signature(s)
-                if a in seen:
-                    continue
-                seen.add(a)
-                prefix, cost = _prefix(s, hashes, counts, percent)
-                toks.append(prefix)
-                extra = len(prefix) - len(s) + required(len(s), percent)
-                heads.append((a, len(s), extra, min(cost, 0xFFFFFFFF)))
-                size += len(prefix)
+        for a, n, prefix, cost in _prefixes(batches, k, percent, heavy, seen):
+            at = (prefix >> np.uint64(64 - bits)).astype(np.int64)
+            sent = prefix[(marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+            if len(sent) < _least_shared(n, percent):
+                continue
+            toks.append(sent)
+            extra = len(prefix) - n + required(n, percent)
+            heads.append((a, n, extra, min(cost, 0xFFFFFFFF)))
+            size += len(sent)
             if size >= FLUSH // 4:
                 yield flush()
-                toks, heads, size, seen = [], [], 0, set()
+                toks, heads, size = [], [], 0
+                seen.clear()
         if size:
             yield flush()
 
     return run
 
 
-POSTING = "token long, node long, n long, p long, m long, lead long, lead_n long, lead_p long"
+POSTING = (
+    "token long, m long, lead long, lead_n long, lead_p long, members array<struct<node:bigint,n:bigint,p:bigint>>"
+)
 
 
-def _common(batches, percent: int):
+def _common(batches, percent: int, per_row: int):
     """Published shingles that two classes or more have in common, of one partition,
-    each with its posting's size and leader (the class of the highest cost)."""
+    each with its posting's size and leader (the class of the highest cost) and its
+    members; beyond ``per_row`` of them the shingle has several rows."""
     packed = [_unpack(x) for batch in batches for x in batch.column("entries")]
     if not packed:
         return
@@ -234,38 +331,140 @@ def _common(batches, percent: int):
     e = e[fresh]
     cuts = np.flatnonzero(np.r_[True, e["token"][1:] != e["token"][:-1]])
     m = np.diff(np.r_[cuts, len(e)])
-    size = np.repeat(m, m)
-    last = np.repeat(cuts + m - 1, m)
-    keep = np.flatnonzero(size > 1)
-    for i in range(0, len(keep), 100_000):
-        at = keep[i : i + 100_000]
-        x, lead = e[at], e[last[at]]
+    cuts, m = cuts[m > 1], m[m > 1]
+    rows = -(-m // per_row)
+    nth = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+    start = np.repeat(cuts, rows) + nth * per_row
+    size, last = np.repeat(m, rows), np.repeat(cuts + m - 1, rows)
+    length = np.minimum(size - nth * per_row, per_row)
+    for i in range(0, len(start), 10_000):
+        some = length[i : i + 10_000]
+        offsets = np.r_[0, np.cumsum(some)]
+        x = e[np.arange(offsets[-1]) + np.repeat(start[i : i + 10_000] - offsets[:-1], some)]
+        lead = e[last[i : i + 10_000]]
         n, lead_n = x["n"].astype(np.int64), lead["n"].astype(np.int64)
         p = n - required(n, percent) + x["extra"]
         lead_p = lead_n - required(lead_n, percent) + lead["extra"]
+        members = pa.StructArray.from_arrays(
+            [pa.array(c.astype(np.int64)) for c in (x["node"], n, p)], names=["node", "n", "p"]
+        )
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(x["token"].copy().view(np.int64)),
-                *(pa.array(c.astype(np.int64)) for c in (x["node"], n, p, size[at])),
-                *(pa.array(c.astype(np.int64)) for c in (lead["node"], lead_n, lead_p)),
+                pa.array(lead["token"].copy().view(np.int64)),
+                *(pa.array(c.astype(np.int64)) for c in (size[i : i + 10_000], lead["node"], lead_n, lead_p)),
+                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), members),
             ],
-            names=["token", "node", "n", "p", "m", "lead", "lead_n", "lead_p"],
+            names=["token", "m", "lead", "lead_n", "lead_p", "members"],
         )
 
 
+def _gathered(batches, rows: int) -> Iterator[pa.Array]:
+    """The members of ``rows`` postings at a time."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch.column("members"))
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.concat_arrays(some)
+            some, size = [], 0
+    if size:
+        yield pa.concat_arrays(some)
+
+
+def _found(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``x`` in the sorted ``known``, and whether they are there."""
+    at = np.searchsorted(known, x)
+    at[at == len(known)] = 0
+    return at, known[at] == x
+
+
+def _spanning(batches, labels):
+    """``(node, n, p, component)``, each ``(postings, members)``, of some postings of one
+    size that more than one component publishes."""
+    known, component = labels.value
+    for members in _gathered(batches, 16_384):
+        sizes = np.diff(members.offsets.to_numpy())
+        node, n, p = (members.flatten().field(c).to_numpy(zero_copy_only=False) for c in range(3))
+        begin = np.cumsum(sizes) - sizes
+        comp = node
+        if len(known):
+            at, there = _found(known, node)
+            comp = np.where(there, component[at], node)
+        for size in np.unique(sizes):
+            at = begin[sizes == size][:, None] + np.arange(size)
+            c = comp[at]
+            at = at[(c != c[:, :1]).any(axis=1)]
+            if len(at):
+                yield node[at], n[at], p[at], comp[at]
+
+
+def _few_pairs(labels, percent: int):
+    """Pairs of classes of different components and similar sizes, once for every posting."""
+
+    def run(batches):
+        for node, n, p, comp in _spanning(batches, labels):
+            i, j = np.triu_indices(node.shape[1], 1)
+            step = max(1, 100_000 // len(i))
+            for r in range(0, len(node), step):
+                some = slice(r, r + step)
+                na, nb = n[some][:, i], n[some][:, j]
+                keep = comp[some][:, i] != comp[some][:, j]
+                keep &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+                a, b = node[some][:, i][keep], node[some][:, j][keep]
+                columns = [a, na[keep], p[some][:, i][keep]], [b, nb[keep], p[some][:, j][keep]]
+                columns = [np.where(a < b, x, y) for x, y in zip(*columns)] + [np.where(a < b, y, x) for x, y in zip(*columns)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns], names=["a", "na", "pa", "b", "nb", "pb"]
+                )
+
+    return run
+
+
+def _few_counts(labels, asked):
+    """Postings that more than one component publishes by class, of the classes ``asked``
+    (None: of all), summed within ``FLUSH`` of them."""
+
+    def run(batches):
+        wanted = asked.value
+        pending, size = [], 0
+
+        def counted():
+            u, c = np.unique(np.concatenate(pending), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["node", "shared"])
+
+        for node, *_ in _spanning(batches, labels):
+            node = node.reshape(-1)
+            if wanted is not None:
+                node = node[_found(wanted, node)[1]] if len(wanted) else node[:0]
+            pending.append(node)
+            size += len(node)
+            if size >= FLUSH:
+                yield counted()
+                pending, size = [], 0
+        if pending:
+            yield counted()
+
+    return run
+
+
+def _parities(s: np.ndarray, bits: int) -> np.ndarray:
+    odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool))
+
+
 def _full_sets(k: int):
     def run(batches):
         for batch in batches:
-            node, bits, sets = [], [], []
+            node, bits, wide, sets = [], [], [], []
             for _, s in _sets(batch, k):
                 node.append(_signature(s)[0])
-                odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-                bits.append(np.packbits(odd.astype(bool)).view(np.int64))
+                bits.append(_parities(s, BITS).view(np.int64))
+                wide.append(_parities(s, max(BITS, 1 << (2 * len(s)).bit_length())).tobytes() if 2 * len(s) > BITS else None)
                 sets.append(s.view(np.int64))
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.array(bits, lists), pa.array(sets, lists)],
-                names=["node", "bits", "tokens"],
+                [pa.array(node, pa.int64()), pa.array(bits, lists), pa.array(wide, pa.binary()), pa.array(sets, lists)],
+                names=["node", "bits", "wide", "tokens"],
             )
 
     return run
@@ -310,23 +509,46 @@ class NgramJoin:
         self.reps = written(
             self.rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
         )
+        ids = self.rows.where("n > 0 and doc_id is not null").select("doc_id").distinct()
+        copies = written(ids.join(self.reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"))
+        many = copies.count()
+        if many > BROADCAST_IDS:  # the others publish the same shingles once more
+            copies = copies.where(F.pmod(F.xxhash64("doc_id"), F.lit(many)) < BROADCAST_IDS)
+        known = self.docs.where("doc_id is not null and text is not null")
+        self.known = known.join(F.broadcast(copies), "doc_id", "left_anti") if many else known
         return self.rows
 
     # -- pass 2: published shingles in common ------------------------------------
 
     def postings(self) -> DataFrame:
-        """One row per class and published shingle that another class publishes too."""
+        """A row for each published shingle of two classes or more, with its classes."""
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         published = total * (100 - self.percent) // 100
         parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-published // BUCKET_TOKENS))
-        known = self.docs.where("doc_id is not null and text is not null")
-        packed = known.mapInArrow(
-            _publish(self.k, self.percent, 8 * parts, self.heavy), "bucket int, entries binary"
+        shared = self._shared(published, parts)
+        packed = self.known.mapInArrow(
+            _publish(self.k, self.percent, 8 * parts, self.heavy, shared), "bucket int, entries binary"
         ).repartition(parts, "bucket")
-        percent = self.percent
-        self.post = written(packed.mapInArrow(lambda batches: _common(batches, percent), POSTING))
+        percent, per_row = self.percent, max(HOT_POSTING, 32)
+        self.post = written(packed.mapInArrow(lambda batches: _common(batches, percent, per_row), POSTING))
         return self.post
 
+    def _shared(self, published: int, parts: int):
+        """Broadcast ``(bits, marks)``: a filter, by their highest bits, of the shingles that
+        more than one set publishes. It passes all of those and a few others."""
+        bits = min(max(16, published.bit_length() + 1), MAX_FILTER)
+        buckets = min(bits - 3, (2 * parts - 1).bit_length())  # 2 to this power, of whole bytes of the filter
+        digests = self.known.mapInArrow(
+            _announce(self.k, self.percent, buckets, self.heavy), "bucket int, digests binary"
+        ).repartition(parts, "bucket")
+        found = digests.mapInArrow(_announced_twice(buckets, bits), "bucket int, part binary").toArrow()
+        marks = np.zeros(1 << (bits - 3), np.uint8)
+        width = 1 << (bits - buckets - 3)
+        for bucket, part in zip(found.column("bucket").to_pylist(), found.column("part")):
+            data = pa.decompress(part.as_buffer(), decompressed_size=width, codec="zstd")
+            marks[bucket * width : (bucket + 1) * width] = np.frombuffer(data, np.uint8)
+        return self.spark.sparkContext.broadcast((bits, marks))
+
     # -- candidates ----------------------------------------------------------------
 
     def _similar_size(self, a: str, b: str) -> str:
@@ -339,12 +561,14 @@ class NgramJoin:
 
     def _sets_of(self, nodes: DataFrame) -> DataFrame:
         """``(node, bits, tokens)``: the whole sets of ``nodes(node)``, read from their
-        representatives' texts, and the parities of their shingles by bit."""
+        representatives' texts, and the parities of their shingles by bit (``wide``: of more
+        bits, for larger sets)."""
         ids = written(nodes.join(self.reps, "node").select(F.col("rep").alias("doc_id")))
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
         texts = self.docs.join(ids, "doc_id", "left_semi")
-        return written(texts.mapInArrow(_full_sets(self.k), "node long, bits array<bigint>, tokens array<bigint>"))
+        columns = "node long, bits array<bigint>, wide binary, tokens array<bigint>"
+        return written(texts.mapInArrow(_full_sets(self.k), columns))
 
     def _sets_named(self, sets: DataFrame, nodes: DataFrame) -> DataFrame:
         """The sets of ``nodes`` alone, so that no other is shuffled."""
@@ -369,11 +593,14 @@ class NgramJoin:
             .where(f"100 * most >= {self.percent} * (na + nb - most)")
             .select("a", "b")
         )
-        sets = self._sets_named(sets, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-        left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+        # the sets of a go straight to their partners where the pairs can be broadcast
+        left = self._sets_named(sets, pairs.select(F.col("a").alias("node")))
+        left = left.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+        right = self._sets_named(sets, pairs.select(F.col("b").alias("node")))
+        right = right.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+        few = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
         return (
-            pairs.join(left, "a")
+            left.join(few, "a")
             .join(right, "b")
             .withColumn("both", F.size(F.array_intersect("x", "y")))
             .where(f"100 * both >= {self.percent} * (size(x) + size(y) - both)")
@@ -385,7 +612,8 @@ class NgramJoin:
         published shingles with. A leader outranks its followers, so the links form
         trees, and doubling the pointers finds the roots."""
         counted = (
-            self.post.where("node <> lead")
+            self.post.select("lead", "lead_n", "lead_p", F.inline("members"))
+            .where("node <> lead")
             .where(self._similar_size("n", "lead_n"))
             .groupBy("node", "n", "p", "lead", "lead_n", "lead_p")
             .agg(F.count("*").alias("s"))
@@ -398,7 +626,9 @@ class NgramJoin:
         )
         pairs = written(best)
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        tree = written(self._verified(pairs, self._sets_of(nodes)))
+        sets = self._sets_of(nodes)
+        tree = written(self._verified(pairs, sets))
+        discard(sets)
         while True:
             up = tree.select(F.col("a").alias("b"), F.col("b").alias("c"))
             after = written(tree.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), "c"))
@@ -414,24 +644,25 @@ class NgramJoin:
         is compared tile by tile; a tile reports links that join its components, never
         its pairs. Both ways verify whole sets.
         """
-        post = self.post.join(comp, self.post.node == comp.id, "left").select(
-            *self.post.columns, F.coalesce("component", "node").alias("comp")
-        )
-        spans = post.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        post = written(post.join(spans.select("token"), "token", "left_semi"))
-
-        few = post.where(f"m <= {HOT_POSTING}").select("token", F.struct("node", "n", "p").alias("a"), "comp")
-        other = few.select("token", F.col("a").alias("b"), F.col("comp").alias("other"))
+        percent, labels = self.percent, self._labels(comp)
+        columns = "a long, na long, pa long, b long, nb long, pb long"
         pairs = written(
-            few.join(other, "token")
-            .where(f"comp <> other and a.node < b.node and {self._similar_size('a.n', 'b.n')}")
-            .groupBy("a", "b")
+            self.post.where(f"m <= {HOT_POSTING}")
+            .mapInArrow(_few_pairs(labels, percent), columns)
+            .groupBy("a", "na", "pa", "b", "nb", "pb")
             .agg(F.count("*").alias("s"))
-            .where(self._enough("s", "a.n", "a.p", "b.n", "b.p"))
-            .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+            .where(self._enough("s", "na", "pa", "nb", "pb"))
+            .select("a", "b")
         )
 
-        tiles = self._tiles(post)
+        hot = self.post.where(f"m > {HOT_POSTING}").select("token", "lead", F.inline("members"))
+        few = F.broadcast(comp) if comp.count() <= BROADCAST_IDS else comp
+        hot = written(
+            hot.join(few, hot.node == few.id, "left").select(*hot.columns, F.coalesce("component", "node").alias("comp"))
+        )
+        spans = hot.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        hot = written(hot.join(spans.select("token"), "token", "left_semi"))
+        tiles = self._tiles(hot, labels)
         nodes = (
             pairs.select(F.col("a").alias("node"))
             .union(pairs.select(F.col("b").alias("node")))
@@ -439,13 +670,31 @@ class NgramJoin:
             .distinct()
         )
         sets = self._sets_of(nodes)
-        in_tiles = self._sets_named(sets, tiles.select("node")).drop("bits")
-        blocks = tiles.join(in_tiles, "node").groupBy("block", "kind", "lo", "hi").applyInArrow(
-            _tile_links(self.percent), "a long, b long"
+        place = ["block", "kind", "lo", "hi"]
+        outlines = sets.select("node", F.size("tokens").alias("n"), "bits", "wide")
+        outlines = self._sets_named(outlines, tiles.select("node"))
+        chosen = tiles.join(outlines, "node").groupBy(*place).applyInArrow(
+            _tile_partners(percent), "block long, kind string, lo int, hi int, node long"
         )
-        return written(self._verified(pairs, sets).union(blocks))
-
-    def _tiles(self, post: DataFrame) -> DataFrame:
+        tiles = written(tiles.join(written(chosen), [*place, "node"], "left_semi"))
+        in_tiles = self._sets_named(sets, tiles.select("node")).select("node", "tokens")
+        blocks = tiles.join(in_tiles, "node").groupBy(*place).applyInArrow(_tile_links(percent), "a long, b long")
+        links = written(self._verified(pairs, sets).union(blocks))
+        discard(sets)
+        return links
+
+    def _labels(self, comp: DataFrame):
+        """``comp(id, component)`` broadcast, sorted by id. Beyond ``MAX_LABELS``, a part of
+        them: the other classes stand alone, and pairs inside their components are made."""
+        many = comp.count()
+        if many > MAX_LABELS:
+            comp = comp.where(F.pmod(F.xxhash64("id"), F.lit(many)) < MAX_LABELS)
+        got = comp.toArrow()
+        known, component = got.column("id").to_numpy(), got.column("component").to_numpy()
+        order = np.argsort(known)
+        return self.spark.sparkContext.broadcast((known[order], component[order]))
+
+    def _tiles(self, post: DataFrame, labels) -> DataFrame:
         """``(block, kind, lo, hi, node, comp, part)``: which classes meet in which tile.
 
         Two linked classes share at least the smaller of their extensions, so one with
@@ -455,12 +704,17 @@ class NgramJoin:
         pair of tiles that has work to do becomes one task.
         """
         hot = (
-            post.where(f"m > {HOT_POSTING}")
-            .select(F.col("lead").alias("block"), "node", "n", "p", "comp")
+            post.select(F.col("lead").alias("block"), "node", "n", "p", "comp")
             .distinct()
             .withColumn("extra", F.expr(f"p - n + ceil({self.percent} * n / 100)"))
         )
-        shared = post.groupBy("node").agg(F.count("*").alias("shared"))
+        nodes = written(hot.select("node").distinct())
+        asked = np.sort(nodes.toArrow().column("node").to_numpy()) if nodes.count() <= MAX_LABELS else None
+        few = self.post.where(f"m <= {HOT_POSTING}").mapInArrow(
+            _few_counts(labels, self.spark.sparkContext.broadcast(asked)), "node long, shared long"
+        )
+        counts = few.union(post.groupBy("node").agg(F.count("*").alias("shared")))
+        shared = counts.groupBy("node").agg(F.sum("shared").alias("shared"))
         least = hot.groupBy("block").agg(F.min("extra").alias("least"))
         members = written(
             hot.join(least, "block").join(shared, "node").where("shared >= least").select("block", "node", "n", "comp")
@@ -501,8 +755,12 @@ class NgramJoin:
     def components(self) -> DataFrame:
         """``(node, component)`` of every class that has a link."""
         self.postings()
+        released(self.spark)
         trees = self._leader_round()
+        released(self.spark)
         rest = self._remaining(trees)
+        discard(self.post)
+        released(self.spark)
         up = trees.select(F.col("id").alias("a"), F.col("component").alias("ca"))
         to = trees.select(F.col("id").alias("b"), F.col("component").alias("cb"))
         edges = written(
@@ -522,6 +780,48 @@ class NgramJoin:
         )
 
 
+def _folded(parity: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of ``bits`` bits, from those of more."""
+    while parity.shape[1] * 8 > bits:
+        half = parity.shape[1] // 2
+        parity = parity[:, :half] ^ parity[:, half:]
+    return np.ascontiguousarray(parity).view(np.uint64)
+
+
+def _tile_partners(percent: int):
+    """The classes of a tile pair that the parities leave a partner in another component."""
+
+    def run(key, table):
+        inside = key[1].as_py() == "R" and key[2] == key[3]
+        node, comp, part, n = (table.column(c).to_numpy() for c in ("node", "comp", "part", "n"))
+        narrow, wide = table.column("bits").to_pylist(), table.column("wide").to_pylist()
+        parity = [w or np.array(x, np.int64).tobytes() for x, w in zip(narrow, wide)]
+        bits = np.array([8 * len(x) for x in parity])
+        rows = {w: np.flatnonzero(bits == w) for w in np.unique(bits)}
+        packed = {w: np.frombuffer(b"".join(parity[i] for i in at), np.uint8).reshape(len(at), -1) for w, at in rows.items()}
+        found = np.zeros(len(node), bool)
+        for wa, wb in ((a, b) for a in rows for b in rows if a <= b):
+            a, b = rows[wa], rows[wb]
+            x, y = _folded(packed[wa], wa), _folded(packed[wb], wa)
+            for i, own in zip(a, x):
+                near = comp[b] != comp[i]
+                near &= 100 * np.minimum(n[i], n[b]) >= percent * np.maximum(n[i], n[b])
+                near &= inside | (part[b] != part[i])
+                at = np.flatnonzero(near)
+                apart = np.bitwise_count(y[at] ^ own).sum(axis=1, dtype=np.int64)
+                total = n[i].astype(np.int64) + n[b[at]]
+                # half of what the sizes leave is the overlap at most
+                hit = b[at][100 * (total - apart) >= percent * (total + apart)]
+                if len(hit):
+                    found[i] = True
+                    found[hit] = True
+        at = np.flatnonzero(found)
+        same = [pa.array([key[c].as_py()] * len(at), t) for c, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32()))]
+        return pa.table([*same, pa.array(node[at])], names=["block", "kind", "lo", "hi", "node"])
+
+    return run
+
+
 def _tile_links(percent: int):
     """Links between components in one tile pair, one per pair of components at most."""
 
