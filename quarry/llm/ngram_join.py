@@ -928,12 +928,16 @@ def one_per_group(
     )
     kept = written(by_class.union(texts.where("n = 0").select("_key", "_hash", "many")))
 
-    def rows_of(keys):
+    def rows_of(keys, how="left_semi"):
         keys = keys.select("_key", "_hash")
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
-        return keyed.join(keys, ["_key", "_hash"], "left_semi")
+        return keyed.join(keys, ["_key", "_hash"], how)
 
-    out = rows_of(kept.where("not many")).select(*docs.columns)
+    # the fewer keys are sent: those that stay or those that go
+    once = kept.where("not many")
+    gone = written(texts.select("_key", "_hash").distinct().join(once, ["_key", "_hash"], "left_anti"))
+    out = rows_of(once) if once.count() <= gone.count() else rows_of(gone, "left_anti")
+    out = out.select(*docs.columns)
     repeated = kept.where("many")
     if repeated.isEmpty():
         return out
